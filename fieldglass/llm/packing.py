@@ -22,8 +22,10 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import bisect
+import functools
 import heapq
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ POOL_TOKENS = 1 << 21
 STEP_TOKENS = 8 * 4096
 CACHE_WORDS = 400_000
 OUT_BYTES = 8 << 20
+#: Marks that the tokenizer reads as one word together and that begin none of its contractions.
+PUNCTUATION = ".,;:!?%&$#*|"
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, "
@@ -50,28 +54,66 @@ class WordCache:
     """Ids of whole texts from cached ids of their space-separated chunks.
 
     The tokenizer drops white space and none of its pieces crosses any, so the
-    ids of a text are those of its chunks in order. The cache is emptied when it
-    is full; that changes no result.
+    ids of a text are those of its chunks in order. A chunk of letters and then
+    common punctuation is two words to the tokenizer, and each goes straight to
+    its BPE model; every other chunk is encoded in full. The caches are emptied
+    when they are full; that changes no result.
     """
 
     def __init__(self, path: str, size: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.size = size
         self.ids: dict[str, bytes] = {"": b""}
+        self.letters: dict[str, bytes] = {}
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        known = self.letters.get(word)
+        if known is None:
+            if len(self.letters) >= self.size:
+                self.letters.clear()
+            shown = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
+            known = self.letters[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        return known
+
+    def _chunk(self, chunk: str) -> bytes:
+        low = chunk.lower()
+        word = low.rstrip(PUNCTUATION)
+        if not word.isalpha() or not (low.isascii() or ("Σ" not in chunk and is_normalized("NFC", chunk))):
+            return self._whole(chunk)
+        tail = low[len(word) :]
+        if not tail:
+            return self._letters(word)
+        marks = self.letters.get(tail)
+        if marks is None:
+            marks = self.letters[tail] = self._whole(tail)
+        return self._letters(word) + marks
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        ids = self.ids
         for text in texts:
             chunks = text.replace("\n", " ").split(" ")
-            new = [c for c in set(chunks) if c not in self.ids]
-            if new:
-                if len(self.ids) + len(new) > self.size:
-                    self.ids = {"": b""}
-                    new = [c for c in set(chunks) if c]
-                for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.ids[c] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(self.ids.__getitem__, chunks))
+            new = [c for c in set(chunks) if c not in ids]
+            if len(ids) + len(new) > self.size:
+                ids.clear()
+                ids[""] = b""
+                new = set(chunks)
+            for c in new:
+                ids[c] = self._chunk(c) if c else b""
+            yield b"".join(map(ids.__getitem__, chunks))
+
+
+@functools.lru_cache(1)
+def word_cache(path: str) -> WordCache:
+    """The cache of this process, for all its tasks."""
+    return WordCache(path)
 
 
 class Fragment:
@@ -194,7 +236,7 @@ class TierPacker:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str, tiers: tuple[int, ...], end_id: int, pool: int, step: int) -> Iterator[pa.RecordBatch]:
-    cache = WordCache(path)
+    cache = word_cache(path)
     packer = TierPacker(tiers, step)
     end = np.array([end_id], "<u4").tobytes()
     first = TaskContext.get().partitionId() << 36
