@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import ann, chat, htmltext, jaccard, language, media, packing, quality, warc
+from fieldglass.llm import ann, chat, htmltext, jaccard, language, media, packing, pieces, quality, warc
 from fieldglass.llm.common import id_fold, new_path
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 HTML_LEAST_BYTES = 0
 
 
@@ -88,6 +89,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), language.language_of(model, F.col("text"), spark).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and what they decode to; sha256 digests stand for the texts."""
+    path = tokenizer_file(PIECES)
+    docs = table(spark, sf_dir, "documents")
+    return pieces.decode_ids(pieces.encode_texts(docs, path), path).select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"), F.length("text").cast("bigint").alias("decoded_chars"))
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -101,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard": op6_jaccard,
     "op7_ogg": op7_ogg,
     "op8_language": op8_language,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_ann": op10_ann,
 }
 
