@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import jaccard, language, packing, quality
-from fieldglass.llm.common import id_fold, stored
+from fieldglass.llm.common import id_fold
 from fieldglass.llm.queries import TOKENIZER, tokenizer_file
+from fieldglass.store import stored
 
 LEAST_CONFIDENCE = 0.5
 

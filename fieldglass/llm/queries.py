@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import ann, chat, htmltext, jaccard, language, media, packing, pieces, quality, warc
-from fieldglass.llm.common import id_fold, new_path
+from fieldglass.llm.common import id_fold
+from fieldglass.store import new_path
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -113,4 +114,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann": op10_ann,
 }
 
-ORACLES: dict[str, str] = {}
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = "list_aggregate(list_transform(range(0, 32), lambda k: substr('{a}', CAST((CAST('0x' || substr(h, CAST(k // 4 * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - k % 4 * 5 AS INT)) & 31 AS INT) + 1, 1)), 'string_agg', '')".format(a=_ALPHABET)
+OP3 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), f AS (SELECT t, min(page_id) AS first FROM p GROUP BY t)
+    SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to FROM (SELECT p.page_id, p.t, f.first, sha1(p.t) AS h FROM p JOIN f ON p.t = f.t)"""
+OP5 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    e AS (SELECT *, CASE WHEN contains(t, '</s>') OR regexp_matches(t, '[<\[]\\+/?(s>|INST\])') THEN len(regexp_extract_all(t, '[<\[]\\*/?(s>|INST\])')) ELSE 0 END AS more FROM c)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(20 + length(role) + length(t) + more) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+OP6 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+    n AS (SELECT doc_id, len(sh) AS n_shingles FROM s), x AS (SELECT doc_id, unnest(sh) AS g FROM s), r AS (SELECT min(doc_id) AS rep, list_sort(sh) AS k FROM s WHERE len(sh) > 0 GROUP BY list_sort(sh)),
+    y AS (SELECT x.doc_id, g FROM x WHERE doc_id IN (SELECT rep FROM r)),
+    l AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM y a JOIN y b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    k AS (SELECT a, b FROM l JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n_shingles + q.n_shingles - c)
+    UNION SELECT rep, doc_id FROM s JOIN r ON list_sort(sh) = k WHERE rep <> doc_id), e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+    reach(d, m) AS (SELECT a, a FROM e UNION SELECT e.b, reach.m FROM reach JOIN e ON e.a = reach.d AND reach.m < e.b)
+    SELECT n.doc_id, n.n_shingles, coalesce(least(n.doc_id, min(m)), n.doc_id) AS component_id FROM n LEFT JOIN reach ON d = n.doc_id GROUP BY n.doc_id, n.n_shingles"""
+
+ORACLES: dict[str, str] = {"op3_warc": OP3, "op5_chat": OP5, "op6_jaccard": OP6}

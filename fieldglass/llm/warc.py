@@ -33,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import arrow_schema, record_batch, stored, text_or_empty
+from fieldglass.llm.common import arrow_schema, record_batch, text_or_empty
+from fieldglass.store import stored
 
 #: Fixed values of the format (WARC 1.1).
 VERSION, LINE, RECORD_END = "WARC/1.1", "\r\n", "\r\n\r\n"
