@@ -11,7 +11,8 @@ BPE one, whose result is not the path of the best total score, so relaxation
 follows its merges: in every round each chunk takes, of the edges that span just
 two neighbouring symbols, the one of the best score, leftmost first, and edges
 that begin or end inside a symbol are dropped. That gives the same ids as the
-reference library. Characters without a piece become byte pieces.
+model's own library. A very long chunk is merged pair by pair from a heap instead.
+Characters without a piece become byte pieces.
 
 Cases: null or empty text gives no ids; texts of spaces alone, or with the word
 mark itself, are encoded as the library does, so a word mark decodes to a space;
@@ -21,6 +22,7 @@ repeated rows repeat; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -34,6 +36,9 @@ from fieldglass.llm.common import record_batch, text_or_empty
 MARK = "▁"
 CACHE_CHUNKS = 400_000
 BATCH_CHARS = 1_500_000
+LONG_CHUNK = 256
+#: Characters matched at a time, and bits for a piece's place: a chunk's number, a place and a position share 64 bits.
+_SPAN, _PLACE_BITS = 2_000_000, 17
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
 DECODED = "doc_id bigint, n_tokens bigint, ids binary, text string"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -57,6 +62,8 @@ class Pieces:
                 self.score.append(model.get_score(i))
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.text):
             raise ValueError("a piece crosses a place where texts are cut")
+        if len(ids) >> _PLACE_BITS:
+            raise ValueError("the model has too many pieces")
         self.unknown = model.unk_id()
         self.shown = [b""] * model.vocab_size()
         for i, p in zip(ids, self.text, strict=True):
@@ -65,7 +72,9 @@ class Pieces:
             self.shown[i] = bytes([b])
         self.longest = max(map(len, self.text))
         self.ids = np.array(ids, np.int64)
-        self.scores = np.array(self.score)
+        self.places = np.unique(-np.array(self.score), return_inverse=True)[1].astype(np.int64)
+        self.place_of = {p: int(k) for p, k in zip(self.text, self.places, strict=True) if len(p) > 1}
+        self.id_of = dict(zip(self.text, ids, strict=True))
         self.sizes = np.array([len(p) for p in self.text])
         self.codes = np.zeros((len(ids), self.longest), np.int64)
         for k, p in enumerate(self.text):
@@ -75,12 +84,12 @@ class Pieces:
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions of ``text`` sorted by their next ``depth`` characters (by doubling)."""
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    order, done = np.argsort(rank, kind="stable"), 1
+    order, done = np.argsort(rank), 1
     while done < depth:
         after = np.zeros(len(rank), np.int64)
         after[:-done or None] = rank[done:] + 1 if done < len(rank) else 0
         key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         fresh = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
         rank = np.empty_like(fresh)
@@ -116,12 +125,16 @@ def piece_ranges(text: np.ndarray, order: np.ndarray, pieces: Pieces) -> tuple[n
     return low, high
 
 
-def _relax(text: np.ndarray, chunk: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """The position that ends each symbol, by where it starts (0 where no symbol does)."""
+def _relax(text: np.ndarray, chunk: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The position that ends each symbol, by where it starts (0 where no symbol does).
+
+    ``place`` is each edge's place among all pieces by falling score.
+    """
     until = np.arange(1, len(text) + 1)
-    order = np.lexsort((start, -score, chunk[start]))
-    start, end = start[order], end[order]
     of = chunk[start]
+    bits = max(1, int(len(text)).bit_length())
+    order = np.argsort((of << (bits + _PLACE_BITS)) | (place << bits) | start)
+    start, end, of = start[order], end[order], of[order]
     while len(start):
         middle = until[start]
         two = (middle < end) & (until[np.minimum(middle, len(text) - 1)] == end)
@@ -158,7 +171,7 @@ def encode_chunks(chunks: list[str], pieces: Pieces) -> list[bytes]:
     start = order[np.repeat(low, count) + offset]
     wide = pieces.sizes[piece] > 1
     end = start + pieces.sizes[piece]
-    until = _relax(text, chunk, start[wide], end[wide], pieces.scores[piece[wide]])
+    until = _relax(text, chunk, start[wide], end[wide], pieces.places[piece[wide]])
     # the id of a symbol is that of the edge with its start and end
     ids = np.full(len(text), -1, np.int64)
     fits = until[start] == end
@@ -177,6 +190,42 @@ def encode_chunks(chunks: list[str], pieces: Pieces) -> list[bytes]:
     return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def encode_long(chunk: str, pieces: Pieces) -> bytes:
+    """The ids of one chunk by a heap of neighbouring pairs, for chunks so long that rounds would be many."""
+    n = len(chunk)
+    until = list(range(1, n + 1))
+    before = list(range(-1, n - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(start: int) -> None:
+        if start >= 0 and until[start] < n:
+            end = until[until[start]]
+            place = pieces.place_of.get(chunk[start:end])
+            if place is not None:
+                heapq.heappush(heap, (place, start, end))
+
+    for at in range(n):
+        offer(at)
+    while heap:
+        _, start, end = heapq.heappop(heap)
+        middle = until[start]
+        if middle == 0 or middle >= end or until[middle] != end:
+            continue
+        until[start], until[middle] = end, 0
+        if end < n:
+            before[end] = start
+        offer(start)
+        offer(before[start])
+    out: list[int] = []
+    at = 0
+    while at < n:
+        piece = chunk[at : until[at]]
+        known = pieces.id_of.get(piece)
+        out += [known] if known is not None else [pieces.byte.get(b, pieces.unknown) for b in piece.encode("utf-8", "replace")]
+        at = until[at]
+    return np.array(out, "<u4").tobytes()
+
+
 class Encoder:
     """Encodes whole texts; keeps the ids of chunks it has met, up to a bound."""
 
@@ -188,10 +237,10 @@ class Encoder:
         cut = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = list({c for chunks in cut for c in chunks if c not in self.ids})
         if len(self.ids) + len(new) > CACHE_CHUNKS:
-            self.ids.clear()
-            new = list({c for chunks in cut for c in chunks})
-        if new:
-            self.ids.update(zip(new, encode_chunks(new, self.pieces), strict=True))
+            self.ids = {c: self.ids[c] for chunks in cut for c in chunks if c in self.ids}
+        for group in _groups([c for c in new if len(c) <= LONG_CHUNK], _SPAN):
+            self.ids.update(zip(group, encode_chunks(group, self.pieces), strict=True))
+        self.ids.update((c, encode_long(c, self.pieces)) for c in new if len(c) > LONG_CHUNK)
         return [b"".join(map(self.ids.__getitem__, chunks)) for chunks in cut]
 
     def decode(self, ids: bytes) -> str:
@@ -207,13 +256,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _groups(texts: list[str]) -> Iterator[list[int]]:
-    """Runs of rows of about BATCH_CHARS characters together."""
+def _groups(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Runs of texts of about ``most`` characters together."""
     group, size = [], 0
-    for i, t in enumerate(texts):
-        group.append(i)
+    for t in texts:
+        group.append(t)
         size += len(t)
-        if size >= BATCH_CHARS:
+        if size >= most:
             yield group
             group, size = [], 0
     if group:
@@ -226,10 +275,11 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for group in _groups(texts):
-                ids = coder.encode([texts[i] for i in group])
-                yield record_batch({"doc_id": batch.column(0).slice(group[0], len(group)), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}, ENCODED)
+            at = 0
+            for group in _groups(batch.column(1).to_pylist(), BATCH_CHARS):
+                ids = coder.encode(group)
+                yield record_batch({"doc_id": batch.column(0).slice(at, len(group)), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}, ENCODED)
+                at += len(group)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, ENCODED)
 
