@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import record_batch, text_or_empty
+from fieldglass.llm.common import record_batch, sliced, text_or_empty
 
 BEGIN, ROLE, BODY, END = "<s>", "[INST]", "[/INST]", "</s>"
 LEARNED = "assistant"
@@ -99,7 +99,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 fragment, start, end = format_turn(role, text)
@@ -124,7 +124,7 @@ def read_back(fragments: DataFrame) -> DataFrame:
         def result() -> tuple:
             return (last, state["turns"], state["all"].hexdigest(), state["chars"], state["loss"].hexdigest(), state["formatted"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             done = []
             for conv, fragment, start, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if state is None or conv != last:

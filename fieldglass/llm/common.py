@@ -34,3 +34,10 @@ def record_batch(columns: dict, ddl: str):
 
     schema = arrow_schema(ddl)
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=schema.field(n).type) for n, c in ((n, columns[n]) for n in schema.names)], schema=schema)
+
+
+def sliced(batches, rows: int = 500):
+    """Record batches of at most ``rows`` rows, so that Python objects are made of few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import record_batch, text_or_empty
+from fieldglass.llm.common import record_batch, sliced, text_or_empty
 
 EXTRACTED = "page_id bigint, url string, text string, n_chars bigint, n_blocks int, n_kept int"
 JOIN = "\n\n"
@@ -286,11 +286,9 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     shipped = pages.sparkSession.sparkContext.broadcast(field or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                texts, n, kept = zip(*(main_text(h, shipped.value) for h in part.column(2).to_pylist()), strict=True)
-                yield record_batch({"page_id": part.column(0), "url": part.column(1), "text": texts, "n_chars": [len(t) for t in texts], "n_blocks": n, "n_kept": kept}, EXTRACTED)
+        for part in sliced(batches):
+            texts, n, kept = zip(*(main_text(h, shipped.value) for h in part.column(2).to_pylist()), strict=True)
+            yield record_batch({"page_id": part.column(0), "url": part.column(1), "text": texts, "n_chars": [len(t) for t in texts], "n_blocks": n, "n_kept": kept}, EXTRACTED)
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html"))
     return rows.mapInArrow(run, EXTRACTED)

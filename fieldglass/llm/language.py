@@ -20,6 +20,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import record_batch, text_or_empty
+from fieldglass.llm.common import record_batch, sliced, text_or_empty
 from fieldglass.store import stored
 
 UNKNOWN = "und"
@@ -39,8 +40,8 @@ SIZES = (3, 2, 1)
 MAX_LANGUAGES = 64
 MAX_WORDS = 40_000
 MAX_NGRAMS = 20_000
-CACHE_TOKENS = 300_000
-PARTIAL = 400_000
+CACHE_TOKENS = 180_000
+PARTIAL = 200_000
 COUNTS = "lang string, word string, n bigint"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -50,6 +51,12 @@ def words_of(token: str) -> list[str]:
     return [token] if token.isalpha() else _LETTERS.findall(token)
 
 
+def _count_batches(lang: str, counts: Counter) -> Iterator[pa.RecordBatch]:
+    rows = iter(counts.items())
+    while part := list(itertools.islice(rows, 20_000)):
+        yield record_batch({"lang": [lang] * len(part), "word": [w for w, _ in part], "n": [n for _, n in part]}, COUNTS)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words by language of one task, let go whenever they grow large."""
     tokens: dict[str, Counter] = {}
@@ -60,13 +67,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for token, n in counts.items():
                 for word in words_of(token):
                     words[word] += n
-            names, numbers = list(words), list(words.values())
-            for k in range(0, len(names), 50_000):
-                part = names[k : k + 50_000]
-                yield record_batch({"lang": [lang] * len(part), "word": part, "n": numbers[k : k + 50_000]}, COUNTS)
+            counts.clear()
+            yield from _count_batches(lang, words)
         tokens.clear()
 
-    for batch in batches:
+    for batch in sliced(batches):
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tokens.setdefault(lang, Counter()).update(text.lower().split())
         if sum(map(len, tokens.values())) > PARTIAL:
@@ -80,10 +85,7 @@ def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def out() -> Iterator[pa.RecordBatch]:
         for lang, counts in grams.items():
-            names, numbers = list(counts), list(counts.values())
-            for k in range(0, len(names), 50_000):
-                part = names[k : k + 50_000]
-                yield record_batch({"lang": [lang] * len(part), "word": part, "n": numbers[k : k + 50_000]}, COUNTS)
+            yield from _count_batches(lang, counts)
         grams.clear()
 
     for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import record_batch, text_or_empty
+from fieldglass.llm.common import record_batch, sliced, text_or_empty
 
 BLOCK = 64
 PACKET = 16_000
@@ -177,10 +177,8 @@ def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id and the Ogg bytes (``media``) of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
-                yield record_batch({"doc_id": part.column(0), "media": [encode(x) for x in part.column(1).to_pylist()]}, ENCODED)
+        for part in sliced(batches, ROWS):
+            yield record_batch({"doc_id": part.column(0), "media": [encode(x) for x in part.column(1).to_pylist()]}, ENCODED)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().cast("binary").alias("raw")).mapInArrow(run, ENCODED)
 
@@ -189,11 +187,9 @@ def decode_media(media: DataFrame) -> DataFrame:
     """doc_id, media and what :func:`decode` finds in it, a row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
-                found = [decode(x) for x in part.column(1).to_pylist()]
-                columns = {name: [x[name] for x in found] for name in ("n_bytes", "payload", "n_pages", "n_packets", "seconds", "feature")}
-                yield record_batch(columns | {"doc_id": part.column(0), "media": part.column(1)}, DECODED)
+        for part in sliced(batches, ROWS):
+            found = [decode(x) for x in part.column(1).to_pylist()]
+            columns = {name: [x[name] for x in found] for name in ("n_bytes", "payload", "n_pages", "n_packets", "seconds", "feature")}
+            yield record_batch(columns | {"doc_id": part.column(0), "media": part.column(1)}, DECODED)
 
     return media.select("doc_id", "media").mapInArrow(run, DECODED)

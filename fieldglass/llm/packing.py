@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import record_batch, text_or_empty
+from fieldglass.llm.common import record_batch, sliced, text_or_empty
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -265,7 +265,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, tiers: tuple[int, ...]
         if rows:
             yield table(rows)
 
-    for batch in batches:
+    for batch in sliced(batches):
         for doc, ids in zip(batch.column(0).to_pylist(), cache.encode(batch.column(1).to_pylist()), strict=True):
             packer.add(doc, ids + end)
             if packer.tokens >= pool:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import record_batch, text_or_empty
+from fieldglass.llm.common import record_batch, sliced, text_or_empty
 
 MARK = "▁"
 CACHE_CHUNKS = 400_000
@@ -289,10 +289,8 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                columns = {name: part.column(i) for i, name in enumerate(("doc_id", "n_tokens", "ids"))}
-                yield record_batch(columns | {"text": [coder.decode(x) for x in part.column(2).to_pylist()]}, DECODED)
+        for part in sliced(batches):
+            columns = {name: part.column(i) for i, name in enumerate(("doc_id", "n_tokens", "ids"))}
+            yield record_batch(columns | {"text": [coder.decode(x) for x in part.column(2).to_pylist()]}, DECODED)
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, DECODED)

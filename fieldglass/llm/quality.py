@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import record_batch, text_or_empty
+from fieldglass.llm.common import record_batch, sliced, text_or_empty
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Boost
     columns = ", ".join(f"{name} double" for name in ("doc_id_", *FEATURES)).replace("doc_id_ double", "doc_id bigint, quality int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = statistics(b.column(2).to_pylist())
             yield record_batch({"doc_id": b.column(0), "quality": b.column(1)} | {name: found[:, i] for i, name in enumerate(FEATURES)}, columns)
 
