@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import jaccard, language, packing, quality
-from fieldglass.llm.common import id_fold
+from fieldglass.llm.common import filtered, id_fold, small_batches
 from fieldglass.llm.queries import TOKENIZER, tokenizer_file
 from fieldglass.store import stored
 
@@ -29,19 +29,27 @@ ORACLE_SQL = None
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language that the model is sure of."""
-    found = language.language_of(language.train(docs), F.col("text"), spark)
-    return _where(docs, found, lambda c: (c["lang_pred"] != language.UNKNOWN) & (c["score"] >= LEAST_CONFIDENCE))
+    small_batches(spark)
+    model = spark.sparkContext.broadcast(language.train(docs))
+
+    def keeper():
+        predict = model.value.predictor()
+        return lambda texts: [name != language.UNKNOWN and score >= LEAST_CONFIDENCE for name, score in zip(*predict(texts), strict=True)]
+
+    return filtered(docs, "text", keeper)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels of the training fold, accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(id_fold("doc_id", 5) != 0)
-    model = quality.train(docs, labels)
-    return _where(docs, quality.quality_of(model, F.col("text"), spark), lambda c: c >= quality.THRESHOLD)
+    small_batches(spark)
+    model = spark.sparkContext.broadcast(quality.train(docs, labels))
+    return filtered(docs, "text", lambda: lambda texts: (model.value.scores(quality.statistics(texts)) >= quality.THRESHOLD).tolist())
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (that of the smallest id) of each group of linked documents."""
+    small_batches(spark)
     linked = stored(jaccard.linked_components(docs).filter(F.col("doc_id").isNotNull()).select("doc_id", "component_id"), "linked")
     copies = linked.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     repeated = linked.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("doc_id")
@@ -55,6 +63,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids in sequences, a row for each piece."""
+    small_batches(spark)
     return packing.pack_documents(docs, tokenizer_file(TOKENIZER))
 
 
@@ -72,11 +81,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-def _where(docs: DataFrame, value, keep) -> DataFrame:
-    """Rows of ``docs`` whose ``value`` is kept, with their own columns only."""
-    name = "kept"
-    while name in docs.columns:
-        name += "_"
-    return docs.withColumn(name, value).filter(keep(F.col(name))).select(*docs.columns)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,3 +43,31 @@ def sliced(batches, rows: int = 500):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send Python workers at most ``rows`` rows at a time: rows of texts are large.
+
+    Both sides of the exchange hold whole batches, so this bounds their memory.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def filtered(docs: DataFrame, column: str, keeper: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text (null: empty) is kept.
+
+    ``keeper()`` is called once in each task and gives a function from texts to
+    decisions.
+    """
+    import pyarrow as pa
+
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator) -> Iterator:
+        keep = keeper()
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(keep([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -39,7 +39,7 @@ TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 POOL_TOKENS = 1 << 21
 STEP_TOKENS = 8 * 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 OUT_BYTES = 8 << 20
 #: Marks that the tokenizer reads as one word together and that begin none of its contractions.
 PUNCTUATION = ".,;:!?%&$#*|"

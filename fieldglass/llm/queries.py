@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import ann, chat, htmltext, jaccard, language, media, packing, pieces, quality, warc
-from fieldglass.llm.common import id_fold
+from fieldglass.llm.common import id_fold, small_batches
 from fieldglass.store import new_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
