@@ -3,9 +3,12 @@
 A forest is fitted on a bounded sample. Its nodes split at the median projection
 on the line through two sample points. Every row is indexed: each tree gives it a
 leaf. A query walks all trees through one priority queue, nearest margins first,
-until its leaves hold ``search_rows`` entries; the candidates of those leaves are
+until its leaves hold ``search_rows`` entries, and 75 leaves at least; the candidates of those leaves are
 then ranked by exact distance in double precision.
 
+Leaves hold about ``leaf_rows`` rows if the sample has four rows for each of them:
+raise ``sample_rows`` with the table, or leaves (not recall) grow.
+
 The work is shuffled by leaf. Equal vectors are indexed once, with the few
 smallest ids that can count, so copies don't fill a leaf; leaves with many rows
 or queries are split into blocks by their counts. Each block gives its nearest
@@ -38,6 +41,7 @@ SAMPLE_ROWS = 20_000
 TREES = 12
 LEAF_ROWS = 200
 SEARCH_ROWS = 15_000
+SEARCH_LEAVES = 75
 BLOCK_ROWS, BLOCK_QUERIES = 4_000, 1_000
 SEED = 5
 
@@ -101,13 +105,13 @@ class Forest:
         """The leaf of each row in each tree, numbered through all trees."""
         return np.column_stack([t.leaf_of(x) + f for t, f in zip(self.trees, self.first, strict=True)])
 
-    def search(self, q: np.ndarray, sizes: dict[int, int], enough: int) -> list[int]:
-        """Leaves in the order of one shared queue, until they hold ``enough`` rows (over all trees)."""
+    def search(self, q: np.ndarray, sizes: dict[int, int], enough: int, leaves: int = SEARCH_LEAVES) -> list[int]:
+        """Leaves in the order of one shared queue, at least ``leaves``, until they hold ``enough`` rows (over all trees)."""
         projected = [t.vector @ q - t.cut for t in self.trees]
         heap = [(0.0, t, 0 if len(tree.cut) else -1) for t, tree in enumerate(self.trees)]
         heapq.heapify(heap)
         found, held = [], 0
-        while heap and held < enough:
+        while heap and (held < enough or len(found) < leaves):
             far, t, node = heapq.heappop(heap)
             while node >= 0:
                 margin = projected[t][node]
