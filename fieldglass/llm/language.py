@@ -125,29 +125,65 @@ def _bounded(counts: DataFrame, most: int, parts: list[str]) -> DataFrame:
     return counts.filter(keep)
 
 
+@dataclass
+class Frequencies:
+    """Log frequencies of strings by language: ``table[at[string]]``."""
+
+    at: dict[str, int]
+    table: np.ndarray
+
+    @classmethod
+    def of(cls, counts: dict[str, dict[str, int]], languages: list[str], totals: dict[str, int]) -> Frequencies:
+        """Smoothed log frequencies of counted strings."""
+        table = np.zeros((len(counts), len(languages)))
+        for i, by in enumerate(counts.values()):
+            for lang, n in by.items():
+                table[i, languages.index(lang)] = n
+        size = np.array([totals[lang] for lang in languages], float)
+        return cls({w: i for i, w in enumerate(counts)}, np.log((table + 0.5) / (size + 1.0)))
+
+
 @dataclass
 class LanguageModel:
-    """Log frequencies by language; rows of ``words`` and ``grams`` follow ``languages``."""
+    """What words and n-grams say about ``languages``."""
 
     languages: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word_scores(self, word: str) -> np.ndarray:
-        """Log frequency of the word in each language, by the longest known n-grams if it is new."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        w, total, places = f" {word} ", np.zeros(len(self.languages)), 0
+    words: Frequencies = field(default_factory=lambda: Frequencies({}, np.zeros((0, 0))))
+    grams: Frequencies = field(default_factory=lambda: Frequencies({}, np.zeros((0, 0))))
+
+    def longest_grams(self, word: str) -> list[int]:
+        """Rows of the longest known n-gram at each place of the word, shorter where it is unseen."""
+        get, w, found = self.grams.at.get, f" {word} ", []
         for i in range(1, len(w) - 1):
-            for size in SIZES:
-                gram = w[i - 1 : i + 2] if size == 3 else w[i : i + size] if size == 2 else w[i]
-                scores = self.grams.get(gram)
-                if scores is not None:
-                    total += scores
-                    places += 1
-                    break
-        return total / places if places else total
+            row = get(w[i - 1 : i + 2])
+            if row is None:
+                row = get(w[i : i + 2])
+                if row is None:
+                    row = get(w[i])
+                    if row is None:
+                        continue
+            found.append(row)
+        return found
+
+    def scores_of(self, words: list[str]) -> np.ndarray:
+        """A row of log frequencies for each word: its own, or the mean of its n-grams; zeros if it has neither."""
+        out = np.zeros((len(words), len(self.languages)))
+        known, rows, new, grams, sizes = [], [], [], [], []
+        for i, word in enumerate(words):
+            row = self.words.at.get(word)
+            if row is not None:
+                known.append(i)
+                rows.append(row)
+            elif found := self.longest_grams(word):
+                new.append(i)
+                grams += found
+                sizes.append(len(found))
+        if known:
+            out[known] = self.words.table[rows]
+        if new:
+            sums = np.add.reduceat(self.grams.table[grams], np.cumsum([0, *sizes[:-1]]), axis=0)
+            out[new] = sums / np.array(sizes)[:, None]
+        return out
 
     def predictor(self):
         """A function from texts to (languages, scores); keeps scores of tokens it has seen."""
@@ -155,16 +191,19 @@ class LanguageModel:
         table = [np.zeros((4096, len(self.languages))), np.zeros(4096, np.int64)]
 
         def look_up(new: list[str]) -> None:
-            need = len(slots) + len(new)
+            first, need = len(slots), len(slots) + len(new)
             if need > len(table[1]):
                 size = max(need, 2 * len(table[1]))
                 table[0] = np.resize(table[0], (size, len(self.languages)))
                 table[1] = np.resize(table[1], size)
-            for token in new:
-                k, words = len(slots), words_of(token)
-                slots[token] = k
-                table[0][k] = sum((self.word_scores(w) for w in words), np.zeros(len(self.languages)))
-                table[1][k] = len(words)
+            slots.update(zip(new, range(first, need), strict=True))
+            parts = list(map(words_of, new))
+            counts = np.fromiter(map(len, parts), np.int64, len(parts))
+            scores = self.scores_of([w for ws in parts for w in ws])
+            of = np.repeat(np.arange(len(parts)), counts)
+            table[0][first:need] = 0
+            np.add.at(table[0], first + of, scores)
+            table[1][first:need] = counts
 
         def predict(texts: list[str]) -> tuple[list[str], list[float]]:
             names, scores = [], []
@@ -174,7 +213,8 @@ class LanguageModel:
                 if len(slots) + len(new) > CACHE_TOKENS:
                     slots.clear()
                     new = list(set(tokens))
-                look_up(new)
+                if new:
+                    look_up(new)
                 at = np.fromiter(map(slots.__getitem__, tokens), np.int64, len(tokens))
                 if not self.languages or not table[1][at].sum():
                     names.append(UNKNOWN)
@@ -190,14 +230,12 @@ class LanguageModel:
         return predict
 
 
-def _log_frequencies(rows: list, languages: list[str], totals: dict[str, int]) -> dict[str, np.ndarray]:
-    """Smoothed log frequency by language of each counted string."""
-    at = {lang: i for i, lang in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    for lang, word, n in rows:
-        counts.setdefault(word, np.zeros(len(languages)))[at[lang]] = n
-    size = np.array([totals[lang] for lang in languages], float)
-    return {w: np.log((c + 0.5) / (size + 1.0)) for w, c in counts.items()}
+def _nested(rows: pd.DataFrame) -> dict[str, dict[str, int]]:
+    """Counts by string and language, strings in the order of the alphabet."""
+    found: dict[str, dict[str, int]] = {}
+    for lang, word, n in rows.sort_values(["word", "lang"]).itertuples(index=False, name=None):
+        found.setdefault(word, {})[lang] = n
+    return found
 
 
 def train(docs: DataFrame, max_languages: int = MAX_LANGUAGES, max_words: int = MAX_WORDS, max_ngrams: int = MAX_NGRAMS) -> LanguageModel:
@@ -215,11 +253,10 @@ def train(docs: DataFrame, max_languages: int = MAX_LANGUAGES, max_words: int =
     for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect():
         gram_sizes[r["size"]][r["lang"]] = r["n"]
     frequent = _bounded(grams, max_ngrams, ["lang", "size"]).select("lang", "word", "n").toPandas()
-    model = LanguageModel(languages, _log_frequencies(known.itertuples(index=False, name=None), languages, sizes))
-    for size, totals in gram_sizes.items():
-        own = frequent[frequent["word"].str.len() == size]
-        model.grams |= _log_frequencies(own.itertuples(index=False, name=None), languages, totals)
-    return model
+    by_size = [Frequencies.of(_nested(frequent[frequent["word"].str.len() == size]), languages, totals) for size, totals in gram_sizes.items()]
+    starts = np.cumsum([0, *(len(f.at) for f in by_size)])
+    at = {gram: int(start) + i for start, f in zip(starts, by_size, strict=False) for gram, i in f.at.items()}
+    return LanguageModel(languages, Frequencies.of(_nested(known), languages, sizes), Frequencies(at, np.concatenate([f.table for f in by_size])))
 
 
 def language_of(model: LanguageModel, text: Column, spark) -> Column:

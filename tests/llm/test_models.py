@@ -28,10 +28,9 @@ def test_language_cases(spark):
 
 
 def test_unseen_words_back_off():
-    model = language.LanguageModel(["a", "b"], {"known": np.array([0.0, -9.0])}, {"xyz": np.array([-9.0, 0.0]), "q": np.array([-1.0, -5.0])})
-    assert model.word_scores("known").tolist() == [0, -9]
-    assert model.word_scores("xyz").argmax() == 1
-    assert model.word_scores("qq").argmax() == 0
+    words = language.Frequencies({"known": 0}, np.array([[0.0, -9.0]]))
+    model = language.LanguageModel(["a", "b"], words, language.Frequencies({"xyz": 0, "q": 1}, np.array([[-9.0, 0.0], [-1.0, -5.0]])))
+    assert model.scores_of(["known", "xyz", "qq", "?"]).tolist() == [[0, -9], [-9, 0], [-1, -5], [0, 0]]
     names, scores = model.predictor()(["known", "12 34", "xyz xyz"])
     assert names == ["a", language.UNKNOWN, "b"] and scores[1] == 0
 
