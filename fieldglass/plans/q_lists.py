@@ -126,7 +126,7 @@ REQUEST_LIST = """SELECT o_orderkey, o_orderstatus, o_orderdate, CASE WHEN o_ord
 
 
 def grants(spark, sf_dir):
-    """C14, M4: grants that are the caller's or theirs to give, active or not, and the decision ladder."""
+    """Grants that are the caller's or theirs to give, active or not, and the decision ladder."""
     o = views.table(spark, sf_dir, "orders")
     now = F.lit("1997-01-01").cast("timestamp_ntz")
     mine = (F.col("o_custkey") % 5 == 0) | (F.col("o_orderpriority") == "1-URGENT")
