@@ -26,9 +26,9 @@ def containing(text: str, *columns: str) -> Column:
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """One page of rows with the number of all; ``order`` must end in a unique column.
 
-    The page is a top-k of offset + limit rows; the total is an aggregate beside it.
+    The page is a top-k of offset + limit rows; the total is a scalar subquery.
     """
-    return df.orderBy(*order).offset(offset).limit(limit).crossJoin(df.agg(F.count("*").alias("total")))
+    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", df.agg(F.count("*")).scalar())
 
 
 def best(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,31 +26,57 @@ def sessions(df: DataFrame, by: list[str], order: list[str], gap_us: int, ts: st
     return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_new")
 
 
+def _in_order(df: DataFrame, by: list[str], order: list[str], fold: Callable[[], tuple[Callable, Callable]], schema: str) -> DataFrame:
+    """Fold over each key's rows in order, as a stream: a task holds one batch and one key's state.
+
+    ``fold()`` gives a pair of functions: ``step(key, row)`` returns the rows that
+    are final by now, ``end()`` those that are left when the last key ends.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step, end = fold()
+        for pdf in parts:
+            rows = [r for row in pdf.itertuples(index=False, name=None) for r in step(row[: len(by)], row[len(by) :])]
+            yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(end(), columns=names)
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
 def same_pass(points: DataFrame, by: list[str], within_us: int) -> DataFrame:
     """Fold points (ts, id, plate, confidence, observations) into passes anchored at their first time.
 
     A point joins the pass before if it is at most ``within_us`` after that
     pass's first point, however many came between. The fold sums observations and
-    keeps the best reading. It walks one key's points, which a key such as a
-    plate at a device bounds.
+    keeps the best reading.
     """
-    row = F.struct(micros("ts").alias("ts"), F.col("id"), F.col("plate"), F.col("confidence"), F.col("observations").cast("bigint").alias("observations"))
-    points = points.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("points"))
-    kind = "array<struct<ts: bigint, id: bigint, plate: string, confidence: double, observations: bigint, folded: bigint>>"
 
-    def step(kept: Column, p: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        better = p["confidence"] > last["confidence"]
-        own = F.struct(p["ts"].alias("ts"), p["id"].alias("id"), p["plate"].alias("plate"), p["confidence"].alias("confidence"), p["observations"].alias("observations"), F.lit(1).cast("bigint").alias("folded"))
-        merged = F.struct(
-            last["ts"].alias("ts"), last["id"].alias("id"), F.when(better, p["plate"]).otherwise(last["plate"]).alias("plate"), F.greatest(last["confidence"], p["confidence"]).alias("confidence"),
-            (last["observations"] + p["observations"]).alias("observations"), (last["folded"] + 1).alias("folded"),
-        )
-        join = (F.size(kept) > 0) & (p["ts"] - last["ts"] <= within_us)
-        return F.when(join, F.array_append(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), merged)).otherwise(F.array_append(kept, own))
+    def fold():
+        now: list = [None, None]
 
-    folded = F.aggregate("points", F.expr(f"cast(array() as {kind})"), step)
-    return points.select(*by, F.explode(folded).alias("p")).select(*by, F.timestamp_micros("p.ts").alias("ts"), "p.id", "p.plate", "p.confidence", "p.observations", "p.folded")
+        def end() -> list[tuple]:
+            return [(*now[0], *now[1])] if now[1] else []
+
+        def step(key: tuple, row: tuple) -> list[tuple]:
+            us, point, plate, confidence, observations = row
+            p = now[1]
+            if p and now[0] == key and us - p[0] <= within_us:
+                if confidence > p[3]:
+                    p[2], p[3] = plate, confidence
+                p[4] += observations
+                p[5] += 1
+                return []
+            done = end()
+            now[0], now[1] = key, [us, point, plate, confidence, observations, 1]
+            return done
+
+        return step, end
+
+    rows = points.select(*by, micros("ts").alias("us"), "id", "plate", "confidence", F.col("observations").cast("bigint").alias("observations"))
+    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in by)
+    folded = _in_order(rows, by, ["us", "id"], fold, f"{kinds}, us bigint, id bigint, plate string, confidence double, observations bigint, folded bigint")
+    return folded.select(*by, F.timestamp_micros("us").alias("ts"), "id", "plate", "confidence", "observations", "folded")
 
 
 def legs(points: DataFrame, by: list[str], order: list[str], most_kmh: float = 200.0) -> DataFrame:
@@ -61,13 +90,21 @@ def legs(points: DataFrame, by: list[str], order: list[str], most_kmh: float = 2
 
 def throttled(df: DataFrame, by: list[str], cooldown_us: int) -> DataFrame:
     """The rows (ts, id) that fire: those at least ``cooldown_us`` after the last that fired."""
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(micros("ts").alias("ts"), F.col("id")))).alias("rows"))
-    fired = F.aggregate(
-        "rows",
-        F.expr("cast(array() as array<struct<ts: bigint, id: bigint>>)"),
-        lambda kept, r: F.when((F.size(kept) == 0) | (r["ts"] - F.try_element_at(kept, F.lit(-1))["ts"] >= cooldown_us), F.array_append(kept, r)).otherwise(kept),
-    )
-    return rows.select(*by, F.explode(fired).alias("r")).select(*by, F.timestamp_micros("r.ts").alias("ts"), "r.id")
+
+    def fold():
+        last: list = [None, None]
+
+        def step(key: tuple, row: tuple) -> list[tuple]:
+            if last[0] == key and row[0] - last[1] < cooldown_us:
+                return []
+            last[0], last[1] = key, row[0]
+            return [(*key, *row)]
+
+        return step, list
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    fired = _in_order(df.select(*by, micros("ts").alias("us"), F.col("id").cast("bigint").alias("id")), by, ["us", "id"], fold, f"{kinds}, us bigint, id bigint")
+    return fired.select(*by, F.timestamp_micros("us").alias("ts"), "id")
 
 
 def bursts(df: DataFrame, by: list[str], within_us: int, least: int) -> DataFrame:

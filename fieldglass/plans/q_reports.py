@@ -39,8 +39,7 @@ def overview(spark, sf_dir):
     """Counts of devices by status and health, in one row."""
     c = views.cameras(spark, sf_dir)
     one = c.agg(F.count("*").alias("cameras"), F.count_if(F.col("installation_status") == "COMMISSIONED").alias("commissioned"), F.count_if(F.col("health_status") == "online").alias("online"), F.count_if(F.col("health_status") == "offline").alias("offline"), F.countDistinct("department").alias("departments"), F.max("installation_date").alias("newest"))
-    bad = views.footage(spark, sf_dir).agg(F.count("*").alias("bad_frames"))
-    return one.crossJoin(bad)
+    return one.withColumn("bad_frames", views.footage(spark, sf_dir).agg(F.count("*")).scalar())
 
 
 OVERVIEW = sql("""SELECT count(*) AS cameras, count(*) FILTER (installation_status = 'COMMISSIONED') AS commissioned, count(*) FILTER (health_status = 'online') AS online, count(*) FILTER (health_status = 'offline') AS offline,
