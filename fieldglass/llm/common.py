@@ -39,10 +39,16 @@ def record_batch(columns: dict, ddl: str):
 
 
 def sliced(batches, rows: int = 500):
-    """Record batches of at most ``rows`` rows, so that Python objects are made of few rows at a time."""
+    """Record batches of at most ``rows`` rows, so that Python objects are made of few rows at a time.
+
+    At the end of a task Arrow's unused memory goes back, since workers live on.
+    """
+    import pyarrow as pa
+
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -40,7 +40,7 @@ SIZES = (3, 2, 1)
 MAX_LANGUAGES = 64
 MAX_WORDS = 40_000
 MAX_NGRAMS = 20_000
-CACHE_TOKENS = 180_000
+CACHE_TOKENS = 140_000
 PARTIAL = 200_000
 COUNTS = "lang string, word string, n bigint"
 _LETTERS = re.compile(r"[^\W\d_]+")

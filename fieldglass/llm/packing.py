@@ -39,7 +39,7 @@ TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 POOL_TOKENS = 1 << 21
 STEP_TOKENS = 8 * 4096
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 OUT_BYTES = 8 << 20
 #: Marks that the tokenizer reads as one word together and that begin none of its contractions.
 PUNCTUATION = ".,;:!?%&$#*|"
@@ -50,7 +50,7 @@ SCHEMA = (
 )
 
 
-class WordCache:
+class WordCache(dict):
     """Ids of whole texts from cached ids of their space-separated chunks.
 
     The tokenizer drops white space and none of its pieces crosses any, so the
@@ -68,7 +68,6 @@ class WordCache:
         self.model = self.tokenizer.model
         self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.size = size
-        self.ids: dict[str, bytes] = {"": b""}
         self.letters: dict[str, bytes] = {}
 
     def _whole(self, chunk: str) -> bytes:
@@ -96,18 +95,15 @@ class WordCache:
             marks = self.letters[tail] = self._whole(tail)
         return self._letters(word) + marks
 
+    def __missing__(self, chunk: str) -> bytes:
+        found = self[chunk] = self._chunk(chunk) if chunk else b""
+        return found
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        ids = self.ids
         for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            new = [c for c in set(chunks) if c not in ids]
-            if len(ids) + len(new) > self.size:
-                ids.clear()
-                ids[""] = b""
-                new = set(chunks)
-            for c in new:
-                ids[c] = self._chunk(c) if c else b""
-            yield b"".join(map(ids.__getitem__, chunks))
+            if len(self) > self.size:
+                self.clear()
+            yield b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(1)
