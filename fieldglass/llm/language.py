@@ -21,7 +21,6 @@ further columns are ignored.
 from __future__ import annotations
 
 import itertools
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,6 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +43,7 @@ MAX_NGRAMS = 20_000
 CACHE_TOKENS = 140_000
 PARTIAL = 200_000
 COUNTS = "lang string, word string, n bigint"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def words_of(token: str) -> list[str]:

@@ -31,7 +31,8 @@ def test_unseen_words_back_off():
     words = language.Frequencies({"known": 0}, np.array([[0.0, -9.0]]))
     model = language.LanguageModel(["a", "b"], words, language.Frequencies({"xyz": 0, "q": 1}, np.array([[-9.0, 0.0], [-1.0, -5.0]])))
     assert model.scores_of(["known", "xyz", "qq", "?"]).tolist() == [[0, -9], [-9, 0], [-1, -5], [0, 0]]
-    names, scores = model.predictor()(["known", "12 34", "xyz xyz"])
+    assert language.words_of("½x²") == ["x"]
+    names, scores = model.predictor()(["known", "12 ² ½", "xyz xyz"])
     assert names == ["a", language.UNKNOWN, "b"] and scores[1] == 0
 
 
