@@ -48,7 +48,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (that of the smallest id) of each group of linked documents."""
+    """One document (that of the smallest id) of each group of documents whose five-word shingles are similar by 0.8 or more."""
     small_batches(spark)
     linked = stored(jaccard.linked_components(docs).filter(F.col("doc_id").isNotNull()).select("doc_id", "component_id"), "linked")
     copies = linked.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked_components(table(spark, sf_dir, "documents"))
+    return jaccard.linked_components(table(spark, sf_dir, "documents"), threshold=Fraction(9, 10), window=3)
 
 
 def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
