@@ -3,8 +3,10 @@
 A forest is fitted on a bounded sample. Its nodes split at the median projection
 on the line through two sample points. Every row is indexed: each tree gives it a
 leaf. A query walks all trees through one priority queue, nearest margins first,
-until its leaves hold ``search_rows`` entries, and 75 leaves at least; the candidates of those leaves are
-then ranked by exact distance in double precision.
+until its leaves hold ``search_share`` of the entries of all trees, and ``search_rows``
+entries and 75 leaves at least; the candidates of those leaves are then ranked by exact
+distance in double precision. A share keeps recall as the table grows; the work of a
+query grows with the table.
 
 Leaves hold about ``leaf_rows`` rows if the sample has four rows for each of them:
 raise ``sample_rows`` with the table, or leaves (not recall) grow.
@@ -41,6 +43,7 @@ SAMPLE_ROWS = 20_000
 TREES = 12
 LEAF_ROWS = 200
 SEARCH_ROWS = 15_000
+SEARCH_SHARE = 0.1
 SEARCH_LEAVES = 75
 BLOCK_ROWS, BLOCK_QUERIES = 4_000, 1_000
 SEED = 5
@@ -156,7 +159,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(embeddings: DataFrame, is_query, k: int = 10, vector: str = "embedding", dim: int | None = None, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, leaf_rows: int = LEAF_ROWS, search_rows: int = SEARCH_ROWS) -> DataFrame:
+def search(embeddings: DataFrame, is_query, k: int = 10, vector: str = "embedding", dim: int | None = None, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, leaf_rows: int = LEAF_ROWS, search_rows: int = SEARCH_ROWS, search_share: float = SEARCH_SHARE) -> DataFrame:
     """The ``k`` nearest rows found for each row that ``is_query`` (a Column over vec_id) holds for.
 
     query_id, rank from 1, vec_id and score (the Euclidean distance); a query's
@@ -182,12 +185,13 @@ def search(embeddings: DataFrame, is_query, k: int = 10, vector: str = "embeddin
     # one count for each leaf of the forest, whose size the sample bounds
     sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
     held = spark.sparkContext.broadcast(sizes)
+    enough = max(search_rows, int(search_share * sum(sizes.values())))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
-                found = [shipped.value.search(q, held.value, search_rows) for q in _matrix(part.column(1))]
+                found = [shipped.value.search(q, held.value, enough) for q in _matrix(part.column(1))]
                 n = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays([pa.array([key for f in found for key in f], pa.int64()), part.column(0).take(n), part.column(1).take(n)], ["leaf", "class_id", "vector"])
 

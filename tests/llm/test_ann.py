@@ -71,3 +71,20 @@ def test_blocks_give_the_same(spark, monkeypatch):
     got = ann.search(table(spark, ids, x), F.col("vec_id") % 100 == 0, search_rows=100_000).toPandas()
     for q, g in got.sort_values("rank").groupby("query_id"):
         assert g["vec_id"].tolist() == [i for i, _ in want[q]]
+
+
+def test_recall_holds_as_the_table_grows(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(6)
+    n = 40_000
+    x = rng.normal(size=(n, 64))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    path = str(tmp_path / "vectors.parquet")
+    pq.write_table(pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array(list(x))}), path)
+    got = ann.search(spark.read.parquet(path), F.col("vec_id") % 2000 == 0).toPandas()
+    ids = np.arange(n)
+    want = exact(ids, x, ids[ids % 2000 == 0], 10)
+    hits = [len(set(g["vec_id"]) & {i for i, _ in want[q]}) for q, g in got.groupby("query_id")]
+    assert len(hits) == 20 and np.mean(hits) / 10 >= 0.95
