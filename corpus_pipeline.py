@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import jaccard, language, packing, quality
-from fieldglass.llm.common import filtered, id_fold, small_batches
+from fieldglass.llm.common import filtered, id_fold, small_batches, text_or_empty
 from fieldglass.llm.queries import TOKENIZER, tokenizer_file
 from fieldglass.store import stored
 
@@ -30,13 +30,10 @@ ORACLE_SQL = None
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language that the model is sure of."""
     small_batches(spark)
-    model = spark.sparkContext.broadcast(language.train(docs))
-
-    def keeper():
-        predict = model.value.predictor()
-        return lambda texts: [name != language.UNKNOWN and score >= LEAST_CONFIDENCE for name, score in zip(*predict(texts), strict=True)]
-
-    return filtered(docs, "text", keeper)
+    key = F.md5(text_or_empty())
+    found = language.identify(docs.select(key.alias("_key_of_text"), "text"), language.train(docs), ("_key_of_text",))
+    sure = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_CONFIDENCE)).select("_key_of_text").distinct()
+    return docs.withColumn("_key_of_text", key).join(stored(sure, "sure"), "_key_of_text", "left_semi").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

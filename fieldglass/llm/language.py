@@ -7,10 +7,11 @@ that the model knows is scored by its frequencies alone. Any other word is read
 left to right in n-grams: the longest known one at each place counts, falling
 back to a shorter one where it is unseen in every language.
 
-The counts cover the whole corpus. The model, which each task loads, is bounded:
-``max_languages`` languages (the most frequent ones), and for each at most
-``max_words`` words and ``max_ngrams`` n-grams of each size, those above a
-frequency that keeps within the bound. Words below it are left to the n-grams.
+The counts cover the whole corpus, and all of them count. Each task loads the
+words that are most frequent over all languages, with every language's count of
+them, and scores them on the way; all other words are joined in Spark with the
+stored counts of words, and those without a match with the counts of n-grams.
+The ``max_languages`` most frequent languages are learned.
 
 Cases: null text, or text without letters: ``und`` with score 0, as with a model
 of no language; repeated and long texts are scored whole, one by one; ties go to
@@ -29,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm.common import record_batch, sliced, text_or_empty
@@ -38,8 +39,9 @@ from fieldglass.store import stored
 UNKNOWN = "und"
 SIZES = (3, 2, 1)
 MAX_LANGUAGES = 64
-MAX_WORDS = 40_000
-MAX_NGRAMS = 20_000
+#: Words (and words times languages) of the table that tasks load; all others are joined.
+HEAD_WORDS = 120_000
+HEAD_CELLS = 4_000_000
 CACHE_TOKENS = 140_000
 PARTIAL = 200_000
 COUNTS = "lang string, word string, n bigint"
@@ -136,9 +138,10 @@ class Frequencies:
     def of(cls, counts: dict[str, dict[str, int]], languages: list[str], totals: dict[str, int]) -> Frequencies:
         """Smoothed log frequencies of counted strings."""
         table = np.zeros((len(counts), len(languages)))
+        place = {lang: i for i, lang in enumerate(languages)}
         for i, by in enumerate(counts.values()):
             for lang, n in by.items():
-                table[i, languages.index(lang)] = n
+                table[i, place[lang]] = n
         size = np.array([totals[lang] for lang in languages], float)
         return cls({w: i for i, w in enumerate(counts)}, np.log((table + 0.5) / (size + 1.0)))
 
@@ -229,6 +232,39 @@ class LanguageModel:
 
         return predict
 
+    def scanner(self):
+        """A function from texts to (numbers of words, summed scores of known words, counts of the other words)."""
+        scores: dict[str, tuple] = {}
+        get, table, none = self.words.at.get, self.words.table, np.zeros(len(self.languages))
+
+        def look_up(token: str) -> tuple:
+            parts = words_of(token)
+            rows = [r for w in parts if (r := get(w)) is not None]
+            return len(parts), table[rows].sum(axis=0) if rows else None, [w for w in parts if get(w) is None]
+
+        def scan(texts: list[str]) -> tuple[list[int], list[np.ndarray], list[dict[str, int]]]:
+            words, heads, rests = [], [], []
+            for text in texts:
+                n, known, times, rest = 0, [], [], {}
+                for token, c in Counter(text.lower().split()).items():
+                    found = scores.get(token)
+                    if found is None:
+                        if len(scores) >= CACHE_TOKENS:
+                            scores.clear()
+                        found = scores[token] = look_up(token)
+                    n += c * found[0]
+                    if found[1] is not None:
+                        known.append(found[1])
+                        times.append(c)
+                    for word in found[2]:
+                        rest[word] = rest.get(word, 0) + c
+                words.append(n)
+                heads.append(np.array(times, float) @ np.array(known) if known else none)
+                rests.append(rest)
+            return words, heads, rests
+
+        return scan
+
 
 def _nested(rows: pd.DataFrame) -> dict[str, dict[str, int]]:
     """Counts by string and language, strings in the order of the alphabet."""
@@ -238,42 +274,133 @@ def _nested(rows: pd.DataFrame) -> dict[str, dict[str, int]]:
     return found
 
 
-def train(docs: DataFrame, max_languages: int = MAX_LANGUAGES, max_words: int = MAX_WORDS, max_ngrams: int = MAX_NGRAMS) -> LanguageModel:
-    """A model of all rows of ``docs`` (text, lang) that have both."""
+@dataclass
+class Learned:
+    """All counts of words and n-grams by language (lang, word, n), as stored tables, and their totals."""
+
+    languages: list[str]
+    words: DataFrame | None = None
+    grams: DataFrame | None = None
+    sizes: dict[str, int] = field(default_factory=dict)
+    gram_sizes: dict[int, dict[str, int]] = field(default_factory=dict)
+
+    def head(self) -> LanguageModel:
+        """The words that are most frequent over all languages, with every language's count of them."""
+        if not self.languages:
+            return LanguageModel([])
+        totals = self.words.groupBy("word").agg(F.sum("n").alias("n"))
+        most = max(1, min(HEAD_WORDS, HEAD_CELLS // len(self.languages)))
+        known = self.words.join(_bounded(totals, most, []).select("word"), "word", "left_semi")
+        return LanguageModel(self.languages, Frequencies.of(_nested(known.select("lang", "word", "n").toPandas()), self.languages, self.sizes))
+
+    def whole(self) -> LanguageModel:
+        """All counts in this process's memory: for small tables."""
+        if not self.languages:
+            return LanguageModel([])
+        words, grams = (t.select("lang", "word", "n").toPandas() for t in (self.words, self.grams))
+        by_size = [Frequencies.of(_nested(grams[grams["word"].str.len() == size]), self.languages, totals) for size, totals in self.gram_sizes.items()]
+        starts = np.cumsum([0, *(len(f.at) for f in by_size)])
+        at = {gram: int(start) + i for start, f in zip(starts, by_size, strict=False) for gram, i in f.at.items()}
+        return LanguageModel(self.languages, Frequencies.of(_nested(words), self.languages, self.sizes), Frequencies(at, np.concatenate([f.table for f in by_size])))
+
+    def predictor(self):
+        return self.whole().predictor()
+
+
+def train(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> Learned:
+    """What all rows of ``docs`` (text, lang) that have both say."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     words = stored(rows.mapInArrow(_count_words, COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     sizes = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([])
+        return Learned([])
     words = words.filter(F.col("lang").isin(languages))
-    known = _bounded(words, max_words, ["lang"]).select("lang", "word", "n").toPandas()
     grams = stored(words.select("lang", "word").mapInArrow(_count_ngrams, COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("size", F.length("word")), "lang-grams")
     gram_sizes: dict[int, dict[str, int]] = {s: dict.fromkeys(languages, 0) for s in SIZES}
     for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect():
         gram_sizes[r["size"]][r["lang"]] = r["n"]
-    frequent = _bounded(grams, max_ngrams, ["lang", "size"]).select("lang", "word", "n").toPandas()
-    by_size = [Frequencies.of(_nested(frequent[frequent["word"].str.len() == size]), languages, totals) for size, totals in gram_sizes.items()]
-    starts = np.cumsum([0, *(len(f.at) for f in by_size)])
-    at = {gram: int(start) + i for start, f in zip(starts, by_size, strict=False) for gram, i in f.at.items()}
-    return LanguageModel(languages, Frequencies.of(_nested(known), languages, sizes), Frequencies(at, np.concatenate([f.table for f in by_size])))
-
-
-def language_of(model: LanguageModel, text: Column, spark) -> Column:
-    """A struct column (lang_pred, score) for a text column."""
-    shipped = spark.sparkContext.broadcast(model)
+    return Learned(languages, words, grams, sizes, gram_sizes)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = shipped.value.predictor()
-        for texts in parts:
-            names, scores = scorer(texts.tolist())
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return predict(F.coalesce(text.cast("string"), F.lit("")))
+def _entries(seen: DataFrame, model: Learned) -> DataFrame:
+    """word and entries (slot, v) of each of the distinct words ``seen``.
 
+    Slots below the number of languages hold what a language's count adds to the
+    log frequency of an uncounted string; the four slots after them hold how much
+    of the word is a word, or n-grams of 1, 2 and 3 letters.
+    """
+    spark, base = seen.sparkSession, len(model.languages)
+    slots = spark.createDataFrame(list(zip(model.languages, range(base), strict=True)), "lang string, slot int")
+    gain = F.log((F.col("n") + 0.5) / 0.5)
+    known = model.words.join(seen, "word", "left_semi")
+    of_words = known.join(slots, "lang").select("word", "slot", gain.alias("v"))
+    of_words = of_words.union(known.select("word").distinct().select("word", F.lit(base), F.lit(1.0)))
+    unknown = seen.join(model.words.select("word").distinct(), "word", "left_anti")
+    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+    places = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr(padded, i, F.lit(3)))
+    windows = stored(unknown.select("word", F.explode(places).alias("window")), "lang-windows")
+    part = lambda size, at: F.struct(F.lit(size).alias("size"), F.substring("window", at, size).alias("gram"))
+    tried = windows.select("window").distinct().select("window", F.explode(F.array(part(3, 1), part(2, 2), part(1, 2))).alias("p")).select("window", "p.size", "p.gram")
+    types = model.grams.select(F.col("word").alias("gram")).distinct()
+    longest = tried.join(types, "gram").groupBy("window").agg(F.max(F.struct("size", "gram")).alias("p")).select("window", "p.size", "p.gram")
+    found = stored(windows.join(longest, "window").groupBy("word", "size", "gram").agg(F.count("*").alias("c")), "lang-found")
+    share = found.join(found.groupBy("word").agg(F.sum("c").alias("all")), "word").select("word", "size", "gram", (F.col("c") / F.col("all")).alias("share"))
+    counts = model.grams.select(F.col("word").alias("gram"), "lang", "n")
+    of_grams = share.join(counts, "gram").join(slots, "lang").select("word", "slot", (F.col("share") * gain).alias("v"))
+    of_grams = of_grams.union(share.select("word", F.col("size") + base, "share"))
+    per = of_words.union(of_grams).groupBy("word", "slot").agg(F.sum("v").alias("v"))
+    return per.groupBy("word").agg(F.collect_list(F.struct("slot", "v")).alias("entries"))
+
+
+def identify(docs: DataFrame, model: Learned, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, lang_pred and score of each row of ``docs``.
+
+    Each task scores the frequent words from a broadcast table; all other words
+    are joined with the stored counts.
+    """
+    spark, languages = docs.sparkSession, model.languages
+    shipped = spark.sparkContext.broadcast(model.head())
+    rows = docs.select(*keep, text_or_empty().alias("_text"))
+    at = len(keep)
+    schema = rows.select(*keep, F.lit(0).cast("bigint").alias("_words"), F.array(F.lit(0.0)).alias("_head"), F.array(F.lit("")).alias("_rest"), F.array(F.lit(0).cast("bigint")).alias("_times")).schema
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = shipped.value.scanner()
+        for batch in sliced(batches):
+            words, heads, rests = scanner(batch.column(at).to_pylist())
+            columns = [pa.array(words, pa.int64()), pa.array(heads, pa.list_(pa.float64())), pa.array([list(r) for r in rests], pa.list_(pa.string())), pa.array([list(r.values()) for r in rests], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], schema.names)
+
+    scanned = stored(rows.mapInArrow(scan, schema).withColumn("_row", F.monotonically_increasing_id()), "lang-scanned")
+    if languages:
+        rest = scanned.select("_row", F.explode(F.arrays_zip("_rest", "_times")).alias("r")).select("_row", F.col("r._rest").alias("word"), F.col("r._times").alias("times"))
+        entries = stored(_entries(rest.select("word").distinct(), model), "lang-entries")
+        sums = rest.join(entries, "word").select("_row", "times", F.explode("entries").alias("e")).groupBy("_row", F.col("e.slot").alias("slot")).agg(F.sum(F.col("times") * F.col("e.v")).alias("v"))
+        sums = sums.groupBy("_row").agg(F.collect_list("slot").alias("_slots"), F.collect_list(F.col("v")).alias("_values"))
+        scanned = scanned.join(sums, "_row", "left")
+    else:
+        scanned = scanned.withColumns({"_slots": F.lit(None).cast("array<int>"), "_values": F.lit(None).cast("array<double>")})
+    size = lambda totals: np.log(0.5 / (np.array([totals[x] for x in languages], float) + 1.0))
+    bases = np.stack([size(model.sizes), *(size(model.gram_sizes[s]) for s in (1, 2, 3))]) if languages else np.zeros((4, 0))
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred and score of each row of ``docs``."""
-    found = docs.select("doc_id", language_of(model, text_or_empty(), docs.sparkSession).alias("found"))
-    return found.select("doc_id", "found.lang_pred", "found.score")
+    @F.pandas_udf("lang_pred string, score double")
+    def decide(words: pd.Series, heads: pd.Series, slots: pd.Series, values: pd.Series) -> pd.DataFrame:
+        names, scores = [], []
+        for n, head, slot, value in zip(words, heads, slots, values, strict=True):
+            if not n or not languages:
+                names.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            total = np.asarray(head, float)
+            if slot is not None:
+                full = np.zeros(len(languages) + 4)
+                full[np.asarray(slot, int)] = value
+                total = total + full[:-4] + full[-4:] @ bases
+            odds = np.exp(total - total.max())
+            best = int(odds.argmax())
+            names.append(languages[best])
+            scores.append(float(odds[best] / odds.sum()))
+        return pd.DataFrame({"lang_pred": names, "score": scores})
+
+    return scanned.select(*keep, decide("_words", "_head", "_slots", "_values").alias("_found")).select(*keep, "_found.lang_pred", "_found.score")

@@ -89,7 +89,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_fold("doc_id", 4) == 2
     model = language.train(docs.filter(~held_out))
-    return docs.select("doc_id", held_out.alias("held_out"), language.language_of(model, F.col("text"), spark).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
+    return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ("doc_id", "held_out"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

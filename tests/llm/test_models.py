@@ -88,3 +88,30 @@ def test_fold_is_crc32_of_the_written_id(spark):
 
     for r in spark.range(20).select("id", id_fold("id", 5).alias("f")).collect():
         assert r.f == zlib.crc32(str(r.id).encode()) % 5
+
+
+def test_all_words_of_a_language_count(spark):
+    """60,000 words of each of two languages, each seen once, whose n-grams say nothing."""
+    import random
+
+    rng = random.Random(8)
+    words = list({"".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(120_000)})
+    half = len(words) // 2
+    parts = {"aa": words[:half], "bb": words[half:]}
+    data = [(0, " ".join(ws[i : i + 1000]), lang) for lang, ws in parts.items() for i in range(0, len(ws), 1000)]
+    model = language.train(spark.createDataFrame(data, "doc_id bigint, text string, lang string").repartition(4))
+    asked = [(i, " ".join(rng.sample(parts[lang], 3)), lang) for i, lang in enumerate(["aa", "bb"] * 50)]
+    got = language.identify(spark.createDataFrame(asked, "doc_id bigint, text string, lang string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, _, lang in asked}
+
+
+def test_joined_words_score_like_the_whole_model(spark, monkeypatch):
+    monkeypatch.setattr(language, "HEAD_WORDS", 3)
+    df = docs(spark)
+    model = language.train(df)
+    texts = ["stone thing zzq nigh", "unds deri", "é ½ 你", "und", "", "the the the rivers of"] + [r.text or "" for r in df.collect()]
+    got = language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+    names, scores = model.predictor()(texts)
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.lang_pred == names[r.doc_id] and abs(r.score - scores[r.doc_id]) < 1e-9
