@@ -11,7 +11,7 @@ The counts cover the whole corpus, and all of them count. Each task loads the
 words that are most frequent over all languages, with every language's count of
 them, and scores them on the way; all other words are joined in Spark with the
 stored counts of words, and those without a match with the counts of n-grams.
-The ``max_languages`` most frequent languages are learned.
+Every language that occurs is learned.
 
 Cases: null text, or text without letters: ``und`` with score 0, as with a model
 of no language; repeated and long texts are scored whole, one by one; ties go to
@@ -38,7 +38,6 @@ from fieldglass.store import stored
 
 UNKNOWN = "und"
 SIZES = (3, 2, 1)
-MAX_LANGUAGES = 64
 #: Words (and words times languages) of the table that tasks load; all others are joined.
 HEAD_WORDS = 120_000
 HEAD_CELLS = 4_000_000
@@ -307,15 +306,14 @@ class Learned:
         return self.whole().predictor()
 
 
-def train(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> Learned:
+def train(docs: DataFrame) -> Learned:
     """What all rows of ``docs`` (text, lang) that have both say."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     words = stored(rows.mapInArrow(_count_words, COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
-    sizes = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Learned([])
-    words = words.filter(F.col("lang").isin(languages))
     grams = stored(words.select("lang", "word").mapInArrow(_count_ngrams, COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("size", F.length("word")), "lang-grams")
     gram_sizes: dict[int, dict[str, int]] = {s: dict.fromkeys(languages, 0) for s in SIZES}
     for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect():

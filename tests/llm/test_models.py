@@ -115,3 +115,11 @@ def test_joined_words_score_like_the_whole_model(spark, monkeypatch):
     assert len(got) == len(texts)
     for r in got:
         assert r.lang_pred == names[r.doc_id] and abs(r.score - scores[r.doc_id]) < 1e-9
+
+
+def test_every_language_is_learned(spark):
+    langs = [f"l{i:02d}" for i in range(70)]
+    data = [(i, " ".join(f"{a}{b}" for a in "pqrst" for b in (chr(0x4E00 + i), "x" * (i % 3 + 1))), lang) for i, lang in enumerate(langs)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, language.train(df)).collect()}
+    assert got == dict(enumerate(langs))
