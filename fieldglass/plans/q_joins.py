@@ -10,6 +10,7 @@ from fieldglass.operators import access, joins, paging
 from fieldglass.plans import views
 from fieldglass.plans.q_fields import duck_distance, duck_km
 from fieldglass.plans.views import sql, table
+from fieldglass.store import stored
 
 
 def _clock(df, *columns):
@@ -198,11 +199,24 @@ HOT_CAMERAS = sql(
 
 
 def nearest_reading(spark, sf_dir):
-    """For each listed plate the reading of the same series that is fewest edits away, at most 3."""
-    w = views.watch_list(spark, sf_dir).select(F.col("plate").alias("wanted"), F.substring("plate", 1, 2).alias("state"))
-    s = views.sightings(spark, sf_dir).select("plate").distinct().withColumn("state", F.substring("plate", 1, 2))
-    near = joins.fuzzy_join(s.select("plate"), w.select(F.col("wanted").alias("watched")), 1.05).withColumn("edits", F.levenshtein("plate", "watched")).filter("edits <= 3")
-    return near.groupBy(F.col("watched").alias("wanted")).agg(F.min(F.struct("edits", "plate")).alias("m")).select("wanted", "m.plate", "m.edits")
+    """For each listed plate the reading that is fewest edits away, at most 3."""
+    w = views.watch_list(spark, sf_dir).select(F.col("plate").alias("watched"))
+    s = views.sightings(spark, sf_dir).select("plate")
+    return nearest_plates(s, w, 3)
+
+
+def nearest_plates(readings, wanted, most):
+    """wanted, plate and edits: the nearest of ``readings.plate`` for each of ``wanted.watched``, the smaller of two.
+
+    Each round allows one edit more, for the listed plates that have none yet.
+    """
+    readings, left, found = stored(readings.select("plate").distinct(), "readings"), stored(wanted.select("watched").filter(F.col("watched").isNotNull()), "wanted"), None
+    for edits in range(most + 1):
+        near = joins.edit_join(readings, left, edits).groupBy("watched").agg(F.min(F.struct("edits", "plate")).alias("m"))
+        near = stored(near.select(F.col("watched").alias("wanted"), "m.plate", "m.edits"), "nearest")
+        found = near if found is None else found.union(near)
+        left = stored(left.join(near.select(F.col("wanted").alias("watched")), "watched", "left_anti"), "wanted")
+    return found
 
 
 NEAREST_READING = sql("""SELECT wanted, plate, edits FROM (SELECT w.plate AS wanted, s.plate, levenshtein(s.plate, w.plate) AS edits FROM watch w JOIN (SELECT DISTINCT plate FROM sighting) s ON levenshtein(s.plate, w.plate) <= 3)

@@ -147,3 +147,31 @@ def test_signature(spark):
     df = spark.createDataFrame([("b", 1, "x"), ("b", 2, "y")], "batch string, id int, plate string")
     r = registers.signed_payload(df, "key").first()
     assert r.signature == hmac.new(b"key", r.body.encode(), hashlib.sha256).hexdigest()
+
+
+def test_nearest_plates_two_and_three_edits_away(spark):
+    import random
+
+    from fieldglass.plans.q_joins import nearest_plates
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    wanted = ["".join(rng.choices("ABCDEFGH234579", k=rng.choice((3, 6, 9, 10)))) for _ in range(60)] + ["KA01AB1234"]
+    readings = ["KA01XY1234", "KA01ABZZZ4"]
+    for w in wanted[:-1]:
+        r = list(w)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(r) + 1)
+            r[k : k + rng.choice((0, 1, 1))] = rng.choice(("", "X", "Y"))
+        readings.append("".join(r))
+    got = nearest_plates(spark.createDataFrame([(r,) for r in readings], "plate string"), spark.createDataFrame([(w,) for w in wanted], "watched string"), 3).collect()
+    want = {w: min((edits(r, w), r) for r in readings) for w in wanted}
+    assert {r.wanted: (r.edits, r.plate) for r in got} == {w: m for w, m in want.items() if m[0] <= 3}
+    assert {m[0] for m in want.values()} >= {2, 3}
