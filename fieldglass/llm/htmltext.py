@@ -8,7 +8,8 @@ block to the next, and Viterbi decoding marks the blocks of the article.
 The field is trained here, by gradient ascent on the exact likelihood, on
 labelled pages that :mod:`fieldglass.llm.trainingpages` lays out in many ways.
 Extraction is row-wise. It reads whole pages; scripts, styles and comments in the
-markup never become blocks.
+markup never become blocks. Choices of forms are blocks of a form; drawings,
+formulas and embedded objects are read as the text within them.
 
 Cases: null or empty html, and pages without text, give an empty text and 0
 characters; broken markup is read as far as it goes (unknown end tags are
@@ -41,15 +42,20 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Elements whose content isn't markup or isn't shown.
-RAW = frozenset("script style noscript template textarea iframe svg object select option math canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+RAW = frozenset("script style noscript template textarea iframe".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input canvas".split())
+#: Drawings and formulas stand within a text; their parts don't cut it.
+INLINE |= frozenset("svg g path circle ellipse line polyline polygon rect text tspan textpath defs use symbol marker mask pattern image clippath lineargradient radialgradient stop filter".split())
+INLINE |= frozenset("math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose merror semantics annotation".split())
+#: Open lists of choices, which any block ends.
+CHOICES = frozenset(("option", "optgroup", "select", "datalist"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening tag of the same row ends.
-CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
+CLOSES = {"p": {"p", *CHOICES}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "select": CHOICES, "datalist": CHOICES}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 #: Zones by tag, and by the words of class, id and role.
-ZONE_TAGS = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "fieldset": "form", "dialog": "notice", "article": "article", "main": "main", "section": "section", "head": "head", "title": "head", "menu": "nav", "figure": "figure", "blockquote": "quote", "table": "table", "ul": "list", "ol": "list", "dl": "list", "pre": "pre", "address": "footer"}
+ZONE_TAGS = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "fieldset": "form", "dialog": "notice", "article": "article", "main": "main", "section": "section", "head": "head", "title": "head", "menu": "nav", "figure": "figure", "blockquote": "quote", "table": "table", "ul": "list", "ol": "list", "dl": "list", "pre": "pre", "address": "footer", "select": "form", "datalist": "form", "optgroup": "form", "option": "form"}
 ZONE_WORDS = {
     "ad": "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner outbrain taboola",
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs pager pagination toc tabs skip topbar navlinks links",
@@ -118,8 +124,7 @@ def blocks(page: str) -> list[Block]:
             if not closing and not attributes.endswith("/"):
                 over = _raw_end(name).search(page, at)
                 at = over.end() if over else size
-            if name not in ("svg", "math", "canvas"):
-                close()
+            close()
             continue
         if name in INLINE:
             if name == "br":
@@ -136,7 +141,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in VOID or attributes.endswith("/"):
             continue
-        ends = CLOSES.get(name) or ({"p"} if name in ZONE_TAGS or name in HEADINGS or name == "div" else ())
+        ends = CLOSES.get(name) or ({"p", *CHOICES} if name in ZONE_TAGS or name in HEADINGS or name == "div" else ())
         while stack[-1][0] in ends:
             stack.pop()
         own = _BIT.get(ZONE_TAGS.get(name, ""), 0)

@@ -58,3 +58,18 @@ def test_cases(spark):
     assert by[4].text == "Title\n\nA first full sentence, long enough to be read as prose by anyone.\n\nAnd é second one & more, with spaces."
     assert by[5].n_chars == 5000 * 41 + 4999 * 2 == len(by[5].text)
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_unclosed_elements_hide_nothing():
+    field = htmltext.trained()
+    main = "<article><h1>Title</h1><p>A first full sentence, long enough to be read as prose by anyone.</p><p>And a second one, with some more words, that ends here.</p></article>"
+    want = "Title\n\nA first full sentence, long enough to be read as prose by anyone.\n\nAnd a second one, with some more words, that ends here."
+    assert htmltext.main_text(f"<body>{main}</body>", field)[0] == want
+    for head in ("<header><form><datalist><option value=a><option value=b></datalist></form></header>", "<header><svg></header>", "<div><svg><path d=x></div>", "<math>", "<canvas>", "<div><object></div>", "<nav><select><option>One<option>Two</nav>", "<select><option>One<option>Two"):
+        assert htmltext.main_text(f"<body>{head}{main}</body>", field)[0] == want, head
+
+
+def test_formulas_objects_and_drawings_stay_in_the_text():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <svg><path d=m /></svg> a number.</p><object data=a><p>Instead of a picture, words.</p></object><p>End.</p></article>"
+    assert [b.text for b in htmltext.blocks(page)] == ["Let x=1 be a number.", "Instead of a picture, words.", "End."]
+    assert [b.text for b in htmltext.blocks("<select><option>One<option>Two</select><p>Text")] == ["One", "Two", "Text"]
