@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geo
 from fieldglass.operators.components import components
+from fieldglass.store import stored
 
 # Overlap of a collision, share above which boxes are nested, and how hard both must brake.
 COLLISION_IOU, NESTED_SHARE, COLLISION_DECEL = 0.18, 0.85, 0.40
@@ -64,8 +64,9 @@ def duplicates(boxes: DataFrame, frame: list[str], common: int = COMMON_FRAMES,
 def continuations(tracks: DataFrame, by: str, most_gap: float, most_step: float) -> DataFrame:
     """Pairs (a continues as b) by least cost, each track with one next and one previous.
 
-    Candidates come from an equi-join on buckets of the gap; the greedy choice is
-    made for each device from its candidates, cheapest first.
+    Candidates come from an equi-join on buckets of the gap. The choice is that of
+    cheapest first (ties by a, b), made in rounds: a pair that is the cheapest of
+    both its tracks is taken, and the other pairs of these tracks go.
     """
     bucket = lambda c: F.floor(F.col(c) / most_gap)
     a = tracks.select(F.col(by), F.col("track_id").alias("a"), F.col("last_frame").alias("end"), F.col("last_x").alias("xa"), F.explode(F.array(bucket("last_frame"), bucket("last_frame") + 1)).alias("k"))
@@ -74,16 +75,14 @@ def continuations(tracks: DataFrame, by: str, most_gap: float, most_step: float)
     cost = (gap / most_gap + step / most_step).alias("cost")
     near = a.join(b, [by, "k"]).filter((gap > 0) & (gap <= most_gap) & (step <= most_step) & (F.col("a") != F.col("b"))).select(by, "a", "b", cost)
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        nexts, prevs, kept = set(), set(), []
-        for row in pdf.sort_values(["cost", "a", "b"]).itertuples(index=False):
-            if row.a not in nexts and row.b not in prevs:
-                nexts.add(row.a)
-                prevs.add(row.b)
-                kept.append((row.a, row.b))
-        return pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
-
-    return near.groupBy(by).applyInPandas(greedy, "a bigint, b bigint")
+    left, found = stored(near, "near"), None
+    while not left.isEmpty():
+        pair = F.struct("cost", "a", "b")
+        by_a, by_b = (left.groupBy(by, c).agg(F.min(pair).alias("m")).select(by, "m.a", "m.b") for c in ("a", "b"))
+        taken = stored(by_a.join(by_b, [by, "a", "b"]), "taken")
+        found = taken if found is None else found.union(taken)
+        left = stored(left.join(taken.select(by, "a"), [by, "a"], "left_anti").join(taken.select(by, "b"), [by, "b"], "left_anti").select(by, "a", "b", "cost"), "near")
+    return (near if found is None else found).select("a", "b")
 
 
 def objects(tracks: DataFrame, edges: DataFrame, least: int) -> DataFrame:

@@ -175,3 +175,26 @@ def test_nearest_plates_two_and_three_edits_away(spark):
     want = {w: min((edits(r, w), r) for r in readings) for w in wanted}
     assert {r.wanted: (r.edits, r.plate) for r in got} == {w: m for w, m in want.items() if m[0] <= 3}
     assert {m[0] for m in want.values()} >= {2, 3}
+
+
+def test_continuations_are_cheapest_first_without_one_group(spark):
+    import random
+
+    from fieldglass.operators import tracks
+
+    rng = random.Random(2)
+    data = []
+    for i in range(120):
+        first = rng.randint(0, 60) / 2
+        data.append((i % 2, i, first, first + rng.randint(0, 6) / 2, float(rng.randint(0, 9)), float(rng.randint(0, 9))))
+    df = spark.createDataFrame(data, "camera_id int, track_id bigint, first_frame double, last_frame double, first_x double, last_x double")
+    pairs = sorted(((b[2] - a[3]) / 12.0 + abs(b[4] - a[5]) / 5.0, a[1], b[1]) for a in data for b in data if a[0] == b[0] and a[1] != b[1] and 0 < b[2] - a[3] <= 12.0 and abs(b[4] - a[5]) <= 5.0)
+    nexts, prevs, want = set(), set(), set()
+    for _, a, b in pairs:
+        if a not in nexts and b not in prevs:
+            nexts.add(a)
+            prevs.add(b)
+            want.add((a, b))
+    got = tracks.continuations(df, "camera_id", 12.0, 5.0)
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(want) and want
