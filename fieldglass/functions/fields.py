@@ -100,6 +100,18 @@ def banded(value: Column, edges: list[tuple[float, str]], last: str) -> Column:
     return F.when(value.isNotNull(), out.otherwise(last))
 
 
+# Where sizes are cut, how far cuts are apart at least, and the cuts of fewer than LEAST_SIZES sizes.
+BAND_SHARES, BAND_GAP, LEAST_SIZES, PLAIN_BANDS = (0.20, 0.40, 0.65, 0.85), 1.0, 20, (20.0, 40.0, 60.0, 120.0)
+
+
+def derived_bands(width: Column) -> Column:
+    """An aggregate: the four edges of five bands of positive sizes, by their own quantiles."""
+    seen = F.when(width > 0, width.cast("double"))
+    cuts = F.percentile(seen, F.array(*map(F.lit, BAND_SHARES)))
+    apart = F.aggregate(cuts, F.array().cast("array<double>"), lambda kept, cut: F.array_append(kept, F.greatest(cut, F.coalesce(F.try_element_at(kept, F.lit(-1)) + BAND_GAP, cut))))
+    return F.when(F.count(seen) < LEAST_SIZES, F.array(*map(F.lit, PLAIN_BANDS))).otherwise(apart)
+
+
 def tags(**conditions: Column) -> Column:
     """An array of the names whose condition holds."""
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in conditions.items())))

@@ -17,41 +17,52 @@ CONFUSED_COST, OTHER_COST, GAP_COST, MATCH_DISTANCE = 0.35, 1.0, 0.5, 1.0
 # What a letter or digit slot makes of a glyph of the other kind.
 TO_LETTER = {"0": "O", "1": "I", "2": "Z", "5": "S", "6": "G", "8": "B", "4": "A", "7": "T"}
 TO_DIGIT = {"O": "0", "D": "0", "Q": "0", "U": "0", "I": "1", "L": "1", "T": "1", "Z": "2", "S": "5", "G": "6", "B": "8", "A": "4", "E": "8"}
-# Texts that cameras burn into pictures, and patterns of clocks and dates.
+# Texts that cameras burn into pictures.
 OVERLAY_WORDS = "CSITMS PTZ LIVE REC CAM0 CAM1 CAM2 CAM3 BRIDGE CHIMAN CCTV IPC".split()
-OVERLAY_PATTERN = r"^20[23][0-9]|20[23][0-9]$|AM$|PM$|^[0-9]{6}|[0-9]{8}|^[0-9]{3,4}(AM|PM)|HRS$"
-# Layouts (A letter, D digit) that are not of the standard form, and their weights.
-SPECIAL_LAYOUTS = {
-    "dl_short": ("AADAAADDDD", 0.6),
-    "dl_short_s1": ("AADAADDDD", 0.35),
-    "bharat": ("DDBHDDDDAA", 0.15),
-    "dipl_CD": ("DDCDDDD", 0.01),
-    "dipl_CD_4": ("DDCDDDDD", 0.01),
-    "dipl_CC": ("DDCCDDD", 0.01),
-    "dipl_CC_4": ("DDCCDDDD", 0.01),
-    "dipl_UN": ("DDUNDDD", 0.01),
-    "dipl_UN_4": ("DDUNDDDD", 0.01),
-    "vintage": ("AAVADDDDDD", 0.005),
-    "temp": ("AADDTCDDDD", 0.01),
-}
-
-
-def layouts() -> dict[str, tuple[str, float]]:
-    """All plate layouts by name: 16 standard ones (state, district, series, number) and the special ones."""
-    found = {}
-    for series in range(4):
-        for digits in range(1, 5):
-            if digits == 4:
-                weight = {0: 0.15, 1: 0.5, 2: 1.0, 3: 0.5}[series]
-            else:
-                weight = 0.03 if series == 0 else 0.08
-            found[f"std_s{series}_n{digits}"] = ("AADD" + "A" * series + "D" * digits, weight)
-    return found | SPECIAL_LAYOUTS
-
-
-def layout_pattern(template: str) -> str:
-    """An anchored pattern for a layout: A any letter, D any digit, all else itself."""
-    return "^" + "".join({"A": "[A-Z]", "D": "[0-9]"}.get(c, c) for c in template) + "$"
+# Years that dates in pictures begin or end with, and what clocks end with.
+OVERLAY_YEARS, OVERLAY_ENDS = ("2020", "2039"), ("AM", "PM", "HRS")
+# Layouts by name (A any letter, D any digit, a small letter that letter) with their weights.
+LAYOUTS = (
+    ("std_s0_n4", "AADDDDDD", 0.15),
+    ("std_s0_n3", "AADDDDD", 0.03),
+    ("std_s0_n2", "AADDDD", 0.03),
+    ("std_s0_n1", "AADDD", 0.03),
+    ("std_s1_n4", "AADDADDDD", 0.5),
+    ("std_s1_n3", "AADDADDD", 0.08),
+    ("std_s1_n2", "AADDADD", 0.08),
+    ("std_s1_n1", "AADDAD", 0.08),
+    ("std_s2_n4", "AADDAADDDD", 1.0),
+    ("std_s2_n3", "AADDAADDD", 0.08),
+    ("std_s2_n2", "AADDAADD", 0.08),
+    ("std_s2_n1", "AADDAAD", 0.08),
+    ("std_s3_n4", "AADDAAADDDD", 0.5),
+    ("std_s3_n3", "AADDAAADDD", 0.08),
+    ("std_s3_n2", "AADDAAADD", 0.08),
+    ("std_s3_n1", "AADDAAAD", 0.08),
+    ("dl_short", "AADAAADDDD", 0.6),
+    ("dl_short_s1", "AADAADDDD", 0.35),
+    ("bharat", "DDbhDDDDAA", 0.15),
+    ("dipl_CD", "DDcdDDD", 0.01),
+    ("dipl_CD_4", "DDcdDDDD", 0.01),
+    ("dipl_CC", "DDccDDD", 0.01),
+    ("dipl_CC_4", "DDccDDDD", 0.01),
+    ("dipl_UN", "DDunDDD", 0.01),
+    ("dipl_UN_4", "DDunDDDD", 0.01),
+    ("vintage", "AAvADDDDDD", 0.005),
+    ("temp", "AADDtcDDDD", 0.01),
+)
+# What makes a plate less likely, and by which factor.
+PENALTIES = {"unknown_state": 0.05, "other_state": 0.7, "unknown_office": 0.1, "district_out_of_range": 0.3, "district_00": 0.05, "rare_series_letter": 0.35, "implausible_year": 0.2}
+# First and last district by state; series letters that are not given out; years of the national series.
+DISTRICTS = {"GJ": (1, 39), "DL": (1, 16), "MH": (1, 51), "RJ": (1, 60), "MP": (1, 71), "KA": (1, 71), "TN": (1, 99), "UP": (1, 96)}
+RARE_LETTERS, SERIES_YEARS = "IO", (19, 35)
+# The home state, whose offices are checked by number.
+HOME_STATE, HOME_OFFICES = "GJ", tuple(f"{n:02d}" for n in range(1, 40))
+
+
+def shape(plate: Column) -> Column:
+    """A for each letter, D for each digit."""
+    return F.regexp_replace(F.regexp_replace(plate, "[A-Z]", "A"), "[0-9]", "D")
 
 
 def clean(plate: Column) -> Column:
@@ -98,14 +109,14 @@ def distance(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(0.0)).when((n == 0) | (m == 0), F.greatest(n, m).cast("double")).otherwise(F.element_at(table, m + 1))
 
 
-def may_match(a: Column, b: Column, most: float = MATCH_DISTANCE) -> Column:
-    """A cheap condition that every pair within ``most`` fulfils.
+def most_edits(most: float = MATCH_DISTANCE) -> int:
+    """How many unit edits a weighted distance allows: no edit costs less than a confused pair."""
+    return int(most / CONFUSED_COST)
 
-    No edit costs less than a confused pair, and a gap costs more, so the plain
-    edit distance and the difference in length are bounded.
-    """
-    edits, gaps = int(most / CONFUSED_COST), int(most / GAP_COST)
-    return (F.abs(F.length(a) - F.length(b)) <= gaps) & (F.levenshtein(a, b, edits) >= 0)
+
+def may_match(a: Column, b: Column, most: float = MATCH_DISTANCE) -> Column:
+    """A cheap condition that every pair within ``most`` fulfils: bounded unit edits and difference in length."""
+    return (F.abs(F.length(a) - F.length(b)) <= int(most / GAP_COST)) & (F.levenshtein(a, b, most_edits(most)) >= 0)
 
 
 def distance_within(a: Column, b: Column, most: float = MATCH_DISTANCE) -> Column:
@@ -138,47 +149,85 @@ def rto_of(plate: Column) -> Column:
 
 
 def looks_like_overlay(plate: Column) -> Column:
-    """Whether a text reads like a caption, clock or date instead of a plate."""
-    words = F.lit(False)
-    for word in OVERLAY_WORDS:
-        words = words | plate.contains(word)
-    digits = F.length(F.regexp_replace(plate, "[^0-9]", ""))
-    return words | plate.rlike(OVERLAY_PATTERN) | ((digits >= 6) & plate.rlike("^[0-9]{2}") & (F.substr(plate, F.lit(3), F.lit(2)) != "BH"))
-
-
-def grammar(plate: Column, preferred: str = "GJ") -> Column:
-    """The best layout of a grammar-form plate: struct prior, layout, valid.
-
-    A layout counts for what it matches, less for an unknown or foreign state, a
-    district 00, rare series letters or an implausible year.
+    """Whether a grammar-form text is a caption, or has the digits of a clock or date where plates have letters."""
+    kinds, first, last = shape(plate), F.substr(plate, F.lit(1), F.lit(4)), F.right(plate, F.lit(4))
+    year = lambda four: (shape(four) == "DDDD") & four.between(*OVERLAY_YEARS)
+    clock = [kinds.startswith("D" * n + "AA") & F.substr(plate, F.lit(n + 1), F.lit(2)).isin("AM", "PM") for n in (3, 4)]
+    date = kinds.startswith("DDDDDD") | kinds.contains("DDDDDDDD")
+    digits = F.length(F.replace(kinds, F.lit("A"), F.lit("")))
+    numbered = (digits >= 6) & kinds.startswith("DD") & (F.substr(plate, F.lit(3), F.lit(2)) != "BH")
+    found = [plate.contains(w) for w in OVERLAY_WORDS] + [plate.endswith(e) for e in OVERLAY_ENDS] + [year(first), year(last), *clock, date, numbered]
+    return F.exists(F.array(*found), lambda x: x)
+
+
+def layout_of(plate: Column) -> Column:
+    """The name of the layout of a grammar-form plate; null if it has none.
+
+    The plate's shape tells layouts apart, and fixed letters those of one shape.
+    One of fixed letters that has the shape of a plain layout never outweighs it.
+    Delhi's layouts are for Delhi alone.
+    """
+    kinds = shape(plate)
+    plain = {template: name for name, template, _ in LAYOUTS if template.isupper()}
+    found = F.try_element_at(F.create_map(*(F.lit(x) for kv in plain.items() for x in kv)), kinds)
+    found = F.when(~found.startswith("dl_short") | plate.startswith("DL"), found)
+    for name, template, _ in LAYOUTS:
+        letters = "".join(c for c in template if c.islower())
+        whole = "".join("A" if c.islower() else c for c in template)
+        if letters and whole not in plain:
+            at = template.index(letters) + 1
+            found = F.when((kinds == whole) & (F.substr(plate, F.lit(at), F.lit(len(letters))) == letters.upper()), name).otherwise(found)
+    return found
+
+
+def grammar(plate: Column, preferred: str = HOME_STATE) -> Column:
+    """The layout of a grammar-form plate: struct prior, layout, valid, reasons.
+
+    The prior is the layout's weight times the factors of all PENALTIES that apply;
+    a foreign state costs but is no reason. States count in layouts that begin with
+    one, districts in the standard ones, years in the national series.
     """
-    state, series = F.substr(plate, F.lit(1), F.lit(2)), F.regexp_replace(F.substr(plate, F.lit(5), F.lit(7)), "[0-9]", "")
-    standing = F.when(~state.isin(*STATE_CODES), F.lit(0.05)).when(state != preferred, F.lit(0.7)).otherwise(F.lit(1.0))
-    district = F.when(state.isin(*STATE_CODES) & (F.substr(plate, F.lit(3), F.lit(2)) == "00"), F.lit(0.05)).otherwise(F.lit(1.0))
-    rare = F.when(series.rlike("[IO]"), F.lit(0.35)).otherwise(F.lit(1.0))
-    year = F.when(F.substr(plate, F.lit(1), F.lit(2)).between("19", "35"), F.lit(1.0)).otherwise(F.lit(0.2))
-    found = []
-    for name, (template, weight) in layouts().items():
-        prior = F.lit(weight)
-        if template.startswith("AAD"):
-            prior = prior * standing * (district if template.startswith("AADD") else 1.0) * rare
-        elif name == "bharat":
-            prior = prior * year
-        fits = plate.rlike(layout_pattern(template))
-        if name.startswith("dl_short"):
-            fits = fits & (state == "DL")
-        found.append(F.when(fits, F.struct(prior.alias("prior"), F.lit(name).alias("layout"))))
-    best = F.array_max(F.array_compact(F.array(*found)))
-    return F.struct(F.coalesce(best["prior"], F.lit(0.0)).alias("prior"), best["layout"].alias("layout"), best.isNotNull().alias("valid"))
-
-
-def coerced(plate: Column, template: str) -> Column:
-    """The plate with each glyph turned into its slot's class where a confusion allows it."""
-    letters, digits = (F.create_map(*(F.lit(x) for kv in m.items() for x in kv)) for m in (TO_LETTER, TO_DIGIT))
-    glyphs = F.split(plate, "")
-    slots = F.split(F.lit(template), "")
-    fixed = F.zip_with(glyphs, slots, lambda c, t: F.when(t == "A", F.coalesce(F.try_element_at(letters, c), c)).when(t == "D", F.coalesce(F.try_element_at(digits, c), c)).otherwise(c))
-    return F.array_join(fixed, "")
+    state, district = F.substr(plate, F.lit(1), F.lit(2)), F.substr(plate, F.lit(3), F.lit(2))
+    known, home = state.isin(*STATE_CODES), state == HOME_STATE
+    ranges = F.create_map(*(F.lit(x) for code, (low, high) in DISTRICTS.items() for x in (code, [f"{low:02d}", f"{high:02d}"])))
+    bounds = F.try_element_at(ranges, state)
+    outside = F.coalesce(~district.between(bounds[0], bounds[1]), F.lit(False))
+    office = home & ~district.isin(*HOME_OFFICES)
+
+    def graded(name: Column) -> Column:
+        standard = name.startswith("std")
+        stated = standard | name.startswith("dl_short")
+        against = {
+            "unknown_state": stated & ~known,
+            "other_state": stated & known & (state != preferred) if preferred else F.lit(False),
+            "unknown_office": standard & office,
+            "district_out_of_range": standard & known & outside & ~office,
+            "district_00": standard & known & (district == "00"),
+            "rare_series_letter": stated & F.substr(plate, F.lit(5), F.length(plate)).rlike(f"[{RARE_LETTERS}]"),
+            "implausible_year": (name == "bharat") & ~state.between(*(f"{y:02d}" for y in SERIES_YEARS)),
+        }
+        held = F.filter(F.array(*(F.struct(F.lit(r).alias("name"), F.lit(PENALTIES[r]).alias("factor"), holds.alias("holds")) for r, holds in against.items())), lambda x: x["holds"])
+        weight = F.try_element_at(F.create_map(*(F.lit(x) for n, _, w in LAYOUTS for x in (n, float(w)))), name)
+        prior = F.aggregate(held, weight, lambda product, x: product * x["factor"])
+        reasons = F.filter(F.transform(held, lambda x: x["name"]), lambda r: r != "other_state")
+        return F.struct(F.coalesce(prior, F.lit(0.0)).alias("prior"), name.alias("layout"), name.isNotNull().alias("valid"), F.when(name.isNull(), F.array(F.lit("no_format_match"))).otherwise(reasons).alias("reasons"))
+
+    return F.transform(F.array(layout_of(plate)), graded)[0]
+
+
+def slots_of(length: int) -> str | None:
+    """The template of the likeliest layout of a length."""
+    return max((row for row in LAYOUTS if len(row[1]) == length), key=lambda row: row[2], default=(None, None))[1]
+
+
+def coerced(plate: Column) -> Column:
+    """The plate with each glyph turned into the class of its slot where a confusion allows it; null if nothing changes."""
+    turned = {"A": TO_LETTER, "D": TO_DIGIT}
+    fixed = F.lit(None).cast("string")
+    for length in sorted({len(t) for _, t, _ in LAYOUTS}):
+        glyphs = [F.translate(F.substr(plate, F.lit(i + 1), F.lit(1)), "".join(turned.get(t, {})), "".join(turned.get(t, {}).values())) for i, t in enumerate(slots_of(length))]
+        fixed = F.when(F.length(plate) == length, F.concat(*glyphs)).otherwise(fixed)
+    return F.nullif(fixed, plate)
 
 
 def matches_partial(read: Column, partial: Column) -> Column:

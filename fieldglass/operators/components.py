@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.store import stored
+from fieldglass.store import job, stored
 
 
 def _stars(edges: DataFrame, smaller: bool) -> DataFrame:
@@ -29,15 +29,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and root (the smallest node that it reaches) of every node with an edge.
 
     Alternates large and small star steps until nothing changes; each round is
-    written to the shared folder. Loops and repeated edges do no harm; no edges
-    give no rows.
+    written to the shared folder, where only the result stays. Loops and repeated
+    edges do no harm; no edges give no rows.
     """
-    now = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    before = None
-    while True:
-        now = stored(_stars(_stars(now, False), True), "stars")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == state:
-            break
-        before = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    with job(edges.sparkSession, "components") as result:
+        now = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+        before = None
+        while True:
+            now = stored(_stars(_stars(now, False), True), "stars")
+            state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+            if before == state:
+                break
+            before = state
+        return result(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())

@@ -56,3 +56,47 @@ def reopened(events: DataFrame, key: list[str], quiet_us: int, bucket_us: int, t
     out = runs.groupBy(*key, "_r").agg(F.min(us).alias("_first"), F.max(us).alias("_last"), F.count("*").alias("events"))
     suffix = F.when(F.col("_r") > 0, F.floor(F.col("_first") / bucket_us))
     return out.select(*key, F.concat_ws("_", *key, suffix.cast("string")).alias("incident_id"), F.timestamp_micros("_first").alias("first_seen"), F.timestamp_micros("_last").alias("last_seen"), "events")
+
+
+def life(log: DataFrame, key: list[str], order: list[str], action: str, starts: list[str], ends: list[str]) -> DataFrame:
+    """Each act of a log with its outcome and ``spell``, the number of times that its key had begun.
+
+    A start creates an entry, reactivates one that ended, or is a duplicate of an
+    active one; an end closes an active one. Any other act needs an active entry.
+    Acts that find the entry in another state are refused; none is ever removed.
+    """
+    w = W.partitionBy(*key).orderBy(*order)
+    up_to = w.rowsBetween(W.unboundedPreceding, -1)
+    begins, closes = F.col(action).isin(*starts), F.col(action).isin(*ends)
+    active = F.coalesce(F.last(F.when(begins, True).when(closes, False), ignorenulls=True).over(up_to), F.lit(False))
+    seen = F.coalesce(F.max(begins).over(up_to), F.lit(False))
+    outcome = F.when(begins, F.when(F.col("_active"), "duplicate").when(F.col("_seen"), "reactivated").otherwise("created"))
+    outcome = outcome.when(F.col("_active"), F.when(closes, "ended").otherwise("accepted")).otherwise("refused")
+    out = log.withColumns({"_active": active, "_seen": seen}).withColumn("outcome", outcome)
+    return out.withColumn("spell", F.count_if(F.col("outcome").isin("created", "reactivated")).over(w)).drop("_active", "_seen")
+
+
+def standing(acts: DataFrame, key: list[str], order: list[str], fields: list[str]) -> DataFrame:
+    """The entry of each key after all acts of :func:`life`: since when it exists, whether it is active, fields of its last start."""
+    at = F.struct(*order)
+    begun = F.col("outcome").isin("created", "reactivated")
+    when = F.when(begun | (F.col("outcome") == "ended"), at)
+    return acts.groupBy(*key).agg(F.min(F.when(F.col("outcome") == "created", F.col(order[0]))).alias("created"), F.max_by(begun, when).alias("active"), *(F.max_by(f, F.when(begun, at)).alias(f) for f in fields)).filter("created is not null")
+
+
+def settled(items: DataFrame, acts: DataFrame, key: list[str], order: list[str], action: str, actor: str) -> DataFrame:
+    """Items with the state that the first of their acts gave them (null: still open), by whom, when, and how many acts came too late."""
+    first = acts.groupBy(*key).agg(F.min_by(F.struct(action, actor, order[0]), F.struct(*order)).alias("_m"), (F.count("*") - 1).alias("late"))
+    return items.join(first, key, "left").select(*items.columns, F.col(f"_m.{action}").alias("state"), F.col(f"_m.{actor}").alias("actor"), F.col(f"_m.{order[0]}").alias(order[0]), F.coalesce("late", F.lit(0)).alias("late"))
+
+
+def archived(df: DataFrame, old: Column, path: str) -> DataFrame:
+    """Write the rows in one pass to the folders ``part=archived`` and ``part=kept`` of a path and read both."""
+    df.withColumn("part", F.when(old, "archived").otherwise("kept")).write.partitionBy("part").parquet(path)
+    return df.sparkSession.read.schema(df.schema.add("part", "string")).parquet(path)
+
+
+def appended(log: DataFrame, path: str) -> DataFrame:
+    """Append rows to a log that only ever grows and read all of it."""
+    log.write.mode("append").parquet(path)
+    return log.sparkSession.read.schema(log.schema).parquet(path)

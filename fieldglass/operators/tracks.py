@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions import geo
 from fieldglass.operators.components import components
-from fieldglass.store import stored
+from fieldglass.store import job, stored
 
 # Overlap of a collision, share above which boxes are nested, and how hard both must brake.
 COLLISION_IOU, NESTED_SHARE, COLLISION_DECEL = 0.18, 0.85, 0.40
@@ -46,6 +46,15 @@ def wrong_way(votes: DataFrame, region: list[str], sense: str, least: int, domin
     return votes.join(rare.select(*region, sense, "n", "total"), [*region, sense]).select("track_id", *region, sense, "n", "total").distinct()
 
 
+def occlusion(boxes: DataFrame, frame: list[str], share: float = 0.3) -> DataFrame:
+    """Boxes of a frame of which another one hides more than a share of the area."""
+    area = lambda n: (F.col(f"{n}.x2") - F.col(f"{n}.x1")) * (F.col(f"{n}.y2") - F.col(f"{n}.y1"))
+    both = F.col("iou") / (1 + F.col("iou")) * (area("a") + area("b"))
+    p = _pairs(boxes, frame)
+    sides = [p.filter(both > share * area(n)).select(*(F.col(f"{n}.{k}").alias(k) for k in [*frame, "track_id"])) for n in ("a", "b")]
+    return sides[0].union(sides[1]).distinct()
+
+
 def exposed(persons: DataFrame, vehicles: DataFrame, frame: list[str], most_iou: float = 0.05) -> DataFrame:
     """Person boxes that overlap no vehicle's box of their frame."""
     p, v = persons.alias("a"), vehicles.alias("b")
@@ -75,14 +84,15 @@ def continuations(tracks: DataFrame, by: str, most_gap: float, most_step: float)
     cost = (gap / most_gap + step / most_step).alias("cost")
     near = a.join(b, [by, "k"]).filter((gap > 0) & (gap <= most_gap) & (step <= most_step) & (F.col("a") != F.col("b"))).select(by, "a", "b", cost)
 
-    left, found = stored(near, "near"), None
-    while not left.isEmpty():
-        pair = F.struct("cost", "a", "b")
-        by_a, by_b = (left.groupBy(by, c).agg(F.min(pair).alias("m")).select(by, "m.a", "m.b") for c in ("a", "b"))
-        taken = stored(by_a.join(by_b, [by, "a", "b"]), "taken")
-        found = taken if found is None else found.union(taken)
-        left = stored(left.join(taken.select(by, "a"), [by, "a"], "left_anti").join(taken.select(by, "b"), [by, "b"], "left_anti").select(by, "a", "b", "cost"), "near")
-    return (near if found is None else found).select("a", "b")
+    with job(tracks.sparkSession, "continuations") as result:
+        left, found = stored(near, "near"), None
+        while not left.isEmpty():
+            pair = F.struct("cost", "a", "b")
+            by_a, by_b = (left.groupBy(by, c).agg(F.min(pair).alias("m")).select(by, "m.a", "m.b") for c in ("a", "b"))
+            taken = stored(by_a.join(by_b, [by, "a", "b"]), "taken")
+            found = taken if found is None else found.union(taken)
+            left = stored(left.join(taken.select(by, "a"), [by, "a"], "left_anti").join(taken.select(by, "b"), [by, "b"], "left_anti").select(by, "a", "b", "cost"), "near")
+        return result((near if found is None else found).select("a", "b"))
 
 
 def objects(tracks: DataFrame, edges: DataFrame, least: int) -> DataFrame:

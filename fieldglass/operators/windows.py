@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geo
+from fieldglass.store import stored
 
 
 def micros(ts: str) -> Column:
@@ -26,57 +28,58 @@ def sessions(df: DataFrame, by: list[str], order: list[str], gap_us: int, ts: st
     return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_new")
 
 
-def _in_order(df: DataFrame, by: list[str], order: list[str], fold: Callable[[], tuple[Callable, Callable]], schema: str) -> DataFrame:
-    """Fold over each key's rows in order, as a stream: a task holds one batch and one key's state.
+def anchored(df: DataFrame, by: list[str], within_us: int, closed: bool) -> DataFrame:
+    """The rows (ts, id) with the first time of their pass as ``anchor`` and whether they are its first row.
 
-    ``fold()`` gives a pair of functions: ``step(key, row)`` returns the rows that
-    are final by now, ``end()`` those that are left when the last key ends.
+    A pass takes the rows of a key up to ``within_us`` after its first one
+    (``closed``: those at exactly that time too), however many came between; the
+    next row begins another. A task holds one batch of sorted rows and looks up the
+    end of each pass in it, so no key's rows have to fit in memory.
     """
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step, end = fold()
-        for pdf in parts:
-            rows = [r for row in pdf.itertuples(index=False, name=None) for r in step(row[: len(by)], row[len(by) :])]
-            yield pd.DataFrame(rows, columns=names)
-        yield pd.DataFrame(end(), columns=names)
-
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+    keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    names = [*by, "us", "id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, anchor = None, 0
+        for batch in batches:
+            us = batch.column(len(by)).to_numpy(zero_copy_only=False)
+            first, anchors = np.zeros(len(us), bool), np.zeros(len(us), np.int64)
+            new = np.zeros(len(us), bool)
+            for c in range(len(by)):
+                codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(new).tolist()
+            for start, end in zip([0, *starts], [*starts, len(us)], strict=True):
+                if start == end:
+                    continue
+                at, here = start, tuple(batch.column(c)[start].as_py() for c in range(len(by)))
+                going = here == key
+                while at < end:
+                    if not going:
+                        anchor, first[at] = us[at], True
+                    to = at + int(np.searchsorted(us[at:end], anchor + within_us, "right" if closed else "left"))
+                    anchors[at:to] = anchor
+                    at, going = to, False
+                key = here
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anchors), pa.array(first)], [*names, "anchor", "first"])
+
+    rows = df.select(*by, micros("ts").alias("us"), F.col("id").cast("bigint").alias("id")).filter("us is not null")
+    return rows.repartition(*by).sortWithinPartitions(*by, "us", "id").mapInArrow(run, f"{keys}, us bigint, id bigint, anchor bigint, first boolean")
 
 
 def same_pass(points: DataFrame, by: list[str], within_us: int) -> DataFrame:
     """Fold points (ts, id, plate, confidence, observations) into passes anchored at their first time.
 
-    A point joins the pass before if it is at most ``within_us`` after that
-    pass's first point, however many came between. The fold sums observations and
-    keeps the best reading.
+    The fold sums observations and keeps the best reading, the first of equals.
     """
-
-    def fold():
-        now: list = [None, None]
-
-        def end() -> list[tuple]:
-            return [(*now[0], *now[1])] if now[1] else []
-
-        def step(key: tuple, row: tuple) -> list[tuple]:
-            us, point, plate, confidence, observations = row
-            p = now[1]
-            if p and now[0] == key and us - p[0] <= within_us:
-                if confidence > p[3]:
-                    p[2], p[3] = plate, confidence
-                p[4] += observations
-                p[5] += 1
-                return []
-            done = end()
-            now[0], now[1] = key, [us, point, plate, confidence, observations, 1]
-            return done
-
-        return step, end
-
-    rows = points.select(*by, micros("ts").alias("us"), "id", "plate", "confidence", F.col("observations").cast("bigint").alias("observations"))
-    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in by)
-    folded = _in_order(rows, by, ["us", "id"], fold, f"{kinds}, us bigint, id bigint, plate string, confidence double, observations bigint, folded bigint")
-    return folded.select(*by, F.timestamp_micros("us").alias("ts"), "id", "plate", "confidence", "observations", "folded")
+    found = anchored(points, by, within_us, True)
+    rest = points.select(*by, micros("ts").alias("us"), F.col("id").cast("bigint").alias("id"), "plate", "confidence", "observations")
+    at = F.struct("us", "id")
+    best = F.struct("confidence", (-F.col("us")).alias("t"), (-F.col("id")).alias("i"))
+    folded = found.join(rest, [*by, "us", "id"]).groupBy(*by, "anchor").agg(
+        F.min_by("id", at).alias("id"), F.max_by("plate", best).alias("plate"), F.max("confidence").alias("confidence"), F.sum(F.col("observations").cast("bigint")).alias("observations"), F.count("*").alias("folded")
+    )
+    return folded.select(*by, F.timestamp_micros("anchor").alias("ts"), "id", "plate", "confidence", "observations", "folded")
 
 
 def legs(points: DataFrame, by: list[str], order: list[str], most_kmh: float = 200.0) -> DataFrame:
@@ -90,21 +93,7 @@ def legs(points: DataFrame, by: list[str], order: list[str], most_kmh: float = 2
 
 def throttled(df: DataFrame, by: list[str], cooldown_us: int) -> DataFrame:
     """The rows (ts, id) that fire: those at least ``cooldown_us`` after the last that fired."""
-
-    def fold():
-        last: list = [None, None]
-
-        def step(key: tuple, row: tuple) -> list[tuple]:
-            if last[0] == key and row[0] - last[1] < cooldown_us:
-                return []
-            last[0], last[1] = key, row[0]
-            return [(*key, *row)]
-
-        return step, list
-
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    fired = _in_order(df.select(*by, micros("ts").alias("us"), F.col("id").cast("bigint").alias("id")), by, ["us", "id"], fold, f"{kinds}, us bigint, id bigint")
-    return fired.select(*by, F.timestamp_micros("us").alias("ts"), "id")
+    return anchored(df, by, cooldown_us, False).filter("first").select(*by, F.timestamp_micros("us").alias("ts"), "id")
 
 
 def bursts(df: DataFrame, by: list[str], within_us: int, least: int) -> DataFrame:
@@ -121,12 +110,27 @@ def streaks(df: DataFrame, by: list[str], order: list[str], flag: Column) -> Dat
     return runs.groupBy(*by, "_run").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).drop("_run")
 
 
-def average_precision(df: DataFrame, by: list[str], score: str, hit: str, labels: int | Column) -> DataFrame:
-    """Area under the monotone precision envelope of predictions by falling score."""
-    w = W.partitionBy(*by).orderBy(F.desc(score), "id")
-    up_to = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = df.withColumn("_tp", F.sum(F.col(hit).cast("int")).over(up_to)).withColumn("_n", F.count("*").over(up_to))
-    ranked = ranked.withColumn("_precision", F.col("_tp") / F.col("_n"))
-    ranked = ranked.withColumn("_envelope", F.max("_precision").over(w.rowsBetween(W.currentRow, W.unboundedFollowing)))
+def average_precision(df: DataFrame, by: list[str], score: str, hit: str, labels: int | Column, steps: int = 1024) -> DataFrame:
+    """Area under the monotone precision envelope of predictions by falling score (0 to 1).
+
+    Scores are cut into ``steps`` ranges. Counts of the ranges above and the best
+    precision in the ranges below are running values over one row for each range;
+    what a row needs besides comes from its own range, so that a key's rows are
+    never sorted in one task.
+    """
+    ranged = df.withColumn("_range", F.floor(F.col(score) * steps))
+    whole = stored(ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.count_if(hit).alias("_tp")), "ranges")
+    above = W.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    whole = stored(whole.select(*by, "_range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_n", "_tp"))), "above")
+    here = W.partitionBy(*by, "_range")
+    down = here.orderBy(F.desc(score), "id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = ranged.join(whole, [*by, "_range"]).withColumn("_rank", F.count("*").over(down) + F.col("_n_above"))
+    ranked = ranked.withColumn("_tp", F.sum(F.col(hit).cast("int")).over(down) + F.col("_tp_above")).withColumn("_precision", F.col("_tp") / F.col("_rank"))
+    up = here.orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = stored(ranked.select(*by, "_range", hit, "_tp", "_precision", F.max("_precision").over(up).alias("_best")), "ranked")
+    below = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    best = ranked.groupBy(*by, "_range").agg(F.max("_precision").alias("_best_here"))
+    best = stored(best.select(*by, "_range", F.max("_best_here").over(below).alias("_best_below")), "best")
+    envelope = F.greatest("_best", "_best_below")
     total = labels if isinstance(labels, Column) else F.lit(labels)
-    return ranked.groupBy(*by).agg((F.sum(F.when(F.col(hit), F.col("_envelope")).otherwise(0.0)) / F.first(total)).alias("ap"), F.max("_tp").alias("hits"), F.count("*").alias("predictions"))
+    return ranked.join(best, [*by, "_range"]).groupBy(*by).agg((F.sum(F.when(F.col(hit), envelope).otherwise(0.0)) / F.first(total)).alias("ap"), F.max("_tp").alias("hits"), F.count("*").alias("predictions"))

@@ -84,39 +84,50 @@ PLATE_ORIGIN = sql("""SELECT plate, o.state, o.rto, CASE WHEN state = 'GJ' THEN
 
 
 def plate_grammar(spark, sf_dir):
-    """Layout, prior, coerced form and overlay test of each reading."""
+    """Layout, prior, reasons, coerced form and overlay test of each reading."""
     p = F.col("plate")
-    score = plates.grammar(p)
-    short = F.when(F.length(p) == 10, plates.coerced(p, "AADDAADDDD"))
-    return views.sightings(spark, sf_dir).select("plate").distinct().select("plate", F.round(score["prior"], 6).alias("prior"), score["layout"].alias("layout"), score["valid"].alias("valid"), short.alias("coerced"), plates.looks_like_overlay(p).alias("overlay"))
+    score = F.col("score")
+    return views.sightings(spark, sf_dir).select("plate").distinct().withColumn("score", plates.grammar(p)).select(
+        "plate", F.round(score["prior"], 6).alias("prior"), score["layout"].alias("layout"), score["valid"].alias("valid"), F.array_join(score["reasons"], ",").alias("reasons"), plates.coerced(p).alias("coerced"), plates.looks_like_overlay(p).alias("overlay")
+    )
 
 
 def _grammar_sql() -> str:
-    standing = f"(CASE WHEN substr(plate,1,2) NOT IN ({STATES}) THEN 0.05 WHEN substr(plate,1,2) <> 'GJ' THEN 0.7 ELSE 1.0 END)"
-    district = f"(CASE WHEN substr(plate,1,2) IN ({STATES}) AND substr(plate,3,2) = '00' THEN 0.05 ELSE 1.0 END)"
-    rare = "(CASE WHEN regexp_matches(regexp_replace(substr(plate,5,7), '[0-9]', '', 'g'), '[IO]') THEN 0.35 ELSE 1.0 END)"
+    """A row for each plate and layout that it matches, by patterns; penalties as factors and names."""
+    k = plates.PENALTIES
+    outside = " OR ".join(f"(substr(plate,1,2) = '{s}' AND CAST(substr(plate,3,2) AS INT) NOT BETWEEN {lo} AND {hi})" for s, (lo, hi) in plates.DISTRICTS.items() if s != plates.HOME_STATE)
+    office = f"substr(plate,1,2) = '{plates.HOME_STATE}' AND CAST(substr(plate,3,2) AS INT) NOT BETWEEN 1 AND {len(plates.HOME_OFFICES)}"
     rows = []
-    for name, (template, weight) in plates.layouts().items():
-        prior = f"CAST({weight} AS DOUBLE)"
+    for name, template, weight in plates.LAYOUTS:
+        against = []
         if template.startswith("AAD"):
-            prior += f" * {standing}" + (f" * {district}" if template.startswith("AADD") else "") + f" * {rare}"
+            against += [("unknown_state", f"substr(plate,1,2) NOT IN ({STATES})"), ("other_state", f"substr(plate,1,2) IN ({STATES}) AND substr(plate,1,2) <> 'GJ'")]
+            if template.startswith("AADD"):
+                against += [("unknown_office", office), ("district_out_of_range", outside), ("district_00", f"substr(plate,1,2) IN ({STATES}) AND substr(plate,3,2) = '00'")]
+            if "A" in template[4:]:
+                against.append(("rare_series_letter", "regexp_matches(regexp_replace(substr(plate,5,7), '[0-9]', '', 'g'), '[IO]')"))
         elif name == "bharat":
-            prior += " * (CASE WHEN substr(plate,1,2) BETWEEN '19' AND '35' THEN 1.0 ELSE 0.2 END)"
+            against.append(("implausible_year", "substr(plate,1,2) NOT BETWEEN '19' AND '35'"))
+        factors = "".join(f" * (CASE WHEN {c} THEN {k[r]} ELSE 1.0 END)" for r, c in against)
+        names = ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in against if r != "other_state") or "NULL"
+        pattern = "".join({"A": "[A-Z]", "D": "[0-9]"}.get(c, c.upper()) for c in template)
         more = " AND substr(plate,1,2) = 'DL'" if name.startswith("dl_short") else ""
-        rows.append(f"SELECT plate, {prior} AS prior, '{name}' AS layout FROM p WHERE regexp_matches(plate, '{plates.layout_pattern(template)}'){more}")
+        rows.append(f"SELECT plate, CAST({weight} AS DOUBLE){factors} AS prior, '{name}' AS layout, concat_ws(',', {names}) AS reasons FROM p WHERE regexp_matches(plate, '^{pattern}$'){more}")
     return " UNION ALL ".join(rows)
 
 
 def _coerced_sql() -> str:
     cases = lambda m, i: f"CASE substr(p.plate,{i},1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items()) + f" ELSE substr(p.plate,{i},1) END"
-    return " || ".join(cases(plates.TO_LETTER if t == "A" else plates.TO_DIGIT, i + 1) for i, t in enumerate("AADDAADDDD"))
+    whole = lambda template: " || ".join(cases(plates.TO_LETTER if t == "A" else plates.TO_DIGIT, i + 1) for i, t in enumerate(template))
+    return f"nullif(CASE length(p.plate) WHEN 10 THEN {whole('AADDAADDDD')} WHEN 9 THEN {whole('AADDADDDD')} END, p.plate)"
 
 
 PLATE_GRAMMAR = sql(
-    f"""SELECT p.plate, round(coalesce(b.prior, 0), 6) AS prior, b.layout, b.layout IS NOT NULL AS valid, CASE WHEN length(p.plate) = 10 THEN {_coerced_sql()} END AS coerced,
-    ({" OR ".join(f"contains(p.plate, '{w}')" for w in plates.OVERLAY_WORDS)}) OR regexp_matches(p.plate, '{plates.OVERLAY_PATTERN}')
+    f"""SELECT p.plate, round(coalesce(b.prior, 0), 6) AS prior, b.layout, b.layout IS NOT NULL AS valid, coalesce(b.reasons, 'no_format_match') AS reasons, {_coerced_sql()} AS coerced,
+    ({" OR ".join(f"contains(p.plate, '{w}')" for w in plates.OVERLAY_WORDS)}) OR regexp_matches(p.plate, '(AM|PM|HRS)$') OR regexp_matches(p.plate, '^[0-9]{{3,4}}(AM|PM)') OR regexp_matches(p.plate, '[0-9]{{8}}')
+    OR (regexp_matches(p.plate, '^[0-9]{{6}}')) OR (regexp_matches(p.plate, '^[0-9]{{4}}') AND left(p.plate, 4) BETWEEN '2020' AND '2039') OR (regexp_matches(p.plate, '[0-9]{{4}}$') AND right(p.plate, 4) BETWEEN '2020' AND '2039')
     OR (length(regexp_replace(p.plate, '[^0-9]', '', 'g')) >= 6 AND regexp_matches(p.plate, '^[0-9][0-9]') AND substr(p.plate,3,2) <> 'BH') AS overlay
-    FROM p LEFT JOIN (SELECT plate, prior, layout FROM scored QUALIFY row_number() OVER (PARTITION BY plate ORDER BY prior DESC, layout DESC) = 1) b ON p.plate = b.plate""",
+    FROM p LEFT JOIN (SELECT plate, prior, layout, reasons FROM scored QUALIFY row_number() OVER (PARTITION BY plate ORDER BY prior DESC, layout DESC) = 1) b ON p.plate = b.plate""",
     p="SELECT DISTINCT plate FROM sighting",
     scored=_grammar_sql(),
 )

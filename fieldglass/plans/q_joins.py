@@ -10,7 +10,7 @@ from fieldglass.operators import access, joins, paging
 from fieldglass.plans import views
 from fieldglass.plans.q_fields import duck_distance, duck_km
 from fieldglass.plans.views import sql, table
-from fieldglass.store import stored
+from fieldglass.store import job, new_path, stored
 
 
 def _clock(df, *columns):
@@ -42,20 +42,21 @@ WATCH_HITS = sql(
 
 
 def cross_camera(spark, sf_dir):
-    """Readings of two devices within twelve hours and the distance, with the speed between them."""
+    """Readings within twelve hours and the distance, and whether no vehicle could be so fast between their devices."""
     cams = views.cameras(spark, sf_dir).select("camera_id", "latitude", "longitude")
     s = views.sightings(spark, sf_dir).select("sighting_id", (F.col("sighting_id") % 100).alias("camera_id"), "ts", "plate").join(cams, "camera_id")
-    pairs = joins.band_join(s, s, 12 * 3600).filter((F.col("l.sighting_id") != F.col("r.sighting_id")) & (F.col("l.camera_id") != F.col("r.camera_id")))
-    d = plates.distance_within(F.col("l.plate"), F.col("r.plate"))
+    near = stored(joins.plate_pairs(s, s.select(F.col("plate").alias("watched"))), "near")
+    pairs = joins.band_join(s.join(near, "plate"), s, 12 * 3600, on=[("watched", "plate")]).filter(F.col("l.sighting_id") != F.col("r.sighting_id"))
     km = geo.haversine_km(F.col("l.latitude"), F.col("l.longitude"), F.col("r.latitude"), F.col("r.longitude"))
     speed = F.when(F.col("dt") > 0, km / (F.col("dt") / 3600))
-    return pairs.withColumn("distance", d).filter("distance is not null").select(F.col("l.sighting_id").alias("a"), F.col("r.sighting_id").alias("b"), F.round("distance", 6).alias("distance"), F.coalesce(speed > 200, F.lit(True)).alias("impossible"))
+    other = F.col("l.camera_id") != F.col("r.camera_id")
+    return pairs.select(F.col("l.sighting_id").alias("a"), F.col("r.sighting_id").alias("b"), F.round("l.distance", 6).alias("distance"), other.alias("other_device"), (other & F.coalesce(speed > 200, F.lit(True))).alias("impossible"))
 
 
 CROSS_CAMERA = sql(
-    f"""SELECT a, b, round(d, 6) AS distance, coalesce(km / (dt / 3600) > 200, true) AS impossible FROM (SELECT l.sighting_id AS a, r.sighting_id AS b, {duck_distance("l.plate", "r.plate")} AS d, {duck_km("l", "r")} AS km,
+    f"""SELECT a, b, round(d, 6) AS distance, other AS other_device, other AND coalesce(km / (dt / 3600) > 200, true) AS impossible FROM (SELECT l.camera_id <> r.camera_id AS other, l.sighting_id AS a, r.sighting_id AS b, {duck_distance("l.plate", "r.plate")} AS d, {duck_km("l", "r")} AS km,
     nullif((epoch_us(r.ts) - epoch_us(l.ts)) / CAST(1000000 AS DOUBLE), 0) AS dt
-    FROM s l JOIN s r ON l.camera_id <> r.camera_id AND r.ts >= l.ts AND r.ts <= l.ts + INTERVAL 12 HOUR AND levenshtein(l.plate, r.plate) <= 2) WHERE d <= 1.0""",
+    FROM s l JOIN s r ON l.sighting_id <> r.sighting_id AND r.ts >= l.ts AND r.ts <= l.ts + INTERVAL 12 HOUR AND levenshtein(l.plate, r.plate) <= 2) WHERE d <= 1.0""",
     s="SELECT sighting_id, ts, plate, c.camera_id, latitude, longitude FROM sighting x JOIN cam c ON c.camera_id = x.sighting_id % 100",
 )
 
@@ -64,7 +65,7 @@ def event_correlation(spark, sf_dir):
     """Events of two devices within 180 s and 300 km, and whether they are of two departments."""
     cams = views.cameras(spark, sf_dir).select("camera_id", "department", "latitude", "longitude")
     d = views.detections(spark, sf_dir).select("detection_id", "camera_id", "ts").join(cams, "camera_id")
-    pairs = joins.within_radius(joins.band_join(d, d, 180), 300.0).filter(F.col("l.camera_id") != F.col("r.camera_id"))
+    pairs = joins.near_in_time(d, d, 180, 300.0).filter(F.col("l.camera_id") != F.col("r.camera_id"))
     return pairs.select(F.col("l.detection_id").alias("a"), F.col("r.detection_id").alias("b"), F.round("km", 3).alias("km"), F.round("dt", 3).alias("dt"), (F.col("l.department") != F.col("r.department")).alias("cross_department"))
 
 
@@ -170,22 +171,23 @@ UNCOVERED = "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SE
 
 
 def stale_devices(spark, sf_dir):
-    """Devices of a source that this sync didn't see, only if it saw any and had no errors."""
+    """Devices of a source that this sync (lines of the largest orders) didn't see, only if it saw any and had no errors."""
     cams = views.cameras(spark, sf_dir).withColumn("source", F.col("camera_id") % 4)
-    seen = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5000 < 4").select(F.col("l_suppkey").alias("camera_id"), (F.col("l_suppkey") % 4).alias("source"), "l_tax").filter("source <> 2")
+    seen = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_discount > 0.09").select(F.col("l_suppkey").alias("camera_id"), (F.col("l_suppkey") % 4).alias("source"), "l_tax").filter("source <> 2")
     sound = seen.groupBy("source").agg(F.count("*").alias("n"), F.count_if((F.col("l_tax") > 0.07) & (F.col("source") == 3)).alias("errors")).filter("n > 0 and errors = 0").select("source")
     return cams.join(sound, "source", "left_semi").join(seen.select("camera_id"), "camera_id", "left_anti").select("camera_id", "source")
 
 
 STALE_DEVICES = sql("""SELECT camera_id, camera_id % 4 AS source FROM cam WHERE camera_id % 4 IN (SELECT source FROM seen GROUP BY source HAVING count(*) > 0 AND count(*) FILTER (l_tax > 0.07 AND source = 3) = 0)
-    AND camera_id NOT IN (SELECT camera_id FROM seen)""", seen="SELECT l_suppkey AS camera_id, l_suppkey % 4 AS source, l_tax FROM lineitem WHERE l_orderkey % 5000 < 4 AND l_suppkey % 4 <> 2")
+    AND camera_id NOT IN (SELECT camera_id FROM seen)""", seen="SELECT l_suppkey AS camera_id, l_suppkey % 4 AS source, l_tax FROM lineitem WHERE l_quantity >= 50 AND l_discount > 0.09 AND l_suppkey % 4 <> 2")
 
 
 def hot_cameras(spark, sf_dir):
-    """Devices within reach of any device with a close reading in the last days, those included."""
+    """Devices within reach of any device with a reading close to a stolen plate in the last days, those included."""
     now = F.lit("2024-01-30 00:00:00").cast("timestamp")
-    seen = views.sightings(spark, sf_dir).filter(F.unix_micros("ts") >= F.unix_micros(now) - 3 * 86400 * 1000000).filter(F.substring("plate", 1, 3) == "GJ0")
-    last = seen.groupBy("camera_id").agg(F.max("ts").alias("ts"))
+    recent = views.sightings(spark, sf_dir).filter(F.unix_micros("ts") >= F.unix_micros(now) - 3 * 86400 * 1000000)
+    wanted = views.watch_list(spark, sf_dir).filter("category = 'stolen'").select(F.col("plate").alias("watched"))
+    last = stored(joins.fuzzy_join(recent, wanted).groupBy("camera_id").agg(F.max("ts").alias("ts")), "hot")
     cams = views.cameras(spark, sf_dir).select("camera_id", "latitude", "longitude")
     starts = last.join(cams, "camera_id")
     minutes = (F.unix_micros(now) - F.unix_micros("ts")) / 60e6
@@ -194,7 +196,7 @@ def hot_cameras(spark, sf_dir):
 
 HOT_CAMERAS = sql(
     f"""SELECT camera_id FROM last UNION SELECT p.camera_id FROM cam p WHERE EXISTS (SELECT 1 FROM last l JOIN cam c USING (camera_id) WHERE {duck_km("c", "p")} <= least(25, greatest(3, (epoch_us(TIMESTAMP '2024-01-30') - epoch_us(l.ts)) / 60e6)))""",
-    last="SELECT camera_id, max(ts) AS ts FROM sighting WHERE ts >= TIMESTAMP '2024-01-27' AND substr(plate,1,3) = 'GJ0' GROUP BY camera_id",
+    last=f"SELECT camera_id, max(ts) AS ts FROM sighting WHERE ts >= TIMESTAMP '2024-01-27' AND plate IN (SELECT plate FROM (SELECT s.plate, {duck_distance('s.plate', 'w.plate')} AS d FROM (SELECT DISTINCT plate FROM sighting) s JOIN watch w ON category = 'stolen' AND levenshtein(s.plate, w.plate) <= 2) WHERE d <= 1.0) GROUP BY camera_id",
 )
 
 
@@ -210,13 +212,14 @@ def nearest_plates(readings, wanted, most):
 
     Each round allows one edit more, for the listed plates that have none yet.
     """
-    readings, left, found = stored(readings.select("plate").distinct(), "readings"), stored(wanted.select("watched").filter(F.col("watched").isNotNull()), "wanted"), None
-    for edits in range(most + 1):
-        near = joins.edit_join(readings, left, edits).groupBy("watched").agg(F.min(F.struct("edits", "plate")).alias("m"))
-        near = stored(near.select(F.col("watched").alias("wanted"), "m.plate", "m.edits"), "nearest")
-        found = near if found is None else found.union(near)
-        left = stored(left.join(near.select(F.col("wanted").alias("watched")), "watched", "left_anti"), "wanted")
-    return found
+    with job(readings.sparkSession, "nearest") as result:
+        readings, left, found = stored(readings.select("plate").distinct(), "readings"), stored(wanted.select("watched").filter(F.col("watched").isNotNull()), "wanted"), None
+        for edits in range(most + 1):
+            near = joins.edit_join(readings, left, edits).groupBy("watched").agg(F.min(F.struct("edits", "plate")).alias("m"))
+            near = stored(near.select(F.col("watched").alias("wanted"), "m.plate", "m.edits"), "nearest")
+            found = near if found is None else found.union(near)
+            left = stored(left.join(near.select(F.col("wanted").alias("watched")), "watched", "left_anti"), "wanted")
+        return result(found)
 
 
 NEAREST_READING = sql("""SELECT wanted, plate, edits FROM (SELECT w.plate AS wanted, s.plate, levenshtein(s.plate, w.plate) AS edits FROM watch w JOIN (SELECT DISTINCT plate FROM sighting) s ON levenshtein(s.plate, w.plate) <= 3)
@@ -249,14 +252,21 @@ def greedy_boxes(predictions, labels, key, least_iou):
     return pairs.groupBy(*key).agg(F.collect_list(row).alias("rows")).select(*key, F.explode(folded).alias("m")).select(*key, "m.prediction", "m.label", F.round("m.iou", 6).alias("iou"))
 
 
+BOX_MATCHES = sql(
+    "SELECT camera_id, picture, prediction, label, round(iou, 6) AS iou FROM walk WHERE hit",
+    box="SELECT detection_id AS id, floor(detection_id / 400)::BIGINT AS camera_id, floor(detection_id / 20)::BIGINT AS picture, confidence, (detection_id * 7) % 40 AS x, (detection_id * 13) % 40 AS y FROM det",
+    pair="SELECT p.camera_id, p.picture, p.confidence, p.id AS prediction, t.id AS label, greatest(0, 40 - abs(p.x - t.x)) * greatest(0, 40 - abs(p.y - t.y)) AS inter FROM box p JOIN box t ON p.picture = t.picture AND p.id % 2 = 0 AND t.id % 2 = 1",
+    numbered="SELECT *, inter / CAST(3200 - inter AS DOUBLE) AS iou, row_number() OVER (PARTITION BY picture ORDER BY confidence DESC, prediction, inter DESC, label) AS k FROM pair WHERE inter / CAST(3200 - inter AS DOUBLE) >= 0.30",
+    walk="""SELECT camera_id, picture, k, prediction, label, iou, true AS hit, [prediction] AS ps, [label] AS ls FROM numbered WHERE k = 1 UNION ALL SELECT n.camera_id, n.picture, n.k, n.prediction, n.label, n.iou, NOT list_contains(ps, n.prediction) AND NOT list_contains(ls, n.label),
+    CASE WHEN list_contains(ps, n.prediction) OR list_contains(ls, n.label) THEN ps ELSE list_append(ps, n.prediction) END, CASE WHEN list_contains(ps, n.prediction) OR list_contains(ls, n.label) THEN ls ELSE list_append(ls, n.label) END FROM walk w JOIN numbered n ON n.picture = w.picture AND n.k = w.k + 1""",
+)
+
+
 def union_view(spark, sf_dir):
-    """The readings of all devices' own tables as one."""
-    s = views.sightings(spark, sf_dir)
-    parts = [s.filter(F.col("camera_id") == k) for k in range(10)]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.groupBy("camera_id").agg(F.count("*").alias("n"), F.countDistinct("plate").alias("plates"))
+    """The readings of all devices' own tables as one: a table with a folder for each device."""
+    path = new_path(spark, "by-device")
+    views.sightings(spark, sf_dir).select("camera_id", "sighting_id", "plate").write.partitionBy("camera_id").parquet(path)
+    return spark.read.schema("camera_id bigint, sighting_id bigint, plate string").parquet(path).groupBy("camera_id").agg(F.count("*").alias("n"), F.countDistinct("plate").alias("plates"))
 
 
 UNION_VIEW = sql("SELECT camera_id, count(*) AS n, count(DISTINCT plate) AS plates FROM sighting GROUP BY camera_id")
@@ -269,5 +279,5 @@ QUERIES = {
 ORACLES = {
     "scoped_detections": SCOPED_DETECTIONS, "watch_hits": WATCH_HITS, "cross_camera": CROSS_CAMERA, "event_correlation": EVENT_CORRELATION, "incident_plates": INCIDENT_PLATES,
     "plate_stamps": PLATE_STAMPS, "video_clock": VIDEO_CLOCK, "last_restart": LAST_RESTART, "guarded_times": GUARDED_TIMES, "per_supplier_counts": PER_SUPPLIER_COUNTS,
-    "evidence_flags": EVIDENCE_FLAGS, "uncovered": UNCOVERED, "stale_devices": STALE_DEVICES, "hot_cameras": HOT_CAMERAS, "nearest_reading": NEAREST_READING, "union_view": UNION_VIEW,
+    "evidence_flags": EVIDENCE_FLAGS, "uncovered": UNCOVERED, "stale_devices": STALE_DEVICES, "hot_cameras": HOT_CAMERAS, "nearest_reading": NEAREST_READING, "box_matches": BOX_MATCHES, "union_view": UNION_VIEW,
 }

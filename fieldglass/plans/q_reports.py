@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldglass.functions import fields, geo, plates
-from fieldglass.operators import paging, tables, voting, windows
+from fieldglass.operators import joins, paging, tables, voting, windows
 from fieldglass.operators.components import components
-from fieldglass.operators.joins import band_join
 from fieldglass.plans import views
 from fieldglass.plans.q_fields import duck_distance
 from fieldglass.plans.views import sql, table
+from fieldglass.store import stored
 
 HOUR = 3600 * 1_000_000
 VEHICLES = ["car", "motorcycle", "truck", "bus"]
@@ -24,7 +24,7 @@ def camera_traffic(spark, sf_dir):
     """For each device and class of detections since a time: count, first, last, and distinct plates of the device."""
     d = views.detections(spark, sf_dir).filter(F.col("ts") >= F.lit("2024-01-05").cast("timestamp"))
     by = d.groupBy("camera_id", "class_name").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    total = d.groupBy("camera_id").agg(F.count("*").alias("total"), F.count_if(F.col("class_name").isin(*VEHICLES)).alias("vehicles"))
+    total = by.groupBy("camera_id").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("class_name").isin(*VEHICLES), F.col("n"))), F.lit(0)).alias("vehicles"))
     seen = views.sightings(spark, sf_dir).groupBy("camera_id").agg(F.countDistinct("plate").alias("plates"))
     cams = views.cameras(spark, sf_dir).select("camera_id", "name", "department")
     return _clock(by.join(total, "camera_id").join(seen, "camera_id", "left").join(cams, "camera_id", "left"), "first", "last")
@@ -142,6 +142,17 @@ PERCENTILES = sql("""SELECT class_name, round(quantile_cont(width_px, 0.05), 4)
     min(width_px) AS least, max(width_px) AS most, count(*) AS n, round(avg(CASE WHEN width_px >= 40 THEN 1.0 ELSE 0.0 END), 6) AS share FROM det GROUP BY class_name""")
 
 
+def size_bands(spark, sf_dir):
+    """The edges of five size bands of each group of tracks, from quantiles or, for few sizes, fixed."""
+    d = views.detections(spark, sf_dir).groupBy("class_name", (F.col("track_id") % 40).alias("lane")).agg(fields.derived_bands(F.col("width_px")).alias("edges"), F.count_if(F.col("width_px") > 0).alias("sizes"))
+    return d.select("class_name", "lane", "sizes", *(F.round(F.col("edges")[i], 4).alias(f"edge{i + 1}") for i in range(4)))
+
+
+_CUT = ", ".join(f"quantile_cont(CAST(width_px AS DOUBLE), {q}) FILTER (width_px > 0) AS q{i + 1}" for i, q in enumerate(fields.BAND_SHARES))
+SIZE_BANDS = sql(f"""SELECT class_name, lane, sizes, round(CASE WHEN sizes < 20 THEN 20 ELSE q1 END, 4) AS edge1, round(CASE WHEN sizes < 20 THEN 40 ELSE e2 END, 4) AS edge2, round(CASE WHEN sizes < 20 THEN 60 ELSE e3 END, 4) AS edge3, round(CASE WHEN sizes < 20 THEN 120 ELSE greatest(q4, e3 + 1) END, 4) AS edge4
+    FROM (SELECT *, greatest(q3, e2 + 1) AS e3 FROM (SELECT *, greatest(q2, q1 + 1) AS e2 FROM (SELECT class_name, track_id % 40 AS lane, count(*) FILTER (width_px > 0) AS sizes, {_CUT} FROM det GROUP BY ALL)))""")
+
+
 def track_traffic(spark, sf_dir):
     """Each track's displacement, growth and direction from first to last place."""
     d = views.detections(spark, sf_dir)
@@ -263,16 +274,6 @@ INCIDENTS_REOPENED = sql("""SELECT camera_id, track_id, camera_id || '_' || trac
     (SELECT *, sum(CASE WHEN gap > 172800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY camera_id, track_id ORDER BY ts) AS run FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY camera_id, track_id ORDER BY ts) AS gap FROM det WHERE class_name = 'person')) GROUP BY camera_id, track_id, run""")
 
 
-def retention(spark, sf_dir):
-    """Rows past retention go to the archive, others stay; counts of both."""
-    d = views.detections(spark, sf_dir)
-    old = (F.col("ts") < F.lit("2024-01-08").cast("timestamp")) & F.col("class_name").rlike("^(car|bus)$")
-    return d.groupBy(F.when(old, "archived").otherwise("kept").alias("part"), "camera_id").agg(F.count("*").alias("n"))
-
-
-RETENTION = sql("SELECT CASE WHEN ts < TIMESTAMP '2024-01-08' AND class_name IN ('car','bus') THEN 'archived' ELSE 'kept' END AS part, camera_id, count(*) AS n FROM det GROUP BY ALL")
-
-
 def flow(spark, sf_dir):
     """The mean direction of each region's last 300 votes, one for each track."""
     d = views.detections(spark, sf_dir).withColumn("region", F.col("width_px") % 12).withColumn("angle", F.radians(((F.col("detection_id") * 17) % 360).cast("double")))
@@ -287,7 +288,7 @@ FLOW = sql("""SELECT region, round(degrees(atan2(avg(sin(a)), avg(cos(a)))), 3)
 
 def replays(spark, sf_dir):
     """Frames that repeat one of the same device within a day at nearly the same place."""
-    d = views.detections(spark, sf_dir).filter("width_px >= 150").select("detection_id", "camera_id", "ts", "width_px", F.concat_ws("/", "camera_id", "class_name").alias("cell"))
+    d = views.detections(spark, sf_dir).select("detection_id", "camera_id", "ts", "width_px", F.concat_ws("/", "camera_id", "class_name").alias("cell"))
     a = d.select("cell", F.struct("*").alias("l"), F.floor(F.unix_micros("ts") / (24 * HOUR)).alias("day"))
     b = d.select("cell", F.struct("*").alias("r"), F.explode(F.array(F.floor(F.unix_micros("ts") / (24 * HOUR)), F.floor(F.unix_micros("ts") / (24 * HOUR)) - 1)).alias("day"))
     gap = F.unix_micros("r.ts") - F.unix_micros("l.ts")
@@ -295,7 +296,7 @@ def replays(spark, sf_dir):
     return j.select(F.col("r.detection_id").alias("replay")).distinct()
 
 
-REPLAYS = sql("""SELECT DISTINCT r.detection_id AS replay FROM det l JOIN det r ON l.camera_id = r.camera_id AND l.class_name = r.class_name AND l.width_px >= 150 AND r.width_px >= 150 AND r.ts > l.ts AND r.ts <= l.ts + INTERVAL 24 HOUR AND abs(l.width_px - r.width_px) <= 2""")
+REPLAYS = sql("""SELECT DISTINCT r.detection_id AS replay FROM det l JOIN det r ON l.camera_id = r.camera_id AND l.class_name = r.class_name AND r.ts > l.ts AND r.ts <= l.ts + INTERVAL 24 HOUR AND abs(l.width_px - r.width_px) <= 2""")
 
 
 def sync_verdicts(spark, sf_dir):
@@ -341,13 +342,10 @@ POLICY_VERSIONS = """SELECT o_orderkey, CAST(sum(c) OVER (PARTITION BY o_custkey
 
 
 def vehicle_clusters(spark, sf_dir):
-    """K1, K4: readings of near plates within two hours as one vehicle; those at two devices or more."""
+    """K1: readings of near plates within six hours of each other as one vehicle; those at two devices or more."""
     s = views.sightings(spark, sf_dir).withColumn("camera_id", F.col("sighting_id") % 100).select("sighting_id", "camera_id", "ts", "plate", "confidence")
-    pairs = band_join(s, s, 6 * 3600).filter(F.col("l.sighting_id") < F.col("r.sighting_id"))
-    more = band_join(s, s, 6 * 3600).filter(F.col("l.sighting_id") > F.col("r.sighting_id"))
-    near = plates.distance_within(F.col("l.plate"), F.col("r.plate")).isNotNull()
-    edges = pairs.filter(near).select(F.col("l.sighting_id").alias("a"), F.col("r.sighting_id").alias("b")).union(more.filter(near).select(F.col("r.sighting_id").alias("a"), F.col("l.sighting_id").alias("b")))
-    roots = components(edges)
+    near = stored(joins.plate_pairs(s, s.select(F.col("plate").alias("watched"))), "near").select("plate", F.least("plate", "watched").alias("p"), F.greatest("plate", "watched").alias("q"))
+    roots = components(joins.chained(s.join(near, "plate"), ["p", "q"], 6 * 3600, "sighting_id"))
     j = s.join(roots, s["sighting_id"] == roots["node"])
     out = j.groupBy("root").agg(F.countDistinct("camera_id").alias("cameras"), F.count("*").alias("readings"), F.max("confidence").alias("best"), F.max_by("plate", F.struct("confidence", "sighting_id")).alias("plate"))
     return out.filter("cameras > 1").select(F.col("root").alias("vehicle"), "cameras", "readings", F.round("best", 6).alias("best"), "plate")
@@ -403,8 +401,8 @@ DECISIONS = sql(
 )
 
 QUERIES = {f.__name__: f for f in (
-    camera_traffic, overview, district_coverage, ageing, footage_quality, plate_search, directory, source_report, frames, percentiles, track_traffic, clip_scores, precision, error_buckets,
-    leakage, missing_plates, day_numbers, neighbour_frames, ingest_verdicts, incidents_reopened, retention, flow, replays, sync_verdicts, after_outage, model_versions, policy_versions,
+    camera_traffic, overview, district_coverage, ageing, footage_quality, plate_search, directory, source_report, frames, percentiles, size_bands, track_traffic, clip_scores, precision, error_buckets,
+    leakage, missing_plates, day_numbers, neighbour_frames, ingest_verdicts, incidents_reopened, flow, replays, sync_verdicts, after_outage, model_versions, policy_versions,
     vehicle_clusters, votes, fused, decisions,
 )}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

@@ -71,6 +71,24 @@ EXPOSED_PERSONS = sql(
 )
 
 
+def traffic_rates(spark, sf_dir):
+    """Of each device the tracks a minute (25 frames a second), boxes a frame, and the share of boxes that others hide."""
+    b = _boxes(spark, sf_dir)
+    hidden = tracks.occlusion(b, FRAME).groupBy("camera_id").agg(F.count("*").alias("hidden"))
+    per = b.groupBy("camera_id").agg(F.countDistinct("track_id").alias("tracks"), F.countDistinct("frame").alias("frames"), F.count("*").alias("boxes")).join(hidden, "camera_id", "left")
+    return per.select(
+        "camera_id", F.round(F.col("tracks") * 1500.0 / F.col("frames"), 1).alias("tracks_per_min"), F.round(F.col("boxes") / F.col("frames"), 2).alias("per_frame"), F.round(F.coalesce("hidden", F.lit(0)) / F.col("boxes"), 3).alias("occlusion")
+    )
+
+
+TRAFFIC_RATES = sql(
+    """SELECT camera_id, round(tracks * 1500.0 / frames, 1) AS tracks_per_min, round(boxes / CAST(frames AS DOUBLE), 2) AS per_frame, round(coalesce(hidden, 0) / CAST(boxes AS DOUBLE), 3) AS occlusion
+    FROM (SELECT camera_id, count(DISTINCT track_id) AS tracks, count(DISTINCT frame) AS frames, count(*) AS boxes FROM boxes GROUP BY camera_id) LEFT JOIN (SELECT camera_id, count(*) AS hidden FROM (SELECT camera_id, frame, ta FROM pairs WHERE inter > 480 UNION SELECT camera_id, frame, tb FROM pairs WHERE inter > 480) GROUP BY camera_id) USING (camera_id)""",
+    boxes=BOXES,
+    pairs=PAIRS,
+)
+
+
 def duplicate_tracks(spark, sf_dir):
     """K2, K3: tracks of one device whose boxes agree in three frames or more."""
     return tracks.duplicates(_boxes(spark, sf_dir), FRAME, 3, 0.4)
@@ -96,5 +114,5 @@ def decoded_texts(spark, sf_dir):
     return decoding.decode(e.select("vec_id", shares.alias("m")), "vec_id", "m", "ABCDEFG").select("vec_id", "text", F.round("score", 5).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (collisions, wrong_way, exposed_persons, duplicate_tracks, linked_objects, decoded_texts)}
-ORACLES = {"collisions": COLLISIONS, "wrong_way": WRONG_WAY, "exposed_persons": EXPOSED_PERSONS, "duplicate_tracks": DUPLICATE_TRACKS}
+QUERIES = {f.__name__: f for f in (collisions, wrong_way, exposed_persons, traffic_rates, duplicate_tracks, linked_objects, decoded_texts)}
+ORACLES = {"collisions": COLLISIONS, "wrong_way": WRONG_WAY, "exposed_persons": EXPOSED_PERSONS, "traffic_rates": TRAFFIC_RATES, "duplicate_tracks": DUPLICATE_TRACKS}

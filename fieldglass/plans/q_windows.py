@@ -17,42 +17,62 @@ def _clock(df, *columns):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
-def _vehicle_sessions(spark, sf_dir):
+def _vehicle_rows(spark, sf_dir):
+    """Detections of vehicles with their readings; every 29th track has no number."""
     d = views.detections(spark, sf_dir).filter("class_name <> 'person'")
-    return windows.sessions(d, ["camera_id", "track_id"], ["ts", "detection_id"], 12 * HOUR)
+    read = views.sightings(spark, sf_dir).select(F.col("sighting_id").alias("detection_id"), "plate", F.col("confidence").alias("plate_confidence"))
+    tracked = F.when(F.col("track_id") % 29 != 0, F.col("track_id"))
+    return d.withColumn("track_id", tracked).join(read, "detection_id", "left")
 
 
-def vehicles_seen(spark, sf_dir):
-    """vehicles as sessions of a track at a device, with class, width, nearness and frames."""
-    s = _vehicle_sessions(spark, sf_dir)
+def _vehicles(spark, sf_dir):
+    """Vehicles as sessions of a track at a device."""
+    s = windows.sessions(_vehicle_rows(spark, sf_dir).filter("track_id is not null"), ["camera_id", "track_id"], ["ts", "detection_id"], 12 * HOUR)
+    first = lambda c: F.struct(c, (-F.unix_micros("ts")).alias("t"), (-F.col("detection_id")).alias("i"))
     out = s.groupBy("camera_id", "track_id", "session").agg(
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("frames"), F.max("width_px").alias("width"),
-        F.max_by("class_name", F.struct("confidence", -F.col("detection_id"))).alias("class_name"), F.bool_or(F.col("confidence") > 0.9).alias("confirmed"),
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("frames"), F.max("width_px").alias("width"), F.max_by("class_name", first("confidence")).alias("class_name"),
+        F.max_by("plate", F.when(F.col("plate").isNotNull(), first("plate_confidence"))).alias("plate"), F.max("plate_confidence").alias("plate_confidence"), F.bool_or(F.when(F.col("plate").isNotNull(), F.col("confidence") > 0.9)).alias("confirmed"),
     )
-    return _clock(out.withColumn("near", F.col("width") >= 96), "first_seen", "last_seen")
+    near = F.col("width") >= 96
+    return out.withColumns({"near": near, "reason": F.when(F.col("plate").isNull(), F.when(near, "plate not readable").otherwise("too far to read"))})
+
+
+def vehicles_seen(spark, sf_dir):
+    """vehicles with class, width, nearness, frames and their best plate, or why they have none."""
+    return _clock(_vehicles(spark, sf_dir).withColumn("plate_confidence", F.round("plate_confidence", 6)), "first_seen", "last_seen")
 
 
 SESSIONS = """SELECT *, sum(CASE WHEN gap > 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY camera_id, track_id ORDER BY ts, detection_id) AS session FROM
-    (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY camera_id, track_id ORDER BY ts, detection_id) AS gap FROM det WHERE class_name <> 'person')"""
-VEHICLES_SEEN = sql(
-    """SELECT camera_id, track_id, session, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS frames, max(width_px) AS width, arg_max(class_name, row(confidence, -detection_id)) AS class_name,
-    bool_or(confidence > 0.9) AS confirmed, max(width_px) >= 96 AS near FROM sess GROUP BY camera_id, track_id, session""",
-    sess=SESSIONS,
-)
+    (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY camera_id, track_id ORDER BY ts, detection_id) AS gap FROM (SELECT d.*, s.plate, s.confidence AS pc FROM det d LEFT JOIN sighting s ON s.sighting_id = d.detection_id) WHERE class_name <> 'person' AND track_id % 29 <> 0)"""
+VEHICLES = """SELECT camera_id, track_id, session, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS frames, max(width_px) AS width, arg_max(class_name, row(confidence, -epoch_us(ts), -detection_id)) AS class_name,
+    arg_max(plate, row(pc, -epoch_us(ts), -detection_id)) FILTER (plate IS NOT NULL) AS plate, max(pc) AS plate_confidence, bool_or(confidence > 0.9) FILTER (plate IS NOT NULL) AS confirmed, max(width_px) >= 96 AS near,
+    CASE WHEN count(plate) = 0 THEN CASE WHEN max(width_px) >= 96 THEN 'plate not readable' ELSE 'too far to read' END END AS reason FROM sess GROUP BY camera_id, track_id, session"""
+VEHICLES_SEEN = sql("SELECT * REPLACE (round(plate_confidence, 6) AS plate_confidence) FROM vehicle", sess=SESSIONS, vehicle=VEHICLES)
+
+
+def vehicle_list(spark, sf_dir):
+    """the vehicles of a list, those with a plate first, then the last seen."""
+    v = _vehicles(spark, sf_dir).orderBy(F.col("plate").isNull(), F.desc("last_seen"), "camera_id", "track_id").limit(300)
+    return _clock(v.select("camera_id", "track_id", "session", "plate", "last_seen"), "last_seen")
+
+
+VEHICLE_LIST = sql("SELECT camera_id, track_id, session, plate, last_seen FROM vehicle ORDER BY plate IS NULL, last_seen DESC, camera_id, track_id LIMIT 300", sess=SESSIONS, vehicle=VEHICLES)
 
 
 def vehicles_totals(spark, sf_dir):
-    """vehicles by device, those near, and their share; devices with most vehicles first."""
-    v = _vehicle_sessions(spark, sf_dir).groupBy("camera_id", "track_id", "session").agg(F.max("width_px").alias("w"))
-    out = v.groupBy("camera_id").agg(F.count("*").alias("vehicles"), F.count_if(F.col("w") >= 96).alias("near"))
-    return out.withColumn("share", F.round(F.col("near") / F.col("vehicles"), 3)).orderBy(F.desc("vehicles"), "camera_id").limit(10)
+    """vehicles by device, those near and those with a plate, their share, and frames without a track."""
+    near, plated = F.count_if("near"), F.count("plate")
+    share = F.round(F.col("identified") / F.nullif(F.col("near"), F.lit(0)), 3)
+    out = _vehicles(spark, sf_dir).groupBy("camera_id").agg(F.count("*").alias("vehicles"), near.alias("near"), plated.alias("identified")).withColumn("share", share)
+    loose = _vehicle_rows(spark, sf_dir).groupBy("camera_id").agg(F.count_if(F.col("track_id").isNull()).alias("untracked"))
+    return out.join(loose, "camera_id", "full")
 
 
 VEHICLES_TOTALS = sql(
-    """SELECT camera_id, count(*) AS vehicles, count(*) FILTER (w >= 96) AS near, round(count(*) FILTER (w >= 96) / count(*), 3) AS share FROM (SELECT camera_id, max(width_px) AS w FROM sess GROUP BY camera_id, track_id, session)
-    GROUP BY camera_id ORDER BY vehicles DESC, camera_id LIMIT 10""",
-    sess=SESSIONS,
-)
+    """SELECT camera_id, vehicles, near, identified, round(identified / CAST(nullif(near, 0) AS DOUBLE), 3) AS share, untracked FROM (SELECT camera_id, count(*) AS vehicles, count(*) FILTER (near) AS near, count(plate) AS identified FROM vehicle GROUP BY camera_id)
+    FULL JOIN (SELECT camera_id, count(*) FILTER (track_id % 29 = 0) AS untracked FROM det WHERE class_name <> 'person' GROUP BY camera_id) USING (camera_id)""",
+    sess=SESSIONS, vehicle=VEHICLES,
+)
 
 
 def _passes(spark, sf_dir):
@@ -135,7 +155,7 @@ SPEEDS = sql("""SELECT detection_id, round(speed, 4) AS speed, round(avg(speed)
 
 
 def headings(spark, sf_dir):
-    """heading, straightness and trust of the last 12 places of each track."""
+    """heading, straightness, trust and sense (growth from the first to the last third) of the last 12 places of each track."""
     d = views.detections(spark, sf_dir).select("detection_id", "track_id", "ts", F.col("width_px").cast("double").alias("x"), ((F.col("detection_id") * 31) % 200).cast("double").alias("y"))
     w = W.partitionBy("track_id").orderBy("ts", "detection_id")
     step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
@@ -144,11 +164,12 @@ def headings(spark, sf_dir):
     dx, dy = F.col("x") - F.first("x").over(win), F.col("y") - F.first("y").over(win)
     path = F.sum("step").over(w.rowsBetween(-10, 0))
     out = d.withColumn("dx", dx).withColumn("dy", dy).withColumn("path", path).withColumn("widest", F.max("step").over(w.rowsBetween(-10, 0))).withColumn("n", F.count("*").over(win))
+    out = out.withColumn("growth", F.avg("x").over(w.rowsBetween(-3, 0)) / F.nullif(F.avg("x").over(w.rowsBetween(-11, -8)), F.lit(0.0)))
     moved = F.hypot("dx", "dy")
-    return out.filter("n = 12").select("detection_id", F.round(F.degrees(F.atan2("dy", "dx")), 3).alias("heading"), F.round(F.col("path") / F.nullif(moved, F.lit(0.0)), 3).alias("winding"), (F.col("widest") <= 150).alias("trusted"))
+    return out.filter("n = 12").select("detection_id", F.round(F.degrees(F.atan2("dy", "dx")), 3).alias("heading"), F.round(F.col("path") / F.nullif(moved, F.lit(0.0)), 3).alias("winding"), (F.col("widest") <= 150).alias("trusted"), F.when(F.col("growth") >= 1.12, "approaching").when(F.col("growth") <= 1 / 1.12, "receding").alias("sense"))
 
 
-HEADINGS = sql("""SELECT detection_id, round(degrees(atan2(dy, dx)), 3) AS heading, round(path / nullif(sqrt(dx * dx + dy * dy), 0), 3) AS winding, widest <= 150 AS trusted FROM (SELECT detection_id, x - first_value(x) OVER v AS dx, y - first_value(y) OVER v AS dy, sum(step) OVER u AS path, max(step) OVER u AS widest, count(*) OVER v AS n
+HEADINGS = sql("""SELECT detection_id, round(degrees(atan2(dy, dx)), 3) AS heading, round(path / nullif(sqrt(dx * dx + dy * dy), 0), 3) AS winding, widest <= 150 AS trusted, CASE WHEN growth >= 1.12 THEN 'approaching' WHEN growth <= 1 / CAST(1.12 AS DOUBLE) THEN 'receding' END AS sense FROM (SELECT detection_id, avg(x) OVER (PARTITION BY track_id ORDER BY ts, detection_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) / nullif(avg(x) OVER (PARTITION BY track_id ORDER BY ts, detection_id ROWS BETWEEN 11 PRECEDING AND 8 PRECEDING), 0) AS growth, x - first_value(x) OVER v AS dx, y - first_value(y) OVER v AS dy, sum(step) OVER u AS path, max(step) OVER u AS widest, count(*) OVER v AS n
     FROM (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM (SELECT detection_id, track_id, ts, CAST(width_px AS DOUBLE) AS x, CAST((detection_id * 31) % 200 AS DOUBLE) AS y FROM det) WINDOW w AS (PARTITION BY track_id ORDER BY ts, detection_id))
     WINDOW v AS (PARTITION BY track_id ORDER BY ts, detection_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), u AS (PARTITION BY track_id ORDER BY ts, detection_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)) WHERE n = 12""")
 
@@ -167,13 +188,13 @@ CROWD_BASELINE = sql("""SELECT detection_id, past[CAST(floor(len(past) * 0.9) AS
 
 def cooldown(spark, sf_dir):
     """alerts of a track at least two days after its last that fired."""
-    d = views.detections(spark, sf_dir).filter("width_px > 150").withColumnRenamed("detection_id", "id")
+    d = views.detections(spark, sf_dir).withColumnRenamed("detection_id", "id")
     return windows.throttled(d, ["track_id"], 48 * HOUR).select("track_id", "id")
 
 
 COOLDOWN = sql(
     "SELECT track_id, id FROM fired",
-    rows="SELECT track_id, detection_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY track_id ORDER BY ts, detection_id) AS k FROM det WHERE width_px > 150",
+    rows="SELECT track_id, detection_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY track_id ORDER BY ts, detection_id) AS k FROM det",
     chain="SELECT track_id, id, t, k, true AS fires FROM rows WHERE k = 1 UNION ALL SELECT r.track_id, r.id, CASE WHEN r.t - c.t >= 172800000000 THEN r.t ELSE c.t END, r.k, r.t - c.t >= 172800000000 FROM chain c JOIN rows r ON r.track_id = c.track_id AND r.k = c.k + 1",
     fired="SELECT track_id, id FROM chain WHERE fires",
 )
@@ -208,14 +229,14 @@ FOOTAGE_BURSTS = sql("""SELECT camera_id, quality, ts, n FROM (SELECT *, count(*
 
 
 def health_streaks(spark, sf_dir):
-    """Runs of two or more low-confidence checks of a device."""
-    d = views.detections(spark, sf_dir)
+    """Runs of two or more failed checks of a device; checks during an outage of its source are not the device's."""
+    d = views.detections(spark, sf_dir).filter(F.hour("ts") != 3)
     runs = windows.streaks(d, ["camera_id"], ["ts", "detection_id"], F.col("confidence") < 0.1).filter("n >= 2")
     return _clock(runs, "first", "last")
 
 
 HEALTH_STREAKS = sql("""SELECT camera_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(CASE WHEN f = p THEN 0 ELSE 1 END) OVER (PARTITION BY camera_id ORDER BY ts, detection_id) AS run FROM
-    (SELECT *, confidence < 0.1 AS f, lag(confidence < 0.1) OVER (PARTITION BY camera_id ORDER BY ts, detection_id) AS p FROM det)) WHERE f GROUP BY camera_id, run HAVING count(*) >= 2""")
+    (SELECT *, confidence < 0.1 AS f, lag(confidence < 0.1) OVER (PARTITION BY camera_id ORDER BY ts, detection_id) AS p FROM det WHERE hour(ts) <> 3)) WHERE f GROUP BY camera_id, run HAVING count(*) >= 2""")
 
 
 def inactivity(spark, sf_dir):
@@ -245,12 +266,12 @@ MOVING_BASELINE = sql(
 )
 
 QUERIES = {
-    "vehicles_seen": vehicles_seen, "vehicles_totals": vehicles_totals, "passes": passes, "route": route, "clock_cuts": clock_cuts, "speeds": speeds, "headings": headings,
+    "vehicles_seen": vehicles_seen, "vehicle_list": vehicle_list, "vehicles_totals": vehicles_totals, "passes": passes, "route": route, "clock_cuts": clock_cuts, "speeds": speeds, "headings": headings,
     "crowd_baseline": crowd_baseline, "cooldown": cooldown, "reader_runs": reader_runs, "latest_health": latest_health, "footage_bursts": footage_bursts, "health_streaks": health_streaks,
     "inactivity": inactivity, "moving_baseline": moving_baseline,
 }
 ORACLES = {
-    "vehicles_seen": VEHICLES_SEEN, "vehicles_totals": VEHICLES_TOTALS, "passes": PASSES, "route": ROUTE, "clock_cuts": CLOCK_CUTS, "speeds": SPEEDS, "headings": HEADINGS,
+    "vehicles_seen": VEHICLES_SEEN, "vehicle_list": VEHICLE_LIST, "vehicles_totals": VEHICLES_TOTALS, "passes": PASSES, "route": ROUTE, "clock_cuts": CLOCK_CUTS, "speeds": SPEEDS, "headings": HEADINGS,
     "crowd_baseline": CROWD_BASELINE, "cooldown": COOLDOWN, "reader_runs": READER_RUNS, "latest_health": LATEST_HEALTH, "footage_bursts": FOOTAGE_BURSTS, "health_streaks": HEALTH_STREAKS,
     "inactivity": INACTIVITY, "moving_baseline": MOVING_BASELINE,
 }

@@ -80,10 +80,11 @@ def vehicles(spark: SparkSession, path: str, whole_files: bool = True) -> DataFr
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Ground truth CSV of several devices, without comment rows; the device is the file's name."""
+    """Ground truth CSV of several devices, without comment rows; the device is the file's name, or its folder's (``camera=``)."""
     raw = spark.read.option("header", True).schema("vehicle string, tracks string, plate string, legibility string, vehicle_type string, side string, notes string").csv(path)
-    device = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-    return raw.select(device.alias("camera"), "*").filter(~F.coalesce(F.col("vehicle"), F.lit("")).startswith("#"))
+    name = F.col("_metadata.file_path")
+    device = F.coalesce(F.nullif(F.regexp_extract(name, r"/camera=([^/]*)/[^/]*$", 1), F.lit("")), F.regexp_extract(name, r"([^/]*)\.csv$", 1))
+    return raw.select(device.alias("camera"), "vehicle", "tracks", "plate", "legibility", "vehicle_type", "side", "notes").filter(~F.coalesce(F.col("vehicle"), F.lit("")).startswith("#"))
 
 
 def onboarding(spark: SparkSession, path: str) -> DataFrame:
@@ -100,6 +101,32 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").option("lineSep", "\n").csv(path)
 
 
+# Floors of the plate report.
+LEAST_CONFIDENCE, LEAST_PRIOR = 0.10, 0.12
+
+
+def graded(sightings: DataFrame) -> DataFrame:
+    """Readings with the floor of the plate report that they miss (``withheld``); null for those in it."""
+    priors = sightings.select("plate").distinct().withColumn("_g", plates.grammar(plates.grammar_form(F.col("plate")))).select("plate", F.col("_g.prior").alias("_prior"))
+    missed = fields.first_reason(confidence=F.coalesce("confidence", F.lit(0.0)) >= LEAST_CONFIDENCE, grammar=F.coalesce("_prior", F.lit(0.0)) >= LEAST_PRIOR)
+    return sightings.join(priors, "plate", "left").withColumn("withheld", missed).drop("_prior")
+
+
+def write_markdown(df: DataFrame, columns: list[str], path: str) -> None:
+    """A Markdown table as text files, the head in one of its own."""
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(f"| {' | '.join(columns)} |",), (f"|{' --- |' * len(columns)}",)], "line string")
+    head.coalesce(1).write.text(path)
+    df.select(row([F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\|", "/"), F.lit("")) for c in columns]).alias("line")).write.mode("append").text(path)
+
+
+def write_truth(rows: DataFrame, path: str) -> None:
+    """Ground truth (camera, vehicle, plate) as CSV, a folder for each device."""
+    more = ("tracks", "legibility", "vehicle_type", "side", "notes")
+    full = rows.withColumns({c: F.lit("") for c in more}).select("camera", "vehicle", "tracks", "plate", "legibility", "vehicle_type", "side", "notes")
+    full.write.partitionBy("camera").option("header", True).csv(path)
+
+
 def plate_report(sightings: DataFrame, floor: float = 0.10) -> DataFrame:
     """The columns of a plate report as text: confidence with three decimals, yes or no, nulls empty."""
     rows = sightings.filter(F.coalesce("confidence", F.lit(0.0)) >= floor)

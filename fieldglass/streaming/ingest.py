@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,18 +55,21 @@ BURST = "camera_id bigint, quality string, raised timestamp, frames int"
 BURST_STATE = "times array<bigint>, open boolean, last bigint"
 
 
-def bursts(stream: DataFrame, within_us: int, least: int, clear_us: int) -> DataFrame:
+def bursts(stream: DataFrame, within_us: int, least: int, clear_us: int, delay: str = "40 days") -> DataFrame:
     """An alert when ``least`` bad frames of a kind come within a time, none while one is open.
 
     An alert closes when no bad frame came for ``clear_us``. The state of a key is
-    the times of its last ``least`` frames at most.
+    the times of its last ``least`` frames at most, and goes when the watermark has
+    passed the time at which it would say nothing any more.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times, is_open, last = state.get if state.exists else ([], False, 0)
         times, out = list(times), []
-        rows = sorted(int(t.value // 1000) for pdf in parts for t in pdf["ts"])
-        for t in rows:
+        for t in np.sort(np.concatenate([pdf["ts"].to_numpy("datetime64[us]").astype(np.int64) for pdf in parts])).tolist():
             if is_open and t - last > clear_us:
                 is_open, times = False, []
             times = [x for x in [*times, t] if t - x <= within_us][-least:]
@@ -74,9 +78,11 @@ def bursts(stream: DataFrame, within_us: int, least: int, clear_us: int) -> Data
                 out.append((*key, pd.Timestamp(t * 1000), len(times)))
             last = t
         state.update((times, is_open, last))
-        yield pd.DataFrame(out, columns=["camera_id", "quality", "raised", "frames"])
+        state.setTimeoutTimestamp(max((last + max(within_us, clear_us)) // 1000, state.getCurrentWatermarkMs()) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["camera_id", "quality", "raised", "frames"])
 
-    return stream.groupBy("camera_id", "quality").applyInPandasWithState(step, BURST, BURST_STATE, "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", delay).groupBy("camera_id", "quality").applyInPandasWithState(step, BURST, BURST_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, writer: Callable[[DataFrame, int], None], mode: str = "append") -> None:

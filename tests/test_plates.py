@@ -70,7 +70,23 @@ def test_forms(spark):
 
 
 def test_grammar_cases(spark):
-    rows = {"GJ01AB1234": ("std_s2_n4", 1.0), "DL3CCN5712": ("dl_short", 0.42), "GJ3CCN5712": (None, 0.0), "GJ00AB1234": ("std_s2_n4", 0.05), "XX01AB1234": ("std_s2_n4", 0.05), "GJ01IO1234": ("std_s2_n4", 0.35), "21BH1234AA": ("bharat", 0.15), "": (None, 0.0)}
+    """Layouts, priors and reasons of plates of every kind."""
+    rows = {
+        "GJ01AB1234": ("std_s2_n4", 1.0, []), "DL3CCN5712": ("dl_short", 0.42, []), "GJ3CCN5712": (None, 0.0, ["no_format_match"]), "XX01AB1234": ("std_s2_n4", 0.05, ["unknown_state"]),
+        "GJ00AB1234": ("std_s2_n4", 0.005, ["unknown_office", "district_00"]), "GJ44AB1234": ("std_s2_n4", 0.1, ["unknown_office"]), "MH60AB1234": ("std_s2_n4", 0.21, ["district_out_of_range"]), "GJ01IO1234": ("std_s2_n4", 0.35, ["rare_series_letter"]),
+        "21BH1234AA": ("bharat", 0.15, []), "50BH1234AA": ("bharat", 0.03, ["implausible_year"]), "77CD123": ("dipl_CD", 0.01, []), "77UN1234": ("dipl_UN_4", 0.01, []), "GJVA123456": ("vintage", 0.005, []), "GJ01TC1234": ("std_s2_n4", 1.0, []),
+        "DL1AC1234": ("dl_short_s1", 0.245, []), "WB991": ("std_s0_n1", 0.021, []), "": (None, 0.0, ["no_format_match"]),
+    }
     df = spark.createDataFrame([(p,) for p in rows], "p string").select("p", plates.grammar(F.col("p")).alias("g"))
     for r in df.collect():
-        assert (r.g.layout, round(r.g.prior, 6)) == rows[r.p]
+        assert (r.g.layout, round(r.g.prior, 6), r.g.reasons, r.g.valid) == (*rows[r.p], rows[r.p][0] is not None), r
+
+
+def test_overlay_and_slots(spark):
+    overlay = {"20260614": True, "GJ012031": True, "155AM": True, "1155PMX": True, "REC01": True, "AB12HRS": True, "123456A": True, "22BH1234AA": False, "GJ01AB1234": False, "X12345678": True, "22AB1234": True, "GJ012040": False}
+    got = spark.createDataFrame([(p,) for p in overlay], "p string").select("p", plates.looks_like_overlay(F.col("p")).alias("o")).collect()
+    assert {r.p: r.o for r in got} == overlay
+    fixed = {"6J01AB1Z34": "GJ01AB1234", "GJ01AB1234": None, "GJO1A8I234": "GJ01AB1234", "XY": None}
+    got = spark.createDataFrame([(p,) for p in fixed], "p string").select("p", plates.coerced(F.col("p")).alias("c")).collect()
+    assert {r.p: r.c for r in got} == fixed
+    assert plates.slots_of(10) == "AADDAADDDD" and plates.slots_of(3) is None
