@@ -13,7 +13,7 @@ from fieldglass.store import job, stored
 # Overlap of a collision, share above which boxes are nested, and how hard both must brake.
 COLLISION_IOU, NESTED_SHARE, COLLISION_DECEL = 0.18, 0.85, 0.40
 # What makes a track a duplicate of another.
-COMMON_FRAMES, DUPLICATE_IOU = 3, 0.6
+COMMON_FRAMES, DUPLICATE_IOU, DUPLICATE_COVER, DUPLICATE_RATIO = 3, 0.6, 0.85, 0.5
 
 
 def _box(alias: str) -> list[Column]:
@@ -65,9 +65,14 @@ def exposed(persons: DataFrame, vehicles: DataFrame, frame: list[str], most_iou:
 
 
 def duplicates(boxes: DataFrame, frame: list[str], common: int = COMMON_FRAMES, least_iou: float = DUPLICATE_IOU) -> DataFrame:
-    """Pairs of tracks that share frames and whose boxes there are nearly the same."""
-    p = _pairs(boxes, frame).groupBy(F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b")).agg(F.count("*").alias("frames"), F.percentile("iou", F.lit(0.5)).alias("median"))
-    return p.filter((F.col("frames") >= common) & (F.col("median") >= least_iou)).select("a", "b")
+    """Pairs of tracks that share frames where their boxes are nearly the same, or one mostly covers another of like size."""
+    area = lambda n: (F.col(f"{n}.x2") - F.col(f"{n}.x1")) * (F.col(f"{n}.y2") - F.col(f"{n}.y1"))
+    ratio = F.least(area("a"), area("b")) / F.greatest(area("a"), area("b"))
+    median = lambda c: F.percentile(c, F.lit(0.5))
+    p = _pairs(boxes, frame).withColumn("ratio", ratio).groupBy(F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b"))
+    p = p.agg(F.count("*").alias("frames"), median("iou").alias("iou"), median("inside").alias("cover"), median("ratio").alias("ratio"))
+    covers = (F.col("cover") >= DUPLICATE_COVER) & (F.col("ratio") >= DUPLICATE_RATIO)
+    return p.filter((F.col("frames") >= common) & ((F.col("iou") >= least_iou) | covers)).select("a", "b")
 
 
 def continuations(tracks: DataFrame, by: str, most_gap: float, most_step: float) -> DataFrame:

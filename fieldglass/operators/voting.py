@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldglass.functions import plates
+
 
 def string_vote(readings: DataFrame, by: list[str], text: str, weight: str, crop: str, alternates: int = 3) -> DataFrame:
     """The text of most weight of each group, its share, strength and alternates.
@@ -31,35 +30,39 @@ def support(readings: DataFrame, winners: DataFrame, by: list[str], text: str, s
     return j.groupBy(*by).agg(F.countDistinct(F.when(F.col(text) == F.col("_w"), F.col(source))).alias("exact_sources"), F.countDistinct(F.when(F.levenshtein(text, "_w") <= 1, F.col(source))).alias("near_sources"))
 
 
-def _aligned(texts: list[str], weights: list[float]) -> tuple[str, float]:
-    """A position-wise weighted vote among the texts of the commonest length."""
-    by_length: dict[int, float] = defaultdict(float)
-    for t, w in zip(texts, weights, strict=True):
-        by_length[len(t)] += w
-    length = max(by_length, key=lambda n: (by_length[n], n))
-    out, kept, total = "", 0.0, 0.0
-    for i in range(length):
-        votes: dict[str, float] = defaultdict(float)
-        for t, w in zip(texts, weights, strict=True):
-            if len(t) == length:
-                votes[t[i]] += w
-        glyph = min(votes, key=lambda g: (-votes[g], g))
-        out += glyph
-        kept += votes[glyph]
-        total += sum(votes.values())
-    return out, kept / total if total else 0.0
-
-
 def positional_vote(readings: DataFrame, key: str, text: str, weight: str) -> DataFrame:
-    """The text that each position's weighted vote gives, and the share of agreeing weight.
+    """The text that each position's weighted vote gives among readings of the length of most weight, and the share of agreeing weight.
 
-    Equal texts of a track are summed before they are shuffled, so a track's group
-    holds its distinct texts only.
+    ``share`` is the mean over positions. Equal texts are summed first; ties go to
+    the longer text and to the first glyph of the alphabet.
     """
-    texts = readings.filter(F.col(text).isNotNull()).groupBy(key, F.col(text).alias("text")).agg(F.sum(weight).alias("weight"))
+    texts = readings.filter(F.col(text) != "").groupBy(key, F.col(text).alias("text")).agg(F.sum(weight).alias("w"))
+    length = texts.groupBy(key, F.length("text").alias("n")).agg(F.sum("w").alias("w")).groupBy(key).agg(F.max_by("n", F.struct("w", "n")).alias("n"))
+    glyphs = texts.join(length, key).filter(F.length("text") == F.col("n")).select(key, "w", F.posexplode(F.split("text", "")).alias("i", "g"))
+    votes = glyphs.groupBy(key, "i", "g").agg(F.sum("w").alias("w")).groupBy(key, "i").agg(F.min(F.struct((-F.col("w")).alias("w"), "g")).alias("top"), F.sum("w").alias("all"))
+    won = F.struct("i", F.col("top.g").alias("g"))
+    fused = F.array_join(F.transform(F.array_sort(F.collect_list(won)), lambda x: x["g"]), "")
+    return votes.groupBy(key).agg(fused.alias("fused"), (F.sum(-F.col("top.w")) / F.sum("all")).alias("agreement"), F.avg(-F.col("top.w") / F.col("all")).alias("share"))
+
 
-    def vote(pdf: pd.DataFrame) -> pd.DataFrame:
-        fused, agreement = _aligned(pdf["text"].tolist(), pdf["weight"].tolist())
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "fused": [fused], "agreement": [agreement]})
+def fused_reads(readings: DataFrame, key: str, text: str, weight: str, enhanced: Column, penalty: float = 0.6, temperature: float = 1.0) -> DataFrame:
+    """:func:`positional_vote` with its support, prior, calibrated confidence and up to three alternates.
 
-    return texts.groupBy(key).applyInPandas(vote, f"{key} {readings.schema[key].dataType.simpleString()}, fused string, agreement double")
+    Support is the share of weight of readings within one edit. If the readings of
+    ``enhanced`` pictures and the others each favour another text, ``penalty``
+    applies. Alternates are readings within two edits by weight.
+    """
+    won = positional_vote(readings, key, text, weight)
+    prior = won.select("fused").distinct().withColumn("prior", plates.grammar(F.col("fused"))["prior"])
+    texts = readings.filter(F.col(text) != "").groupBy(key, F.col(text).alias("text"), enhanced.alias("sr")).agg(F.sum(weight).alias("w"))
+    top = texts.groupBy(key, "sr").agg(F.max_by("text", F.struct("w", "text")).alias("t")).groupBy(key).agg((F.countDistinct("t") > 1).alias("sr_disagree"))
+    near = texts.groupBy(key, "text").agg(F.sum("w").alias("w")).join(won.select(key, "fused"), key).withColumn("edits", F.levenshtein("text", "fused"))
+    rank = W.partitionBy(key).orderBy((F.col("edits") > 2) | (F.col("edits") == 0), F.desc("w"), "text")
+    near = near.withColumn("place", F.row_number().over(rank))
+    others = F.array_sort(F.collect_list(F.when((F.col("place") <= 3) & F.col("edits").between(1, 2), F.struct("place", "text"))))
+    support = near.groupBy(key).agg((F.sum(F.when(F.col("edits") <= 1, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("support"), F.array_join(F.transform(others, lambda x: x["text"]), ",").alias("alternates"))
+    raw = F.col("share") * (0.5 + 0.5 * F.col("prior")) * F.col("support") * F.when(F.col("sr_disagree"), penalty).otherwise(1.0)
+    logit = F.log(F.col("raw") / (1 - F.col("raw"))) / temperature
+    confidence = F.when((F.col("raw") <= 0) | (F.col("raw") >= 1) | F.lit(temperature == 1.0), F.col("raw")).otherwise(1 / (1 + F.exp(-logit)))
+    out = won.join(prior, "fused").join(support, key).join(top, key).withColumn("raw", raw).withColumn("confidence", confidence)
+    return out.select(key, "fused", "agreement", "support", "prior", "sr_disagree", "confidence", "alternates")

@@ -8,7 +8,7 @@ from fieldglass.functions import fields, geo, plates
 from fieldglass.operators import joins, paging, tables, voting, windows
 from fieldglass.operators.components import components
 from fieldglass.plans import views
-from fieldglass.plans.q_fields import duck_distance
+from fieldglass.plans.q_fields import _grammar_sql, duck_distance
 from fieldglass.plans.views import sql, table
 from fieldglass.store import stored
 
@@ -376,15 +376,22 @@ VOTES = sql(
 
 
 def fused(spark, sf_dir):
-    """L1: the position-wise weighted vote of each track's readings."""
-    return voting.positional_vote(views.sightings(spark, sf_dir), "track_id", "plate", "confidence").withColumn("agreement", F.round("agreement", 6))
+    """L1: the position-wise weighted vote of each track's readings with support, prior, confidence and alternates."""
+    found = voting.fused_reads(views.sightings(spark, sf_dir), "track_id", "plate", "confidence", F.col("observations") % 2 == 0)
+    return found.select("track_id", "fused", *(F.round(c, 6).alias(c) for c in ("agreement", "support", "prior", "confidence")), "sr_disagree", "alternates")
 
 
 FUSED = sql(
-    """SELECT track_id, string_agg(g, '' ORDER BY i) AS fused, round(sum(w) / sum(t), 6) AS agreement FROM (SELECT *, sum(w) OVER (PARTITION BY track_id, i) AS t,
-    row_number() OVER (PARTITION BY track_id, i ORDER BY w DESC, g) AS k FROM glyph) WHERE k = 1 GROUP BY track_id""",
+    """SELECT track_id, fused, round(agreement, 6) AS agreement, round(support, 6) AS support, round(coalesce(prior, 0), 6) AS prior, sr_disagree, coalesce(alternates, '') AS alternates,
+    round(share * (0.5 + 0.5 * coalesce(prior, 0)) * support * (CASE WHEN sr_disagree THEN 0.6 ELSE 1.0 END), 6) AS confidence FROM won LEFT JOIN (SELECT plate, max(prior) AS prior FROM scored GROUP BY plate) g ON g.plate = fused
+    JOIN (SELECT track_id, sum(CASE WHEN e <= 1 THEN w ELSE 0 END) / sum(w) AS support, string_agg(CASE WHEN place <= 3 AND e BETWEEN 1 AND 2 THEN plate END, ',' ORDER BY place) AS alternates FROM near GROUP BY track_id) USING (track_id)
+    JOIN (SELECT track_id, count(DISTINCT t) > 1 AS sr_disagree FROM (SELECT track_id, sr, arg_max(plate, row(w, plate)) AS t FROM (SELECT track_id, plate, observations % 2 = 0 AS sr, sum(confidence) AS w FROM sighting GROUP BY ALL) GROUP BY ALL) GROUP BY track_id) USING (track_id)""",
     len1="SELECT track_id, arg_max(n, row(w, n)) AS n FROM (SELECT track_id, length(plate) AS n, sum(confidence) AS w FROM sighting GROUP BY ALL) GROUP BY track_id",
     glyph="SELECT track_id, i, substr(plate, CAST(i AS INT), 1) AS g, sum(confidence) AS w FROM (SELECT s.track_id, plate, confidence, unnest(range(1, n + 1)) AS i FROM sighting s JOIN len1 l ON l.track_id = s.track_id AND length(plate) = n) GROUP BY ALL",
+    won="SELECT track_id, string_agg(g, '' ORDER BY i) AS fused, sum(w) / sum(t) AS agreement, avg(w / t) AS share FROM (SELECT *, sum(w) OVER (PARTITION BY track_id, i) AS t, row_number() OVER (PARTITION BY track_id, i ORDER BY w DESC, g) AS k FROM glyph) WHERE k = 1 GROUP BY track_id",
+    near="SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY e > 2 OR e = 0, w DESC, plate) AS place FROM (SELECT track_id, plate, sum(confidence) AS w, levenshtein(plate, fused) AS e FROM sighting JOIN won USING (track_id) GROUP BY track_id, plate, fused)",
+    p="SELECT DISTINCT fused AS plate FROM won",
+    scored=_grammar_sql(),
 )
 
 

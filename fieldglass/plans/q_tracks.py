@@ -94,7 +94,7 @@ def duplicate_tracks(spark, sf_dir):
     return tracks.duplicates(_boxes(spark, sf_dir), FRAME, 3, 0.4)
 
 
-DUPLICATE_TRACKS = sql("SELECT ta AS a, tb AS b FROM pairs GROUP BY ta, tb HAVING count(*) >= 3 AND quantile_cont(inter / (3200 - inter), 0.5) >= 0.4", boxes=BOXES, pairs=PAIRS)
+DUPLICATE_TRACKS = sql("SELECT ta AS a, tb AS b FROM pairs GROUP BY ta, tb HAVING count(*) >= 3 AND (quantile_cont(inter / (3200 - inter), 0.5) >= 0.4 OR quantile_cont(inter / 1600, 0.5) >= 0.85)", boxes=BOXES, pairs=PAIRS)
 
 
 def linked_objects(spark, sf_dir):
