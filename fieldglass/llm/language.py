@@ -9,9 +9,10 @@ back to a shorter one where it is unseen in every language.
 
 The counts cover the whole corpus, and all of them count. Each task loads the
 words that are most frequent over all languages, with every language's count of
-them, and scores them on the way; all other words are joined in Spark with the
-stored counts of words, and those without a match with the counts of n-grams.
-Every language that occurs is learned.
+them, and scores them on the way; all other words (4% of the different words of
+texts in half a gigabyte) are joined in Spark with the stored counts of words, and
+those without a match get their n-grams' scores, from a table of all n-grams as
+long as that is small, else from joins too. Every language that occurs is learned.
 
 Cases: null text, or text without letters: ``und`` with score 0, as with a model
 of no language; repeated and long texts are scored whole, one by one; ties go to
@@ -34,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm.common import record_batch, sliced, text_or_empty
-from fieldglass.store import stored
+from fieldglass.store import job, stored
 
 UNKNOWN = "und"
 SIZES = (3, 2, 1)
 #: Words (and words times languages) of the table that tasks load; all others are joined.
-HEAD_WORDS = 120_000
+HEAD_WORDS = 400_000
 HEAD_CELLS = 4_000_000
+#: Counts of n-grams up to which tasks load all of them; beyond it they are joined, with the same scores.
+GRAM_CELLS = 4_000_000
 CACHE_TOKENS = 140_000
 PARTIAL = 200_000
 COUNTS = "lang string, word string, n bigint"
@@ -101,29 +104,20 @@ def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from out()
 
 
-def _bounded(counts: DataFrame, most: int, parts: list[str]) -> DataFrame:
-    """Rows of ``counts`` above a frequency that leaves at most ``most`` for each of ``parts``.
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of ``counts`` whose ``total`` is above a level that leaves at most ``most``.
 
-    The frequency is a power of 2 ** (1 / 4), found from a histogram of a few
-    hundred rows.
+    Levels are powers of 2 ** (1 / 4), and the right one is found from a histogram
+    of a few hundred rows.
     """
-    level = F.floor(F.log2("n") * 4).cast("int")
-    steps: dict[tuple, list[tuple[int, int]]] = {}
-    for row in counts.groupBy(*parts, level.alias("level")).agg(F.count("*").alias("types")).collect():
-        steps.setdefault(tuple(row[p] for p in parts), []).append((row["level"], row["types"]))
-    keep = F.lit(False)
-    for key, levels in steps.items():
-        left, least = most, None
-        for at, types in sorted(levels, reverse=True):
-            if types > left:
-                break
-            left, least = left - types, at
-        if least is not None:
-            here = level >= least
-            for p, v in zip(parts, key, strict=True):
-                here = here & (F.col(p) == F.lit(v))
-            keep = keep | here
-    return counts.filter(keep)
+    level = F.floor(F.log2("total") * 4).cast("int")
+    least = None
+    for at, types in sorted(((r["level"], r["types"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("types")).collect()), reverse=True):
+        most -= types
+        if most < 0:
+            break
+        least = at
+    return counts.filter(F.lit(False) if least is None else level >= least)
 
 
 @dataclass
@@ -134,15 +128,14 @@ class Frequencies:
     table: np.ndarray
 
     @classmethod
-    def of(cls, counts: dict[str, dict[str, int]], languages: list[str], totals: dict[str, int]) -> Frequencies:
-        """Smoothed log frequencies of counted strings."""
-        table = np.zeros((len(counts), len(languages)))
-        place = {lang: i for i, lang in enumerate(languages)}
-        for i, by in enumerate(counts.values()):
-            for lang, n in by.items():
-                table[i, place[lang]] = n
+    def of(cls, counts: DataFrame, languages: list[str], totals: dict[str, int]) -> Frequencies:
+        """Smoothed log frequencies of counted strings (lang, word, n), in the order of the alphabet."""
+        rows = counts.select("lang", "word", "n").toArrow().to_pandas()
+        row, words = pd.factorize(rows["word"], sort=True)
+        table = np.zeros((len(words), len(languages)))
+        table[row, pd.Index(languages).get_indexer(rows["lang"])] = rows["n"]
         size = np.array([totals[lang] for lang in languages], float)
-        return cls({w: i for i, w in enumerate(counts)}, np.log((table + 0.5) / (size + 1.0)))
+        return cls({w: i for i, w in enumerate(words)}, np.log((table + 0.5) / (size + 1.0)))
 
 
 @dataclass
@@ -265,17 +258,14 @@ class LanguageModel:
         return scan
 
 
-def _nested(rows: pd.DataFrame) -> dict[str, dict[str, int]]:
-    """Counts by string and language, strings in the order of the alphabet."""
-    found: dict[str, dict[str, int]] = {}
-    for lang, word, n in rows.sort_values(["word", "lang"]).itertuples(index=False, name=None):
-        found.setdefault(word, {})[lang] = n
-    return found
+def _by_language(words: DataFrame) -> DataFrame:
+    """A row (lang, word, n) for each language's count of a word."""
+    return words.select("word", F.explode("counts").alias("c")).select("c.lang", "word", "c.n")
 
 
 @dataclass
 class Learned:
-    """All counts of words and n-grams by language (lang, word, n), as stored tables, and their totals."""
+    """All counts of words (word, total, counts by language) and n-grams (lang, word, n, size), as stored tables, and their totals."""
 
     languages: list[str]
     words: DataFrame | None = None
@@ -287,20 +277,23 @@ class Learned:
         """The words that are most frequent over all languages, with every language's count of them."""
         if not self.languages:
             return LanguageModel([])
-        totals = self.words.groupBy("word").agg(F.sum("n").alias("n"))
         most = max(1, min(HEAD_WORDS, HEAD_CELLS // len(self.languages)))
-        known = self.words.join(_bounded(totals, most, []).select("word"), "word", "left_semi")
-        return LanguageModel(self.languages, Frequencies.of(_nested(known.select("lang", "word", "n").toPandas()), self.languages, self.sizes))
+        return LanguageModel(self.languages, Frequencies.of(_by_language(_most_frequent(self.words, most)), self.languages, self.sizes))
+
+    def of_ngrams(self) -> LanguageModel:
+        """All n-grams, without words."""
+        by_size = [Frequencies.of(self.grams.filter(F.col("size") == size), self.languages, totals) for size, totals in self.gram_sizes.items()]
+        starts = np.cumsum([0, *(len(f.at) for f in by_size)])
+        at = {gram: int(start) + i for start, f in zip(starts, by_size, strict=False) for gram, i in f.at.items()}
+        return LanguageModel(self.languages, grams=Frequencies(at, np.concatenate([f.table for f in by_size])))
 
     def whole(self) -> LanguageModel:
         """All counts in this process's memory: for small tables."""
         if not self.languages:
             return LanguageModel([])
-        words, grams = (t.select("lang", "word", "n").toPandas() for t in (self.words, self.grams))
-        by_size = [Frequencies.of(_nested(grams[grams["word"].str.len() == size]), self.languages, totals) for size, totals in self.gram_sizes.items()]
-        starts = np.cumsum([0, *(len(f.at) for f in by_size)])
-        at = {gram: int(start) + i for start, f in zip(starts, by_size, strict=False) for gram, i in f.at.items()}
-        return LanguageModel(self.languages, Frequencies.of(_nested(words), self.languages, self.sizes), Frequencies(at, np.concatenate([f.table for f in by_size])))
+        model = self.of_ngrams()
+        model.words = Frequencies.of(_by_language(self.words), self.languages, self.sizes)
+        return model
 
     def predictor(self):
         return self.whole().predictor()
@@ -309,32 +302,27 @@ class Learned:
 def train(docs: DataFrame) -> Learned:
     """What all rows of ``docs`` (text, lang) that have both say."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    words = stored(rows.mapInArrow(_count_words, COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
-    sizes = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    counted = rows.mapInArrow(_count_words, COUNTS).repartition("word").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    words = stored(counted.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("counts")), "lang-words")
+    sizes = {r["lang"]: r["n"] for r in _by_language(words).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Learned([])
-    grams = stored(words.select("lang", "word").mapInArrow(_count_ngrams, COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("size", F.length("word")), "lang-grams")
+    grams = stored(_by_language(words).select("lang", "word").mapInArrow(_count_ngrams, COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("size", F.length("word")), "lang-grams")
     gram_sizes: dict[int, dict[str, int]] = {s: dict.fromkeys(languages, 0) for s in SIZES}
     for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect():
         gram_sizes[r["size"]][r["lang"]] = r["n"]
     return Learned(languages, words, grams, sizes, gram_sizes)
 
 
-def _entries(seen: DataFrame, model: Learned) -> DataFrame:
-    """word and entries (slot, v) of each of the distinct words ``seen``.
+def _of_ngrams(unknown: DataFrame, model: Learned) -> DataFrame:
+    """word and entries (slot, v) of each of the distinct words ``unknown``, from its longest known n-grams.
 
-    Slots below the number of languages hold what a language's count adds to the
-    log frequency of an uncounted string; the four slots after them hold how much
-    of the word is a word, or n-grams of 1, 2 and 3 letters.
+    Slots below the number of languages hold what counts add, the four after them
+    1 for the word and how much of it is n-grams of 1, 2 and 3 letters.
     """
-    spark, base = seen.sparkSession, len(model.languages)
-    slots = spark.createDataFrame(list(zip(model.languages, range(base), strict=True)), "lang string, slot int")
-    gain = F.log((F.col("n") + 0.5) / 0.5)
-    known = model.words.join(seen, "word", "left_semi")
-    of_words = known.join(slots, "lang").select("word", "slot", gain.alias("v"))
-    of_words = of_words.union(known.select("word").distinct().select("word", F.lit(base), F.lit(1.0)))
-    unknown = seen.join(model.words.select("word").distinct(), "word", "left_anti")
+    base = len(model.languages)
+    slots = unknown.sparkSession.createDataFrame(list(zip(model.languages, range(base), strict=True)), "lang string, slot int")
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     places = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr(padded, i, F.lit(3)))
     windows = stored(unknown.select("word", F.explode(places).alias("window")), "lang-windows")
@@ -345,47 +333,80 @@ def _entries(seen: DataFrame, model: Learned) -> DataFrame:
     found = stored(windows.join(longest, "window").groupBy("word", "size", "gram").agg(F.count("*").alias("c")), "lang-found")
     share = found.join(found.groupBy("word").agg(F.sum("c").alias("all")), "word").select("word", "size", "gram", (F.col("c") / F.col("all")).alias("share"))
     counts = model.grams.select(F.col("word").alias("gram"), "lang", "n")
-    of_grams = share.join(counts, "gram").join(slots, "lang").select("word", "slot", (F.col("share") * gain).alias("v"))
-    of_grams = of_grams.union(share.select("word", F.col("size") + base, "share"))
-    per = of_words.union(of_grams).groupBy("word", "slot").agg(F.sum("v").alias("v"))
+    of_grams = share.join(counts, "gram").join(slots, "lang").select("word", "slot", (F.col("share") * F.log((F.col("n") + 0.5) / 0.5)).alias("v"))
+    of_grams = of_grams.union(share.select("word", F.col("size") + base, "share")).union(unknown.select("word", F.lit(base), F.lit(1.0)))
+    per = of_grams.groupBy("word", "slot").agg(F.sum("v").alias("v"))
     return per.groupBy("word").agg(F.collect_list(F.struct("slot", "v")).alias("entries"))
 
 
+def _scored_ngrams(unknown: DataFrame, model: Learned) -> DataFrame:
+    """As :func:`_of_ngrams`, by tasks that load all n-grams: what counts add is the score of the n-grams itself."""
+    shipped, kind = unknown.sparkSession.sparkContext.broadcast(model.of_ngrams()), "word string, scores array<double>"
+    base = len(model.languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = shipped.value.scores_of(batch.column(0).to_pylist())
+            yield record_batch({"word": batch.column(0), "scores": list(np.hstack([scores, np.ones((len(scores), 1))]))}, kind)
+
+    scored = unknown.select("word").mapInArrow(run, kind)
+    entries = F.transform("scores", lambda v, i: F.struct(i.alias("slot"), v.alias("v")))
+    return scored.select("word", F.filter(entries, lambda e: (e["v"] != 0) | (e["slot"] == base)).alias("entries"))
+
+
+def _tail_sums(scanned: DataFrame, model: Learned) -> DataFrame:
+    """_row, _slots and _values: what the words beyond the head add to each text, by slots as in :func:`_of_ngrams`."""
+    rest = scanned.select("_row", F.explode(F.arrays_zip("_rest", "_times")).alias("r")).select("_row", F.col("r._rest").alias("word"), F.col("r._times").alias("times"))
+    joined = rest.join(model.words.select("word", "counts"), "word", "left").select("_row", "word", "times", F.explode_outer("counts").alias("c"))
+    slot = (F.array_position(F.lit(model.languages), F.col("c.lang")) - 1).cast("int")
+    gain = F.log((F.col("c.n") + 0.5) / 0.5)
+    joined = stored(joined.select("_row", slot.alias("slot"), (F.col("times") * gain).alias("v"), F.when(F.col("c").isNull(), F.col("word")).alias("word"), "times"), "lang-joined")
+    unknown = joined.filter("slot is null").select("_row", "word", "times")
+    words = stored(unknown.select("word").distinct(), "lang-unknown")
+    loaded = model.grams.count() <= GRAM_CELLS
+    entries = stored(_scored_ngrams(words, model) if loaded else _of_ngrams(words, model), "lang-entries")
+    of_unknown = unknown.join(entries, "word").select("_row", "times", F.explode("entries").alias("e")).select("_row", "e.slot", (F.col("times") * F.col("e.v")).alias("v"))
+    both = joined.filter("slot is not null").select("_row", "slot", "v").union(of_unknown)
+    sums = both.repartition("_row").groupBy("_row", "slot").agg(F.sum("v").alias("v"))
+    return sums.groupBy("_row").agg(F.collect_list("slot").alias("_slots"), F.collect_list("v").alias("_values"))
+
+
 def identify(docs: DataFrame, model: Learned, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, lang_pred and score of each row of ``docs``.
 
     Each task scores the frequent words from a broadcast table; all other words
     are joined with the stored counts.
     """
+    with job(docs.sparkSession, "language") as result:
+        return result(_identified(docs, model, keep))
+
+
+def _identified(docs: DataFrame, model: Learned, keep: tuple[str, ...]) -> DataFrame:
     spark, languages = docs.sparkSession, model.languages
     shipped = spark.sparkContext.broadcast(model.head())
     rows = docs.select(*keep, text_or_empty().alias("_text"))
     at = len(keep)
-    schema = rows.select(*keep, F.lit(0).cast("bigint").alias("_words"), F.array(F.lit(0.0)).alias("_head"), F.array(F.lit("")).alias("_rest"), F.array(F.lit(0).cast("bigint")).alias("_times")).schema
+    schema = rows.select(*keep, F.lit(0).cast("bigint").alias("_words"), F.lit(0).cast("bigint").alias("_tail"), F.array(F.lit(0.0)).alias("_head"), F.array(F.lit("")).alias("_rest"), F.array(F.lit(0).cast("bigint")).alias("_times")).schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = shipped.value.scanner()
         for batch in sliced(batches):
             words, heads, rests = scanner(batch.column(at).to_pylist())
-            columns = [pa.array(words, pa.int64()), pa.array(heads, pa.list_(pa.float64())), pa.array([list(r) for r in rests], pa.list_(pa.string())), pa.array([list(r.values()) for r in rests], pa.list_(pa.int64()))]
+            columns = [pa.array(words, pa.int64()), pa.array([sum(r.values()) for r in rests], pa.int64()), pa.array(heads, pa.list_(pa.float64())), pa.array([list(r) for r in rests], pa.list_(pa.string())), pa.array([list(r.values()) for r in rests], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], schema.names)
 
     scanned = stored(rows.mapInArrow(scan, schema).withColumn("_row", F.monotonically_increasing_id()), "lang-scanned")
     if languages:
-        rest = scanned.select("_row", F.explode(F.arrays_zip("_rest", "_times")).alias("r")).select("_row", F.col("r._rest").alias("word"), F.col("r._times").alias("times"))
-        entries = stored(_entries(rest.select("word").distinct(), model), "lang-entries")
-        sums = rest.join(entries, "word").select("_row", "times", F.explode("entries").alias("e")).groupBy("_row", F.col("e.slot").alias("slot")).agg(F.sum(F.col("times") * F.col("e.v")).alias("v"))
-        sums = sums.groupBy("_row").agg(F.collect_list("slot").alias("_slots"), F.collect_list(F.col("v")).alias("_values"))
-        scanned = scanned.join(sums, "_row", "left")
+        scanned = scanned.join(_tail_sums(scanned, model), "_row", "left")
     else:
         scanned = scanned.withColumns({"_slots": F.lit(None).cast("array<int>"), "_values": F.lit(None).cast("array<double>")})
     size = lambda totals: np.log(0.5 / (np.array([totals[x] for x in languages], float) + 1.0))
     bases = np.stack([size(model.sizes), *(size(model.gram_sizes[s]) for s in (1, 2, 3))]) if languages else np.zeros((4, 0))
 
     @F.pandas_udf("lang_pred string, score double")
-    def decide(words: pd.Series, heads: pd.Series, slots: pd.Series, values: pd.Series) -> pd.DataFrame:
+    def decide(words: pd.Series, tails: pd.Series, heads: pd.Series, slots: pd.Series, values: pd.Series) -> pd.DataFrame:
         names, scores = [], []
-        for n, head, slot, value in zip(words, heads, slots, values, strict=True):
+        for n, tail, head, slot, value in zip(words, tails, heads, slots, values, strict=True):
             if not n or not languages:
                 names.append(UNKNOWN)
                 scores.append(0.0)
@@ -394,6 +415,7 @@ def identify(docs: DataFrame, model: Learned, keep: tuple[str, ...] = ("doc_id",
             if slot is not None:
                 full = np.zeros(len(languages) + 4)
                 full[np.asarray(slot, int)] = value
+                full[-4] = tail - full[-4]  # words that are known
                 total = total + full[:-4] + full[-4:] @ bases
             odds = np.exp(total - total.max())
             best = int(odds.argmax())
@@ -401,4 +423,4 @@ def identify(docs: DataFrame, model: Learned, keep: tuple[str, ...] = ("doc_id",
             scores.append(float(odds[best] / odds.sum()))
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return scanned.select(*keep, decide("_words", "_head", "_slots", "_values").alias("_found")).select(*keep, "_found.lang_pred", "_found.score")
+    return scanned.select(*keep, decide("_words", "_tail", "_head", "_slots", "_values").alias("_found")).select(*keep, "_found.lang_pred", "_found.score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fieldglass.llm import language, quality
@@ -105,7 +106,9 @@ def test_all_words_of_a_language_count(spark):
     assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, _, lang in asked}
 
 
-def test_joined_words_score_like_the_whole_model(spark, monkeypatch):
+@pytest.mark.parametrize("cells", [0, 4_000_000])
+def test_joined_words_score_like_the_whole_model(spark, monkeypatch, cells):
+    monkeypatch.setattr(language, "GRAM_CELLS", cells)
     monkeypatch.setattr(language, "HEAD_WORDS", 3)
     df = docs(spark)
     model = language.train(df)
@@ -123,3 +126,98 @@ def test_every_language_is_learned(spark):
     df = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in language.identify(df, language.train(df)).collect()}
     assert got == dict(enumerate(langs))
+
+
+def plain_statistics(text):
+    """The statistics of one text, character by character."""
+    import math
+    from collections import Counter
+
+    raw = text.encode()
+    groups = {name: set(members) for name, members in quality._CLASSES}
+    counts = {name: sum(b in members for b in raw) for name, members in groups.items()}
+    size, tokens, lines = max(len(raw), 1), text.split(), text.split("\n")
+    words, letters = max(len(tokens), 1), max(counts["lower"] + counts["upper"], 1)
+    entropy = -sum(n / size * math.log2(n / size) for n in Counter(raw).values())
+    more = [math.log1p(len(raw)), math.log1p(len(tokens)), (size - counts["blank"] - counts["line"]) / words, len(set(tokens)) / words, size / len(lines)]
+    more += [len(set(lines)) / len(lines), max(map(len, lines)) / size, counts["upper"] / letters, counts["stop"] / words, entropy]
+    return [*(n / size for n in counts.values()), *more]
+
+
+def test_quality_query_equals_a_plain_version(spark, sf_dir):
+    """Every score of the query: statistics counted plainly, trees walked node by node."""
+    import math
+    import zlib
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(table, labels.filter(id_fold("doc_id", 5) != 0))
+    texts = {r.doc_id: r.text or "" for r in table.collect()}
+    for r in QUERIES["op4_quality"](spark, sf_dir).collect():
+        x, total = plain_statistics(texts[r.doc_id]), model.base
+        for feature, threshold, value in zip(model.feature.tolist(), model.threshold.tolist(), model.value.tolist(), strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + (x[feature[node]] > threshold[node])
+            total += value[node - len(feature)]
+        score = 1 / (1 + math.exp(-total))
+        assert abs(r.score - score) < 1e-9 and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_language_query_equals_a_plain_version(spark, sf_dir):
+    """Every prediction of the query, from counts and sums in plain Python."""
+    import math
+    import zlib
+    from collections import Counter, defaultdict
+
+    import regex
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held_out = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    words, grams = defaultdict(Counter), [defaultdict(Counter) for _ in range(4)]
+    for r in rows:
+        if r.text is not None and r.lang is not None and not held_out[r.doc_id]:
+            words[r.lang].update(regex.findall(r"\p{L}+", r.text.lower()))
+    for lang, counts in words.items():
+        for word in counts:
+            w = f" {word} "
+            grams[1][lang].update(word)
+            grams[2][lang].update(w[i : i + 2] for i in range(len(w) - 1))
+            grams[3][lang].update(w[i : i + 3] for i in range(len(w) - 2))
+    langs = sorted(words)
+
+    def logs(table, key):
+        return [math.log((table[x][key] + 0.5) / (sum(table[x].values()) + 1)) for x in langs]
+
+    known = set().union(*words.values())
+    seen = [set(), *(set().union(*g.values()) for g in grams[1:])]
+    cache = {}
+
+    def scores(word):
+        if word in known:
+            return logs(words, word)
+        w, found = f" {word} ", []
+        for i in range(1, len(w) - 1):
+            for size, gram in ((3, w[i - 1 : i + 2]), (2, w[i : i + 2]), (1, w[i])):
+                if gram in seen[size]:
+                    found.append(logs(grams[size], gram))
+                    break
+        return [sum(c) / len(found) for c in zip(*found, strict=True)] if found else [0.0] * len(langs)
+
+    got = {r.doc_id: r for r in QUERIES["op8_language"](spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        total, n = [0.0] * len(langs), 0
+        for word, times in Counter(regex.findall(r"\p{L}+", (r.text or "").lower())).items():
+            if word not in cache:
+                cache[word] = scores(word)
+            total, n = [t + times * s for t, s in zip(total, cache[word], strict=True)], n + times
+        found = got[r.doc_id]
+        assert found.held_out == held_out[r.doc_id]
+        if not n:
+            assert (found.lang_pred, found.score) == (language.UNKNOWN, 0)
+            continue
+        best = max(total)
+        odds = [math.exp(t - best) for t in total]
+        assert found.lang_pred == langs[total.index(best)] and abs(found.score - max(odds) / sum(odds)) < 1e-6
