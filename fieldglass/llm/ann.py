@@ -8,13 +8,14 @@ entries and 75 leaves at least; the candidates of those leaves are then ranked b
 distance in double precision. A share keeps recall as the table grows; the work of a
 query grows with the table.
 
-Leaves hold about ``leaf_rows`` rows if the sample has four rows for each of them:
-raise ``sample_rows`` with the table, or leaves (not recall) grow.
+Leaves hold about ``leaf_rows`` rows, and more where a tree would else have more
+than ``leaves`` of them, so that the leaves that a query opens don't grow in number.
 
-The work is shuffled by leaf. Equal vectors are indexed once, with the few
-smallest ids that can count, so copies don't fill a leaf; leaves with many rows
-or queries are split into blocks by their counts. Each block gives its nearest
-rows for each query, and a ranked window takes the nearest of all blocks.
+The work is shuffled by leaf, with vectors in the type that they came in. Equal
+vectors are indexed once, with the few smallest ids that can count, so copies don't
+fill a leaf; leaves of more rows or queries than a task should hold are split into
+blocks by their counts. Each block gives its nearest rows for each query, and a
+ranked window takes the nearest of all blocks.
 
 Cases: vectors that are null, zero, of another length than ``dim`` (by default
 the commonest one) or hold null or non-finite components take no part, nor do
@@ -30,22 +31,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldglass.store import stored
-
+from fieldglass.store import job, stored
 
 SAMPLE_ROWS = 20_000
 TREES = 12
 LEAF_ROWS = 200
+LEAVES = 50
 SEARCH_ROWS = 15_000
 SEARCH_SHARE = 0.1
 SEARCH_LEAVES = 75
-BLOCK_ROWS, BLOCK_QUERIES = 4_000, 1_000
+#: Rows of a leaf that a task holds at once, as bytes of double precision, and queries.
+BLOCK_BYTES, BLOCK_QUERIES = 32 << 20, 2_000
 SEED = 5
 
 
@@ -128,15 +129,15 @@ class Forest:
         return found
 
 
-def fit(vectors: DataFrame, rows: int, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed: int = SEED) -> Forest:
+def fit(vectors: DataFrame, rows: int, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, leaf_rows: int = LEAF_ROWS, leaves: int = LEAVES, seed: int = SEED) -> Forest:
     """A forest for ``rows`` distinct vectors, from the ``sample_rows`` of smallest hash.
 
-    Leaves are sized so that each holds about ``leaf_rows`` of all rows, but at
-    least 4 of the sample.
+    Leaves are sized so that each holds about ``leaf_rows`` of all rows, or the
+    share of them that gives a tree about ``leaves``, but at least 4 of the sample.
     """
     chosen = vectors.orderBy(F.xxhash64("vector"), "vector").limit(sample_rows).toPandas()["vector"]
     sample = np.stack([np.asarray(v, float) for v in chosen]) if len(chosen) else np.zeros((0, 1))
-    leaf = max(4, int(leaf_rows * len(sample) / max(rows, 1)))
+    leaf = max(4, int(max(leaf_rows, rows / leaves) * len(sample) / max(rows, 1)))
     rng = np.random.default_rng(seed)
     grown = [grow(sample, leaf, rng) for _ in range(trees)]
     first = np.concatenate([[0], np.cumsum([t.leaves for t in grown])[:-1]]).tolist()
@@ -144,8 +145,9 @@ def fit(vectors: DataFrame, rows: int, sample_rows: int = SAMPLE_ROWS, trees: in
 
 
 def usable(embeddings: DataFrame, vector: str = "embedding", dim: int | None = None) -> DataFrame:
-    """vec_id and vector (array of double) of the rows that take part."""
-    v = F.col(vector).cast("array<double>")
+    """vec_id and vector (array of float if it is one, else of double) of the rows that take part."""
+    v = F.col(vector)
+    v = v if embeddings.schema[vector].dataType.simpleString() == "array<float>" else v.cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("vector"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", finite) & F.exists("vector", lambda x: x != 0))
@@ -156,22 +158,35 @@ def usable(embeddings: DataFrame, vector: str = "embedding", dim: int | None = N
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    """Rows of a column of vectors, in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(embeddings: DataFrame, is_query, k: int = 10, vector: str = "embedding", dim: int | None = None, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, leaf_rows: int = LEAF_ROWS, search_rows: int = SEARCH_ROWS, search_share: float = SEARCH_SHARE) -> DataFrame:
-    """The ``k`` nearest rows found for each row that ``is_query`` (a Column over vec_id) holds for.
+RANKED = "query_class bigint, class_id bigint, score double"
 
-    query_id, rank from 1, vec_id and score (the Euclidean distance); a query's
-    own id is no candidate.
-    """
+
+def _nearest(own: pa.Table, asking: pa.Table, k: int) -> pa.Table:
+    """The ``k`` nearest of the rows of a block for each query, by exact distance, ties by id."""
+    found = []
+    if own.num_rows and asking.num_rows:
+        x, ids = _matrix(own["vector"].combine_chunks()), own["class_id"].to_numpy()
+        for query, q in zip(asking["class_id"].to_pylist(), _matrix(asking["vector"].combine_chunks()), strict=True):
+            score = np.sqrt(((x - q) ** 2).sum(axis=1))
+            near = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1]) if len(score) > k else np.arange(len(score))
+            best = near[np.lexsort((ids[near], score[near]))[:k]]
+            found.append((np.full(len(best), query), ids[best], score[best]))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.Table.from_arrays([pa.array(c) for c in columns], names=["query_class", "class_id", "score"])
+
+
+def _search(embeddings: DataFrame, is_query, k: int, vector: str, dim: int | None, sample_rows: int, trees: int, leaf_rows: int, leaves: int, search_rows: int, search_share: float) -> DataFrame:
     rows = stored(usable(embeddings, vector, dim), "vectors")
     spark = rows.sparkSession
     by_id = W.partitionBy("vector").orderBy("vec_id")
     members = rows.distinct().withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)
     classes = stored(members.groupBy("vector").agg(F.min("vec_id").alias("class_id"), F.array_sort(F.collect_list("vec_id")).alias("members")), "classes")
     size = classes.count()
-    forest = fit(classes.select("vector"), size, sample_rows, trees, leaf_rows)
+    forest = fit(classes.select("vector"), size, sample_rows, trees, leaf_rows, leaves)
     shipped = spark.sparkContext.broadcast(forest)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +195,8 @@ def search(embeddings: DataFrame, is_query, k: int = 10, vector: str = "embeddin
             n = np.repeat(np.arange(b.num_rows), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column(0).take(pa.array(n)), b.column(1).take(pa.array(n))], ["leaf", "class_id", "vector"])
 
-    schema = "leaf bigint, class_id bigint, vector array<double>"
+    schema = f"leaf bigint, class_id bigint, vector {classes.schema['vector'].dataType.simpleString()}"
+    block_rows = max(1, BLOCK_BYTES // (8 * max(1, forest.trees[0].vector.shape[1])))
     indexed = classes.select("class_id", "vector").mapInArrow(index, schema)
     # one count for each leaf of the forest, whose size the sample bounds
     sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
@@ -199,26 +215,14 @@ def search(embeddings: DataFrame, is_query, k: int = 10, vector: str = "embeddin
     sought = classes.join(queries.select("vector").distinct(), "vector", "left_semi")
     probes = stored(sought.select("class_id", "vector").mapInArrow(probe, schema), "probes")
     asked = {r["leaf"]: r["count"] for r in probes.groupBy("leaf").count().collect()}
-    blocks = spark.createDataFrame([(leaf, -(-n // BLOCK_ROWS), -(-asked.get(leaf, 0) // BLOCK_QUERIES)) for leaf, n in sizes.items() if leaf in asked] or [(-1, 1, 1)], "leaf bigint, row_blocks int, query_blocks int")
+    blocks = spark.createDataFrame([(leaf, -(-n // block_rows), -(-asked.get(leaf, 0) // BLOCK_QUERIES)) for leaf, n in sizes.items() if leaf in asked] or [(-1, 1, 1)], "leaf bigint, row_blocks int, query_blocks int")
     number = lambda of: F.pmod(F.xxhash64("class_id"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     left = indexed.join(F.broadcast(blocks), "leaf").select("leaf", number("row_blocks").alias("row_block"), every("query_blocks").alias("query_block"), "class_id", "vector")
     right = probes.join(F.broadcast(blocks), "leaf").select("leaf", every("row_blocks").alias("row_block"), number("query_blocks").alias("query_block"), "class_id", "vector")
 
-    def rank(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asking):
-            return pd.DataFrame({"query_class": [], "class_id": [], "score": []})
-        x, ids = np.stack(own["vector"].to_numpy()), own["class_id"].to_numpy()
-        found = []
-        for q, query in zip(asking["vector"], asking["class_id"], strict=True):
-            score = np.sqrt(((x - q) ** 2).sum(axis=1))
-            best = np.lexsort((ids, score))[: k + 1]
-            found.append((np.full(len(best), query), ids[best], score[best]))
-        a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame({"query_class": a, "class_id": b, "score": c})
-
     group = ("leaf", "row_block", "query_block")
-    ranked = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(rank, "query_class bigint, class_id bigint, score double")
+    ranked = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(lambda own, asking: _nearest(own, asking, k + 1), RANKED)
     near = W.partitionBy("query_class").orderBy("score", "class_id")
     ranked = ranked.distinct().withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k + 1)
     # copies come back here: at most k + 1 of each class, of which the first k + 1 can count
@@ -229,3 +233,13 @@ def search(embeddings: DataFrame, is_query, k: int = 10, vector: str = "embeddin
     last = W.partitionBy("query_id", "query_class").orderBy("score", "vec_id")
     found = asking.join(hits, "query_class").filter(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
+
+
+def search(embeddings: DataFrame, is_query, k: int = 10, vector: str = "embedding", dim: int | None = None, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, leaf_rows: int = LEAF_ROWS, leaves: int = LEAVES, search_rows: int = SEARCH_ROWS, search_share: float = SEARCH_SHARE) -> DataFrame:
+    """The ``k`` nearest rows found for each row that ``is_query`` (a Column over vec_id) holds for.
+
+    query_id, rank from 1, vec_id and score (the Euclidean distance); a query's
+    own id is no candidate.
+    """
+    with job(embeddings.sparkSession, "nearest") as result:
+        return result(_search(embeddings, is_query, k, vector, dim, sample_rows, trees, leaf_rows, leaves, search_rows, search_share))

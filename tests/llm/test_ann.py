@@ -66,7 +66,7 @@ def test_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x, ids = rng.normal(size=(400, 5)), np.arange(400)
     want = exact(ids, x, ids[ids % 100 == 0], 10)
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 7 * 8 * 5)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 1)
     got = ann.search(table(spark, ids, x), F.col("vec_id") % 100 == 0, search_rows=100_000).toPandas()
     for q, g in got.sort_values("rank").groupby("query_id"):
