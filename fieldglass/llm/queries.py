@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm import ann, chat, htmltext, jaccard, language, media, packing, pieces, quality, warc
 from fieldglass.llm.common import id_fold, small_batches
-from fieldglass.store import new_path
+from fieldglass.store import job, new_path, stored
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -39,17 +39,14 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "archives")
-    warc.write_archives(table(spark, sf_dir, "pages"), path, HTML_LEAST_BYTES)
-    captures = warc.assemble(warc.read_archives(spark, path, with_payload=False))
-    page = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit("")).cast("bigint")
-    return captures.select(
-        page("metadata.fields", r"page: (-?\d+)").alias("page_id"),
-        F.col("response.payload_bytes").alias("payload_bytes"),
-        F.col("response.digest").alias("payload_digest"),
-        "record_type",
-        page("refers_to", r"urn:page:(-?\d+)").alias("refers_to"),
-    )
+    with job(spark, "warc") as result:
+        path = new_path(spark, "archives")
+        warc.write_archives(table(spark, sf_dir, "pages"), path, HTML_LEAST_BYTES)
+        captures = warc.assemble(warc.read_archives(spark, path, with_payload=False))
+        page = F.nullif(F.regexp_extract("metadata.fields", r"page: (-?\d+)", 1), F.lit("")).cast("bigint")
+        read = stored(captures.select("capture_id", page.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), "record_type", F.col("refers_to").alias("target")), "captures")
+        responses = stored(read.filter("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to")).distinct(), "responses")
+        return result(read.join(responses, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +85,9 @@ def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_fold("doc_id", 4) == 2
-    model = language.train(docs.filter(~held_out))
-    return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ("doc_id", "held_out"))
+    with job(spark, "op8") as result:
+        model = language.train(docs.filter(~held_out))
+        return result(language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ("doc_id", "held_out")))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,17 @@ aren't shuffled where few repeat (Spark broadcasts that table if it is small, an
 else splits skewed partitions of the join). The text sink writes the records with
 the format's own record end as line separator.
 
+A record's id follows from its page and payload, so that a revisit can name the
+response that it refers to, wherever that is written.
+
 Reading: archive files are parsed by Content-Length and each response's payload
 digest is verified. Assembly joins the records by concurrent-to identifiers and
 gives one nested row for each capture.
 
 Cases: null html is an empty payload; null urls get a URN; repeated rows are
 captured as often as they occur (of one page with one payload, all are
-responses); an empty table gives no rows; further columns are ignored; a record
+responses, under the same record ids); a payload of 2 GB or more is no value of
+a row in Spark; an empty table gives no rows; further columns are ignored; a record
 that is cut off, or whose digest is wrong, raises ValueError.
 """
 
@@ -29,7 +33,6 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +43,7 @@ from fieldglass.store import stored
 VERSION, LINE, RECORD_END = "WARC/1.1", "\r\n", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_PER_FILE = 30_000
+RECORDS_PER_FILE, FILE_BYTES = 30_000, 64 << 20
 PIECE = 1 << 20
 RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, digest string, payload_bytes bigint, http_headers string, payload binary, fields string"
 
@@ -60,16 +63,23 @@ def _safe_uri(url: str | None, page: int | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page}"
 
 
-def capture_records(page: int | None, url: str | None, html: str, first: int | None, capture: str) -> Iterator[str]:
-    """The three records of one capture; ``first`` is the page that it revisits, if any."""
+def capture_id(page: int | None, digest: str) -> str:
+    """The id of the capture of a page with a payload of that digest."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest}')}"
+
+
+def capture_records(page: int | None, url: str | None, html: str, first: int | None) -> Iterator[str]:
+    """The three records of one capture; ``first`` is the page whose response it revisits, if any."""
     uri, payload = _safe_uri(url, page), html.encode()
-    digest, about = f"sha1:{digest_of(payload)}", ("WARC-Concurrent-To", f"<{capture}>")
+    digest = digest_of(payload)
+    capture = capture_id(page, digest)
+    about = ("WARC-Concurrent-To", f"<{capture}>")
     head = LINE.join(("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}")) + RECORD_END
-    common = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
+    common = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if first is None:
         yield _record("response", capture, common, head + html)
     else:
-        yield _record("revisit", capture, [*common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{first}>")], head)
+        yield _record("revisit", capture, [*common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{capture_id(first, digest)}>")], head)
     path = re.sub(r"^[a-z]+://[^/]*", "", uri) or "/"
     yield _record("request", f"{capture}-q", [("WARC-Target-URI", uri), about, ("Content-Type", "application/http; msgtype=request")], f"GET {path} HTTP/1.1{RECORD_END}")
     yield _record("metadata", f"{capture}-m", [("WARC-Target-URI", uri), about, ("Content-Type", "application/warc-fields")], f"page: {'' if page is None else page}{LINE}")
@@ -83,25 +93,27 @@ def first_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return groups.filter(F.col("n") > 1).select("hex", "first")
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int | None = None, compression: str = "gzip") -> None:
     """Write the captures of ``pages`` (page_id, url, html) as WARC files under ``path``.
 
     Payloads of at least ``least_bytes`` bytes that occur before (in order of
-    page_id) become revisits. A file holds at most ``records_per_file`` records.
+    page_id) become revisits. A file holds at most ``records_per_file`` records, by
+    default as many as have FILE_BYTES at the mean size of a page.
     """
     html = text_or_empty("html")
+    if records_per_file is None:
+        mean = pages.agg(F.avg(F.octet_length(html))).first()[0] or 0
+        records_per_file = max(3, min(RECORDS_PER_FILE, int(3 * FILE_BYTES / (mean + 1000))))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("hex"))
     repeats = stored(first_pages(pages, least_bytes), "repeats")
     joined = rows.join(repeats, "hex", "left").select("page_id", "url", "html", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             out, size = [], 0
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                out += capture_records(*row, f"urn:uuid:{uuid.UUID(int=(part << 64) | n)}")
+                out += capture_records(*row)
                 size += len(row[2])
-                n += 1
                 if size >= PIECE:
                     yield record_batch({"value": out}, "value string")
                     out, size = [], 0
