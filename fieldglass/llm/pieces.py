@@ -11,7 +11,8 @@ BPE one, whose result is not the path of the best total score, so relaxation
 follows its merges: in every round each chunk takes, of the edges that span just
 two neighbouring symbols, the one of the best score, leftmost first, and edges
 that begin or end inside a symbol are dropped. That gives the same ids as the
-model's own library. A very long chunk is merged pair by pair from a heap instead.
+model's own library. A chunk of more than LONG_CHUNK characters, which would need
+many rounds, takes its edges, sorted by position, from a queue by score instead.
 Characters without a piece become byte pieces.
 
 Cases: null or empty text gives no ids; texts of spaces alone, or with the word
@@ -73,7 +74,6 @@ class Pieces:
         self.longest = max(map(len, self.text))
         self.ids = np.array(ids, np.int64)
         self.places = np.unique(-np.array(self.score), return_inverse=True)[1].astype(np.int64)
-        self.place_of = {p: int(k) for p, k in zip(self.text, self.places, strict=True) if len(p) > 1}
         self.id_of = dict(zip(self.text, ids, strict=True))
         self.sizes = np.array([len(p) for p in self.text])
         self.codes = np.zeros((len(ids), self.longest), np.int64)
@@ -152,6 +152,41 @@ def _relax(text: np.ndarray, chunk: np.ndarray, start: np.ndarray, end: np.ndarr
     return until
 
 
+def _relax_queue(n: int, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """As :func:`_relax`, for one chunk of ``n`` characters so long that rounds would be many: best edges come from a queue.
+
+    Edges are sorted by position; one is found by its start and end when these come
+    to span two symbols.
+    """
+    spans = start * (n + 1) + end
+    order = np.argsort(spans)
+    spans, place = spans[order], place[order]
+    until = list(range(1, n + 1))
+    before = list(range(-1, n - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(at: int) -> None:
+        if at >= 0 and until[at] < n:
+            to = until[until[at]]
+            k = int(spans.searchsorted(at * (n + 1) + to))
+            if k < len(spans) and spans[k] == at * (n + 1) + to:
+                heapq.heappush(heap, (int(place[k]), at, to))
+
+    for at in range(n):
+        offer(at)
+    while heap:
+        _, at, to = heapq.heappop(heap)
+        middle = until[at]
+        if middle == 0 or middle >= to or until[middle] != to:
+            continue
+        until[at], until[middle] = to, 0
+        if to < n:
+            before[to] = at
+        offer(at)
+        offer(before[at])
+    return np.array(until, np.int64)
+
+
 def encode_chunks(chunks: list[str], pieces: Pieces) -> list[bytes]:
     """The ids (little-endian unsigned 32-bit) of each chunk; chunks are matched together."""
     text = np.frombuffer("\0".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -171,7 +206,13 @@ def encode_chunks(chunks: list[str], pieces: Pieces) -> list[bytes]:
     start = order[np.repeat(low, count) + offset]
     wide = pieces.sizes[piece] > 1
     end = start + pieces.sizes[piece]
-    until = _relax(text, chunk, start[wide], end[wide], pieces.places[piece[wide]])
+    begin, stop, place = start[wide], end[wide], pieces.places[piece[wide]]
+    long = sizes[chunk[begin]] > LONG_CHUNK
+    until = _relax(text, chunk, begin[~long], stop[~long], place[~long])
+    for k in np.flatnonzero(sizes > LONG_CHUNK).tolist():
+        of = long & (chunk[begin] == k)
+        own = _relax_queue(int(sizes[k]), begin[of] - starts[k], stop[of] - starts[k], place[of])
+        until[starts[k] : starts[k] + sizes[k]] = np.where(own > 0, own + starts[k], 0)
     # the id of a symbol is that of the edge with its start and end
     ids = np.full(len(text), -1, np.int64)
     fits = until[start] == end
@@ -190,42 +231,6 @@ def encode_chunks(chunks: list[str], pieces: Pieces) -> list[bytes]:
     return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def encode_long(chunk: str, pieces: Pieces) -> bytes:
-    """The ids of one chunk by a heap of neighbouring pairs, for chunks so long that rounds would be many."""
-    n = len(chunk)
-    until = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    heap: list[tuple[int, int, int]] = []
-
-    def offer(start: int) -> None:
-        if start >= 0 and until[start] < n:
-            end = until[until[start]]
-            place = pieces.place_of.get(chunk[start:end])
-            if place is not None:
-                heapq.heappush(heap, (place, start, end))
-
-    for at in range(n):
-        offer(at)
-    while heap:
-        _, start, end = heapq.heappop(heap)
-        middle = until[start]
-        if middle == 0 or middle >= end or until[middle] != end:
-            continue
-        until[start], until[middle] = end, 0
-        if end < n:
-            before[end] = start
-        offer(start)
-        offer(before[start])
-    out: list[int] = []
-    at = 0
-    while at < n:
-        piece = chunk[at : until[at]]
-        known = pieces.id_of.get(piece)
-        out += [known] if known is not None else [pieces.byte.get(b, pieces.unknown) for b in piece.encode("utf-8", "replace")]
-        at = until[at]
-    return np.array(out, "<u4").tobytes()
-
-
 class Encoder:
     """Encodes whole texts; keeps the ids of chunks it has met, up to a bound."""
 
@@ -238,9 +243,8 @@ class Encoder:
         new = list({c for chunks in cut for c in chunks if c not in self.ids})
         if len(self.ids) + len(new) > CACHE_CHUNKS:
             self.ids = {c: self.ids[c] for chunks in cut for c in chunks if c in self.ids}
-        for group in _groups([c for c in new if len(c) <= LONG_CHUNK], _SPAN):
+        for group in _groups(new, _SPAN):
             self.ids.update(zip(group, encode_chunks(group, self.pieces), strict=True))
-        self.ids.update((c, encode_long(c, self.pieces)) for c in new if len(c) > LONG_CHUNK)
         return [b"".join(map(self.ids.__getitem__, chunks)) for chunks in cut]
 
     def decode(self, ids: bytes) -> str:

@@ -31,6 +31,16 @@ def test_ids_and_texts_equal_the_library(path, model, sf_dir, spark):
         assert coder.decode(ids) == model.decode(want)
 
 
+def test_very_long_chunks_equal_the_library(path, model):
+    """Chunks of 100,000 characters without a place to cut, beside short ones."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdeinorst", k=rng.randint(2, 9))) for _ in range(300)]
+    texts = ["".join(rng.choices(words, k=18_000))[:100_000], "x" * 100_000, "".join(rng.choices("日本語中文字体的是", k=20_000)), "one two " + "ab" * 200 + " three", "a" * 256 + " " + "a" * 257]
+    coder = pieces.Encoder(path)
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(text)
+
+
 def test_small_caches_change_nothing(path, monkeypatch):
     texts = ["the river of light", "a house, under stone", "the house of light " * 50, "the river"]
     want = pieces.Encoder(path).encode(texts)
