@@ -73,3 +73,15 @@ def test_formulas_objects_and_drawings_stay_in_the_text():
     page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <svg><path d=m /></svg> a number.</p><object data=a><p>Instead of a picture, words.</p></object><p>End.</p></article>"
     assert [b.text for b in htmltext.blocks(page)] == ["Let x=1 be a number.", "Instead of a picture, words.", "End."]
     assert [b.text for b in htmltext.blocks("<select><option>One<option>Two</select><p>Text")] == ["One", "Two", "Text"]
+
+
+def test_deep_nesting_and_raw_elements_without_an_end():
+    """Thousands of open elements hide nothing; what no end tag ends is raw text to the end of the page."""
+    field = htmltext.trained()
+    prose = "<p>A first full sentence, long enough to be read as prose by anyone.</p><p>And a second one, with some more words, that ends here.</p>"
+    want = "Title\n\nA first full sentence, long enough to be read as prose by anyone.\n\nAnd a second one, with some more words, that ends here."
+    article = f"<article><h1>Title</h1>{prose}</article>"
+    for page in ("<div>" * 3000 + article + "</div>" * 3000, "<div>" * 3000 + article, article + "<script>var x='<p>", "<style>p{</style>" + article + "<textarea>no end <p>x"):
+        assert htmltext.main_text(page, field)[0] == want
+    deep = "<b>" * 3000 + "Deep words that are said in a sentence of prose." + "</b>" * 3000
+    assert htmltext.main_text(f"<article><h1>Title</h1>{prose}<p>{deep}</p></article>", field)[0] == want + "\n\nDeep words that are said in a sentence of prose."

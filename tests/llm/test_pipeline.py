@@ -49,6 +49,16 @@ def test_stages_keep_columns_and_cope(spark, sf_dir, tmp_path):
     assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
 
 
+def test_near_duplicates_decide_by_row(spark, sf_dir):
+    """Texts of one id are documents of their own, copies of rows without an id go, repeated rows stay once."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    data = [(1, a, "en", "s"), (2, b, "en", "s"), (2, a, "en", "s"), (2, c, "en", "s"), (None, c, "en", "s"), (None, "only one " + a[::-1], "en", "s"), (3, b, "en", "t"), (1, a, "en", "s"), (1, a, "de", "s"), (5, "", "en", "s"), (6, "", "en", "s")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string").repartition(3)
+    for _ in range(2):
+        got = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, df, sf_dir).collect()), key=str)
+        assert got == sorted([(1, a), (2, b), (2, c), (0, "only one " + a[::-1]), (5, ""), (6, "")], key=str)
+
+
 @pytest.mark.parametrize("at", range(3))
 def test_empty_stages(spark, sf_dir, at):
     assert corpus_pipeline.STAGES[at][1](spark, docs(spark, []), sf_dir).count() == 0
