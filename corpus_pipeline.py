@@ -5,10 +5,11 @@ rejects, the similarity join keeps one document of each group of near copies, an
 packing turns the rest into token sequences. Each stage reads all that the one
 before kept. Stages before the last return the columns of documents as they came.
 
-Cases: repeated rows of one document count as copies, of which one stays; rows
-without an id are judged by their texts but never dropped as copies; null and
-empty texts have no language and go; an empty table passes through; columns whose
-names the operators use as well are kept as they are.
+Cases: repeated rows of one document count as copies, of which one stays; rows of
+one id with different texts are documents of their own; rows without an id stay
+only if no row with one has a similar text; null and empty texts have no language
+and go; an empty table passes through; columns whose names the operators use as
+well are kept as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from fieldglass.llm import jaccard, language, packing, quality
 from fieldglass.llm.common import filtered, id_fold, small_batches, text_or_empty
 from fieldglass.llm.queries import TOKENIZER, tokenizer_file
-from fieldglass.store import stored
+from fieldglass.store import job, stored
 
 LEAST_CONFIDENCE = 0.5
 
@@ -31,9 +32,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose text has a language that the model is sure of."""
     small_batches(spark)
     key = F.md5(text_or_empty())
-    found = language.identify(docs.select(key.alias("_key_of_text"), "text"), language.train(docs), ("_key_of_text",))
-    sure = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_CONFIDENCE)).select("_key_of_text").distinct()
-    return docs.withColumn("_key_of_text", key).join(stored(sure, "sure"), "_key_of_text", "left_semi").select(*docs.columns)
+    with job(spark, "language-stage") as result:
+        found = language.identify(docs.select(key.alias("_key_of_text"), "text"), language.train(docs), ("_key_of_text",))
+        sure = result(found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_CONFIDENCE)).select("_key_of_text").distinct())
+    return docs.withColumn("_key_of_text", key).join(sure, "_key_of_text", "left_semi").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,17 +47,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (that of the smallest id) of each group of documents whose five-word shingles are similar by 0.8 or more."""
+    """One document of each group whose five-word shingles are similar by 0.8 or more: that of the smallest id.
+
+    Rows are told apart by a hash of their id and text and, where these are equal,
+    by one of their other columns; ties go to the smaller hash.
+    """
     small_batches(spark)
-    linked = stored(jaccard.linked_components(docs).filter(F.col("doc_id").isNotNull()).select("doc_id", "component_id"), "linked")
-    copies = linked.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    repeated = linked.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("doc_id")
-    kept = docs.join(stored(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    keyed = docs.withColumns({"_key": F.xxhash64("doc_id", text_or_empty()), "_others": F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)})
+    linked = jaccard.linked_components(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    rows = stored(keyed.select("_key", "_others", "doc_id"), "rows")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key", "_others")
+    kept = stored(rows.join(stored(linked, "linked"), "_key").groupBy("component_id").agg(F.min(first).alias("m")).select("m._key", "m._others"), "kept")
+    found = keyed.join(kept, ["_key", "_others"], "left_semi")
+    repeated = stored(rows.groupBy("_key", "_others").agg(F.count("*").alias("n")).filter("n > 1").join(kept, ["_key", "_others"], "left_semi").select("_key", "_others"), "repeated")
     if repeated.isEmpty():
-        return kept
-    repeated = stored(repeated, "repeated")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+        return found.select(*docs.columns)
+    once = found.join(repeated, ["_key", "_others"], "left_semi").dropDuplicates(["_key", "_others"])
+    return found.join(repeated, ["_key", "_others"], "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
