@@ -12,6 +12,8 @@ from fieldglass.store import job, stored
 
 # Overlap of a collision, share above which boxes are nested, and how hard both must brake.
 COLLISION_IOU, NESTED_SHARE, COLLISION_DECEL = 0.18, 0.85, 0.40
+# How many others must flow on beside a collision, braking less than this.
+FLOWING_OTHERS, FLOWING_DECEL = 2, 0.10
 # What makes a track a duplicate of another.
 COMMON_FRAMES, DUPLICATE_IOU, DUPLICATE_COVER, DUPLICATE_RATIO = 3, 0.6, 0.85, 0.5
 
@@ -30,11 +32,35 @@ def _pairs(boxes: DataFrame, frame: list[str]) -> DataFrame:
     return a.join(b, ok & (F.col("a.track_id") < F.col("b.track_id"))).withColumn("iou", geo.iou(_box("a"), _box("b"))).withColumn("inside", geo.inside_share(_box("a"), _box("b")))
 
 
-def collisions(boxes: DataFrame, frame: list[str], least_iou: float = COLLISION_IOU) -> DataFrame:
-    """Pairs of one frame that overlap without being nested while both brake hard."""
+def collisions(boxes: DataFrame, frame: list[str], least_iou: float = COLLISION_IOU, least_flowing: int = FLOWING_OTHERS) -> DataFrame:
+    """Pairs of one frame that overlap without being nested while both brake hard and enough others flow on."""
     p = _pairs(boxes, frame).filter((F.col("iou") >= least_iou) & (F.col("inside") < NESTED_SHARE))
     hard = (F.col("a.decel") >= COLLISION_DECEL) & (F.col("b.decel") >= COLLISION_DECEL)
-    return p.filter(hard).select(*(F.col(f"a.{k}").alias(k) for k in frame), F.col("a.track_id").alias("track_a"), F.col("b.track_id").alias("track_b"), "iou")
+    found = p.filter(hard).select(*(F.col(f"a.{k}").alias(k) for k in frame), F.col("a.track_id").alias("track_a"), F.col("b.track_id").alias("track_b"), "iou")
+    flowing = boxes.groupBy(*frame).agg(F.count_if(F.col("decel") < FLOWING_DECEL).alias("_flowing")).filter(F.col("_flowing") >= least_flowing)
+    return found.join(flowing, frame, "left_semi")
+
+
+def one_per_plate(proposals: DataFrame, frame: list[str], least_iou: float = 0.5) -> DataFrame:
+    """Proposals (id, track_id, score, area, box) of a frame without those of a plate that another track has.
+
+    Taken by falling score, then the smaller vehicle's area, then id; one goes if a
+    taken one of another track is for nearly the same box. A frame holds few of them.
+    """
+    box = lambda r: [r[c] for c in ("x1", "y1", "x2", "y2")]
+    row = F.struct((-F.col("score")).alias("s"), "area", "id", "track_id", "x1", "y1", "x2", "y2")
+    none = F.expr("cast(array() as array<struct<s: double, area: double, id: bigint, track_id: bigint, x1: double, y1: double, x2: double, y2: double>>)")
+    kept = F.aggregate(F.array_sort("rows"), none, lambda taken, r: F.when(F.exists(taken, lambda k: (k["track_id"] != r["track_id"]) & (geo.iou(box(k), box(r)) >= least_iou)), taken).otherwise(F.array_append(taken, r)))
+    return proposals.groupBy(*frame).agg(F.collect_list(row).alias("rows")).select(*frame, F.explode(kept).alias("k")).select(*frame, "k.id", "k.track_id")
+
+
+def spells(rows: DataFrame, by: list[str], at: str, most_gap: float, least: float) -> DataFrame:
+    """Runs of rows of a key whose steps are at most ``most_gap``, those that last ``least`` or longer: first, last and rows."""
+    w = W.partitionBy(*by).orderBy(at)
+    new = F.when(F.col(at) - F.lag(at).over(w) > most_gap, 1).otherwise(0)
+    runs = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    out = runs.groupBy(*by, "_run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).drop("_run")
+    return out.filter(F.col("last") - F.col("first") >= least)
 
 
 def wrong_way(votes: DataFrame, region: list[str], sense: str, least: int, dominant: float, share: float) -> DataFrame:

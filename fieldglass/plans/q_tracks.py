@@ -26,12 +26,12 @@ PAIRS = """SELECT a.camera_id, a.frame, a.track_id AS ta, b.track_id AS tb, a.de
 
 
 def collisions(spark, sf_dir):
-    """Boxes of one frame that overlap without nesting while both brake."""
+    """Boxes of one frame that overlap without nesting while both brake and two others flow on."""
     out = tracks.collisions(_boxes(spark, sf_dir), FRAME)
     return out.withColumn("iou", F.round("iou", 6))
 
 
-COLLISIONS = sql("SELECT camera_id, frame, ta AS track_a, tb AS track_b, round(inter / (3200 - inter), 6) AS iou FROM pairs WHERE inter / (3200 - inter) >= 0.18 AND inter / 1600 < 0.85 AND da >= 0.4 AND db >= 0.4", boxes=BOXES, pairs=PAIRS)
+COLLISIONS = sql("SELECT camera_id, frame, ta AS track_a, tb AS track_b, round(inter / (3200 - inter), 6) AS iou FROM pairs WHERE inter / (3200 - inter) >= 0.18 AND inter / 1600 < 0.85 AND da >= 0.4 AND db >= 0.4 AND (SELECT count(*) FILTER (decel < 0.1) FROM boxes q WHERE q.camera_id = pairs.camera_id AND q.frame = pairs.frame) >= 2", boxes=BOXES, pairs=PAIRS)
 
 
 def wrong_way(spark, sf_dir):
@@ -89,6 +89,52 @@ TRAFFIC_RATES = sql(
 )
 
 
+def wrong_heading(spark, sf_dir):
+    """Tracks whose heading is rare in a region where another one clearly dominates."""
+    d = views.detections(spark, sf_dir)
+    sector = F.when((F.col("detection_id") * 7919) % 100 < 3, F.lit(6)).otherwise(F.col("detection_id") % 2)
+    votes = d.filter("class_name <> 'person'").groupBy("track_id", (F.col("width_px") % 6).alias("region")).agg(F.min_by(sector, "detection_id").alias("sector"))
+    return tracks.wrong_way(votes, ["region"], "sector", 50, 0.50, 0.05)
+
+
+WRONG_HEADING = sql(
+    """SELECT DISTINCT v.track_id, region, sector, n, total FROM votes v JOIN (SELECT *, CAST(sum(n) OVER (PARTITION BY region) AS BIGINT) AS total, max(n) OVER (PARTITION BY region) AS most FROM (SELECT region, sector, count(DISTINCT track_id) AS n FROM votes GROUP BY ALL)) p USING (region, sector)
+    WHERE total >= 50 AND most >= 0.50 * total AND n < 0.05 * total""",
+    votes="SELECT track_id, width_px % 6 AS region, arg_min(CASE WHEN (detection_id * 7919) % 100 < 3 THEN 6 ELSE detection_id % 2 END, detection_id) AS sector FROM det WHERE class_name <> 'person' GROUP BY ALL",
+)
+
+
+def exposure_spells(spark, sf_dir):
+    """Persons that are in no vehicle for two frames or longer, with at most three frames between."""
+    b = _boxes(spark, sf_dir)
+    free = tracks.exposed(b.filter("class_name = 'person'"), b.filter("class_name <> 'person'"), FRAME, 0.6)
+    return tracks.spells(free.select("camera_id", "track_id", "frame"), ["camera_id", "track_id"], "frame", 3, 2)
+
+
+EXPOSURE_SPELLS = sql(
+    """SELECT camera_id, track_id, min(frame) AS first, max(frame) AS last, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY camera_id, track_id ORDER BY frame) AS run FROM (SELECT *, frame - lag(frame) OVER (PARTITION BY camera_id, track_id ORDER BY frame) AS gap
+    FROM (SELECT * FROM boxes a WHERE class_name = 'person' AND NOT EXISTS (SELECT 1 FROM boxes b WHERE b.class_name <> 'person' AND a.camera_id = b.camera_id AND a.frame = b.frame
+    AND greatest(0, 40 - abs(a.x1 - b.x1)) * greatest(0, 40 - abs(a.y1 - b.y1)) / (3200 - greatest(0, 40 - abs(a.x1 - b.x1)) * greatest(0, 40 - abs(a.y1 - b.y1))) >= 0.6)))) GROUP BY camera_id, track_id, run HAVING max(frame) - min(frame) >= 2""",
+    boxes=BOXES,
+)
+
+
+def plate_owners(spark, sf_dir):
+    """Proposals of a frame's plates, one track for each plate: the surest, then that of the smaller vehicle."""
+    b = _boxes(spark, sf_dir).withColumns({"id": F.col("detection_id"), "score": F.round("confidence", 1), "area": (F.col("detection_id") % 7).cast("double"), "track_id": F.col("track_id") % 12})
+    return tracks.one_per_plate(b, FRAME)
+
+
+PLATE_OWNERS = sql(
+    "SELECT camera_id, frame, id, track_id FROM walk WHERE taken",
+    boxes=BOXES.replace("confidence AS decel", "round(confidence, 1) AS score"),
+    numbered="SELECT camera_id, frame, detection_id AS id, track_id % 12 AS track_id, x1, y1, row_number() OVER (PARTITION BY camera_id, frame ORDER BY score DESC, detection_id % 7, detection_id) AS k FROM boxes",
+    walk="""SELECT camera_id, frame, id, track_id, k, true AS taken, [{'t': track_id, 'x': x1, 'y': y1}] AS kept FROM numbered WHERE k = 1 UNION ALL SELECT camera_id, frame, id, track_id, k, free, CASE WHEN free THEN list_append(kept, {'t': track_id, 'x': x1, 'y': y1}) ELSE kept END FROM
+    (SELECT n.*, w.kept, len(list_filter(w.kept, lambda q: q.t <> n.track_id AND greatest(0, 40 - abs(q.x - n.x1)) * greatest(0, 40 - abs(q.y - n.y1)) / (3200 - greatest(0, 40 - abs(q.x - n.x1)) * greatest(0, 40 - abs(q.y - n.y1))) >= 0.5)) = 0 AS free
+    FROM walk w JOIN numbered n ON n.camera_id = w.camera_id AND n.frame = w.frame AND n.k = w.k + 1)""",
+)
+
+
 def duplicate_tracks(spark, sf_dir):
     """K2, K3: tracks of one device whose boxes agree in three frames or more."""
     return tracks.duplicates(_boxes(spark, sf_dir), FRAME, 3, 0.4)
@@ -114,5 +160,5 @@ def decoded_texts(spark, sf_dir):
     return decoding.decode(e.select("vec_id", shares.alias("m")), "vec_id", "m", "ABCDEFG").select("vec_id", "text", F.round("score", 5).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (collisions, wrong_way, exposed_persons, traffic_rates, duplicate_tracks, linked_objects, decoded_texts)}
-ORACLES = {"collisions": COLLISIONS, "wrong_way": WRONG_WAY, "exposed_persons": EXPOSED_PERSONS, "traffic_rates": TRAFFIC_RATES, "duplicate_tracks": DUPLICATE_TRACKS}
+QUERIES = {f.__name__: f for f in (collisions, wrong_way, wrong_heading, exposed_persons, exposure_spells, plate_owners, traffic_rates, duplicate_tracks, linked_objects, decoded_texts)}
+ORACLES = {"collisions": COLLISIONS, "wrong_way": WRONG_WAY, "wrong_heading": WRONG_HEADING, "exposure_spells": EXPOSURE_SPELLS, "plate_owners": PLATE_OWNERS, "exposed_persons": EXPOSED_PERSONS, "traffic_rates": TRAFFIC_RATES, "duplicate_tracks": DUPLICATE_TRACKS}
