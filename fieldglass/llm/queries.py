@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import ann, chat, htmltext, jaccard, language, media, packing, pieces, quality, warc
+from fieldglass.llm import ann, chat, filteraudit, htmltext, jaccard, language, media, negatives, packing, pieces, quality, tokenfiles, warc
 from fieldglass.llm.common import id_fold, small_batches
 from fieldglass.store import job, new_path, stored
 
@@ -101,6 +101,22 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with job(spark, "op12") as result:
+        path = new_path(spark, "token-files")
+        tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file(TOKENIZER))
+        return result(tokenfiles.checksums(tokenfiles.read_documents(spark, path)))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html": op2_html,
@@ -112,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_ann": op10_ann,
+    "op11_negatives": op11_negatives,
+    "op12_token_files": op12_token_files,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -134,4 +153,28 @@ OP6 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coale
     reach(d, m) AS (SELECT a, a FROM e UNION SELECT e.b, reach.m FROM reach JOIN e ON e.a = reach.d AND reach.m < e.b)
     SELECT n.doc_id, n.n_shingles, coalesce(least(n.doc_id, min(m)), n.doc_id) AS component_id FROM n LEFT JOIN reach ON d = n.doc_id GROUP BY n.doc_id, n.n_shingles"""
 
-ORACLES: dict[str, str] = {"op3_warc": OP3, "op5_chat": OP5, "op6_jaccard": OP6}
+OP11 = """WITH d AS (SELECT len(embedding) AS dim FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+    v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = (SELECT dim FROM d) AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a, v b WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same AND other_id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, other_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 10"""
+OP13 = r"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    f AS (SELECT t, min(doc_id) AS first FROM t GROUP BY t),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^ 	-
+]+') AS ws FROM t),
+    m AS (SELECT doc_id, part, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) AS INT)
+      + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > first, false) AS INT) AS mask FROM w JOIN f USING (t)),
+    c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT part, filter_order, step, filter_order[step] AS letter, CAST(1 << (ascii(filter_order[step]) - 65) AS INT) AS bit, n, good, toxic, mask,
+      list_bool_or(list_transform(range(1, step), lambda k: (mask >> CAST(ascii(filter_order[k]) - 65 AS INT)) & 1 = 1)) IS TRUE AS earlier FROM c, o, (SELECT unnest(range(1, 6)) AS step)),
+    r AS (SELECT part, filter_order, CAST(step AS INT) AS step, letter, CAST(coalesce(sum(n) FILTER (mask & bit = 0 AND NOT earlier), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND NOT earlier), 0) AS BIGINT) AS removed,
+      CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND earlier), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (mask & bit <> 0 AND NOT earlier), 0) AS BIGINT) AS good_lost,
+      CAST(coalesce(sum(toxic) FILTER (mask & bit <> 0 AND NOT earlier), 0) AS BIGINT) AS toxic_lost FROM s GROUP BY ALL)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r"""
+
+ORACLES: dict[str, str] = {"op3_warc": OP3, "op5_chat": OP5, "op6_jaccard": OP6, "op11_negatives": OP11, "op13_filter_audit": OP13}
