@@ -7,13 +7,15 @@ block to the next, and Viterbi decoding marks the blocks of the article.
 
 The field is trained here, by gradient ascent on the exact likelihood, on
 labelled pages that :mod:`fieldglass.llm.trainingpages` lays out in many ways.
-Extraction is row-wise. It reads whole pages; scripts, styles and comments in the
-markup never become blocks. Choices of forms are blocks of a form; drawings,
+Extraction is row-wise, in time that grows with the page. It reads whole pages;
+scripts, styles and comments in the markup never become blocks, nor do they cut one,
+nor does what a browser shows only without scripts. Choices of forms are blocks of a form; drawings,
 formulas and embedded objects are read as the text within them.
 
 Cases: null or empty html, and pages without text, give an empty text and 0
-characters; broken markup is read as far as it goes (unknown end tags are
-skipped, open elements end with the page); repeated rows repeat; an empty table
+characters; broken markup is read as a browser does (end tags of nothing open are
+skipped, only elements without content end themselves, open elements end with the
+page); repeated rows repeat; an empty table
 gives no rows; further columns are ignored.
 """
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,14 +38,18 @@ from fieldglass.llm.common import record_batch, sliced, text_or_empty
 EXTRACTED = "page_id bigint, url string, text string, n_chars bigint, n_blocks int, n_kept int"
 JOIN = "\n\n"
 
+#: Quotes count after an equals sign only; a comment may end at once, or with an exclamation mark.
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?",
+    r"<!--(?:-?>|.*?--!?>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>?",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
-#: Elements whose content isn't markup or isn't shown.
-RAW = frozenset("script style noscript template textarea iframe".split())
+#: Elements whose content isn't markup; the last two cut a text.
+RAW = frozenset("script style textarea iframe".split())
+CUTS = frozenset(("textarea", "iframe"))
+#: Elements whose content is markup that isn't shown; they end with their parent at the latest.
+HIDDEN = frozenset(("noscript", "template"))
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input canvas".split())
 #: Drawings and formulas stand within a text; their parts don't cut it.
 INLINE |= frozenset("svg g path circle ellipse line polyline polygon rect text tspan textpath defs use symbol marker mask pattern image clippath lineargradient radialgradient stop filter".split())
@@ -92,15 +99,17 @@ def blocks(page: str) -> list[Block]:
     """
     found: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked, link = 0, False
+    hidden = 0  # where in the stack the outermost hidden element is
 
     def close() -> None:
         nonlocal linked, link
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                tag, zones, inner = stack[-1]
+                tag, zones, inner = stack[hidden - 1]
                 found.append(Block(text, tag, zones, inner, linked))
             parts.clear()
         linked, link = 0, False
@@ -109,41 +118,54 @@ def blocks(page: str) -> list[Block]:
     while at < size:
         m = _TOKEN.search(page, at)
         end = m.start() if m else size
-        if end > at:
+        if end > at and not hidden:
             parts.append(page[at:end])
             if link:
                 linked += end - at
         if not m:
             break
         at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        if m[2] is None:
             continue
-        name, closing, attributes = name.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        name, closing, attributes = m[2].lower(), m[1] == "/", m[3]
         if name in RAW:
-            if not closing and not attributes.endswith("/"):
+            if not closing:
                 over = _raw_end(name).search(page, at)
                 at = over.end() if over else size
-            close()
+            if name in CUTS and not hidden:
+                close()
             continue
         if name in INLINE:
+            if hidden:
+                continue
             if name == "br":
                 parts.append(" ")
             elif name == "a":
                 link = not closing
             continue
-        close()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            # what isn't open ends nothing, and what is takes all above it along: each element is passed once
+            k = len(stack) - 1
+            while opened[name] and stack[k][0] != name:
+                k -= 1
+            if not (opened[name] or name == "p" and not hidden):
+                continue
+            if not hidden or k < hidden:
+                close()
+            if opened[name]:
+                opened.subtract(tag for tag, _, _ in stack[k:])
+                del stack[k:]
+                hidden = hidden if hidden < len(stack) else 0
             continue
-        if name in VOID or attributes.endswith("/"):
+        if name in HIDDEN:
+            hidden = hidden or len(stack)
+        elif not hidden:
+            close()
+        if name in VOID:
             continue
         ends = CLOSES.get(name) or ({"p", *CHOICES} if name in ZONE_TAGS or name in HEADINGS or name == "div" else ())
         while stack[-1][0] in ends:
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         own = _BIT.get(ZONE_TAGS.get(name, ""), 0)
         if attributes:
             for a in _ATTRIBUTE.finditer(attributes):
@@ -151,13 +173,14 @@ def blocks(page: str) -> list[Block]:
                     own |= _BIT.get(_ZONE_OF.get(word, ""), 0)
         _, zones, inner = stack[-1]
         stack.append((name, zones | own, own if name in ("article", "main") else inner | own))
+        opened[name] += 1
     close()
     return found
 
 
 @functools.lru_cache(64)
 def _raw_end(name: str) -> re.Pattern:
-    return re.compile(rf"</{name}\s*>", re.I)
+    return re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I)
 
 
 _TEXT_FEATURES = ("words_1", "words_2_4", "words_5_9", "words_10_24", "words_25_79", "words_80", "links_none", "links_some", "links_most", "ends_sentence", "has_comma", "has_copyright", "has_bar", "starts_upper", "all_upper", "digits")

@@ -85,3 +85,39 @@ def test_deep_nesting_and_raw_elements_without_an_end():
         assert htmltext.main_text(page, field)[0] == want
     deep = "<b>" * 3000 + "Deep words that are said in a sentence of prose." + "</b>" * 3000
     assert htmltext.main_text(f"<article><h1>Title</h1>{prose}<p>{deep}</p></article>", field)[0] == want + "\n\nDeep words that are said in a sentence of prose."
+
+
+def texts(page):
+    return [b.text for b in htmltext.blocks(page)]
+
+
+def test_comments_end_as_in_a_browser():
+    for comment in ("<!-->", "<!--->", "<!-- x --!>", "<!-- x -->", "<!---->", "<!-- <p>x</p> -- > -->", "<![CDATA[x>", "<?php x ?>", "<!doctype html>"):
+        assert texts(f"<p>a</p>{comment}<p>b</p>") == ["a", "b"], comment
+    assert texts("<p>a</p><!-- never ends <p>b</p>") == ["a"]
+
+
+def test_only_empty_elements_end_themselves():
+    assert texts("<script src=x/>code()</script><p>a</p>") == ["a"]
+    assert texts("<p>a<br/>b<img src=x/>c</p><hr/><p>d</p>") == ["a bc", "d"]
+    nav, main = htmltext.blocks("<section data-u=/a/b/><nav/><p>x</p></nav><p>y</p></section>")
+    assert nav.zones & htmltext._BIT["nav"] and nav.zones & htmltext._BIT["section"] and not main.zones & htmltext._BIT["nav"] and main.zones & htmltext._BIT["section"]
+    assert texts("<p title=it's>a</p><p title=it's>b</p>") == ["a", "b"]
+
+
+def test_scripts_do_not_cut_and_hidden_markup_ends_with_its_parent():
+    assert texts("<p>one <script>x()</script>two <style>p{}</style>three <noscript><div>no <p>script</p></div></noscript>four</p>") == ["one two three four"]
+    assert texts("<article><p>a</p><noscript><p>x</p></article><p>b</p>") == ["a", "b"]
+    assert texts("<div><template><p>x</div><p>b</p>") == ["b"]
+    assert texts("<div>a<template><b>x</template>b</div>c") == ["ab", "c"]
+    assert texts("<p>a</section>b</p>") == ["ab"] and texts("a</p>b") == ["a", "b"]
+    assert texts("<p>a</p><textarea>x</textarea><p>b</p><script>y</script junk><p>c</p>") == ["a", "b", "c"]
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    for page in ("<div>" * 250_000 + "</section>" * 150_000, "<noscript>" * 150_000 + "</x>" * 150_000, "<a b=\"" * 200_000, "<p x='" * 200_001, "<!-" * 500_000, "</p>" * 500_000):
+        began = time.process_time()
+        htmltext.blocks(page)
+        assert time.process_time() - began < 4, page[:20]
