@@ -91,14 +91,19 @@ def exposed(persons: DataFrame, vehicles: DataFrame, frame: list[str], most_iou:
 
 
 def duplicates(boxes: DataFrame, frame: list[str], common: int = COMMON_FRAMES, least_iou: float = DUPLICATE_IOU) -> DataFrame:
-    """Pairs of tracks that share frames where their boxes are nearly the same, or one mostly covers another of like size."""
+    """Pairs (a, b) of tracks of one device that share frames where their boxes are nearly the same, or one mostly covers another of like size.
+
+    The last column of ``frame`` numbers the frames, the others tell the device:
+    track numbers count within it.
+    """
+    device = frame[:-1]
     area = lambda n: (F.col(f"{n}.x2") - F.col(f"{n}.x1")) * (F.col(f"{n}.y2") - F.col(f"{n}.y1"))
     ratio = F.least(area("a"), area("b")) / F.greatest(area("a"), area("b"))
     median = lambda c: F.percentile(c, F.lit(0.5))
-    p = _pairs(boxes, frame).withColumn("ratio", ratio).groupBy(F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b"))
+    p = _pairs(boxes, frame).withColumn("ratio", ratio).groupBy(*(F.col(f"a.{k}").alias(k) for k in device), F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b"))
     p = p.agg(F.count("*").alias("frames"), median("iou").alias("iou"), median("inside").alias("cover"), median("ratio").alias("ratio"))
     covers = (F.col("cover") >= DUPLICATE_COVER) & (F.col("ratio") >= DUPLICATE_RATIO)
-    return p.filter((F.col("frames") >= common) & ((F.col("iou") >= least_iou) | covers)).select("a", "b")
+    return p.filter((F.col("frames") >= common) & ((F.col("iou") >= least_iou) | covers)).select(*device, "a", "b")
 
 
 def continuations(tracks: DataFrame, by: str, most_gap: float, most_step: float) -> DataFrame:

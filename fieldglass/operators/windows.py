@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +28,16 @@ def sessions(df: DataFrame, by: list[str], order: list[str], gap_us: int, ts: st
     return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_new")
 
 
-def anchored(df: DataFrame, by: list[str], within_us: int, closed: bool) -> DataFrame:
-    """The rows (ts, id) with the first time of their pass as ``anchor`` and whether they are its first row.
+def anchored(df: DataFrame, by: list[str], within_us: int, closed: bool, carry: Sequence[str] = ()) -> DataFrame:
+    """The rows (ts, id and the columns to ``carry``) with the first time of their pass as ``anchor`` and whether they are its first row.
 
     A pass takes the rows of a key up to ``within_us`` after its first one
     (``closed``: those at exactly that time too), however many came between; the
     next row begins another. A task holds one batch of sorted rows and looks up the
     end of each pass in it, so no key's rows have to fit in memory.
     """
-    keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    names = [*by, "us", "id"]
+    typed = lambda columns: "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in columns)
+    names = [*by, "us", "id", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, anchor = None, 0
@@ -63,20 +63,20 @@ def anchored(df: DataFrame, by: list[str], within_us: int, closed: bool) -> Data
                 key = here
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anchors), pa.array(first)], [*names, "anchor", "first"])
 
-    rows = df.select(*by, micros("ts").alias("us"), F.col("id").cast("bigint").alias("id")).filter("us is not null")
-    return rows.repartition(*by).sortWithinPartitions(*by, "us", "id").mapInArrow(run, f"{keys}, us bigint, id bigint, anchor bigint, first boolean")
+    rows = df.select(*by, micros("ts").alias("us"), F.col("id").cast("bigint").alias("id"), *carry).filter("us is not null")
+    return rows.repartition(*by).sortWithinPartitions(*by, "us", "id").mapInArrow(run, f"{typed(by)}us bigint, id bigint, {typed(carry)}anchor bigint, first boolean")
 
 
 def same_pass(points: DataFrame, by: list[str], within_us: int) -> DataFrame:
     """Fold points (ts, id, plate, confidence, observations) into passes anchored at their first time.
 
-    The fold sums observations and keeps the best reading, the first of equals.
+    The fold sums observations and keeps the best reading, the first of equals. Every
+    point counts, also one that is repeated; null is a key like any other. Points
+    without a time are in no pass.
     """
-    found = anchored(points, by, within_us, True)
-    rest = points.select(*by, micros("ts").alias("us"), F.col("id").cast("bigint").alias("id"), "plate", "confidence", "observations")
     at = F.struct("us", "id")
     best = F.struct("confidence", (-F.col("us")).alias("t"), (-F.col("id")).alias("i"))
-    folded = found.join(rest, [*by, "us", "id"]).groupBy(*by, "anchor").agg(
+    folded = anchored(points, by, within_us, True, ["plate", "confidence", "observations"]).groupBy(*by, "anchor").agg(
         F.min_by("id", at).alias("id"), F.max_by("plate", best).alias("plate"), F.max("confidence").alias("confidence"), F.sum(F.col("observations").cast("bigint")).alias("observations"), F.count("*").alias("folded")
     )
     return folded.select(*by, F.timestamp_micros("anchor").alias("ts"), "id", "plate", "confidence", "observations", "folded")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geo
-from fieldglass.operators import decoding, tracks
+from fieldglass.operators import decoding, fragments, tracks
 from fieldglass.plans import views
 from fieldglass.plans.q_fields import REGION
 from fieldglass.plans.views import sql
@@ -137,10 +137,10 @@ PLATE_OWNERS = sql(
 
 def duplicate_tracks(spark, sf_dir):
     """K2, K3: tracks of one device whose boxes agree in three frames or more."""
-    return tracks.duplicates(_boxes(spark, sf_dir), FRAME, 3, 0.4)
+    return tracks.duplicates(_boxes(spark, sf_dir), FRAME)
 
 
-DUPLICATE_TRACKS = sql("SELECT ta AS a, tb AS b FROM pairs GROUP BY ta, tb HAVING count(*) >= 3 AND (quantile_cont(inter / (3200 - inter), 0.5) >= 0.4 OR quantile_cont(inter / 1600, 0.5) >= 0.85)", boxes=BOXES, pairs=PAIRS)
+DUPLICATE_TRACKS = sql("SELECT camera_id, ta AS a, tb AS b FROM pairs GROUP BY camera_id, ta, tb HAVING count(*) >= 3 AND (quantile_cont(inter / (3200 - inter), 0.5) >= 0.6 OR quantile_cont(inter / 1600, 0.5) >= 0.85)", boxes=BOXES, pairs=PAIRS)
 
 
 def linked_objects(spark, sf_dir):
@@ -152,6 +152,55 @@ def linked_objects(spark, sf_dir):
     return tracks.objects(t, edges, 3)
 
 
+#: Of each device 20 lanes of boxes of 40 x 30: vehicles that lose their ids (two of them behind each other), second boxes, parked ones, and noise.
+LANES = """SELECT camera_id, slot + 20 * (k // life) AS track_id, 2 * k AS frame, x AS x1, y AS y1, x + 40 AS x2, y + 30 AS y2, CASE WHEN slot IN (5, 14) THEN 'motorcycle' WHEN slot BETWEEN 10 AND 12 THEN 'truck' ELSE 'car' END AS class_name,
+    CASE WHEN slot = 16 THEN confidence / 2 ELSE confidence END AS confidence FROM
+    (SELECT *, CAST(CASE WHEN slot = 8 THEN 2 * 3 * k + 15 + wobble WHEN slot < 13 THEN 2 * (2 + (slot % 10) % 3) * k + slot // 10 + wobble WHEN slot < 17 THEN 1000 + 150 * greatest(slot, 14) + wobble ELSE (detection_id * 131) % 1500 END AS DOUBLE) AS x,
+      CAST(CASE WHEN slot = 8 THEN 700 WHEN slot < 13 THEN 100 * (slot % 10) + slot // 10 WHEN slot < 17 THEN 50 ELSE 1000 + (detection_id * 71) % 900 END AS DOUBLE) AS y FROM
+      (SELECT *, detection_id // 2000 AS camera_id, (detection_id % 2000) // 20 AS k, detection_id % 20 AS slot, (detection_id * 7) % 3 AS wobble,
+        CASE WHEN detection_id % 20 = 8 THEN 19 WHEN detection_id % 20 < 13 THEN 12 + detection_id % 20 WHEN detection_id % 20 < 17 THEN 15 ELSE 2 END AS life FROM det))
+    WHERE k % life >= CASE WHEN slot < 10 THEN slot % 4 WHEN slot BETWEEN 13 AND 16 THEN 5 ELSE 0 END AND NOT (slot = 13 AND k >= 50) AND NOT (slot = 14 AND k < 50)"""
+
+
+def _lanes(spark, sf_dir):
+    """The boxes of LANES: the arithmetic of its SQL over the detections."""
+    d = views.detections(spark, sf_dir).withColumn("slot", F.col("detection_id") % 20)
+    return spark.sql(LANES.replace("FROM det)", "FROM {d})").replace("//", "div"), d=d)
+
+
+def physical_vehicles(spark, sf_dir):
+    """K2: tracks of lanes joined to physical vehicles: second boxes, parked ids and continuations, strongest first."""
+    return fragments.link_fragments(_lanes(spark, sf_dir))
+
+
+_INTER = "greatest(0, 40 - abs({a} - {b})) * greatest(0, 30 - abs({c} - {d}))"
+_IOU = f"({_INTER} / (2400 - {_INTER}))"
+PHYSICAL_VEHICLES = sql(
+    """SELECT camera_id, track_id, vehicle FROM whole LEFT JOIN (SELECT camera_id, track_id, vehicle FROM rooted JOIN (SELECT camera_id, root, CAST(row_number() OVER (PARTITION BY camera_id ORDER BY min(first), root) AS INT) AS vehicle
+    FROM rooted GROUP BY camera_id, root HAVING sum(n) >= 3) USING (camera_id, root)) USING (camera_id, track_id)""",
+    lane=LANES,
+    whole="SELECT camera_id, track_id, count(*) AS n, min(frame) AS first, max(frame) AS last, arg_min(x1, frame) AS xa, arg_min(y1, frame) AS ya, arg_max(x1, frame) AS xz, arg_max(y1, frame) AS yz, quantile_cont(x1, 0.5) AS mx, quantile_cont(y1, 0.5) AS my, CASE WHEN min(class_name) = 'motorcycle' THEN 2 ELSE 4 END AS family, max(confidence) AS score FROM lane GROUP BY ALL",
+    ends="""SELECT camera_id, track_id, count(*) FILTER (sqrt((x1 - mx) * (x1 - mx) + (y1 - my) * (y1 - my)) < 0.25 * sqrt(1200)) AS near, arg_max(x1, frame) FILTER (frame - first <= 25) AS xb, arg_max(y1, frame) FILTER (frame - first <= 25) AS yb,
+      arg_min(x1, frame) FILTER (last - frame <= 25) AS xe, arg_min(y1, frame) FILTER (last - frame <= 25) AS ye, min(frame) FILTER (last - frame <= 25) AS fe FROM lane JOIN whole USING (camera_id, track_id) GROUP BY ALL""",
+    told="""SELECT *, n >= 3 AND near >= 0.8 * n AS standing, sqrt((xb - xa) * (xb - xa) + (yb - ya) * (yb - ya)) < 0.15 * sqrt(1200) AS still_begin, last = fe OR sqrt((xz - xe) * (xz - xe) + (yz - ye) * (yz - ye)) < 0.15 * sqrt(1200) AS still_end,
+      CASE WHEN last > fe THEN (xz - xe) / CAST(last - fe AS DOUBLE) ELSE 0 END AS vx, CASE WHEN last > fe THEN (yz - ye) / CAST(last - fe AS DOUBLE) ELSE 0 END AS vy FROM whole JOIN ends USING (camera_id, track_id)""",
+    kept="SELECT * FROM told WHERE NOT (standing AND score < 0.65)",
+    twice=f"""SELECT camera_id, a, b FROM (SELECT l.camera_id, l.track_id AS a, r.track_id AS b, {_IOU.format(a="l.x1", b="r.x1", c="l.y1", d="r.y1")} AS o, {_INTER.format(a="l.x1", b="r.x1", c="l.y1", d="r.y1")} / 1200 AS cover FROM lane l JOIN lane r ON l.camera_id = r.camera_id AND l.frame = r.frame AND l.track_id < r.track_id
+      SEMI JOIN kept p ON p.camera_id = l.camera_id AND p.track_id = l.track_id SEMI JOIN kept q ON q.camera_id = r.camera_id AND q.track_id = r.track_id) GROUP BY camera_id, a, b HAVING count(*) >= 3 AND (quantile_cont(o, 0.5) >= 0.6 OR quantile_cont(cover, 0.5) >= 0.85)""",
+    parked=f"SELECT a.camera_id, a.track_id AS a, b.track_id AS b FROM kept a JOIN kept b ON a.camera_id = b.camera_id AND a.family = b.family AND a.track_id < b.track_id WHERE a.standing AND b.standing AND greatest(a.first, b.first) - least(a.last, b.last) <= 3000 AND {_IOU.format(a='a.mx', b='b.mx', c='a.my', d='b.my')} >= 0.5",
+    sure="SELECT * FROM twice UNION SELECT * FROM parked UNION SELECT camera_id, b, a FROM twice UNION SELECT camera_id, b, a FROM parked",
+    reach="SELECT camera_id, track_id, track_id AS root FROM kept UNION SELECT s.camera_id, s.b, r.root FROM reach r JOIN sure s ON s.camera_id = r.camera_id AND s.a = r.track_id AND r.root < s.b",
+    met=f"""SELECT a.camera_id, a.track_id AS a, b.track_id AS b, b.first - a.last AS gap, a.still_end AND b.still_begin AND b.n >= 3 AS stood, {_IOU.format(a="a.xz", b="b.xa", c="a.yz", d="b.ya")} AS o,
+      sqrt((a.xz + 20 + a.vx * (b.first - a.last) - (b.xa + 20)) * (a.xz + 20 + a.vx * (b.first - a.last) - (b.xa + 20)) + (a.yz + 15 + a.vy * (b.first - a.last) - (b.ya + 15)) * (a.yz + 15 + a.vy * (b.first - a.last) - (b.ya + 15))) / sqrt(1200) AS drift
+      FROM kept a JOIN kept b ON a.camera_id = b.camera_id AND a.family = b.family AND a.track_id <> b.track_id AND b.first > a.last AND b.first - a.last <= 3000""",
+    ordered="SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY cost, a, b) AS k FROM (SELECT camera_id, a, b, CASE WHEN stood THEN 1 - o + gap / CAST(3000 AS DOUBLE) ELSE drift + 0.5 * gap / 50 END AS cost FROM met WHERE CASE WHEN stood THEN o >= 0.5 ELSE gap <= 50 AND drift <= 0.6 END)",
+    walk="""SELECT camera_id, CAST(0 AS BIGINT) AS k, [CAST(-1 AS BIGINT)] AS nexts, [CAST(-1 AS BIGINT)] AS prevs, map_from_entries(list((track_id, root))) AS roots FROM (SELECT camera_id, track_id, min(root) AS root FROM reach GROUP BY ALL) GROUP BY camera_id
+      UNION ALL SELECT camera_id, k, CASE WHEN ok THEN list_append(nexts, a) ELSE nexts END, CASE WHEN ok THEN list_append(prevs, b) ELSE prevs END, CASE WHEN ok THEN map_from_entries(list_transform(map_entries(roots), lambda e: (e.key, CASE WHEN e.value = greatest(ra, rb) THEN least(ra, rb) ELSE e.value END))) ELSE roots END
+      FROM (SELECT *, NOT list_contains(nexts, a) AND NOT list_contains(prevs, b) AND ra <> rb AS ok FROM (SELECT w.camera_id, o.k, o.a, o.b, w.nexts, w.prevs, w.roots, w.roots[o.a] AS ra, w.roots[o.b] AS rb FROM walk w JOIN ordered o ON o.camera_id = w.camera_id AND o.k = w.k + 1))""",
+    rooted="SELECT w.camera_id, k.track_id, k.n, k.first, w.roots[k.track_id] AS root FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY camera_id ORDER BY k DESC) = 1) w JOIN kept k ON k.camera_id = w.camera_id",
+)
+
+
 def decoded_texts(spark, sf_dir):
     """The best text of a matrix of glyph chances by a prefix beam, and its whole chance."""
     e = views.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("embedding", r * 8 + 1, 8), lambda x: F.exp(x.cast("double") * 8))).alias("m"))
@@ -160,5 +209,5 @@ def decoded_texts(spark, sf_dir):
     return decoding.decode(e.select("vec_id", shares.alias("m")), "vec_id", "m", "ABCDEFG").select("vec_id", "text", F.round("score", 5).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (collisions, wrong_way, wrong_heading, exposed_persons, exposure_spells, plate_owners, traffic_rates, duplicate_tracks, linked_objects, decoded_texts)}
-ORACLES = {"collisions": COLLISIONS, "wrong_way": WRONG_WAY, "wrong_heading": WRONG_HEADING, "exposure_spells": EXPOSURE_SPELLS, "plate_owners": PLATE_OWNERS, "exposed_persons": EXPOSED_PERSONS, "traffic_rates": TRAFFIC_RATES, "duplicate_tracks": DUPLICATE_TRACKS}
+QUERIES = {f.__name__: f for f in (collisions, wrong_way, wrong_heading, exposed_persons, exposure_spells, plate_owners, traffic_rates, duplicate_tracks, linked_objects, physical_vehicles, decoded_texts)}
+ORACLES = {"collisions": COLLISIONS, "wrong_way": WRONG_WAY, "wrong_heading": WRONG_HEADING, "exposure_spells": EXPOSURE_SPELLS, "plate_owners": PLATE_OWNERS, "exposed_persons": EXPOSED_PERSONS, "traffic_rates": TRAFFIC_RATES, "duplicate_tracks": DUPLICATE_TRACKS, "physical_vehicles": PHYSICAL_VEHICLES}

@@ -48,6 +48,26 @@ def test_pass_is_anchored_at_its_first_time(spark):
     assert [(r.id, r.plate, r.observations, r.folded) for r in got] == [(1, "B", 4, 3), (4, "D", 1, 1)]
 
 
+def test_passes_keep_repeated_rows_and_null_keys(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice((1, 2, None)), at(rng.randrange(300)), rng.randrange(30), rng.choice("ABC"), rng.choice((0.1, 0.5, 0.9, None)), rng.randrange(5)) for _ in range(150)]
+    rows += rows[:40] + [(1, None, 1, "A", 0.5, 1), (3, at(5), None, None, None, None)]
+    got = windows.same_pass(spark.createDataFrame(rows, "k int, ts timestamp, id bigint, plate string, confidence double, observations int").repartition(3), ["k"], 20_000_000).collect()
+    want = []
+    for k in (1, 2, 3, None):
+        passes = []
+        for r in sorted((r for r in rows if r[0] == k and r[1] is not None), key=lambda r: (r[1], -1 if r[2] is None else r[2])):
+            if not passes or (r[1] - passes[-1][0][1]).total_seconds() > 20:
+                passes.append([])
+            passes[-1].append(r)
+        for p in passes:
+            sure = [r[4] for r in p if r[4] is not None]
+            seen = [r[5] for r in p if r[5] is not None]
+            want.append((k, p[0][1], p[0][2], max(sure, default=None), sum(seen) if seen else None, len(p)))
+    assert sorted(((r.k, r.ts, r.id, r.confidence, r.observations, r.folded) for r in got), key=str) == sorted(want, key=str)
+    assert sum(r.folded for r in got) == len(rows) - 1
+
+
 def test_throttle_counts_from_the_last_that_fired(spark):
     df = spark.createDataFrame([(1, at(s), s) for s in (0, 10, 19, 20, 39, 41)], "k int, ts timestamp, id int")
     assert [r.id for r in windows.throttled(df, ["k"], 20_000_000).orderBy("id").collect()] == [0, 20, 41]
