@@ -157,14 +157,14 @@ LANES = """SELECT camera_id, slot + 20 * (k // life) AS track_id, 2 * k AS frame
     CASE WHEN slot = 16 THEN confidence / 2 ELSE confidence END AS confidence FROM
     (SELECT *, CAST(CASE WHEN slot = 8 THEN 2 * 3 * k + 15 + wobble WHEN slot < 13 THEN 2 * (2 + (slot % 10) % 3) * k + slot // 10 + wobble WHEN slot < 17 THEN 1000 + 150 * greatest(slot, 14) + wobble ELSE (detection_id * 131) % 1500 END AS DOUBLE) AS x,
       CAST(CASE WHEN slot = 8 THEN 700 WHEN slot < 13 THEN 100 * (slot % 10) + slot // 10 WHEN slot < 17 THEN 50 ELSE 1000 + (detection_id * 71) % 900 END AS DOUBLE) AS y FROM
-      (SELECT *, detection_id // 2000 AS camera_id, (detection_id % 2000) // 20 AS k, detection_id % 20 AS slot, (detection_id * 7) % 3 AS wobble,
+      (SELECT detection_id, confidence, detection_id // 2000 AS camera_id, (detection_id % 2000) // 20 AS k, detection_id % 20 AS slot, (detection_id * 7) % 3 AS wobble,
         CASE WHEN detection_id % 20 = 8 THEN 19 WHEN detection_id % 20 < 13 THEN 12 + detection_id % 20 WHEN detection_id % 20 < 17 THEN 15 ELSE 2 END AS life FROM det))
     WHERE k % life >= CASE WHEN slot < 10 THEN slot % 4 WHEN slot BETWEEN 13 AND 16 THEN 5 ELSE 0 END AND NOT (slot = 13 AND k >= 50) AND NOT (slot = 14 AND k < 50)"""
 
 
 def _lanes(spark, sf_dir):
     """The boxes of LANES: the arithmetic of its SQL over the detections."""
-    d = views.detections(spark, sf_dir).withColumn("slot", F.col("detection_id") % 20)
+    d = views.detections(spark, sf_dir)
     return spark.sql(LANES.replace("FROM det)", "FROM {d})").replace("//", "div"), d=d)
 
 
