@@ -24,6 +24,7 @@ from __future__ import annotations
 import bisect
 import functools
 import heapq
+from array import array
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
@@ -39,7 +40,7 @@ TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 POOL_TOKENS = 1 << 21
 STEP_TOKENS = 8 * 4096
-CACHE_WORDS = 100_000
+CACHE_WORDS = 300_000
 OUT_BYTES = 8 << 20
 #: Marks that the tokenizer reads as one word together and that begin none of its contractions.
 PUNCTUATION = ".,;:!?%&$#*|"
@@ -56,8 +57,9 @@ class WordCache(dict):
     The tokenizer drops white space and none of its pieces crosses any, so the
     ids of a text are those of its chunks in order. A chunk of letters and then
     common punctuation is two words to the tokenizer, and each goes straight to
-    its BPE model; every other chunk is encoded in full. The caches are emptied
-    when they are full; that changes no result.
+    its BPE model; every other chunk is encoded in full. A full cache becomes the
+    old one, from which chunks that come again are taken back, so frequent ones stay;
+    that changes no result.
     """
 
     def __init__(self, path: str, size: int = CACHE_WORDS) -> None:
@@ -68,7 +70,9 @@ class WordCache(dict):
         self.model = self.tokenizer.model
         self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.size = size
+        self.old: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
+        self.old_letters: dict[str, bytes] = {}
 
     def _whole(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -76,10 +80,11 @@ class WordCache(dict):
     def _letters(self, word: str) -> bytes:
         known = self.letters.get(word)
         if known is None:
-            if len(self.letters) >= self.size:
-                self.letters.clear()
-            shown = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
-            known = self.letters[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+            known = self.old_letters.get(word)
+            if known is None:
+                shown = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
+                known = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            self.letters[word] = known
         return known
 
     def _chunk(self, chunk: str) -> bytes:
@@ -96,13 +101,19 @@ class WordCache(dict):
         return self._letters(word) + marks
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self[chunk] = self._chunk(chunk) if chunk else b""
+        found = self.old.get(chunk)
+        if found is None:
+            found = self._chunk(chunk) if chunk else b""
+        self[chunk] = found
         return found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             if len(self) > self.size:
+                self.old = dict(self)
                 self.clear()
+            if len(self.letters) > self.size:
+                self.old_letters, self.letters = self.letters, {}
             yield b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
