@@ -30,39 +30,103 @@ def support(readings: DataFrame, winners: DataFrame, by: list[str], text: str, s
     return j.groupBy(*by).agg(F.countDistinct(F.when(F.col(text) == F.col("_w"), F.col(source))).alias("exact_sources"), F.countDistinct(F.when(F.levenshtein(text, "_w") <= 1, F.col(source))).alias("near_sources"))
 
 
-def positional_vote(readings: DataFrame, key: str, text: str, weight: str) -> DataFrame:
-    """The text that each position's weighted vote gives among readings of the length of most weight, and the share of agreeing weight.
+# How little a layout's prior counts beside the vote, the least prior, and what a vote that no layout fits writes for a missing glyph.
+PRIOR_POWER, LEAST_PRIOR, UNREAD = 0.3, 1e-3, "?"
 
-    ``share`` is the mean over positions. Equal texts are summed first; ties go to
-    the longer text and to the first glyph of the alphabet.
+
+def aligned(anchor: Column, text: Column) -> Column:
+    """For each glyph of ``anchor`` the glyph of ``text`` that a cheapest alignment puts there; null where it puts none.
+
+    Walks back from the ends by the edit distances of what is left of both; an
+    equal or exchanged glyph goes before a missing one, and that before one too many.
+    Neither text is empty.
+    """
+    head = lambda s, k: F.substr(s, F.lit(1), k)
+    none = F.lit(None).cast("string")
+
+    def back(at: Column, _: Column) -> Column:
+        i, j, out = at["i"], at["j"], at["out"]
+        mine, other = F.substr(anchor, i, F.lit(1)), F.substr(text, j, F.lit(1))
+        here = F.levenshtein(head(anchor, i), head(text, j))
+        across = F.levenshtein(head(anchor, i - 1), head(text, j - 1)) + (mine != other).cast("int")
+        missing = F.levenshtein(head(anchor, i - 1), head(text, j)) + 1
+        to = lambda i, j, *glyph: F.struct(i.alias("i"), j.alias("j"), F.concat(F.array(*glyph), out).alias("out") if glyph else out.alias("out"))
+        return F.when(i == 0, at).when((j > 0) & (here == across), to(i - 1, j - 1, other)).when((j == 0) | (here == missing), to(i - 1, j, none)).otherwise(to(i, j - 1))
+
+    start = F.struct(F.length(anchor).alias("i"), F.length(text).alias("j"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(anchor) + F.length(text)), start, back)["out"]
+
+
+def _slots(spark) -> DataFrame:
+    """The slots of all layouts: n (length), layout, weight, i (from 0) and slot."""
+    rows = [(len(template), name, float(weight), i, slot) for name, template, weight in plates.LAYOUTS for i, slot in enumerate(template)]
+    return spark.createDataFrame(rows, "n int, layout string, weight double, i int, slot string")
+
+
+def rover(readings: DataFrame, key: str, text: str, weight: str, supported_only: bool = False) -> DataFrame:
+    """The text that the weighted glyphs of a group's readings make under the likeliest layout, and the mean share of its glyphs.
+
+    Readings of any length vote: each is aligned to the anchor, the weightiest
+    reading of the length of most weight, and votes for the glyphs that come to lie
+    in its places. Every layout of that length takes for each slot the glyph of
+    most weight that fits; of the layouts that fill all slots, that of the largest
+    mean share times a power of its text's prior wins. ``supported_only`` chooses
+    among the group's own valid readings of that length instead, where there are
+    any. If no layout can be filled, each place's weightiest glyph stands.
+
+    Equal texts are summed first and aligned once for each pair of distinct texts.
+    Ties go to the longer length, the first text or glyph of the alphabet, and the
+    weightier layout. Empty and null readings don't count.
     """
-    texts = readings.filter(F.col(text) != "").groupBy(key, F.col(text).alias("text")).agg(F.sum(weight).alias("w"))
+    spark = readings.sparkSession
+    c = F.col
+    texts = readings.filter(c(text) != "").groupBy(key, c(text).alias("text")).agg(F.sum(weight).alias("w"), F.max(weight).alias("top"))
     length = texts.groupBy(key, F.length("text").alias("n")).agg(F.sum("w").alias("w")).groupBy(key).agg(F.max_by("n", F.struct("w", "n")).alias("n"))
-    glyphs = texts.join(length, key).filter(F.length("text") == F.col("n")).select(key, "w", F.posexplode(F.split("text", "")).alias("i", "g"))
-    votes = glyphs.groupBy(key, "i", "g").agg(F.sum("w").alias("w")).groupBy(key, "i").agg(F.min(F.struct((-F.col("w")).alias("w"), "g")).alias("top"), F.sum("w").alias("all"))
-    won = F.struct("i", F.col("top.g").alias("g"))
-    fused = F.array_join(F.transform(F.array_sort(F.collect_list(won)), lambda x: x["g"]), "")
-    return votes.groupBy(key).agg(fused.alias("fused"), (F.sum(-F.col("top.w")) / F.sum("all")).alias("agreement"), F.avg(-F.col("top.w") / F.col("all")).alias("share"))
+    same = texts.join(length, key).filter(F.length("text") == c("n"))
+    anchors = same.groupBy(key, "n").agg(F.min_by("text", F.struct(-c("top"), c("text"))).alias("anchor"))
+    voters = texts.join(anchors, key)
+    pairs = voters.select("anchor", "text").distinct().withColumn("glyphs", F.when(c("anchor") == c("text"), F.split("text", "", F.length("text"))).otherwise(aligned(c("anchor"), c("text"))))
+    votes = voters.join(pairs, ["anchor", "text"]).select(key, "n", "w", F.posexplode("glyphs").alias("i", "g")).filter("g is not null").groupBy(key, "n", "i", "g").agg(F.sum("w").alias("w"))
+    votes = votes.withColumn("share", c("w") / F.sum("w").over(W.partitionBy(key, "n", "i")))
+
+    fits = F.when(c("slot") == "A", c("g").between("A", "Z")).when(c("slot") == "D", c("g").between("0", "9")).otherwise(c("g") == F.upper("slot"))
+    first = F.min(F.struct((-c("w")).alias("w"), "g", "share"))
+    word = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t.g"))), lambda x: x["g"]), "").alias("text")
+    per_slot = votes.join(_slots(spark), ["n", "i"]).filter(fits).groupBy(key, "n", "layout", "weight", "i").agg(first.alias("t"))
+    made = per_slot.groupBy(key, "n", "layout", "weight").agg(F.count("*").alias("filled"), F.avg("t.share").alias("share"), word).filter(c("filled") == c("n"))
+    made = made.select(key, "text", "share", F.lit(1).alias("rank"), c("weight").alias("tie"), c("layout").alias("last"))
+    raw = votes.groupBy(key, "n", "i").agg(first.alias("t")).groupBy(key).agg(F.avg("t.share").alias("share"), word)
+    found = made.unionByName(raw.select(key, "text", "share", F.lit(0).alias("rank"), F.lit(0.0).alias("tie"), F.lit("").alias("last")))
+    if supported_only:
+        own = same.select(key, "text", F.posexplode(F.split("text", "", F.length("text"))).alias("i", "g")).join(votes.select(key, "i", "g", "share"), [key, "i", "g"], "left")
+        own = own.groupBy(key, "text").agg(F.avg(F.coalesce("share", F.lit(0.0))).alias("share"))
+        found = found.unionByName(own.select(key, "text", "share", F.lit(2).alias("rank"), F.lit(0.0).alias("tie"), c("text").alias("last")))
+    graded = found.select("text").distinct().withColumn("g", plates.grammar(c("text"))).select("text", "g.prior", "g.valid")
+    found = found.join(graded, "text").filter((c("rank") < 2) | c("valid"))
+    score = c("share") * F.pow(F.greatest("prior", F.lit(LEAST_PRIOR)), F.lit(PRIOR_POWER))
+    best = F.struct("rank", F.when(c("rank") > 0, score).alias("score"), "tie", "last")
+    return found.groupBy(key).agg(F.max_by(F.struct("text", "share", "prior"), best).alias("b")).select(key, c("b.text").alias("fused"), "b.share", "b.prior")
 
 
-def fused_reads(readings: DataFrame, key: str, text: str, weight: str, enhanced: Column, penalty: float = 0.6, temperature: float = 1.0) -> DataFrame:
-    """:func:`positional_vote` with its support, prior, calibrated confidence and up to three alternates.
+def fused_reads(readings: DataFrame, key: str, text: str, weight: str, enhanced: Column, penalty: float = 0.6, temperature: float = 1.0, alternates: int = 3, supported_only: bool = False) -> DataFrame:
+    """:func:`rover` with the agreement of the readings, a calibrated confidence and the best alternates.
 
-    Support is the share of weight of readings within one edit. If the readings of
+    Agreement is the share of weight of readings within one edit. If the readings of
     ``enhanced`` pictures and the others each favour another text, ``penalty``
-    applies. Alternates are readings within two edits by weight.
+    applies. Alternates are readings within two edits by weight; ``supported`` tells
+    whether any reading is the fused text itself.
     """
-    won = positional_vote(readings, key, text, weight)
-    prior = won.select("fused").distinct().withColumn("prior", plates.grammar(F.col("fused"))["prior"])
+    won = rover(readings, key, text, weight, supported_only)
     texts = readings.filter(F.col(text) != "").groupBy(key, F.col(text).alias("text"), enhanced.alias("sr")).agg(F.sum(weight).alias("w"))
     top = texts.groupBy(key, "sr").agg(F.max_by("text", F.struct("w", "text")).alias("t")).groupBy(key).agg((F.countDistinct("t") > 1).alias("sr_disagree"))
     near = texts.groupBy(key, "text").agg(F.sum("w").alias("w")).join(won.select(key, "fused"), key).withColumn("edits", F.levenshtein("text", "fused"))
     rank = W.partitionBy(key).orderBy((F.col("edits") > 2) | (F.col("edits") == 0), F.desc("w"), "text")
     near = near.withColumn("place", F.row_number().over(rank))
-    others = F.array_sort(F.collect_list(F.when((F.col("place") <= 3) & F.col("edits").between(1, 2), F.struct("place", "text"))))
-    support = near.groupBy(key).agg((F.sum(F.when(F.col("edits") <= 1, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("support"), F.array_join(F.transform(others, lambda x: x["text"]), ",").alias("alternates"))
-    raw = F.col("share") * (0.5 + 0.5 * F.col("prior")) * F.col("support") * F.when(F.col("sr_disagree"), penalty).otherwise(1.0)
+    others = F.array_sort(F.collect_list(F.when((F.col("place") <= alternates) & F.col("edits").between(1, 2), F.struct("place", "text"))))
+    agreement = (F.sum(F.when(F.col("edits") <= 1, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("agreement")
+    near = near.groupBy(key).agg(agreement, F.max(F.col("edits") == 0).alias("supported"), F.array_join(F.transform(others, lambda x: x["text"]), ",").alias("alternates"))
+    raw = F.col("share") * (0.5 + 0.5 * F.col("prior")) * F.col("agreement") * F.when(F.col("sr_disagree"), penalty).otherwise(1.0)
     logit = F.log(F.col("raw") / (1 - F.col("raw"))) / temperature
     confidence = F.when((F.col("raw") <= 0) | (F.col("raw") >= 1) | F.lit(temperature == 1.0), F.col("raw")).otherwise(1 / (1 + F.exp(-logit)))
-    out = won.join(prior, "fused").join(support, key).join(top, key).withColumn("raw", raw).withColumn("confidence", confidence)
-    return out.select(key, "fused", "agreement", "support", "prior", "sr_disagree", "confidence", "alternates")
+    out = won.join(near, key).join(top, key).withColumn("raw", raw).withColumn("confidence", confidence)
+    return out.select(key, "fused", "share", "agreement", "prior", "supported", "sr_disagree", "confidence", "alternates")

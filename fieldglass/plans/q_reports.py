@@ -375,23 +375,47 @@ VOTES = sql(
 )
 
 
+def _misread(spark, sf_dir):
+    """Readings of tracks, some of them with a glyph too many, one or two too few, or one confused."""
+    i, p = F.col("sighting_id"), F.col("plate")
+    other = F.char((65 + i % 26).cast("int"))
+    text = F.when(i % 7 == 0, F.concat(F.substring(p, 1, 4), other, F.expr("substr(plate, 5)"))).when(i % 7 == 1, F.concat(F.substring(p, 1, 2), F.expr("substr(plate, 4)")))
+    text = text.when(i % 7 == 2, F.concat(F.substring(p, 2, 3), F.expr("substr(plate, 6)"))).when(i % 7 == 3, F.concat(F.substring(p, 1, 4), other, F.expr("substr(plate, 6)"))).otherwise(p)
+    return views.sightings(spark, sf_dir).withColumn("plate", text)
+
+
+MISREAD = """SELECT sighting_id, track_id, confidence, observations, CASE sighting_id % 7 WHEN 0 THEN substr(plate, 1, 4) || chr(CAST(65 + sighting_id % 26 AS INT)) || substr(plate, 5) WHEN 1 THEN substr(plate, 1, 2) || substr(plate, 4)
+    WHEN 2 THEN substr(plate, 2, 3) || substr(plate, 6) WHEN 3 THEN substr(plate, 1, 4) || chr(CAST(65 + sighting_id % 26 AS INT)) || substr(plate, 6) ELSE plate END AS plate FROM sighting"""
+
+
 def fused(spark, sf_dir):
-    """L1: the position-wise weighted vote of each track's readings with support, prior, confidence and alternates."""
-    found = voting.fused_reads(views.sightings(spark, sf_dir), "track_id", "plate", "confidence", F.col("observations") % 2 == 0)
-    return found.select("track_id", "fused", *(F.round(c, 6).alias(c) for c in ("agreement", "support", "prior", "confidence")), "sr_disagree", "alternates")
+    """L1: the vote of each track's readings, aligned and under the likeliest layout, with agreement, prior, confidence and alternates."""
+    found = voting.fused_reads(_misread(spark, sf_dir), "track_id", "plate", "confidence", F.col("observations") % 2 == 0)
+    return found.select("track_id", "fused", *(F.round(c, 6).alias(c) for c in ("share", "agreement", "prior", "confidence")), "supported", "sr_disagree", "alternates")
 
 
+_SLOTS = ", ".join(f"({len(template)}, '{name}', {weight}, {i}, '{slot}')" for name, template, weight in plates.LAYOUTS for i, slot in enumerate(template, 1))
 FUSED = sql(
-    """SELECT track_id, fused, round(agreement, 6) AS agreement, round(support, 6) AS support, round(coalesce(prior, 0), 6) AS prior, sr_disagree, coalesce(alternates, '') AS alternates,
-    round(share * (0.5 + 0.5 * coalesce(prior, 0)) * support * (CASE WHEN sr_disagree THEN 0.6 ELSE 1.0 END), 6) AS confidence FROM won LEFT JOIN (SELECT plate, max(prior) AS prior FROM scored GROUP BY plate) g ON g.plate = fused
-    JOIN (SELECT track_id, sum(CASE WHEN e <= 1 THEN w ELSE 0 END) / sum(w) AS support, string_agg(CASE WHEN place <= 3 AND e BETWEEN 1 AND 2 THEN plate END, ',' ORDER BY place) AS alternates FROM near GROUP BY track_id) USING (track_id)
-    JOIN (SELECT track_id, count(DISTINCT t) > 1 AS sr_disagree FROM (SELECT track_id, sr, arg_max(plate, row(w, plate)) AS t FROM (SELECT track_id, plate, observations % 2 = 0 AS sr, sum(confidence) AS w FROM sighting GROUP BY ALL) GROUP BY ALL) GROUP BY track_id) USING (track_id)""",
-    len1="SELECT track_id, arg_max(n, row(w, n)) AS n FROM (SELECT track_id, length(plate) AS n, sum(confidence) AS w FROM sighting GROUP BY ALL) GROUP BY track_id",
-    glyph="SELECT track_id, i, substr(plate, CAST(i AS INT), 1) AS g, sum(confidence) AS w FROM (SELECT s.track_id, plate, confidence, unnest(range(1, n + 1)) AS i FROM sighting s JOIN len1 l ON l.track_id = s.track_id AND length(plate) = n) GROUP BY ALL",
-    won="SELECT track_id, string_agg(g, '' ORDER BY i) AS fused, sum(w) / sum(t) AS agreement, avg(w / t) AS share FROM (SELECT *, sum(w) OVER (PARTITION BY track_id, i) AS t, row_number() OVER (PARTITION BY track_id, i ORDER BY w DESC, g) AS k FROM glyph) WHERE k = 1 GROUP BY track_id",
-    near="SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY e > 2 OR e = 0, w DESC, plate) AS place FROM (SELECT track_id, plate, sum(confidence) AS w, levenshtein(plate, fused) AS e FROM sighting JOIN won USING (track_id) GROUP BY track_id, plate, fused)",
-    p="SELECT DISTINCT fused AS plate FROM won",
+    """SELECT track_id, fused, round(share, 6) AS share, round(agreement, 6) AS agreement, round(prior, 6) AS prior, supported, sr_disagree, coalesce(alternates, '') AS alternates,
+    round(share * (0.5 + 0.5 * prior) * agreement * (CASE WHEN sr_disagree THEN 0.6 ELSE 1.0 END), 6) AS confidence FROM won
+    JOIN (SELECT track_id, sum(CASE WHEN e <= 1 THEN w ELSE 0 END) / sum(w) AS agreement, bool_or(e = 0) AS supported, string_agg(CASE WHEN place <= 3 AND e BETWEEN 1 AND 2 THEN plate END, ',' ORDER BY place) AS alternates FROM near GROUP BY track_id) USING (track_id)
+    JOIN (SELECT track_id, count(DISTINCT t) > 1 AS sr_disagree FROM (SELECT track_id, sr, arg_max(plate, row(w, plate)) AS t FROM (SELECT track_id, plate, observations % 2 = 0 AS sr, sum(confidence) AS w FROM misread GROUP BY ALL) GROUP BY ALL) GROUP BY track_id) USING (track_id)""",
+    misread=MISREAD,
+    txt="SELECT track_id, plate, sum(confidence) AS w, max(confidence) AS top FROM misread GROUP BY ALL",
+    anc="SELECT track_id, n, arg_min(plate, row(-top, plate)) AS anchor FROM txt JOIN (SELECT track_id, arg_max(n, row(w, n)) AS n FROM (SELECT track_id, length(plate) AS n, sum(w) AS w FROM txt GROUP BY ALL) GROUP BY track_id) USING (track_id) WHERE length(plate) = n GROUP BY ALL",
+    steps="""SELECT DISTINCT anchor AS a, plate AS t, length(anchor) AS i, length(plate) AS j, CAST([] AS VARCHAR[]) AS glyphs FROM anc JOIN txt USING (track_id) UNION ALL
+      SELECT a, t, CASE WHEN across OR missing THEN i - 1 ELSE i END, CASE WHEN across OR NOT missing THEN j - 1 ELSE j END, CASE WHEN across THEN list_prepend(t[j], glyphs) WHEN missing THEN list_prepend(NULL, glyphs) ELSE glyphs END FROM
+      (SELECT *, j = 0 OR levenshtein(a[:i], t[:j]) = levenshtein(CASE WHEN i = 1 THEN '' ELSE a[:i - 1] END, t[:j]) + 1 AS missing FROM (SELECT *, j > 0 AND levenshtein(a[:i], t[:j]) = levenshtein(CASE WHEN i = 1 THEN '' ELSE a[:i - 1] END, CASE WHEN j <= 1 THEN '' ELSE t[:j - 1] END) + CAST(a[i] <> t[j] AS INT) AS across FROM steps WHERE i > 0))""",
+    vote="SELECT *, w / sum(w) OVER (PARTITION BY track_id, i) AS share FROM (SELECT track_id, n, i, g, sum(w) AS w FROM (SELECT track_id, n, w, unnest(glyphs) AS g, unnest(range(1, n + 1)) AS i FROM anc JOIN txt USING (track_id) JOIN (SELECT * FROM steps WHERE i = 0) s ON s.a = anchor AND s.t = plate) WHERE g IS NOT NULL GROUP BY ALL)",
+    slot=f"SELECT * FROM (VALUES {_SLOTS}) v(n, layout, weight, i, slot)",
+    made="SELECT track_id, layout, weight, string_agg(g, '' ORDER BY i) AS text, avg(share) AS share FROM (SELECT track_id, v.n, layout, CAST(weight AS DOUBLE) AS weight, v.i, arg_min(g, row(-w, g)) AS g, arg_min(share, row(-w, g)) AS share FROM vote v JOIN slot s ON s.n = v.n AND s.i = v.i AND CASE slot WHEN 'A' THEN g BETWEEN 'A' AND 'Z' WHEN 'D' THEN g BETWEEN '0' AND '9' ELSE g = upper(slot) END GROUP BY ALL) GROUP BY track_id, layout, weight, n HAVING count(*) = n",
+    plain="SELECT track_id, string_agg(g, '' ORDER BY i) AS text, avg(share) AS share FROM (SELECT track_id, i, arg_min(g, row(-w, g)) AS g, arg_min(share, row(-w, g)) AS share FROM vote GROUP BY ALL) GROUP BY track_id",
+    p="SELECT text AS plate FROM made UNION SELECT text FROM plain",
     scored=_grammar_sql(),
+    prior_of="SELECT p.plate AS text, coalesce(max(prior), 0) AS prior FROM p LEFT JOIN scored s ON s.plate = p.plate GROUP BY ALL",
+    won="""SELECT track_id, b.text AS fused, b.share AS share, b.prior AS prior FROM (SELECT track_id, arg_max({'text': text, 'share': share, 'prior': prior}, row(share * pow(greatest(prior, 0.001), 0.3), weight, layout)) AS b FROM made JOIN prior_of USING (text) GROUP BY track_id
+      UNION ALL SELECT track_id, {'text': text, 'share': share, 'prior': prior} FROM plain JOIN prior_of USING (text) WHERE track_id NOT IN (SELECT track_id FROM made))""",
+    near="SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY e > 2 OR e = 0, w DESC, plate) AS place FROM (SELECT track_id, plate, w, levenshtein(plate, fused) AS e FROM txt JOIN won USING (track_id))",
 )
 
 
