@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -82,6 +83,141 @@ def same_pass(points: DataFrame, by: list[str], within_us: int) -> DataFrame:
     return folded.select(*by, F.timestamp_micros("anchor").alias("ts"), "id", "plate", "confidence", "observations", "folded")
 
 
+# Grid strength of a damaged frame, that over a device's own level, that before the level is known, and the frames that make it known.
+DAMAGED, DAMAGED_OVER, DAMAGED_AT_FIRST, KNOWN_FRAMES = 1.8, 1.4, 3.0, 20
+# The weight of the level so far.
+LEVEL_KEEPS = 0.95
+# Brightness and focus of a black frame.
+BLACK_LUMA, BLACK_FOCUS = 8.0, 5.0
+
+
+def damaged_frames(frames: DataFrame, by: list[str], order: list[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Frames (luma, focus, grid) with ``damaged`` and the device's ``level`` before them.
+
+    The level is the moving mean of the grid strength of the device's sound frames:
+    a damaged frame doesn't move it, so each verdict depends on those before. Black
+    frames and those without a grid are no evidence and never damaged. A task holds
+    one batch of sorted rows and three numbers for its current device.
+    """
+    columns = [*dict.fromkeys([*by, *order, *carry]), "luma", "focus", "grid"]
+    rows = frames.select(*columns[:-3], *(F.col(c).cast("double").alias(c) for c in columns[-3:]))
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, level, seen = None, None, 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            damaged, levels = [], []
+            for here, luma, focus, grid in zip(keys, *(batch.column(c).to_pylist() for c in columns[-3:]), strict=True):
+                if here != key:
+                    key, level, seen = here, None, 0
+                levels.append(level)
+                black = luma is not None and focus is not None and luma <= BLACK_LUMA and focus <= BLACK_FOCUS
+                if black or grid is None:
+                    damaged.append(False)
+                    continue
+                bad = grid >= (DAMAGED_AT_FIRST if seen < KNOWN_FRAMES else max(DAMAGED, DAMAGED_OVER * level))
+                damaged.append(bad)
+                if not bad:
+                    level = grid if level is None else LEVEL_KEEPS * level + (1 - LEVEL_KEEPS) * grid
+                    seen += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(damaged, pa.bool_()), pa.array(levels, pa.float64())], [*columns, "damaged", "level"])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, f"{schema}, damaged boolean, level double")
+
+
+def moving_rank(df: DataFrame, by: list[str], value: str, older_us: int, newer_us: int, share: float, least: int, ts: str = "ts", node: str = "id") -> DataFrame:
+    """For each row (node) the value at ``share`` of those of its key from ``older_us`` to ``newer_us`` before it, if there are ``least``.
+
+    The place is the whole part of share times their number, from 0. Sorted rows
+    pass once: a histogram gains the values that enter the window and loses those
+    that leave it, so a row costs the steps of a search tree over the distinct
+    values, and a task holds a window's times and values, not a window for each row.
+    Values are whole numbers; rows without one, or without a time, aren't counted.
+    """
+    rows = df.select(*by, micros(ts).alias("_us"), F.col(node).alias("_node"), F.col(value).cast("bigint").alias("_value")).filter("_us is not null")
+    keys = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in by)
+    kind = rows.schema["_node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
+        held: deque[tuple[int, int]] = deque()  # times and values that wait to enter or are in the window
+        inside: deque[tuple[int, int]] = deque()
+        counts = Counts()
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            out_rows, ranks = [], []
+            for n, (here, us, v) in enumerate(zip(names, batch.column("_us").to_pylist(), batch.column("_value").to_pylist(), strict=True)):
+                if here != key:
+                    key, counts = here, Counts()
+                    held.clear()
+                    inside.clear()
+                if v is not None:
+                    held.append((us, v))
+                while held and held[0][0] <= us - newer_us:
+                    inside.append(held.popleft())
+                    counts.add(inside[-1][1], 1)
+                while inside and inside[0][0] < us - older_us:
+                    counts.add(inside.popleft()[1], -1)
+                if counts.total >= least:
+                    out_rows.append(n)
+                    ranks.append(counts.at(int(share * counts.total)))
+            some = batch.take(pa.array(out_rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in by), some.column("_node"), pa.array(ranks, pa.int64())], [*by, node, "rank_value"])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "_us").mapInArrow(run, f"{keys}{node} {kind}, rank_value bigint")
+
+
+class Counts:
+    """How often whole numbers are held; finds the one at a place in their order.
+
+    Numbers are counted one by one and in blocks of 256, and blocks of blocks, so
+    that a search passes few counters however far apart the numbers are.
+    """
+
+    def __init__(self) -> None:
+        self.levels: list[dict[int, int]] = [{}, {}, {}]
+        self.total = 0
+
+    def add(self, value: int, n: int) -> None:
+        self.total += n
+        for depth, level in enumerate(self.levels):
+            block = value >> (8 * depth)
+            level[block] = level.get(block, 0) + n
+            if not level[block]:
+                del level[block]
+
+    def at(self, place: int) -> int:
+        inside = None
+        for depth in (2, 1, 0):
+            level = self.levels[depth]
+            blocks = sorted(level) if inside is None else [b for b in range(inside << 8, (inside + 1) << 8) if b in level]
+            for block in blocks:
+                if place < level[block]:
+                    inside = block
+                    break
+                place -= level[block]
+        return inside
+
+
+def numbered(df: DataFrame, by: list[str], at: Column, ties: list[str], name: str = "number") -> DataFrame:
+    """``df`` with the number, from 1, of each row of a key by a time ``at`` and ``ties``.
+
+    Rows are counted by key and range of time first; a running sum over one row for
+    each range tells where its numbers begin, and rows are sorted within a range
+    only. So no key's rows meet in one task.
+    """
+    ranged = df.withColumn("_range", at)
+    counts = stored(ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n")), "counts")
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_at"), before.alias("_before"))
+    same = F.lit(True)
+    for left, right in [*((c, f"_by_{c}") for c in by), ("_range", "_at")]:
+        same = same & F.col(left).eqNullSafe(F.col(right))
+    place = F.row_number().over(W.partitionBy(*by, "_range").orderBy(*ties))
+    return ranged.join(starts, same).withColumn(name, F.col("_before") + place).select(*df.columns, name)
+
+
 def legs(points: DataFrame, by: list[str], order: list[str], most_kmh: float = 200.0) -> DataFrame:
     """Seconds, kilometres and speed from the point before; implausible by the unrounded speed."""
     w = W.partitionBy(*by).orderBy(*order)

@@ -80,9 +80,9 @@ def incident_plates(spark, sf_dir):
     """The best reading of each incident's tracks from two days before it to five days after."""
     inc = views.detections(spark, sf_dir).filter("class_name = 'person'").select(F.col("detection_id").alias("incident_id"), "camera_id", F.col("ts").alias("seen"), F.array(F.col("track_id"), (F.col("track_id") + 10) % 150).alias("track_ids"))
     s = views.sightings(spark, sf_dir)
-    keyed = inc.withColumn("track_id", F.explode("track_ids")).join(s, ["camera_id", "track_id"])
-    gap = F.unix_micros("ts") - F.unix_micros("seen")
-    inside = keyed.filter((gap >= -2 * 86400 * 1000000) & (gap <= 5 * 86400 * 1000000))
+    # from two days before to five days after: a band of seven days that begins two days early, in buckets of that width
+    early = inc.withColumn("track_id", F.explode("track_ids")).withColumn("ts", F.timestamp_micros(F.unix_micros("seen") - 2 * 86400 * 1000000))
+    inside = joins.band_join(early, s, 7 * 86400, on=[("camera_id", "camera_id"), ("track_id", "track_id")]).select("l.incident_id", "r.confidence", "r.sighting_id")
     return inside.groupBy("incident_id").agg(F.max_by("sighting_id", F.struct("confidence", "sighting_id")).alias("sighting_id"), F.count("*").alias("readings"))
 
 
@@ -94,10 +94,9 @@ INCIDENT_PLATES = sql("""SELECT incident_id, arg_max(sighting_id, row(confidence
 def plate_stamps(spark, sf_dir):
     """Detections without a plate get that of the first reading within the day after them."""
     d = views.detections(spark, sf_dir).filter("width_px < 96").select("detection_id", "camera_id", "track_id", "ts")
-    s = views.sightings(spark, sf_dir).select("camera_id", "track_id", F.col("ts").alias("read_at"), "sighting_id", "plate")
-    gap = F.unix_micros("read_at") - F.unix_micros("ts")
-    hits = d.join(s, ["camera_id", "track_id"]).filter((gap >= 0) & (gap <= 86400 * 1000000))
-    return hits.groupBy("detection_id").agg(F.min_by("plate", F.struct("read_at", "sighting_id")).alias("plate"))
+    s = views.sightings(spark, sf_dir).select("camera_id", "track_id", "ts", "sighting_id", "plate")
+    hits = joins.band_join(d, s, 86400, on=[("camera_id", "camera_id"), ("track_id", "track_id")])
+    return hits.groupBy(F.col("l.detection_id").alias("detection_id")).agg(F.min_by("r.plate", F.struct("r.ts", "r.sighting_id")).alias("plate"))
 
 
 PLATE_STAMPS = sql("""SELECT detection_id, arg_min(plate, row(read_at, sighting_id)) AS plate FROM (SELECT d.detection_id, s.plate, s.ts AS read_at, s.sighting_id FROM det d JOIN sighting s

@@ -229,7 +229,9 @@ MISSING_PLATES = sql("""SELECT camera_id, count(*) AS vehicles, round(1 - count(
 
 def day_numbers(spark, sf_dir):
     """A running, padded number for each row of a day."""
-    return views.detections(spark, sf_dir).withColumn("day", F.to_date("ts")).withColumn("n", F.row_number().over(windows.W.partitionBy("day").orderBy("ts", "detection_id"))).select("detection_id", F.concat(F.date_format("day", "yyyyMMdd"), F.lit("-"), F.lpad(F.col("n").cast("string"), 5, "0")).alias("number"))
+    d = views.detections(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    found = windows.numbered(d, ["day"], F.hour("ts") * 60 + F.minute("ts"), ["ts", "detection_id"], "n")
+    return found.select("detection_id", F.concat(F.date_format("day", "yyyyMMdd"), F.lit("-"), F.lpad(F.col("n").cast("string"), 5, "0")).alias("number"))
 
 
 DAY_NUMBERS = sql("SELECT detection_id, strftime(ts, '%Y%m%d') || '-' || lpad(CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, detection_id) AS VARCHAR), 5, '0') AS number FROM det")
@@ -288,12 +290,14 @@ FLOW = sql("""SELECT region, round(degrees(atan2(avg(sin(a)), avg(cos(a)))), 3)
 
 def replays(spark, sf_dir):
     """Frames that repeat one of the same device within a day at nearly the same place."""
-    d = views.detections(spark, sf_dir).select("detection_id", "camera_id", "ts", "width_px", F.concat_ws("/", "camera_id", "class_name").alias("cell"))
-    a = d.select("cell", F.struct("*").alias("l"), F.floor(F.unix_micros("ts") / (24 * HOUR)).alias("day"))
-    b = d.select("cell", F.struct("*").alias("r"), F.explode(F.array(F.floor(F.unix_micros("ts") / (24 * HOUR)), F.floor(F.unix_micros("ts") / (24 * HOUR)) - 1)).alias("day"))
-    gap = F.unix_micros("r.ts") - F.unix_micros("l.ts")
-    j = a.join(b, ["cell", "day"]).filter((gap > 0) & (gap <= 24 * HOUR) & (F.abs(F.col("l.width_px") - F.col("r.width_px")) <= 2))
-    return j.select(F.col("r.detection_id").alias("replay")).distinct()
+    d = views.detections(spark, sf_dir).select("detection_id", "camera_id", "class_name", F.unix_micros("ts").alias("us"), "width_px")
+    # a frame looks for the last one before it of each width that is near enough: the row before it among those of that width
+    near = d.withColumn("width", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: F.col("width_px") + k)))
+    rows = d.select("camera_id", "class_name", F.col("width_px").alias("width"), "us", F.lit(0).alias("asks"), F.lit(None).cast("bigint").alias("detection_id"))
+    both = rows.unionByName(near.select("camera_id", "class_name", "width", "us", F.lit(1).alias("asks"), "detection_id"))
+    earlier = windows.W.partitionBy("camera_id", "class_name", "width").orderBy("us").rangeBetween(-24 * HOUR, -1)
+    found = both.withColumn("last", F.max(F.when(F.col("asks") == 0, F.col("us"))).over(earlier))
+    return found.filter("asks = 1 and last is not null").select(F.col("detection_id").alias("replay")).distinct()
 
 
 REPLAYS = sql("""SELECT DISTINCT r.detection_id AS replay FROM det l JOIN det r ON l.camera_id = r.camera_id AND l.class_name = r.class_name AND r.ts > l.ts AND r.ts <= l.ts + INTERVAL 24 HOUR AND abs(l.width_px - r.width_px) <= 2""")

@@ -176,10 +176,8 @@ HEADINGS = sql("""SELECT detection_id, round(degrees(atan2(dy, dx)), 3) AS headi
 
 def crowd_baseline(spark, sf_dir):
     """the 90th percentile (by index) of a device's widths from a day to an hour before, of 20 or more."""
-    d = views.detections(spark, sf_dir)
-    w = W.partitionBy("camera_id").orderBy(F.unix_micros("ts")).rangeBetween(-24 * HOUR, -HOUR)
-    out = d.withColumn("past", F.array_sort(F.collect_list("width_px").over(w))).filter(F.size("past") >= 20)
-    return out.select("detection_id", F.element_at("past", (F.floor(F.size("past") * 0.9) + 1).cast("int")).alias("baseline"))
+    found = windows.moving_rank(views.detections(spark, sf_dir), ["camera_id"], "width_px", 24 * HOUR, HOUR, 0.9, 20, node="detection_id")
+    return found.select("detection_id", F.col("rank_value").cast("int").alias("baseline"))
 
 
 CROWD_BASELINE = sql("""SELECT detection_id, past[CAST(floor(len(past) * 0.9) AS INT) + 1] AS baseline FROM (SELECT d.detection_id, list_sort(list(e.width_px)) AS past FROM det d JOIN det e ON e.camera_id = d.camera_id
@@ -265,13 +263,39 @@ MOVING_BASELINE = sql(
     walk="SELECT camera_id, k, level AS m FROM days WHERE k = 1 UNION ALL SELECT d.camera_id, d.k, w.m * CAST(0.95 AS DOUBLE) + d.level * CAST(0.05 AS DOUBLE) FROM walk w JOIN days d ON d.camera_id = w.camera_id AND d.k = w.k + 1",
 )
 
+def _frames(spark, sf_dir):
+    """A frame for each detection: brightness, focus, clipped share and the strength of the coding grid."""
+    i = F.col("detection_id")
+    grid = F.when(i % 17 == 3, F.col("confidence") * 5).otherwise(1 + (F.col("detection_id") * 31 % 97) / F.lit(97.0) + (F.col("camera_id") % 3) * 0.35)
+    return views.detections(spark, sf_dir).select(
+        "detection_id", "camera_id", "ts", ((i * 37) % 256).cast("double").alias("luma"), ((i * 13) % 211).cast("double").alias("focus"), ((i * 7) % 100 / F.lit(100.0)).alias("clipped"), F.when(i % 29 != 0, grid).alias("grid")
+    )
+
+
+def frame_verdicts(spark, sf_dir):
+    """The footage class of each frame; damage is judged by the level of the device's sound frames so far."""
+    found = windows.damaged_frames(_frames(spark, sf_dir), ["camera_id"], ["ts", "detection_id"], ["clipped"])
+    black = (F.col("luma") <= windows.BLACK_LUMA) & (F.col("focus") <= windows.BLACK_FOCUS)
+    shown = F.when(black, "blackout").when(F.col("damaged"), "corrupted").when((F.col("luma") >= 235) | (F.col("clipped") >= 0.9), "overexposed").when(F.col("luma") <= 60, "low_light").when(F.col("focus") < 40, "blurred").otherwise("normal")
+    return found.select("detection_id", shown.alias("quality"), F.round("level", 6).alias("level"))
+
+
+FRAME_VERDICTS = sql(
+    """SELECT detection_id, CASE WHEN black THEN 'blackout' WHEN bad THEN 'corrupted' WHEN luma >= 235 OR clipped >= 0.9 THEN 'overexposed' WHEN luma <= 60 THEN 'low_light' WHEN focus < 40 THEN 'blurred' ELSE 'normal' END AS quality, round(level, 6) AS level FROM walk""",
+    frame="""SELECT detection_id, camera_id, luma, focus, clipped, grid, luma <= 8 AND focus <= 5 AS black, row_number() OVER (PARTITION BY camera_id ORDER BY ts, detection_id) AS k FROM (SELECT detection_id, camera_id, ts, CAST((detection_id * 37) % 256 AS DOUBLE) AS luma, CAST((detection_id * 13) % 211 AS DOUBLE) AS focus,
+      (detection_id * 7) % 100 / CAST(100 AS DOUBLE) AS clipped, CASE WHEN detection_id % 29 <> 0 THEN CASE WHEN detection_id % 17 = 3 THEN confidence * 5 ELSE 1 + (detection_id * 31 % 97) / CAST(97 AS DOUBLE) + (camera_id % 3) * CAST(0.35 AS DOUBLE) END END AS grid FROM det)""",
+    walk="""SELECT detection_id, camera_id, k, luma, focus, clipped, black, NOT black AND coalesce(grid >= 3, false) AS bad, CAST(NULL AS DOUBLE) AS level, CASE WHEN NOT black AND grid < 3 THEN grid END AS next, CASE WHEN NOT black AND grid < 3 THEN 1 ELSE 0 END AS seen FROM frame WHERE k = 1
+      UNION ALL SELECT detection_id, camera_id, k, luma, focus, clipped, black, bad, level, CASE WHEN black OR grid IS NULL OR bad THEN level WHEN level IS NULL THEN grid ELSE CAST(0.95 AS DOUBLE) * level + (1 - CAST(0.95 AS DOUBLE)) * grid END, CASE WHEN black OR grid IS NULL OR bad THEN seen ELSE seen + 1 END FROM
+      (SELECT f.detection_id, f.camera_id, f.k, f.luma, f.focus, f.clipped, f.grid, f.black, w.next AS level, w.seen, NOT f.black AND coalesce(f.grid >= CASE WHEN w.seen < 20 THEN 3 ELSE greatest(1.8, CAST(1.4 AS DOUBLE) * w.next) END, false) AS bad FROM walk w JOIN frame f ON f.camera_id = w.camera_id AND f.k = w.k + 1)""",
+)
+
 QUERIES = {
     "vehicles_seen": vehicles_seen, "vehicle_list": vehicle_list, "vehicles_totals": vehicles_totals, "passes": passes, "route": route, "clock_cuts": clock_cuts, "speeds": speeds, "headings": headings,
     "crowd_baseline": crowd_baseline, "cooldown": cooldown, "reader_runs": reader_runs, "latest_health": latest_health, "footage_bursts": footage_bursts, "health_streaks": health_streaks,
-    "inactivity": inactivity, "moving_baseline": moving_baseline,
+    "inactivity": inactivity, "moving_baseline": moving_baseline, "frame_verdicts": frame_verdicts,
 }
 ORACLES = {
     "vehicles_seen": VEHICLES_SEEN, "vehicle_list": VEHICLE_LIST, "vehicles_totals": VEHICLES_TOTALS, "passes": PASSES, "route": ROUTE, "clock_cuts": CLOCK_CUTS, "speeds": SPEEDS, "headings": HEADINGS,
     "crowd_baseline": CROWD_BASELINE, "cooldown": COOLDOWN, "reader_runs": READER_RUNS, "latest_health": LATEST_HEALTH, "footage_bursts": FOOTAGE_BURSTS, "health_streaks": HEALTH_STREAKS,
-    "inactivity": INACTIVITY, "moving_baseline": MOVING_BASELINE,
+    "inactivity": INACTIVITY, "moving_baseline": MOVING_BASELINE, "frame_verdicts": FRAME_VERDICTS,
 }

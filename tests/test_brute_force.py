@@ -228,3 +228,55 @@ def test_group_sizes_decide_bands(spark):
     for i in range(1, 4):
         edges[i] = max(edges[i], edges[i - 1] + 1)
     assert got == {"few": [20.0, 40.0, 60.0, 120.0], "many": edges}
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_moving_rank(spark, batch):
+    rng = random.Random(10)
+    rows = [(rng.choice(("a", "b", None)), at(rng.randrange(500)) if rng.random() < 0.97 else None, i, rng.choice((None, -70_000, 3, 5, 255, 256, 257, 70_000, rng.randrange(40)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id bigint, v int").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = {r.id: r.rank_value for r in windows.moving_rank(df, ["k"], "v", 100_000_000, 20_000_000, 0.7, 5).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k, t, i, _ in rows:
+        if t is not None:
+            past = sorted(v for j, u, _, v in rows if j == k and u is not None and v is not None and 20 <= (t - u).total_seconds() <= 100)
+            if len(past) >= 5:
+                want[i] = past[int(0.7 * len(past))]
+    assert got == want and len(want) > 100
+
+
+def test_numbers_of_rows(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(("a", None)), rng.choice((None, *range(50))), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t int, id int").repartition(4)
+    got = {r.id: r.n for r in windows.numbered(df, ["k"], F.floor(F.col("t") / 7), ["t", "id"], "n").collect()}
+    want = {}
+    for k in ("a", None):
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1], r[2]))
+        want |= {r[2]: n for n, r in enumerate(mine, 1)}
+    assert got == want
+
+
+@pytest.mark.parametrize("batch", ["10000", "11"])
+def test_damaged_frames_do_not_move_the_level(spark, batch):
+    rng = random.Random(12)
+    rows = [(rng.choice("ab"), i, rng.choice((2.0, 100.0)), rng.choice((1.0, 50.0)), rng.choice((None, 1.0, 1.3, 1.7, 2.0, 2.4, 4.0, rng.uniform(1, 3)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t int, luma double, focus double, grid double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = {r.t: (r.damaged, r.level) for r in windows.damaged_frames(df, ["k"], ["t"]).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in "ab":
+        sound = []
+        for _, t, luma, focus, grid in (r for r in rows if r[0] == k):
+            level = None
+            for g in sound:
+                level = g if level is None else 0.95 * level + 0.05 * g
+            limit = 3.0 if len(sound) < 20 else max(1.8, 1.4 * level)
+            evidence = grid is not None and not (luma <= 8 and focus <= 5)
+            damaged = evidence and grid >= limit
+            if evidence and not damaged:
+                sound.append(grid)
+            assert got[t] == (damaged, pytest.approx(level) if level is not None else None)
+    assert any(d for d, _ in got.values())
