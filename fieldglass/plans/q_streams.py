@@ -8,7 +8,7 @@ from fieldglass.plans import views
 from fieldglass.plans.q_fields import duck_distance
 from fieldglass.plans.views import sql
 from fieldglass.store import new_path
-from fieldglass.streaming import ingest
+from fieldglass.streaming import incidents, ingest
 
 HOUR = 3600 * 1_000_000
 
@@ -82,5 +82,37 @@ STREAM_BURSTS = sql(
     FROM walk w JOIN frame f ON f.camera_id = w.camera_id AND f.quality = w.quality AND f.k = w.k + 1)""",
 )
 
-QUERIES = {"stream_ingest": stream_ingest, "stream_alerts": stream_alerts, "stream_traffic": stream_traffic, "stream_bursts": stream_bursts}
+ZONE = incidents.Zone([(0.6, 0.6), (1.0, 0.6), (1.0, 1.0), (0.6, 1.0)], frozenset(("person",)), None, 1.0)
+FRAME = (800.0, 600.0)
+
+
+def traffic_boxes(events):
+    """Boxes of traffic from events: of a device 20 to a frame, five frames a second; cars, persons in their way, and two trucks that meet."""
+    i = F.col("event_id")
+    k, slot = F.expr("(event_id % 2000) div 20"), (i % 20).cast("int")
+    car, person = slot < 12, slot < 18
+    jitter = ((i * 7) % 3).cast("double")
+    x = F.when(car, (slot * 67 + k * 9) % 760).when(person, (slot - 11) * 100 + jitter).when(slot == 18, 100 + 15.6 * F.least(k, F.lit(12))).otherwise(513 - 15.6 * F.least(k, F.lit(12)))
+    y = F.when(car, 200 + (slot % 3) * 60).when(person, F.when(slot % 3 == 0, 420).otherwise(200 + (slot % 3) * 60)).otherwise(100).cast("double")
+    w, h = F.when(car, 70).when(person, 20).otherwise(60), F.when(car, 50).when(person, 45).otherwise(60)
+    label = F.when(car, "car").when(person, "person").otherwise("truck")
+    ts = F.timestamp_micros(F.lit(1_704_067_200_000_000) + k * 200_000)
+    rows = events.select(F.expr("event_id div 2000").alias("camera_id"), ts.alias("ts"), slot.cast("bigint").alias("track_id"), label.alias("label"), x.cast("double").alias("x1"), y.alias("y1"), (x + w).cast("double").alias("x2"), (y + h).alias("y2"), (k * 200).alias("pts"), "event_id")
+    # after the first box comes one row without a track, hours later, that lets all frames pass
+    last = F.when(F.col("event_id") == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = rows.withColumn("last", F.explode(last))
+    return rows.select(F.when(F.col("last"), -1).otherwise(F.col("camera_id")).alias("camera_id"), F.when(F.col("last"), F.timestamp_micros(F.lit(1_704_153_600_000_000))).otherwise(F.col("ts")).alias("ts"), *(F.when(~F.col("last"), F.col(c)).alias(c) for c in ("track_id", "label", "x1", "y1", "x2", "y2", "pts")))
+
+
+def stream_incidents(spark, sf_dir):
+    """I10, I11 with state: persons among moving traffic, collisions and intrusions on a stream of boxes."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    boxes = traffic_boxes(spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet"))
+    path = new_path(spark, "incidents")
+    with incidents.keyed_state(spark):
+        ingest.run_once(incidents.incidents(boxes, ZONE, FRAME), path, ingest.appended(path))
+    return spark.read.schema(f"{incidents.INCIDENT}, batch int").parquet(path).select("camera_id", "kind", "tracks", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("begun", "raised")))
+
+
+QUERIES = {"stream_incidents": stream_incidents, "stream_ingest": stream_ingest, "stream_alerts": stream_alerts, "stream_traffic": stream_traffic, "stream_bursts": stream_bursts}
 ORACLES = {"stream_ingest": STREAM_INGEST, "stream_alerts": STREAM_ALERTS, "stream_traffic": STREAM_TRAFFIC, "stream_bursts": STREAM_BURSTS}

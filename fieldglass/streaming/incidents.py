@@ -217,18 +217,19 @@ class Detector(StatefulProcessor):
                     tracks.clear()
                     fired.clear()
                 clock = pts
+            for i in [i for i, t in tracks.items() if now - t.last > LOST_SECONDS]:
+                del tracks[i]
             for _, i, label, *box, _ in rows:
                 if i not in tracks:
                     tracks[i] = Track(label or "", now, now)
                 tracks[i].move(now, label or tracks[i].label, tuple(box))
                 changed.add(i)
             out += [(kind, who, begun, now) for kind, who, begun in judge(tracks, fired, sorted({r[1] for r in rows}), now, self.zone, self.frame)]
-            for i in [i for i, t in tracks.items() if now - t.last > LOST_SECONDS]:
-                del tracks[i]
-        now = until / 1e6
+        # no frame comes any more before the next that waits, or else before the watermark
+        now = min(r[0] for r in later) / 1e6 if later else max(until / 1e6, timerValues.getCurrentWatermarkInMs() / 1e3)
         tracks = {i: t for i, t in tracks.items() if now - t.last <= LOST_SECONDS}
         fired = {k: t for k, t in fired.items() if now - t < max(COOLDOWN, LOST_SECONDS)}
-        self._keep(tracks, fired, changed, clock, until // 1000)
+        self._keep(tracks, fired, changed, clock, int(now * 1000))
         for kind, who, begun, raised in out:
             yield Row(camera_id=key[0], kind=kind, tracks=who, begun=_moment(begun), raised=_moment(raised))
 
