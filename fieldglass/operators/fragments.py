@@ -100,7 +100,7 @@ def described(boxes: DataFrame, fps: float) -> DataFrame:
     )
 
 
-def _cells(box: str, around: int) -> Column:
+def box_cells(box: str, around: int) -> Column:
     """The cells that a box covers in a grid of about its size, and in those of up to ``around`` steps larger or smaller.
 
     Boxes of which one half overlaps the other's differ by less than a step and share a cell.
@@ -128,8 +128,8 @@ def parked_pairs(tracks: DataFrame, most_gap: float) -> DataFrame:
     t = tracks.filter("standing").select("camera_id", "family", F.struct("track_id", "camera_id", "first", "last", "middle").alias("t"))
     times = F.explode(F.sequence(F.floor(F.col("t.first") / most_gap), F.floor((F.col("t.last") + most_gap) / most_gap))).alias("time")
     meet = ["camera_id", "family", "cell", "time"]
-    a = t.select("*", F.explode(_cells("t.middle", 0)).alias("cell")).select("camera_id", "family", "cell", times, F.col("t").alias("a"))
-    b = t.select("*", F.explode(_cells("t.middle", 1)).alias("cell")).select("camera_id", "family", "cell", times, F.col("t").alias("b"))
+    a = t.select("*", F.explode(box_cells("t.middle", 0)).alias("cell")).select("camera_id", "family", "cell", times, F.col("t").alias("a"))
+    b = t.select("*", F.explode(box_cells("t.middle", 1)).alias("cell")).select("camera_id", "family", "cell", times, F.col("t").alias("b"))
     gap = F.greatest("a.first", "b.first") - F.least("a.last", "b.last")
     same = (F.col("a.track_id") < F.col("b.track_id")) & (gap <= most_gap) & (geo.iou(_sides("a.middle"), _sides("b.middle")) >= PARKED_IOU)
     return a.join(b, meet).filter(same).select(_node("a").alias("a"), _node("b").alias("b")).distinct()
@@ -147,7 +147,7 @@ def continuation_pairs(tracks: DataFrame, fps: float, moving_gap: float, parked_
         b = t.select("camera_id", "family", F.col("t").alias("b"), bucket("t.first", width).alias("time"))
         meet = ["camera_id", "family", "time"]
         if grids:
-            a, b = a.filter("a.still_end").withColumn("cell", F.explode(_cells("a.end", 0))), b.filter("b.still_begin").withColumn("cell", F.explode(_cells("b.begin", 1)))
+            a, b = a.filter("a.still_end").withColumn("cell", F.explode(box_cells("a.end", 0))), b.filter("b.still_begin").withColumn("cell", F.explode(box_cells("b.begin", 1)))
             meet.append("cell")
         near = a.join(b, meet).filter((F.col("a.track_id") != F.col("b.track_id")) & (gap > 0) & (gap <= width))
         if grids:

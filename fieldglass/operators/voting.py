@@ -130,3 +130,63 @@ def fused_reads(readings: DataFrame, key: str, text: str, weight: str, enhanced:
     confidence = F.when((F.col("raw") <= 0) | (F.col("raw") >= 1) | F.lit(temperature == 1.0), F.col("raw")).otherwise(1 / (1 + F.exp(-logit)))
     out = won.join(near, key).join(top, key).withColumn("raw", raw).withColumn("confidence", confidence)
     return out.select(key, "fused", "share", "agreement", "prior", "supported", "sr_disagree", "confidence", "alternates")
+
+
+# Crops and share that decide a reader's own vote; crops that each kind of reader and all together need to agree; edits of a rival.
+LEAST_CROPS, LEAST_SHARE, EACH_KIND, BOTH_KINDS, RIVAL_EDITS = 4, 0.3, 2, 6, 2
+
+
+def vote_pick(readings: DataFrame, key: str, text: str, weight: str, crop: str, reader: str, kind: str, primary: str, near_backing: int = 2, least_crops: int = LEAST_CROPS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The text that a track's readers settle on, and by which rule.
+
+    Readings name their ``reader`` and its ``kind``; each reader votes alone. In turn:
+
+    - ``cross_reader``: readers of two kinds have the same text, each on EACH_KIND crops and
+      all on BOTH_KINDS, and no rival has as many;
+    - ``primary``, or ``contested`` if opposed: the primary reader's own vote decides;
+    - ``other_reader``: another's own vote decides, isn't opposed, and is backed: some other
+      reader has the text, or readers of another kind have it but for one glyph on
+      ``near_backing`` crops;
+    - ``secondary``: the vote of all readers together, where it differs from the primary's;
+    - ``undecided``: the primary's own vote.
+
+    A rival is another text within RIVAL_EDITS that isn't the text with one glyph
+    missing. A vote is opposed if another reader's own vote has a rival on
+    ``least_crops`` crops while that reader has the text on fewer, unless readers of two
+    kinds have the text. Texts meet only within their track.
+    """
+    c = F.col
+    rows = readings.filter(c(text) != "").select(key, c(text).alias("text"), c(weight).alias("w"), c(crop).alias("crop"), c(reader).alias("reader"), c(kind).alias("kind"))
+    per = rows.groupBy(key, "text", "reader", "kind").agg(F.countDistinct("crop").alias("on"))
+    whole = rows.groupBy(key, "text").agg(F.countDistinct("crop").alias("all_on"))
+    kinds = per.groupBy(key, "text").agg(F.countDistinct(F.when(c("on") >= EACH_KIND, c("kind"))).alias("kinds"))
+    votes = string_vote(rows, [key, "reader"], "text", "w", "crop").select(key, "reader", "text", "crops", "share", ((c("crops") >= least_crops) & (c("share") >= least_share)).alias("decided"))
+    votes = votes.join(per.groupBy(key, "reader").agg(F.first("kind").alias("kind")), [key, "reader"])
+
+    agreed = whole.join(kinds, [key, "text"]).filter((c("kinds") >= 2) & (c("all_on") >= BOTH_KINDS))
+    others = whole.select(key, c("text").alias("other"), c("all_on").alias("other_on"))
+    beaten = agreed.join(others, key).filter((c("other") != c("text")) & (c("other_on") >= c("all_on")) & (F.levenshtein("other", "text", RIVAL_EDITS) >= 0)).select(key, "text").distinct()
+    cross = agreed.join(beaten, [key, "text"], "left_anti").groupBy(key).agg(F.min_by("text", F.struct(-c("all_on"), c("text"))).alias("cross"))
+
+    sure = votes.filter("decided").select(key, "reader", c("kind").alias("own_kind"), "text")
+    theirs = votes.select(key, c("reader").alias("o"), c("text").alias("s")).filter(c("crops") >= least_crops)
+    edits = F.levenshtein("s", "text")
+    dropped = (F.length("s") == F.length("text") - 1) & (edits == 1)
+    against = sure.join(theirs, key).filter((c("o") != c("reader")) & (c("s") != c("text")) & (edits <= RIVAL_EDITS) & ~dropped)
+    against = against.join(per.select(key, "text", c("reader").alias("o"), "on"), [key, "text", "o"], "left").filter(F.coalesce("on", F.lit(0)) < least_crops)
+    against = against.join(kinds.filter("kinds >= 2"), [key, "text"], "left_anti").select(key, "reader").distinct().withColumn("opposed", F.lit(True))
+    exact = sure.join(per.select(key, "text", c("reader").alias("o")), [key, "text"]).filter(c("o") != c("reader")).select(key, "reader").distinct()
+    crops = rows.select(key, c("text").alias("s"), "crop", "kind").distinct()
+    close = sure.join(crops, key).filter((c("kind") != c("own_kind")) & (F.length("s") == F.length("text")) & (F.levenshtein("s", "text") == 1))
+    close = close.groupBy(key, "reader").agg(F.countDistinct("crop").alias("n")).filter(c("n") >= near_backing).select(key, "reader")
+    sure = sure.join(exact.union(close).distinct().withColumn("backed", F.lit(True)), [key, "reader"], "left").join(against, [key, "reader"], "left")
+    free = c("opposed").isNull()
+
+    mine = sure.filter(c("reader") == primary).select(key, c("text").alias("mine"), c("opposed").isNotNull().alias("mine_opposed"))
+    second = sure.filter((c("reader") != primary) & c("backed") & free).groupBy(key).agg(F.min_by("text", "reader").alias("second"))
+    pooled = string_vote(rows, [key], "text", "w", "crop").select(key, c("text").alias("pooled"))
+    own = votes.filter(c("reader") == primary).select(key, c("text").alias("own"))
+    out = pooled.join(cross, key, "left").join(mine, key, "left").join(second, key, "left").join(own, key, "left")
+    differs = c("own").isNull() | (c("own") != c("pooled"))
+    rule = F.when(c("cross").isNotNull(), "cross_reader").when(c("mine").isNotNull(), F.when(c("mine_opposed"), "contested").otherwise("primary")).when(c("second").isNotNull(), "other_reader").when(differs, "secondary").otherwise("undecided")
+    return out.select(key, F.coalesce("cross", "mine", "second", F.when(differs, c("pooled")).otherwise(c("own"))).alias("text"), rule.alias("rule"))

@@ -423,6 +423,40 @@ FUSED = sql(
 )
 
 
+#: Three readers of two kinds on each sighting; by track they agree, differ by a glyph, scatter, or see nothing.
+READERS = """SELECT track_id, sighting_id div 2 AS crop, confidence AS w, reader, CASE WHEN reader = 'whole' THEN 'text' ELSE 'glyphs' END AS kind, CASE reader
+    WHEN 'first' THEN CASE WHEN track_id % 7 IN (0, 4, 6) THEN plate WHEN track_id % 7 = 1 THEN next ELSE astray END
+    WHEN 'second' THEN CASE WHEN track_id % 7 IN (0, 1, 2, 3, 6) THEN plate ELSE astray END
+    ELSE CASE WHEN track_id % 7 IN (0, 4) AND sighting_id % 2 = 0 OR track_id % 7 = 2 AND sighting_id % 5 = 0 THEN plate WHEN track_id % 7 = 3 AND sighting_id % 7 = 0 THEN next WHEN track_id % 7 = 5 AND sighting_id % 4 = 0 THEN plate END END AS text
+    FROM (SELECT s.sighting_id, s.track_id, s.confidence, p.plate, concat(substr(p.plate, 1, 9), CAST((CAST(substr(p.plate, 10, 1) AS INT) + 1) % 10 AS STRING)) AS next, concat(substr(p.plate, 1, 6), CAST(1000 + s.sighting_id % 9000 AS STRING)) AS astray,
+      unnest(['first', 'second', 'whole']) AS reader FROM sighting s JOIN plate_of p ON p.user_id = s.track_id)"""
+
+
+def vote_picks(spark, sf_dir):
+    """L3: what the readers of each track settle on, and by which rule."""
+    text = READERS.replace("FROM sighting s", "FROM {s} s").replace("JOIN plate_of p", "JOIN {p} p").replace("unnest(['first', 'second', 'whole'])", "explode(array('first', 'second', 'whole'))")
+    rows = spark.sql(text, s=views.sightings(spark, sf_dir), p=views.plates(spark, sf_dir))
+    return voting.vote_pick(rows, "track_id", "text", "w", "crop", "reader", "kind", "first")
+
+
+VOTE_PICKS = sql(
+    """SELECT track_id, CASE WHEN x.t IS NOT NULL THEN x.t WHEN m.text IS NOT NULL THEN m.text WHEN o.t IS NOT NULL THEN o.t WHEN f.text IS NULL OR f.text <> a.text THEN a.text ELSE f.text END AS text,
+    CASE WHEN x.t IS NOT NULL THEN 'cross_reader' WHEN m.text IS NOT NULL THEN CASE WHEN m.opposed THEN 'contested' ELSE 'primary' END WHEN o.t IS NOT NULL THEN 'other_reader' WHEN f.text IS NULL OR f.text <> a.text THEN 'secondary' ELSE 'undecided' END AS rule
+    FROM (SELECT track_id, arg_min(text, row(-w, text)) AS text FROM (SELECT track_id, text, sum(w) AS w FROM rd GROUP BY ALL) GROUP BY track_id) a LEFT JOIN crossed x USING (track_id) LEFT JOIN (SELECT * FROM judged WHERE reader = 'first') m USING (track_id)
+    LEFT JOIN (SELECT track_id, arg_min(text, reader) AS t FROM judged WHERE reader <> 'first' AND backed AND NOT opposed GROUP BY track_id) o USING (track_id) LEFT JOIN (SELECT * FROM vote WHERE reader = 'first') f USING (track_id)""",
+    rd=f"SELECT * FROM ({READERS.replace(' div ', ' // ').replace('AS STRING', 'AS VARCHAR')}) WHERE text IS NOT NULL",
+    per="SELECT track_id, text, reader, kind, count(DISTINCT crop) AS n FROM rd GROUP BY ALL",
+    tot="SELECT track_id, text, count(DISTINCT crop) AS n, (SELECT count(DISTINCT kind) FROM per WHERE per.track_id = rd.track_id AND per.text = rd.text AND per.n >= 2) AS kinds FROM rd GROUP BY track_id, text",
+    vote="SELECT track_id, reader, kind, arg_min(text, row(-w, text)) AS text, arg_min(n, row(-w, text)) AS crops, max(w) / sum(w) AS share FROM (SELECT track_id, reader, kind, text, sum(w) AS w, count(DISTINCT crop) AS n FROM rd GROUP BY ALL) GROUP BY ALL",
+    crossed="SELECT track_id, arg_min(text, row(-n, text)) AS t FROM tot t WHERE kinds >= 2 AND n >= 6 AND NOT EXISTS (SELECT 1 FROM tot u WHERE u.track_id = t.track_id AND u.text <> t.text AND u.n >= t.n AND levenshtein(u.text, t.text) <= 2) GROUP BY track_id",
+    judged="""SELECT v.track_id, v.reader, v.text,
+      NOT EXISTS (SELECT 1 FROM tot t WHERE t.track_id = v.track_id AND t.text = v.text AND t.kinds >= 2) AND EXISTS (SELECT 1 FROM vote o WHERE o.track_id = v.track_id AND o.reader <> v.reader AND o.crops >= 4 AND o.text <> v.text AND levenshtein(o.text, v.text) <= 2
+        AND NOT (length(o.text) = length(v.text) - 1 AND levenshtein(o.text, v.text) = 1) AND NOT EXISTS (SELECT 1 FROM per p WHERE p.track_id = v.track_id AND p.reader = o.reader AND p.text = v.text AND p.n >= 4)) AS opposed,
+      EXISTS (SELECT 1 FROM per p WHERE p.track_id = v.track_id AND p.text = v.text AND p.reader <> v.reader) OR (SELECT count(DISTINCT crop) FROM rd r WHERE r.track_id = v.track_id AND r.kind <> v.kind AND length(r.text) = length(v.text) AND levenshtein(r.text, v.text) = 1) >= 2 AS backed
+      FROM vote v WHERE crops >= 4 AND share >= 0.3""",
+)
+
+
 def decisions(spark, sf_dir):
     """The first threshold that a reading misses, or its confirmation."""
     s = views.sightings(spark, sf_dir)
@@ -438,6 +472,6 @@ DECISIONS = sql(
 QUERIES = {f.__name__: f for f in (
     camera_traffic, overview, district_coverage, ageing, footage_quality, plate_search, directory, source_report, frames, percentiles, size_bands, track_traffic, clip_scores, precision, error_buckets,
     leakage, missing_plates, day_numbers, neighbour_frames, ingest_verdicts, incidents_reopened, flow, replays, sync_verdicts, after_outage, model_versions, policy_versions,
-    vehicle_clusters, votes, fused, decisions,
+    vehicle_clusters, votes, fused, vote_picks, decisions,
 )}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

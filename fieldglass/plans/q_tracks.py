@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geo
-from fieldglass.operators import decoding, fragments, tracks
+from fieldglass.operators import decoding, fragments, scenetext, tracks
 from fieldglass.plans import views
 from fieldglass.plans.q_fields import REGION
 from fieldglass.plans.views import sql
@@ -209,5 +209,53 @@ def decoded_texts(spark, sf_dir):
     return decoding.decode(e.select("vec_id", shares.alias("m")), "vec_id", "m", "ABCDEFG").select("vec_id", "text", F.round("score", 5).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (collisions, wrong_way, wrong_heading, exposed_persons, exposure_spells, plate_owners, traffic_rates, duplicate_tracks, linked_objects, physical_vehicles, decoded_texts)}
-ORACLES = {"collisions": COLLISIONS, "wrong_way": WRONG_WAY, "wrong_heading": WRONG_HEADING, "exposure_spells": EXPOSURE_SPELLS, "plate_owners": PLATE_OWNERS, "exposed_persons": EXPOSED_PERSONS, "traffic_rates": TRAFFIC_RATES, "duplicate_tracks": DUPLICATE_TRACKS, "physical_vehicles": PHYSICAL_VEHICLES}
+def _slot_matrices(spark, sf_dir):
+    """Ten or eleven rows of 37 chances for each vector: glyphs of a plate stand out by the vector's own values."""
+    e = views.table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    value = lambda t, g: F.exp(F.element_at("embedding", ((t * 37 + g * 5) % 64 + 1).cast("int")).cast("double") * 12)
+    rows = F.transform(F.sequence(F.lit(0), 9 + F.col("vec_id").cast("int") % 2), lambda t: F.transform(F.sequence(F.lit(0), F.lit(36)), lambda g: value(t, g)))
+    total = lambda row: F.aggregate(row, F.lit(0.0), lambda s, x: s + x)
+    return e.select("vec_id", F.transform(rows, lambda row: F.transform(row, lambda x: x / total(row))).alias("m"))
+
+
+def slot_plates(spark, sf_dir):
+    """The three likeliest plates of each matrix of slots under the layouts, with confusion and the layouts' priors."""
+    return decoding.slot_texts(_slot_matrices(spark, sf_dir), "vec_id", "m", 16, 3).select("vec_id", "text", F.round("score", 5).alias("score"), "place")
+
+
+def shown_targets(spark, sf_dir):
+    """How well the pictures of each group show the texts that are looked for in it, relative to their best path."""
+    e = views.table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    total = lambda row: F.aggregate(row, F.lit(0.0), lambda s, x: s + x)
+    m = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("embedding", r * 8 + 1, 8), lambda x: F.exp(x.cast("double") * 8)))
+    pictures = e.select((F.col("vec_id") % 97).alias("track"), F.col("vec_id").alias("picture"), (F.col("vec_id") * 7 % 10).alias("quality"), F.transform(m, lambda row: F.transform(row, lambda x: x / total(row))).alias("m"))
+    wanted = e.select((F.col("vec_id") % 97).alias("track"), F.concat(*(F.substring(F.lit("ABCDEFG"), (F.col("vec_id") * k % 7 + 1).cast("int"), F.lit(1)) for k in (1, 3, 5))).alias("target"))
+    return decoding.target_scores(pictures, wanted, "track", "m", "ABCDEFG").select("track", "target", F.round("score", 5).alias("score"), "pictures")
+
+
+#: Candidate boxes by vector: five spots a device; one in three shows the spot's own picture, the others theirs.
+SIGNS = """SELECT vec_id AS id, vec_id % 3 AS camera_id, vec_id * 4 AS frame, vec_id % 11 AS track_id, CAST(200 * (vec_id // 3 % 5) + vec_id % 4 AS DOUBLE) AS x1, CAST(100 + vec_id % 3 AS DOUBLE) AS y1, CAST(200 * (vec_id // 3 % 5) + vec_id % 4 + 40 + vec_id % 5 AS DOUBLE) AS x2, CAST(115 AS DOUBLE) AS y2,
+    CAST(vec_id % 7 * 60 AS DOUBLE) AS v1, CAST(0 AS DOUBLE) AS w1, CAST(vec_id % 7 * 60 + 200 AS DOUBLE) AS v2, CAST(150 AS DOUBLE) AS w2, CASE WHEN vec_id // 15 % 3 = 0 THEN vec_id // 3 % 5 ELSE vec_id END AS shows FROM embeddings WHERE embedding IS NOT NULL"""
+
+
+def scene_signs(spark, sf_dir):
+    """K5: candidate boxes that show a text of the scene: the same spot and picture behind other vehicles, among the forty before."""
+    e = views.table(spark, sf_dir, "embeddings")
+    rows = spark.sql(SIGNS.replace("FROM embeddings", "FROM {e}").replace("//", "div"), e=e)
+    pictures = e.select(F.col("vec_id").alias("shows"), F.transform("embedding", lambda x: x.cast("double")).alias("picture"))
+    return scenetext.static_text(rows.join(pictures, "shows").drop("shows"), 40)
+
+
+_SPOT = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
+_CARS = "greatest(0, least(a.v2, b.v2) - greatest(a.v1, b.v1)) * greatest(0, least(a.w2, b.w2) - greatest(a.w1, b.w1))"
+SCENE_SIGNS = sql(
+    """SELECT DISTINCT camera_id, id_b AS id FROM near JOIN (SELECT DISTINCT camera_id AS c, id_a AS s FROM near WHERE n_b < n_a AND other) ON c = camera_id AND s = id_a""",
+    sign=SIGNS,
+    pic="""SELECT s.*, row_number() OVER (PARTITION BY camera_id ORDER BY frame, id) AS n, list_transform(embedding, lambda x: CAST(x AS DOUBLE) - list_avg(list_transform(embedding, lambda y: CAST(y AS DOUBLE)))) AS q FROM sign s JOIN embeddings ON vec_id = shows""",
+    near=f"""SELECT a.camera_id, a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, a.track_id <> b.track_id AND abs(a.frame - b.frame) >= 30 AND {_CARS} / ((a.v2 - a.v1) * (a.w2 - a.w1) + (b.v2 - b.v1) * (b.w2 - b.w1) - {_CARS}) < 0.7 AS other FROM pic a JOIN pic b ON a.camera_id = b.camera_id AND abs(a.n - b.n) <= 40
+      WHERE {_SPOT} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_SPOT}) >= 0.6 AND list_inner_product(a.q, b.q) / sqrt(list_inner_product(a.q, a.q) * list_inner_product(b.q, b.q)) >= 0.85""",
+)
+
+
+QUERIES = {f.__name__: f for f in (collisions, wrong_way, wrong_heading, exposed_persons, exposure_spells, plate_owners, traffic_rates, duplicate_tracks, linked_objects, physical_vehicles, decoded_texts, slot_plates, shown_targets, scene_signs)}
+ORACLES = {"collisions": COLLISIONS, "wrong_way": WRONG_WAY, "wrong_heading": WRONG_HEADING, "exposure_spells": EXPOSURE_SPELLS, "plate_owners": PLATE_OWNERS, "exposed_persons": EXPOSED_PERSONS, "traffic_rates": TRAFFIC_RATES, "duplicate_tracks": DUPLICATE_TRACKS, "physical_vehicles": PHYSICAL_VEHICLES, "scene_signs": SCENE_SIGNS}
