@@ -209,8 +209,11 @@ def encode_chunks(chunks: list[str], pieces: Pieces) -> list[bytes]:
     begin, stop, place = start[wide], end[wide], pieces.places[piece[wide]]
     long = sizes[chunk[begin]] > LONG_CHUNK
     until = _relax(text, chunk, begin[~long], stop[~long], place[~long])
-    for k in np.flatnonzero(sizes > LONG_CHUNK).tolist():
-        of = long & (chunk[begin] == k)
+    longs, edges = np.flatnonzero(sizes > LONG_CHUNK), np.flatnonzero(long)
+    edges = edges[np.argsort(chunk[begin[edges]], kind="stable")]  # by chunk: each long chunk takes its run of edges
+    cuts = np.searchsorted(chunk[begin[edges]], [*longs, len(chunks)])
+    for k, first, last in zip(longs.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        of = edges[first:last]
         own = _relax_queue(int(sizes[k]), begin[of] - starts[k], stop[of] - starts[k], place[of])
         until[starts[k] : starts[k] + sizes[k]] = np.where(own > 0, own + starts[k], 0)
     # the id of a symbol is that of the edge with its start and end

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -68,3 +69,17 @@ def test_rows(spark, path, model):
     got = pieces.decode_ids(pieces.encode_texts(df, path), path).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == sorted((r.doc_id or -1, len(model.encode(r.text or ""))) for r in df.collect())
     assert pieces.decode_ids(pieces.encode_texts(df.limit(0), path), path).count() == 0
+
+
+def test_many_long_lines_take_time_in_proportion(path, model):
+    """Lines without spaces that are longer than a chunk should be: each takes its own edges, none scans all."""
+    rng = random.Random(5)
+    lines = ["".join(rng.choices("abcdefghijklmnoprstuvwx你好世界漢字", k=300)) for _ in range(1500)]
+    encoder = pieces.Encoder(path)
+    took = []
+    for n in (300, 1500):
+        began = time.process_time()
+        ids = list(encoder.encode(["\n".join(lines[:n])]))
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+    assert np.frombuffer(ids[0], "<u4").tolist() == model.encode("\n".join(lines))
