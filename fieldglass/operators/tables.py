@@ -100,3 +100,15 @@ def appended(log: DataFrame, path: str) -> DataFrame:
     """Append rows to a log that only ever grows and read all of it."""
     log.write.mode("append").parquet(path)
     return log.sparkSession.read.schema(log.schema).parquet(path)
+
+
+def export_by(df: DataFrame, column: str, path: str) -> None:
+    """Write ``df`` as CSV with a header line, a folder for each value of a column; large values get several files."""
+    df.write.partitionBy(column).option("header", True).mode("overwrite").csv(path)
+
+
+def outage(devices: DataFrame, source: str, of: str, checked: Column) -> tuple[DataFrame, DataFrame]:
+    """What the failure of a source means: the devices with those of it offline unless withdrawn, and a health sample of each of them."""
+    hit = (F.col(of) == source) & (F.col("installation_status") != "WITHDRAWN")
+    after = devices.withColumn("health_status", F.when(hit, "offline").otherwise(F.col("health_status")))
+    return after, devices.filter(hit).select("camera_id", F.lit("offline").alias("health_status"), F.lit("SOURCE_UNREACHABLE").alias("detail"), checked.alias("checked_at"))

@@ -139,3 +139,19 @@ def objects(tracks: DataFrame, edges: DataFrame, least: int) -> DataFrame:
     number = F.row_number().over(W.partitionBy("camera_id").orderBy("first", "root"))
     big = per.filter(F.col("total") >= least).withColumn("object", number)
     return t.join(big.select("camera_id", "root", "object"), ["camera_id", "root"], "left").select("track_id", "camera_id", "object")
+
+
+# Pixels that a plate may move at most and its vehicle must move for the plate to be burnt into the picture, and boxes to tell.
+STILL_PLATE, MOVED_VEHICLE, TOLD_BOXES = 3.0, 30.0, 3
+
+
+def finalised(reads: DataFrame, track: list[str]) -> DataFrame:
+    """Each track (plate centre px, py, vehicle centre vx, vy, quality, id) with its best crop and whether its plate is an overlay.
+
+    A text that stays where it is while its vehicle moves is part of the picture. The
+    best crop is that of the highest quality, ties by smaller id.
+    """
+    moved = lambda x, y: F.sqrt((F.max(x) - F.min(x)) * (F.max(x) - F.min(x)) + (F.max(y) - F.min(y)) * (F.max(y) - F.min(y)))
+    t = reads.groupBy(*track).agg(F.count("*").alias("boxes"), moved("px", "py").alias("plate_moved"), moved("vx", "vy").alias("vehicle_moved"), F.min_by("id", F.struct(-F.col("quality"), F.col("id"))).alias("best"))
+    overlay = (F.col("boxes") >= TOLD_BOXES) & (F.col("plate_moved") < STILL_PLATE) & (F.col("vehicle_moved") > MOVED_VEHICLE)
+    return t.withColumn("overlay", overlay)

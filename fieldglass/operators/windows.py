@@ -218,6 +218,17 @@ def numbered(df: DataFrame, by: list[str], at: Column, ties: list[str], name: st
     return ranged.join(starts, same).withColumn(name, F.col("_before") + place).select(*df.columns, name)
 
 
+def at_shares(df: DataFrame, by: list[str], value: str, at: Column, shares: dict[str, float]) -> DataFrame:
+    """For each key the values at the whole index of each share of its sorted rows, as columns.
+
+    ``at`` is a coarse, ascending function of the value, by whose ranges rows are sorted apart.
+    """
+    rows = numbered(df.filter(F.col(value).isNotNull()).select(*by, value), by, at, [value], "_number")
+    counts = rows.groupBy(*by).agg(F.count("*").alias("_count"))
+    found = rows.join(counts, by)
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("_number") == F.floor(F.col("_count") * share) + 1, F.col(value))).alias(name) for name, share in shares.items()))
+
+
 def legs(points: DataFrame, by: list[str], order: list[str], most_kmh: float = 200.0) -> DataFrame:
     """Seconds, kilometres and speed from the point before; implausible by the unrounded speed."""
     w = W.partitionBy(*by).orderBy(*order)

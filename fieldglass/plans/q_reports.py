@@ -325,6 +325,28 @@ def after_outage(spark, sf_dir):
 AFTER_OUTAGE = sql("SELECT camera_id, CASE WHEN camera_id % 9 = 0 THEN 'online' WHEN department = 'ASIA' AND installation_status = 'COMMISSIONED' THEN 'offline' ELSE health_status END AS health_status FROM cam")
 
 
+def outage_samples(spark, sf_dir):
+    """The health samples of a source's outage, one for each device that isn't withdrawn, and the state after it."""
+    c = views.cameras(spark, sf_dir).withColumn("installation_status", F.when(F.col("camera_id") % 11 == 4, "WITHDRAWN").otherwise(F.col("installation_status")))
+    after, samples = tables.outage(c, "ASIA", "department", F.lit("2024-01-31 12:00:00").cast("timestamp_ntz"))
+    return after.select("camera_id", "health_status").join(samples.select("camera_id", "detail", "checked_at"), "camera_id", "left")
+
+
+OUTAGE_SAMPLES = sql("""SELECT camera_id, CASE WHEN hit THEN 'offline' ELSE health_status END AS health_status, CASE WHEN hit THEN 'SOURCE_UNREACHABLE' END AS detail, CASE WHEN hit THEN TIMESTAMP '2024-01-31 12:00:00' END AS checked_at FROM (SELECT *, department = 'ASIA' AND camera_id % 11 <> 4 AS hit FROM cam)""")
+
+
+def resources(spark, sf_dir):
+    """Of each device's frames the latencies at half and at 95 in 100 (by index), the mean share of CPU and the most memory."""
+    i = F.col("detection_id")
+    d = views.detections(spark, sf_dir).select("camera_id", (F.col("confidence") * 1000).alias("ms"), (i * 31 % 100 / F.lit(100.0)).alias("cpu"), (i * 17 % 4096).alias("mb"))
+    late = windows.at_shares(d, ["camera_id"], "ms", F.floor(F.col("ms") / 10), {"p50": 0.5, "p95": 0.95})
+    used = d.groupBy("camera_id").agg(F.round(F.avg("cpu"), 6).alias("mean_cpu"), F.max("mb").alias("peak_mb"))
+    return used.join(late, "camera_id").select("camera_id", F.round("p50", 6).alias("p50_ms"), F.round("p95", 6).alias("p95_ms"), "mean_cpu", "peak_mb")
+
+
+RESOURCES = sql("""SELECT camera_id, round(ms[len(ms) // 2 + 1], 6) AS p50_ms, round(ms[CAST(floor(len(ms) * 0.95) AS INT) + 1], 6) AS p95_ms, round(cpu, 6) AS mean_cpu, mb AS peak_mb FROM (SELECT camera_id, list_sort(list(confidence * 1000)) AS ms, avg(detection_id * 31 % 100 / CAST(100 AS DOUBLE)) AS cpu, max(detection_id * 17 % 4096) AS mb FROM det GROUP BY camera_id)""")
+
+
 def model_versions(spark, sf_dir):
     """Usage by model and the state of each entry by its last event."""
     o = table(spark, sf_dir, "orders")
@@ -471,7 +493,7 @@ DECISIONS = sql(
 
 QUERIES = {f.__name__: f for f in (
     camera_traffic, overview, district_coverage, ageing, footage_quality, plate_search, directory, source_report, frames, percentiles, size_bands, track_traffic, clip_scores, precision, error_buckets,
-    leakage, missing_plates, day_numbers, neighbour_frames, ingest_verdicts, incidents_reopened, flow, replays, sync_verdicts, after_outage, model_versions, policy_versions,
+    leakage, missing_plates, day_numbers, neighbour_frames, ingest_verdicts, incidents_reopened, flow, replays, sync_verdicts, after_outage, outage_samples, resources, model_versions, policy_versions,
     vehicle_clusters, votes, fused, vote_picks, decisions,
 )}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from fieldglass.functions import fields
 from fieldglass.plans import views
 from fieldglass.plans.views import sql
-from fieldglass.sources import registers
+from fieldglass.operators import tables
+from fieldglass.sources import answers, registers
 from fieldglass.store import new_path
 
 
@@ -45,6 +46,43 @@ CAMERA_DIALECTS = sql("""SELECT CASE camera_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN '
     round(CASE WHEN camera_id % 3 < 2 OR camera_id % 2 = 0 THEN longitude ELSE 0 END, 6) AS longitude, CASE WHEN camera_id % 3 < 2 THEN installation_date END AS installation_date FROM cam""")
 
 
+def landed_answers(spark, sf_dir):
+    """A1: answers of each district's service, some refused, cut off, late or short of an item's id; the attempt that counts of each."""
+    c = views.table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 25).cast("string").alias("source"), F.floor(F.col("s_suppkey") / 100).alias("page"))
+    item = F.struct(F.when(F.col("s_suppkey") % 13 != 0, F.col("s_suppkey").cast("string")).alias("id"), (F.col("s_suppkey") % 9).alias("n"))
+    pages = c.groupBy("source", "page").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("items"))).alias("body"))
+    k = (F.col("page") * 7 + F.col("source").cast("int")) % 11
+    attempt = F.explode(F.when(k == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("attempt")
+    sent = pages.select("source", F.concat(F.lit("page "), "page").alias("request"), attempt, k.alias("k"), "body")
+    status = F.when((F.col("k") == 3) & (F.col("attempt") == 1), 503).when(F.col("k") == 7, 401).when(F.col("k") == 9, F.lit(None)).otherwise(200)
+    body = F.when(F.col("k") == 5, F.expr("substr(body, 1, length(body) - 3)")).when(F.col("k") == 9, F.lit(None)).otherwise(F.col("body"))
+    path = new_path(spark, "answers")
+    sent.select(F.to_json(F.struct("source", "request", "attempt", status.alias("status"), (F.col("k") == 9).alias("timed_out"), body.alias("body")))).write.text(path)
+    rows = answers.settled(answers.read(spark.read.text(path), "id string, n int", "id"))
+    return rows.groupBy("source", "request", "attempt", F.coalesce("error", F.lit("loaded")).alias("outcome")).agg(F.count("*").alias("n"), F.sum(F.col("item.id").cast("bigint")).alias("ids"))
+
+
+LANDED_ANSWERS = """SELECT source, request, CAST(max(CASE WHEN k = 3 THEN 2 ELSE 1 END) AS INT) AS attempt, outcome, CASE WHEN max(k) IN (5, 7, 9) THEN 1 ELSE count(*) END AS n, CAST(CASE WHEN outcome = 'loaded' THEN sum(s_suppkey) END AS BIGINT) AS ids FROM
+    (SELECT source, request, k, s_suppkey, CASE k WHEN 5 THEN 'protocol' WHEN 7 THEN 'auth' WHEN 9 THEN 'timeout' ELSE CASE WHEN s_suppkey % 13 = 0 THEN 'item' ELSE 'loaded' END END AS outcome FROM
+    (SELECT s_suppkey, CAST(s_suppkey % 25 AS VARCHAR) AS source, 'page ' || (s_suppkey // 100) AS request, (s_suppkey // 100 * 7 + s_suppkey % 25) % 11 AS k FROM supplier)) GROUP BY source, request, outcome"""
+
+
+def exports(spark, sf_dir):
+    """Detections exported as CSV by district, class and device, a folder for each value, counted as read back."""
+    cams = views.cameras(spark, sf_dir).select("camera_id", "district")
+    d = views.detections(spark, sf_dir).join(cams, "camera_id").withColumnRenamed("class_name", "class").select("detection_id", "camera_id", "district", "class", "confidence")
+    out = []
+    for name in ("district", "class", "camera_id"):
+        path = new_path(spark, f"export-{name}")
+        tables.export_by(d.select("detection_id", "confidence", name), name, path)
+        back = spark.read.option("header", True).schema(f"detection_id bigint, confidence double, {name} string").csv(path)
+        out.append(back.groupBy(F.lit(name).alias("export"), F.col(name).alias("value")).agg(F.count("*").alias("n"), F.sum("detection_id").alias("ids")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+EXPORTS = sql("""SELECT export, value, count(*) AS n, CAST(sum(detection_id) AS BIGINT) AS ids FROM (SELECT detection_id, unnest([{'export': 'district', 'value': district}, {'export': 'class', 'value': class_name}, {'export': 'camera_id', 'value': CAST(camera_id AS VARCHAR)}], recursive := true) FROM (SELECT detection_id, class_name, det.camera_id, district FROM det JOIN cam USING (camera_id))) GROUP BY ALL""")
+
+
 def vehicle_register(spark, sf_dir):
     """A5: a register file read by normalised number, the last row of each."""
     p = views.table(spark, sf_dir, "part").select(F.concat(F.lit("gj "), F.lpad((F.col("p_partkey") % 700).cast("string"), 6, "0")).alias("registration_number"), F.col("p_brand").alias("make"), F.col("p_name").alias("model"), F.col("p_type").alias("vehicle_class"), F.col("p_size").cast("string").alias("color"), "p_partkey")
@@ -84,5 +122,5 @@ def alert_payloads(spark, sf_dir):
     return registers.signed_payload(s, "test-key").select("batch", F.length("body").alias("size"), "signature")
 
 
-QUERIES = {"dialect_events": dialect_events, "camera_dialects": camera_dialects, "vehicle_register": vehicle_register, "csv_round_trip": csv_round_trip, "report_rows": report_rows, "alert_payloads": alert_payloads}
-ORACLES = {"dialect_events": DIALECT_EVENTS, "camera_dialects": CAMERA_DIALECTS, "vehicle_register": VEHICLE_REGISTER, "csv_round_trip": CSV_ROUND_TRIP, "report_rows": REPORT_ROWS}
+QUERIES = {"dialect_events": dialect_events, "camera_dialects": camera_dialects, "vehicle_register": vehicle_register, "landed_answers": landed_answers, "exports": exports, "csv_round_trip": csv_round_trip, "report_rows": report_rows, "alert_payloads": alert_payloads}
+ORACLES = {"dialect_events": DIALECT_EVENTS, "camera_dialects": CAMERA_DIALECTS, "vehicle_register": VEHICLE_REGISTER, "landed_answers": LANDED_ANSWERS, "exports": EXPORTS, "csv_round_trip": CSV_ROUND_TRIP, "report_rows": REPORT_ROWS}

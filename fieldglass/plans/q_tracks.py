@@ -257,5 +257,24 @@ SCENE_SIGNS = sql(
 )
 
 
-QUERIES = {f.__name__: f for f in (collisions, wrong_way, wrong_heading, exposed_persons, exposure_spells, plate_owners, traffic_rates, duplicate_tracks, linked_objects, physical_vehicles, decoded_texts, slot_plates, shown_targets, scene_signs)}
-ORACLES = {"collisions": COLLISIONS, "wrong_way": WRONG_WAY, "wrong_heading": WRONG_HEADING, "exposure_spells": EXPOSURE_SPELLS, "plate_owners": PLATE_OWNERS, "exposed_persons": EXPOSED_PERSONS, "traffic_rates": TRAFFIC_RATES, "duplicate_tracks": DUPLICATE_TRACKS, "physical_vehicles": PHYSICAL_VEHICLES, "scene_signs": SCENE_SIGNS}
+def finalised_tracks(spark, sf_dir):
+    """The best crop of each track, and those whose plate stands still while the vehicle moves."""
+    i, t = F.col("detection_id"), F.col("track_id")
+    still = t % 5 == 0
+    reads = views.detections(spark, sf_dir).filter("class_name <> 'person'").select(
+        "camera_id", "track_id", i.alias("id"), F.col("confidence").alias("quality"), F.when(still, i % 3).otherwise(i * 7 % 200).cast("double").alias("px"), F.when(still, F.lit(1.0)).otherwise((i * 3 % 90).cast("double")).alias("py"),
+        F.when(t % 10 == 0, i % 20).otherwise(i * 7 % 400).cast("double").alias("vx"), (i % 9).cast("double").alias("vy"),
+    )
+    found = tracks.finalised(reads, ["camera_id", "track_id"])
+    return found.select("camera_id", "track_id", "boxes", "best", F.round("plate_moved", 6).alias("plate_moved"), F.round("vehicle_moved", 6).alias("vehicle_moved"), "overlay")
+
+
+FINALISED_TRACKS = sql(
+    """SELECT camera_id, track_id, boxes, best, round(pm, 6) AS plate_moved, round(vm, 6) AS vehicle_moved, boxes >= 3 AND pm < 3 AND vm > 30 AS overlay FROM (SELECT camera_id, track_id, count(*) AS boxes, arg_min(detection_id, row(-confidence, detection_id)) AS best,
+    sqrt(pow(max(px) - min(px), 2) + pow(max(py) - min(py), 2)) AS pm, sqrt(pow(max(vx) - min(vx), 2) + pow(max(vy) - min(vy), 2)) AS vm FROM (SELECT *, CASE WHEN track_id % 5 = 0 THEN detection_id % 3 ELSE detection_id * 7 % 200 END AS px, CASE WHEN track_id % 5 = 0 THEN 1 ELSE detection_id * 3 % 90 END AS py,
+    CASE WHEN track_id % 10 = 0 THEN detection_id % 20 ELSE detection_id * 7 % 400 END AS vx, detection_id % 9 AS vy FROM det WHERE class_name <> 'person') GROUP BY ALL)"""
+)
+
+
+QUERIES = {f.__name__: f for f in (collisions, wrong_way, wrong_heading, exposed_persons, exposure_spells, plate_owners, traffic_rates, duplicate_tracks, linked_objects, physical_vehicles, decoded_texts, slot_plates, shown_targets, scene_signs, finalised_tracks)}
+ORACLES = {"collisions": COLLISIONS, "wrong_way": WRONG_WAY, "wrong_heading": WRONG_HEADING, "exposure_spells": EXPOSURE_SPELLS, "plate_owners": PLATE_OWNERS, "exposed_persons": EXPOSED_PERSONS, "traffic_rates": TRAFFIC_RATES, "duplicate_tracks": DUPLICATE_TRACKS, "physical_vehicles": PHYSICAL_VEHICLES, "scene_signs": SCENE_SIGNS, "finalised_tracks": FINALISED_TRACKS}

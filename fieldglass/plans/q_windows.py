@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldglass.functions import plates
 from fieldglass.operators import access, paging, windows
 from fieldglass.plans import views
 from fieldglass.plans.q_fields import duck_distance, duck_km
@@ -98,12 +99,12 @@ LASTS = "SELECT track_id, camera_id, id AS first_id, make_timestamp(anchor) AS t
 PASSES = sql("SELECT track_id, camera_id, first_id, ts, plate, round(confidence, 6) AS confidence, observations, folded FROM passes", numbered=NUMBERED, walk=WALK, passes=LASTS)
 
 
-def route(spark, sf_dir):
-    """The route of one plate: scope first, matching readings, passes, legs and their sum."""
+def _route(spark, sf_dir, first: int | None = None):
+    """The route of one plate; of ``first`` readings only the earliest so many are looked at, before plates are compared."""
     access.with_reason("case 12: theft reported")
     s = access.readable(views.sightings(spark, sf_dir), views.cameras(spark, sf_dir), access.Caller()).withColumn("camera_id", F.col("sighting_id") % 100)
-    from fieldglass.functions import plates
-
+    if first is not None:
+        s = s.orderBy("ts", "sighting_id").limit(first)
     mine = s.filter(plates.distance_within(F.col("plate"), F.lit("GJ08HX1259")).isNotNull()).withColumnRenamed("sighting_id", "id").withColumn("trace", F.lit("GJ08HX1259"))
     cams = views.cameras(spark, sf_dir).select("camera_id", "latitude", "longitude")
     found = windows.same_pass(mine, ["trace", "camera_id"], 6 * HOUR).join(cams, "camera_id").orderBy("ts", "id").limit(500)
@@ -111,6 +112,16 @@ def route(spark, sf_dir):
     return _clock(out.select("id", "camera_id", "ts", "seconds", "km", "kmh", "implausible"), "ts")
 
 
+def route(spark, sf_dir):
+    """The route of one plate: scope first, matching readings, passes, legs and their sum."""
+    return _route(spark, sf_dir)
+
+
+def route_of_first(spark, sf_dir):
+    """the route of one plate among the 300 earliest readings in scope: the limit comes before the plates are compared."""
+    return _route(spark, sf_dir, 300)
+
+
 ROUTE = sql(
     f"""SELECT id, camera_id, ts, round(s, 1) AS seconds, round(km, 3) AS km, round(CASE WHEN s > 0 THEN km / (s / 3600) END, 1) AS kmh, coalesce(CASE WHEN s > 0 THEN km / (s / 3600) END > 200, false) AS implausible FROM (SELECT b.id, b.camera_id, b.ts, (epoch_us(b.ts) - epoch_us(a.ts)) / CAST(1000000 AS DOUBLE) AS s, {duck_km("a", "b")} AS km
     FROM p b LEFT JOIN p a ON a.n = b.n - 1)""",
@@ -121,6 +132,9 @@ ROUTE = sql(
 )
 
 
+ROUTE_OF_FIRST = ROUTE.replace("AS k FROM sighting WHERE", "AS k FROM (SELECT * FROM sighting WHERE camera_id IN (SELECT camera_id FROM cam) ORDER BY ts, sighting_id LIMIT 300) WHERE")
+
+
 def clock_cuts(spark, sf_dir):
     """Segments of a device's media clock, cut at loops, and the rate in each."""
     d = views.detections(spark, sf_dir).select("camera_id", "detection_id", ((F.col("detection_id") * 40) % 7000 + F.col("width_px")).alias("pts"))
@@ -290,12 +304,12 @@ FRAME_VERDICTS = sql(
 )
 
 QUERIES = {
-    "vehicles_seen": vehicles_seen, "vehicle_list": vehicle_list, "vehicles_totals": vehicles_totals, "passes": passes, "route": route, "clock_cuts": clock_cuts, "speeds": speeds, "headings": headings,
+    "vehicles_seen": vehicles_seen, "vehicle_list": vehicle_list, "vehicles_totals": vehicles_totals, "passes": passes, "route": route, "route_of_first": route_of_first, "clock_cuts": clock_cuts, "speeds": speeds, "headings": headings,
     "crowd_baseline": crowd_baseline, "cooldown": cooldown, "reader_runs": reader_runs, "latest_health": latest_health, "footage_bursts": footage_bursts, "health_streaks": health_streaks,
     "inactivity": inactivity, "moving_baseline": moving_baseline, "frame_verdicts": frame_verdicts,
 }
 ORACLES = {
-    "vehicles_seen": VEHICLES_SEEN, "vehicle_list": VEHICLE_LIST, "vehicles_totals": VEHICLES_TOTALS, "passes": PASSES, "route": ROUTE, "clock_cuts": CLOCK_CUTS, "speeds": SPEEDS, "headings": HEADINGS,
+    "vehicles_seen": VEHICLES_SEEN, "vehicle_list": VEHICLE_LIST, "vehicles_totals": VEHICLES_TOTALS, "passes": PASSES, "route": ROUTE, "route_of_first": ROUTE_OF_FIRST, "clock_cuts": CLOCK_CUTS, "speeds": SPEEDS, "headings": HEADINGS,
     "crowd_baseline": CROWD_BASELINE, "cooldown": COOLDOWN, "reader_runs": READER_RUNS, "latest_health": LATEST_HEALTH, "footage_bursts": FOOTAGE_BURSTS, "health_streaks": HEALTH_STREAKS,
     "inactivity": INACTIVITY, "moving_baseline": MOVING_BASELINE, "frame_verdicts": FRAME_VERDICTS,
 }

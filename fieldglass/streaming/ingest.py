@@ -88,3 +88,86 @@ def bursts(stream: DataFrame, within_us: int, least: int, clear_us: int, delay:
 def run_once(stream: DataFrame, path: str, writer: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process all that the source holds now and stop; progress is kept under ``path``."""
     stream.writeStream.foreachBatch(writer).outputMode(mode).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
+
+
+HELD = "plate string, ids array<bigint>, flushed string"
+HELD_STATE = "ids array<bigint>, last bigint"
+
+
+def settled_plates(stream: DataFrame, quiet_us: int, most: int, delay: str = "40 days") -> DataFrame:
+    """Readings (plate, sighting_id, ts) in groups that are ready to go: a plate's readings once none came for ``quiet_us``, or ``most`` of them.
+
+    A full group goes at once, so an alert that hangs on a busy plate isn't held
+    back; the state of a plate is at most ``most`` ids, and goes with its last group.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, last = state.get if state.exists else ([], 0)
+        ids, out = list(ids), []
+        if state.hasTimedOut:
+            state.remove()
+            if ids:
+                yield pd.DataFrame([(key[0], ids, "settled")], columns=["plate", "ids", "flushed"])
+            return
+        rows = pd.concat([pdf[["ts", "sighting_id"]] for pdf in parts]).sort_values(["ts", "sighting_id"])
+        for t, i in zip(rows["ts"].to_numpy("datetime64[us]").astype(np.int64).tolist(), rows["sighting_id"].tolist(), strict=True):
+            if ids and t - last > quiet_us:
+                out.append((key[0], ids, "settled"))
+                ids = []
+            ids, last = [*ids, i], max(last, t)
+            if len(ids) >= most:
+                out.append((key[0], ids, "full"))
+                ids = []
+        state.update((ids, last))
+        state.setTimeoutTimestamp(max((last + quiet_us) // 1000, state.getCurrentWatermarkMs()) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["plate", "ids", "flushed"])
+
+    return stream.withWatermark("ts", delay).groupBy("plate").applyInPandasWithState(step, HELD, HELD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def mirrored(main: Callable[[DataFrame, int], None], copy: Callable[[DataFrame, int], None], failed: list | None = None) -> Callable[[DataFrame, int], None]:
+    """A batch writer whose second sink may fail without holding up the first; what it missed is mended by :func:`repair`."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        main(batch, number)
+        try:
+            copy(batch, number)
+        except Exception as e:  # noqa: BLE001  any failure of the copy is let pass
+            if failed is not None:
+                failed.append((number, str(e)))
+
+    return write
+
+
+def batches(spark: SparkSession, path: str) -> set[int]:
+    """The numbers of the batches that :func:`appended` has written completely below ``path``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")) if files.exists(root) else None
+    return {int(s.getPath().getParent().getName().removeprefix("batch=")) for s in done or ()}
+
+
+def repair(spark: SparkSession, main: str, copy_path: str, copy: Callable[[DataFrame, int], None]) -> list[int]:
+    """Copy the batches that ``main`` has and ``copy_path`` lacks; returns their numbers. Repeating it changes nothing."""
+    missing = sorted(batches(spark, main) - batches(spark, copy_path))
+    for number in missing:
+        copy(spark.read.parquet(f"{main}/batch={number}"), number)
+    return missing
+
+
+def sweep(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], sink: Callable[[str, DataFrame], None]) -> DataFrame:
+    """Poll every source and hand what it gives to the sink; a source that fails is reported and stops no other.
+
+    One row for each source: source, rows and error (null: none). There are few
+    sources, and each poll is a job of its own.
+    """
+    out = []
+    for name, poll in sources.items():
+        try:
+            found = poll()
+            sink(name, found)
+            out.append((name, found.count(), None))
+        except Exception as e:  # noqa: BLE001  one bad source must not stop the sweep
+            out.append((name, 0, type(e).__name__))
+    return spark.createDataFrame(out, "source string, rows bigint, error string")
