@@ -170,15 +170,17 @@ UNCOVERED = "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SE
 
 
 def stale_devices(spark, sf_dir):
-    """Devices of a source that this sync (lines of the largest orders) didn't see, only if it saw any and had no errors."""
+    """Devices of a source that its last sync (the lines of its last two days of shipping) didn't see, only if it saw any and had no errors."""
     cams = views.cameras(spark, sf_dir).withColumn("source", F.col("camera_id") % 4)
-    seen = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_discount > 0.09").select(F.col("l_suppkey").alias("camera_id"), (F.col("l_suppkey") % 4).alias("source"), "l_tax").filter("source <> 2")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("camera_id"), (F.col("l_suppkey") % 4).alias("source"), "l_tax", "l_shipdate").filter("source <> 2")
+    last = li.groupBy("source").agg(F.date_sub(F.max("l_shipdate"), 1).alias("since"))
+    seen = li.join(last, "source").filter(F.col("l_shipdate") >= F.col("since"))
     sound = seen.groupBy("source").agg(F.count("*").alias("n"), F.count_if((F.col("l_tax") > 0.07) & (F.col("source") == 3)).alias("errors")).filter("n > 0 and errors = 0").select("source")
     return cams.join(sound, "source", "left_semi").join(seen.select("camera_id"), "camera_id", "left_anti").select("camera_id", "source")
 
 
 STALE_DEVICES = sql("""SELECT camera_id, camera_id % 4 AS source FROM cam WHERE camera_id % 4 IN (SELECT source FROM seen GROUP BY source HAVING count(*) > 0 AND count(*) FILTER (l_tax > 0.07 AND source = 3) = 0)
-    AND camera_id NOT IN (SELECT camera_id FROM seen)""", seen="SELECT l_suppkey AS camera_id, l_suppkey % 4 AS source, l_tax FROM lineitem WHERE l_quantity >= 50 AND l_discount > 0.09 AND l_suppkey % 4 <> 2")
+    AND camera_id NOT IN (SELECT camera_id FROM seen)""", seen="SELECT * FROM (SELECT l_suppkey AS camera_id, l_suppkey % 4 AS source, l_tax, l_shipdate, max(l_shipdate) OVER (PARTITION BY l_suppkey % 4) AS last FROM lineitem WHERE l_suppkey % 4 <> 2) WHERE CAST(l_shipdate AS DATE) >= CAST(last AS DATE) - 1")
 
 
 def hot_cameras(spark, sf_dir):

@@ -74,8 +74,9 @@ ALERT_STATES = """SELECT o_orderkey, state, actor, acted, coalesce(late, 0) AS l
 
 
 def alert_list(spark, sf_dir):
-    """Open alerts of a category since a time, the newest 400 of them cut before scope, with their priority."""
-    s = views.sightings(spark, sf_dir).filter((F.col("ts") >= F.lit("2024-01-10").cast("timestamp")) & (F.col("sighting_id") % 4 != 0))
+    """Open alerts (those that nobody has acknowledged or dismissed) of a category since a time, the newest 400 of them cut before scope, with their priority."""
+    settled = alert_states(spark, sf_dir).filter("state is not null").select(F.col("o_orderkey").alias("sighting_id"))
+    s = views.sightings(spark, sf_dir).filter(F.col("ts") >= F.lit("2024-01-10").cast("timestamp")).join(settled, "sighting_id", "left_anti")
     w = views.watch_list(spark, sf_dir).filter(F.col("category").isin("stolen", "missing")).withColumnRenamed("plate", "watched")
     hits = joins.fuzzy_join(s.select("sighting_id", (F.col("sighting_id") % 100).alias("camera_id"), "ts", "plate"), w).orderBy(F.desc("ts"), F.desc("sighting_id"), "watched").limit(400)
     mine = access.readable(hits, views.cameras(spark, sf_dir), access.Caller(department="ASIA"))
@@ -85,7 +86,7 @@ def alert_list(spark, sf_dir):
 
 ALERT_LIST = sql(
     """SELECT sighting_id, sighting_id % 100 AS camera_id, ts, watched, d = 0 AS exact, CASE WHEN d <> 0 THEN 'review' WHEN category = 'stolen' THEN 'critical' ELSE 'high' END AS priority FROM
-    (SELECT * FROM sighting JOIN near USING (plate) WHERE ts >= TIMESTAMP '2024-01-10' AND sighting_id % 4 <> 0 ORDER BY ts DESC, sighting_id DESC, watched LIMIT 400) WHERE sighting_id % 100 IN (SELECT camera_id FROM cam WHERE department = 'ASIA')""",
+    (SELECT * FROM sighting JOIN near USING (plate) WHERE ts >= TIMESTAMP '2024-01-10' AND sighting_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'N') ORDER BY ts DESC, sighting_id DESC, watched LIMIT 400) WHERE sighting_id % 100 IN (SELECT camera_id FROM cam WHERE department = 'ASIA')""",
     near=f"SELECT * FROM (SELECT s.plate, w.plate AS watched, category, {duck_distance('s.plate', 'w.plate')} AS d FROM (SELECT DISTINCT plate FROM sighting) s JOIN watch w ON category IN ('stolen', 'missing') AND levenshtein(s.plate, w.plate) <= 2) WHERE d <= 1.0",
 )
 

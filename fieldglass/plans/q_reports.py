@@ -79,7 +79,7 @@ def footage_quality(spark, sf_dir):
     return _clock(out.withColumn("flagged", sum((F.col(k) for k in kinds[1:]), F.col(kinds[0]))), "last")
 
 
-FOOTAGE_QUALITY = sql("""SELECT camera_id, count(*) FILTER (quality = 'blackout') AS blackout, count(*) FILTER (quality = 'corrupted') AS corrupted, count(*) FILTER (quality = 'blurred') AS blurred, CAST(0 AS BIGINT) AS overexposed, CAST(0 AS BIGINT) AS low_light,
+FOOTAGE_QUALITY = sql("""SELECT camera_id, count(*) FILTER (quality = 'blackout') AS blackout, count(*) FILTER (quality = 'corrupted') AS corrupted, count(*) FILTER (quality = 'blurred') AS blurred, count(*) FILTER (quality = 'overexposed') AS overexposed, count(*) FILTER (quality = 'low_light') AS low_light,
     max(ts) AS last, camera_id IN (SELECT camera_id FROM (SELECT camera_id, count(*) OVER (PARTITION BY camera_id, quality ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS n FROM quality) WHERE n >= 5) AS open, count(*) AS flagged FROM quality GROUP BY camera_id""")
 
 

@@ -67,8 +67,7 @@ STREAM_TRAFFIC = sql("SELECT camera_id, date_trunc('day', ts) AS start, count(*)
 
 def stream_bursts(spark, sf_dir):
     """I5-I7, I10 with state: alerts of three bad frames within a day, closed after two days without any."""
-    bad = F.when(F.col("width_px") % 6 == 0, "corrupted").when(F.col("width_px") % 6 == 2, "blackout").otherwise("blurred")
-    q = _detections(spark, sf_dir).filter("class_name = 'person'").select("camera_id", bad.alias("quality"), "ts")
+    q = _detections(spark, sf_dir).filter("class_name = 'person'").select("camera_id", views.footage_kind().alias("quality"), "ts")
     path = new_path(spark, "bursts")
     ingest.run_once(ingest.bursts(q, 24 * HOUR, 3, 48 * HOUR), path, ingest.appended(path))
     return spark.read.parquet(path).select("camera_id", "quality", F.col("raised").cast("timestamp_ntz").alias("raised"))

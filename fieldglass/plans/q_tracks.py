@@ -49,10 +49,15 @@ WRONG_WAY = sql(
 )
 
 
+def _free_persons(spark, sf_dir):
+    """Persons in no vehicle's box, among boxes that lie six times as far apart."""
+    b = _boxes(spark, sf_dir).withColumns({"x1": F.col("x1") * 6, "y1": F.col("y1") * 6}).withColumns({"x2": F.col("x1") + 40, "y2": F.col("y1") + 40})
+    return tracks.exposed(b.filter("class_name = 'person'"), b.filter("class_name <> 'person'"), FRAME)
+
+
 def exposed_persons(spark, sf_dir):
     """Persons in no vehicle's box, and those inside a closed region."""
-    b = _boxes(spark, sf_dir)
-    free = tracks.exposed(b.filter("class_name = 'person'"), b.filter("class_name <> 'person'"), FRAME, 0.6)
+    free = _free_persons(spark, sf_dir).withColumns({"x1": F.col("x1") / 6, "y1": F.col("y1") / 6})
     return free.select("detection_id", geo.in_polygon(F.col("x1") / 10 + 20, F.col("y1") / 10 + 69, list(REGION)).alias("intrusion"))
 
 
@@ -66,7 +71,7 @@ def _inside() -> str:
 
 EXPOSED_PERSONS = sql(
     f"""SELECT detection_id, {_inside()} AS intrusion FROM boxes a WHERE class_name = 'person' AND NOT EXISTS (SELECT 1 FROM boxes b WHERE b.class_name <> 'person' AND a.camera_id = b.camera_id AND a.frame = b.frame
-    AND greatest(0, 40 - abs(a.x1 - b.x1)) * greatest(0, 40 - abs(a.y1 - b.y1)) / (3200 - greatest(0, 40 - abs(a.x1 - b.x1)) * greatest(0, 40 - abs(a.y1 - b.y1))) >= 0.6)""",
+    AND greatest(0, 40 - 6 * abs(a.x1 - b.x1)) * greatest(0, 40 - 6 * abs(a.y1 - b.y1)) / (3200 - greatest(0, 40 - 6 * abs(a.x1 - b.x1)) * greatest(0, 40 - 6 * abs(a.y1 - b.y1))) >= 0.05)""",
     boxes=BOXES,
 )
 
@@ -92,29 +97,27 @@ TRAFFIC_RATES = sql(
 def wrong_heading(spark, sf_dir):
     """Tracks whose heading is rare in a region where another one clearly dominates."""
     d = views.detections(spark, sf_dir)
-    sector = F.when((F.col("detection_id") * 7919) % 100 < 3, F.lit(6)).otherwise(F.col("detection_id") % 2)
+    sector = F.when((F.col("detection_id") * 7919) % 100 < 3, F.lit(6)).when(F.col("detection_id") % 4 == 0, F.lit(1)).otherwise(0)
     votes = d.filter("class_name <> 'person'").groupBy("track_id", (F.col("width_px") % 6).alias("region")).agg(F.min_by(sector, "detection_id").alias("sector"))
-    return tracks.wrong_way(votes, ["region"], "sector", 50, 0.50, 0.05)
+    return tracks.wrong_way(votes, ["region"], "sector", 50, 0.60, 0.05)
 
 
 WRONG_HEADING = sql(
     """SELECT DISTINCT v.track_id, region, sector, n, total FROM votes v JOIN (SELECT *, CAST(sum(n) OVER (PARTITION BY region) AS BIGINT) AS total, max(n) OVER (PARTITION BY region) AS most FROM (SELECT region, sector, count(DISTINCT track_id) AS n FROM votes GROUP BY ALL)) p USING (region, sector)
-    WHERE total >= 50 AND most >= 0.50 * total AND n < 0.05 * total""",
-    votes="SELECT track_id, width_px % 6 AS region, arg_min(CASE WHEN (detection_id * 7919) % 100 < 3 THEN 6 ELSE detection_id % 2 END, detection_id) AS sector FROM det WHERE class_name <> 'person' GROUP BY ALL",
+    WHERE total >= 50 AND most >= 0.60 * total AND n < 0.05 * total""",
+    votes="SELECT track_id, width_px % 6 AS region, arg_min(CASE WHEN (detection_id * 7919) % 100 < 3 THEN 6 WHEN detection_id % 4 = 0 THEN 1 ELSE 0 END, detection_id) AS sector FROM det WHERE class_name <> 'person' GROUP BY ALL",
 )
 
 
 def exposure_spells(spark, sf_dir):
     """Persons that are in no vehicle for two frames or longer, with at most three frames between."""
-    b = _boxes(spark, sf_dir)
-    free = tracks.exposed(b.filter("class_name = 'person'"), b.filter("class_name <> 'person'"), FRAME, 0.6)
-    return tracks.spells(free.select("camera_id", "track_id", "frame"), ["camera_id", "track_id"], "frame", 3, 2)
+    return tracks.spells(_free_persons(spark, sf_dir).select("camera_id", "track_id", "frame"), ["camera_id", "track_id"], "frame", 3, 2)
 
 
 EXPOSURE_SPELLS = sql(
     """SELECT camera_id, track_id, min(frame) AS first, max(frame) AS last, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY camera_id, track_id ORDER BY frame) AS run FROM (SELECT *, frame - lag(frame) OVER (PARTITION BY camera_id, track_id ORDER BY frame) AS gap
     FROM (SELECT * FROM boxes a WHERE class_name = 'person' AND NOT EXISTS (SELECT 1 FROM boxes b WHERE b.class_name <> 'person' AND a.camera_id = b.camera_id AND a.frame = b.frame
-    AND greatest(0, 40 - abs(a.x1 - b.x1)) * greatest(0, 40 - abs(a.y1 - b.y1)) / (3200 - greatest(0, 40 - abs(a.x1 - b.x1)) * greatest(0, 40 - abs(a.y1 - b.y1))) >= 0.6)))) GROUP BY camera_id, track_id, run HAVING max(frame) - min(frame) >= 2""",
+    AND greatest(0, 40 - 6 * abs(a.x1 - b.x1)) * greatest(0, 40 - 6 * abs(a.y1 - b.y1)) / (3200 - greatest(0, 40 - 6 * abs(a.x1 - b.x1)) * greatest(0, 40 - 6 * abs(a.y1 - b.y1))) >= 0.05)))) GROUP BY camera_id, track_id, run HAVING max(frame) - min(frame) >= 2""",
     boxes=BOXES,
 )
 

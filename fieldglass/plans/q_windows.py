@@ -241,14 +241,16 @@ FOOTAGE_BURSTS = sql("""SELECT camera_id, quality, ts, n FROM (SELECT *, count(*
 
 
 def health_streaks(spark, sf_dir):
-    """Runs of two or more failed checks of a device; checks during an outage of its source are not the device's."""
-    d = views.detections(spark, sf_dir).filter(F.hour("ts") != 3)
+    """Runs of two or more failed checks of a device; checks in an hour in which half of its source's failed or more are not the device's."""
+    d = views.detections(spark, sf_dir).withColumns({"source": F.col("camera_id") % 3, "hour": F.date_trunc("hour", "ts")})
+    checks = d.groupBy("source", "hour").agg(F.count("*").alias("checks"), F.count_if(F.col("confidence") < 0.1).alias("failed"))
+    d = d.join(checks.filter("checks >= 2 and 2 * failed >= checks"), ["source", "hour"], "left_anti")
     runs = windows.streaks(d, ["camera_id"], ["ts", "detection_id"], F.col("confidence") < 0.1).filter("n >= 2")
     return _clock(runs, "first", "last")
 
 
 HEALTH_STREAKS = sql("""SELECT camera_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(CASE WHEN f = p THEN 0 ELSE 1 END) OVER (PARTITION BY camera_id ORDER BY ts, detection_id) AS run FROM
-    (SELECT *, confidence < 0.1 AS f, lag(confidence < 0.1) OVER (PARTITION BY camera_id ORDER BY ts, detection_id) AS p FROM det WHERE hour(ts) <> 3)) WHERE f GROUP BY camera_id, run HAVING count(*) >= 2""")
+    (SELECT *, confidence < 0.1 AS f, lag(confidence < 0.1) OVER (PARTITION BY camera_id ORDER BY ts, detection_id) AS p FROM det WHERE (camera_id % 3, date_trunc('hour', ts)) NOT IN (SELECT (camera_id % 3, date_trunc('hour', ts)) FROM det GROUP BY camera_id % 3, date_trunc('hour', ts) HAVING count(*) >= 2 AND 2 * count(*) FILTER (confidence < 0.1) >= count(*)))) WHERE f GROUP BY camera_id, run HAVING count(*) >= 2""")
 
 
 def inactivity(spark, sf_dir):

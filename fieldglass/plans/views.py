@@ -6,7 +6,7 @@ that every query has a twin.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,9 +66,14 @@ def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plates(spark, sf_dir).filter(F.col("user_id") % 7 == 0).select("plate", F.element_at(kinds, (F.col("user_id") % 5 + 1).cast("int")).alias("category"))
 
 
+def footage_kind() -> Column:
+    """What is wrong with a frame, by its width: five kinds."""
+    w = F.col("width_px")
+    return F.when(w % 6 == 0, "corrupted").when(w % 6 == 2, "blackout").when(w % 5 == 0, "overexposed").when(w % 5 == 1, "low_light").otherwise("blurred")
+
+
 def footage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = F.when(F.col("width_px") % 6 == 0, "corrupted").when(F.col("width_px") % 6 == 2, "blackout").otherwise("blurred")
-    return detections(spark, sf_dir).filter(F.col("class_name") == "person").select("camera_id", "ts", bad.alias("quality"))
+    return detections(spark, sf_dir).filter(F.col("class_name") == "person").select("camera_id", "ts", footage_kind().alias("quality"))
 
 
 CTES = {
@@ -89,7 +94,7 @@ CTES = {
       FROM det d JOIN plate_of p ON p.user_id = d.track_id WHERE d.class_name <> 'person' AND d.width_px >= 96""",
     "watch": """SELECT plate, CASE user_id % 5 WHEN 0 THEN 'stolen' WHEN 1 THEN 'wanted' WHEN 2 THEN 'blacklist' WHEN 3 THEN 'missing' ELSE 'suspect' END AS category
       FROM plate_of WHERE user_id % 7 = 0""",
-    "quality": """SELECT camera_id, ts, CASE width_px % 6 WHEN 0 THEN 'corrupted' WHEN 2 THEN 'blackout' ELSE 'blurred' END AS quality
+    "quality": """SELECT camera_id, ts, CASE WHEN width_px % 6 = 0 THEN 'corrupted' WHEN width_px % 6 = 2 THEN 'blackout' WHEN width_px % 5 = 0 THEN 'overexposed' WHEN width_px % 5 = 1 THEN 'low_light' ELSE 'blurred' END AS quality
       FROM det WHERE class_name = 'person'""",
 }
 
