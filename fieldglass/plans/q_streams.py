@@ -113,5 +113,62 @@ def stream_incidents(spark, sf_dir):
     return spark.read.schema(f"{incidents.INCIDENT}, batch int").parquet(path).select("camera_id", "kind", "tracks", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("begun", "raised")))
 
 
-QUERIES = {"stream_incidents": stream_incidents, "stream_ingest": stream_ingest, "stream_alerts": stream_alerts, "stream_traffic": stream_traffic, "stream_bursts": stream_bursts}
-ORACLES = {"stream_ingest": STREAM_INGEST, "stream_alerts": STREAM_ALERTS, "stream_traffic": STREAM_TRAFFIC, "stream_bursts": STREAM_BURSTS}
+def stream_settled(spark, sf_dir):
+    """I16: readings of a stream in groups that are ready to go: of plates not read for six hours, or full ones of five."""
+    p = views.plates(spark, sf_dir).select(F.col("user_id").alias("track_id"), "plate")
+    d = _detections(spark, sf_dir).filter("class_name <> 'person' or detection_id = 0")
+    # the first row comes twice: its copy, long after all others and without a plate, lets the last groups go
+    d = d.withColumn("last", F.explode(F.when(F.col("detection_id") == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))).filter("last or class_name <> 'person'")
+    late = F.col("ts") + F.expr("interval 400 days")
+    s = d.join(p, "track_id").select(F.when(F.col("last"), "").otherwise(F.col("plate")).alias("plate"), F.col("detection_id").alias("sighting_id"), F.when(F.col("last"), late).otherwise(F.col("ts")).alias("ts"))
+    path = new_path(spark, "settled")
+    ingest.run_once(ingest.settled_plates(s, 6 * HOUR, 5), path, ingest.appended(path))
+    found = spark.read.schema(f"{ingest.HELD}, batch int").parquet(path)
+    return found.select("plate", F.size("ids").alias("n"), F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"), "flushed")
+
+
+STREAM_SETTLED = sql(
+    "SELECT plate, CAST(count(*) AS INT) AS n, arg_min(id, k) AS first, arg_max(id, k) AS last, CASE WHEN count(*) = 5 THEN 'full' ELSE 'settled' END AS flushed FROM walk GROUP BY plate, run",
+    r="SELECT plate, detection_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY plate ORDER BY ts, detection_id) AS k FROM det JOIN plate_of ON user_id = track_id WHERE class_name <> 'person'",
+    walk="""SELECT plate, id, t, k, 1 AS held, 0 AS run FROM r WHERE k = 1 UNION ALL SELECT r.plate, r.id, r.t, r.k, CASE WHEN w.held = 5 OR r.t - w.t > 21600000000 THEN 1 ELSE w.held + 1 END, CASE WHEN w.held = 5 OR r.t - w.t > 21600000000 THEN w.run + 1 ELSE w.run END FROM walk w JOIN r ON r.plate = w.plate AND r.k = w.k + 1""",
+)
+
+
+def stream_copies(spark, sf_dir):
+    """Detections of a stream in a main table and in a copy by device that fails when the first batch comes, mended afterwards."""
+    main, copy = new_path(spark, "main"), new_path(spark, "copy")
+    d = _detections(spark, sf_dir).select("detection_id", "camera_id", "ts")
+
+    def by_device(batch, number):
+        batch.write.mode("overwrite").partitionBy("camera_id").parquet(f"{copy}/batch={number}")
+
+    def refuses(batch, number):
+        raise OSError("the copy is out of reach")
+
+    ingest.run_once(d, main, ingest.mirrored(ingest.appended(main), refuses))
+    ingest.repair(spark, main, copy, by_device)
+    read = spark.read.schema("detection_id bigint, ts timestamp, batch int, camera_id bigint").parquet(copy)
+    return read.groupBy("camera_id").agg(F.count("*").alias("n"), F.sum("detection_id").alias("ids"))
+
+
+STREAM_COPIES = sql("SELECT camera_id, count(*) AS n, CAST(sum(detection_id) AS BIGINT) AS ids FROM det GROUP BY camera_id")
+
+
+def source_sweep(spark, sf_dir):
+    """A sweep over the departments' devices of which one service fails: the rows of each, and the failure."""
+    c = views.cameras(spark, sf_dir)
+    path = new_path(spark, "sweep")
+
+    def poll(name):
+        found = c.filter(F.col("department") == name).select("camera_id", "health_status")
+        return found if name != "EUROPE" else found.withColumn("camera_id", F.when(F.raise_error(F.lit("no answer")).isNull(), F.col("camera_id")))
+
+    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    found = ingest.sweep(spark, {n: (lambda n=n: poll(n)) for n in names}, lambda name, df: df.write.parquet(f"{path}/source={name.replace(' ', '-')}"))
+    return found.select("source", "rows", F.col("error").isNotNull().alias("failed"))
+
+
+SOURCE_SWEEP = sql("SELECT r_name AS source, CASE WHEN r_name = 'EUROPE' THEN 0 ELSE (SELECT count(*) FROM cam WHERE department = r_name) END AS rows, r_name = 'EUROPE' AS failed FROM region")
+
+QUERIES = {"stream_settled": stream_settled, "stream_copies": stream_copies, "source_sweep": source_sweep, "stream_incidents": stream_incidents, "stream_ingest": stream_ingest, "stream_alerts": stream_alerts, "stream_traffic": stream_traffic, "stream_bursts": stream_bursts}
+ORACLES = {"stream_settled": STREAM_SETTLED, "stream_copies": STREAM_COPIES, "source_sweep": SOURCE_SWEEP, "stream_ingest": STREAM_INGEST, "stream_alerts": STREAM_ALERTS, "stream_traffic": STREAM_TRAFFIC, "stream_bursts": STREAM_BURSTS}
