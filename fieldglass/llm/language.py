@@ -42,7 +42,7 @@ SIZES = (3, 2, 1)
 #: Words (and words times languages) of the table that tasks load; all others are joined.
 HEAD_WORDS = 400_000
 HEAD_CELLS = 4_000_000
-#: Counts of n-grams up to which tasks load all of them; beyond it they are joined, with the same scores.
+#: Different n-grams times languages up to which tasks load all of them; beyond it they are joined, with the same scores.
 GRAM_CELLS = 4_000_000
 CACHE_TOKENS = 140_000
 PARTIAL = 200_000
@@ -363,7 +363,7 @@ def _tail_sums(scanned: DataFrame, model: Learned) -> DataFrame:
     joined = stored(joined.select("_row", slot.alias("slot"), (F.col("times") * gain).alias("v"), F.when(F.col("c").isNull(), F.col("word")).alias("word"), "times"), "lang-joined")
     unknown = joined.filter("slot is null").select("_row", "word", "times")
     words = stored(unknown.select("word").distinct(), "lang-unknown")
-    loaded = model.grams.count() <= GRAM_CELLS
+    loaded = model.grams.select("word").distinct().count() * len(model.languages) <= GRAM_CELLS
     entries = stored(_scored_ngrams(words, model) if loaded else _of_ngrams(words, model), "lang-entries")
     of_unknown = unknown.join(entries, "word").select("_row", "times", F.explode("entries").alias("e")).select("_row", "e.slot", (F.col("times") * F.col("e.v")).alias("v"))
     both = joined.filter("slot is not null").select("_row", "slot", "v").union(of_unknown)
