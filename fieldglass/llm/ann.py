@@ -11,7 +11,10 @@ query grows with the table.
 Leaves hold about ``leaf_rows`` rows, and more where a tree would else have more
 than ``leaves`` of them, so that the leaves that a query opens don't grow in number.
 
-The work is shuffled by leaf, with vectors in the type that they came in. Equal
+The work is shuffled by leaf, with vectors in the type that they came in. A row that
+several opened leaves hold is ranked in the first of them alone: rows carry their
+leaves in all trees, queries the opened ones as bits, so no distance is taken twice
+and a query takes no more of them than an exact scan. Equal
 vectors are indexed once, with the few smallest ids that can count, so copies don't
 fill a leaf; leaves of more rows or queries than a task should hold are split into
 blocks by their counts. Each block gives its nearest rows for each query, and a
@@ -43,7 +46,7 @@ TREES = 12
 LEAF_ROWS = 200
 LEAVES = 50
 SEARCH_ROWS = 15_000
-SEARCH_SHARE = 0.1
+SEARCH_SHARE = 0.07
 SEARCH_LEAVES = 75
 #: Rows of a leaf that a task holds at once, as bytes of double precision, and queries.
 BLOCK_BYTES, BLOCK_QUERIES = 32 << 20, 2_000
@@ -165,12 +168,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 RANKED = "query_class bigint, class_id bigint, score double"
 
 
-def _nearest(own: pa.Table, asking: pa.Table, k: int) -> pa.Table:
-    """The ``k`` nearest of the rows of a block for each query, by exact distance, ties by id."""
+def _nearest(own: pa.Table, asking: pa.Table, k: int, first: list[int]) -> pa.Table:
+    """The ``k`` nearest of the rows of a block for each query, by exact distance, ties by id; rows that it meets in an earlier tree are left to that."""
     found = []
     if own.num_rows and asking.num_rows:
-        x, ids = _matrix(own["vector"].combine_chunks()), own["class_id"].to_numpy()
-        for query, q in zip(asking["class_id"].to_pylist(), _matrix(asking["vector"].combine_chunks()), strict=True):
+        all_x, all_ids = _matrix(own["vector"].combine_chunks()), own["class_id"].to_numpy()
+        tree = int(np.searchsorted(first, own["leaf"][0].as_py(), "right")) - 1
+        earlier = own["leaves"].combine_chunks().flatten().to_numpy().reshape(own.num_rows, -1)[:, :tree]
+        for query, opened, q in zip(asking["class_id"].to_pylist(), asking["opened"].to_pylist(), _matrix(asking["vector"].combine_chunks()), strict=True):
+            fresh = ~np.unpackbits(np.frombuffer(opened, np.uint8), bitorder="little").astype(bool)[earlier].any(axis=1)
+            x, ids = all_x[fresh], all_ids[fresh]
             score = np.sqrt(((x - q) ** 2).sum(axis=1))
             near = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1]) if len(score) > k else np.arange(len(score))
             best = near[np.lexsort((ids[near], score[near]))[:k]]
@@ -192,12 +199,14 @@ def _search(embeddings: DataFrame, is_query, k: int, vector: str, dim: int | Non
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = shipped.value.keys(_matrix(b.column(1)))
-            n = np.repeat(np.arange(b.num_rows), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column(0).take(pa.array(n)), b.column(1).take(pa.array(n))], ["leaf", "class_id", "vector"])
+            n = pa.array(np.repeat(np.arange(b.num_rows), keys.shape[1]))
+            leaves = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column(0).take(n), b.column(1).take(n), leaves.take(n)], ["leaf", "class_id", "vector", "leaves"])
 
     schema = f"leaf bigint, class_id bigint, vector {classes.schema['vector'].dataType.simpleString()}"
+    total_leaves = forest.first[-1] + forest.trees[-1].leaves
     block_rows = max(1, BLOCK_BYTES // (8 * max(1, forest.trees[0].vector.shape[1])))
-    indexed = classes.select("class_id", "vector").mapInArrow(index, schema)
+    indexed = classes.select("class_id", "vector").mapInArrow(index, f"{schema}, leaves array<int>")
     # one count for each leaf of the forest, whose size the sample bounds
     sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
     held = spark.sparkContext.broadcast(sizes)
@@ -209,22 +218,26 @@ def _search(embeddings: DataFrame, is_query, k: int, vector: str, dim: int | Non
                 part = b.slice(at, 100)
                 found = [shipped.value.search(q, held.value, enough) for q in _matrix(part.column(1))]
                 n = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([pa.array([key for f in found for key in f], pa.int64()), part.column(0).take(n), part.column(1).take(n)], ["leaf", "class_id", "vector"])
+                bits = np.zeros((part.num_rows, total_leaves), np.uint8)
+                for row, leaves in enumerate(found):
+                    bits[row, leaves] = 1
+                opened = pa.array([b.tobytes() for b in np.packbits(bits, axis=1, bitorder="little")], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([key for f in found for key in f], pa.int64()), part.column(0).take(n), part.column(1).take(n), opened.take(n)], ["leaf", "class_id", "vector", "opened"])
 
     queries = rows.filter(is_query)
     sought = classes.join(queries.select("vector").distinct(), "vector", "left_semi")
-    probes = stored(sought.select("class_id", "vector").mapInArrow(probe, schema), "probes")
+    probes = stored(sought.select("class_id", "vector").mapInArrow(probe, f"{schema}, opened binary"), "probes")
     asked = {r["leaf"]: r["count"] for r in probes.groupBy("leaf").count().collect()}
     blocks = spark.createDataFrame([(leaf, -(-n // block_rows), -(-asked.get(leaf, 0) // BLOCK_QUERIES)) for leaf, n in sizes.items() if leaf in asked] or [(-1, 1, 1)], "leaf bigint, row_blocks int, query_blocks int")
     number = lambda of: F.pmod(F.xxhash64("class_id"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = indexed.join(F.broadcast(blocks), "leaf").select("leaf", number("row_blocks").alias("row_block"), every("query_blocks").alias("query_block"), "class_id", "vector")
-    right = probes.join(F.broadcast(blocks), "leaf").select("leaf", every("row_blocks").alias("row_block"), number("query_blocks").alias("query_block"), "class_id", "vector")
+    left = indexed.join(F.broadcast(blocks), "leaf").select("leaf", number("row_blocks").alias("row_block"), every("query_blocks").alias("query_block"), "class_id", "vector", "leaves")
+    right = probes.join(F.broadcast(blocks), "leaf").select("leaf", every("row_blocks").alias("row_block"), number("query_blocks").alias("query_block"), "class_id", "vector", "opened")
 
-    group = ("leaf", "row_block", "query_block")
-    ranked = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(lambda own, asking: _nearest(own, asking, k + 1), RANKED)
+    group, first = ("leaf", "row_block", "query_block"), forest.first
+    ranked = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(lambda own, asking: _nearest(own, asking, k + 1, first), RANKED)
     near = W.partitionBy("query_class").orderBy("score", "class_id")
-    ranked = ranked.distinct().withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k + 1)
+    ranked = ranked.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k + 1)
     # copies come back here: at most k + 1 of each class, of which the first k + 1 can count
     ids = W.partitionBy("query_class").orderBy("score", "vec_id")
     hits = ranked.join(classes.select("class_id", "members"), "class_id").select("query_class", F.explode("members").alias("vec_id"), "score")
