@@ -4,7 +4,7 @@ A forest is fitted on a bounded sample. Its nodes split at the median projection
 on the line through two sample points. Every row is indexed: each tree gives it a
 leaf. A query walks all trees through one priority queue, nearest margins first,
 until its leaves hold ``search_share`` of the entries of all trees, and ``search_rows``
-entries and 75 leaves at least; the candidates of those leaves are then ranked by exact
+entries and 60 leaves at least; the candidates of those leaves are then ranked by exact
 distance in double precision. A share keeps recall as the table grows; the work of a
 query grows with the table.
 
@@ -47,7 +47,7 @@ LEAF_ROWS = 200
 LEAVES = 50
 SEARCH_ROWS = 15_000
 SEARCH_SHARE = 0.07
-SEARCH_LEAVES = 75
+SEARCH_LEAVES = 60
 #: Rows of a leaf that a task holds at once, as bytes of double precision, and queries.
 BLOCK_BYTES, BLOCK_QUERIES = 32 << 20, 2_000
 SEED = 5
