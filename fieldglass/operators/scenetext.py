@@ -16,13 +16,20 @@ SPOT_IOU, VEHICLE_IOU, ALIKE, APART_FRAMES, LEAST_WIDTH, LEAST_HEIGHT = 0.6, 0.7
 HISTORY = 400
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Correlation of two pictures as arrays of one length; 0 if one of them is flat."""
-    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
-    centred = lambda x: F.transform(x, lambda v: v - mean(x))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    pair = F.transform(F.array(F.struct(centred(a).alias("x"), centred(b).alias("y"))), lambda p: F.struct(dot(p["x"], p["y"]).alias("xy"), F.sqrt(dot(p["x"], p["x"]) * dot(p["y"], p["y"])).alias("norm")))[0]
-    return F.transform(F.array(pair), lambda p: F.when(p["norm"] > 0, p["xy"] / p["norm"]).otherwise(0.0))[0]
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+
+def with_unit(df: DataFrame, picture: str = "picture", name: str = "unit") -> DataFrame:
+    """``df`` with the picture centred and brought to length 1: the correlation of two pictures is then :func:`alike`; null if it is flat."""
+    df = df.withColumn(name, F.col(picture).cast("array<double>")).withColumn("_mean", _sum(F.col(name)) / F.size(name))
+    df = df.withColumn(name, F.transform(name, lambda v: v - F.col("_mean"))).withColumn("_mean", F.sqrt(_sum(F.transform(name, lambda v: v * v))))
+    return df.withColumn(name, F.when(F.col("_mean") > 0, F.transform(name, lambda v: v / F.col("_mean")))).drop("_mean")
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Correlation of two pictures of one size, from their unit arrays."""
+    return _sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
 def static_text(boxes: DataFrame, history: int = HISTORY) -> DataFrame:
@@ -38,9 +45,10 @@ def static_text(boxes: DataFrame, history: int = HISTORY) -> DataFrame:
     """
     box = lambda n: [F.col(f"{n}.{c}") for c in ("x1", "y1", "x2", "y2")]
     vehicle = lambda n: [F.col(f"{n}.{c}") for c in ("v1", "w1", "v2", "w2")]
-    near = (geo.iou(box("a"), box("b")) >= SPOT_IOU) & (correlation(F.col("a.picture"), F.col("b.picture")) >= ALIKE)
+    near = (geo.iou(box("a"), box("b")) >= SPOT_IOU) & (alike(F.col("a.unit"), F.col("b.unit")) >= ALIKE)
     with job(boxes.sparkSession, "static-text") as result:
         large = boxes.filter((F.col("x2") - F.col("x1") >= LEAST_WIDTH) & (F.col("y2") - F.col("y1") >= LEAST_HEIGHT))
+        large = stored(with_unit(large).drop("picture"), "units")
         rows = stored(numbered(large, ["camera_id"], F.floor(F.col("frame") / 1000), ["frame", "id"]), "numbered").select("camera_id", F.struct("*").alias("t"))
         bucket = F.floor(F.col("t.number") / history)
 
