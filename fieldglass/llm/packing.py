@@ -40,7 +40,7 @@ TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 POOL_TOKENS = 1 << 21
 STEP_TOKENS = 8 * 4096
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 OUT_BYTES = 8 << 20
 #: Marks that the tokenizer reads as one word together and that begin none of its contractions.
 PUNCTUATION = ".,;:!?%&$#*|"
@@ -77,14 +77,15 @@ class WordCache(dict):
     def _whole(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, word: str) -> bytes:
+        shown = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _letters(self, word: str) -> bytes:
-        known = self.letters.get(word)
+        """Ids of a word that is part of a chunk: as a chunk of its own it may be cached already."""
+        known = self.get(word) or self.letters.get(word) or self.old.get(word)
         if known is None:
-            known = self.old_letters.get(word)
-            if known is None:
-                shown = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
-                known = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            self.letters[word] = known
+            known = self.letters[word] = self.old_letters.get(word) or self._ids(word)
         return known
 
     def _chunk(self, chunk: str) -> bytes:
@@ -92,6 +93,8 @@ class WordCache(dict):
         word = low.rstrip(PUNCTUATION)
         if not word.isalpha() or not (low.isascii() or ("Σ" not in chunk and is_normalized("NFC", chunk))):
             return self._whole(chunk)
+        if word == chunk:
+            return self._ids(word)
         tail = low[len(word) :]
         if not tail:
             return self._letters(word)
