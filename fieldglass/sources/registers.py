@@ -130,7 +130,7 @@ def write_truth(rows: DataFrame, path: str) -> None:
 def plate_report(sightings: DataFrame, floor: float = 0.10) -> DataFrame:
     """The columns of a plate report as text: confidence with three decimals, yes or no, nulls empty."""
     rows = sightings.filter(F.coalesce("confidence", F.lit(0.0)) >= floor)
-    return rows.select(F.col("sighting_id").cast("string").alias("sighting"), "plate", F.format_string("%.3f", F.round("confidence", 3)).alias("confidence"), F.when(F.col("observations") > 4, "yes").otherwise("no").alias("sure"))
+    return rows.select(F.col("sighting_id").cast("string").alias("sighting"), "plate", F.format_string("%.3f", F.round(F.col("confidence") * 1000) / 1000).alias("confidence"), F.when(F.col("observations") > 4, "yes").otherwise("no").alias("sure"))
 
 
 def signed_payload(alerts: DataFrame, key: str, batch: str = "batch") -> DataFrame:
