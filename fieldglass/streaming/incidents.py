@@ -183,6 +183,7 @@ class Detector(StatefulProcessor):
         self.tracks = handle.getMapState("tracks", "track_id bigint", TRACK)
         self.fired = handle.getMapState("fired", "what string", "at double")
         self.clock = handle.getValueState("clock", "pts bigint")
+        self.drop = handle.getValueState("drop", "ms bigint")  # when the last timer is due
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         found, timers = [], set()
@@ -197,7 +198,11 @@ class Detector(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # all frames that the watermark has passed are whole, so the first of its timers judges them
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        until = max(expired, timerValues.getCurrentWatermarkInMs()) * 1000
+        if not self.waiting.exists() and not (self.drop.exists() and expired >= self.drop.get()[0]):
+            return
         frames, later = {}, []
         for r in self.waiting.get():
             if r[0] <= until:
@@ -254,10 +259,13 @@ class Detector(StatefulProcessor):
             self.fired.updateValue((k,), (at,))
         if not tracks and not fired and not self.waiting.exists():
             self.clock.clear()
+            self.drop.clear()
             return
         if clock is not None:
             self.clock.update((clock,))
-        self.handle.registerTimer(until + int(LOST_SECONDS * 1000) + 1)  # to drop what isn't seen again
+        due = until + int(LOST_SECONDS * 1000) + 1  # to drop what isn't seen again
+        self.drop.update((due,))
+        self.handle.registerTimer(due)
 
     def close(self) -> None:
         pass
