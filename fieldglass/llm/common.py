@@ -51,6 +51,18 @@ def sliced(batches, rows: int = 500):
     pa.default_memory_pool().release_unused()
 
 
+def by_bytes(texts, most: int):
+    """Slices of an Arrow array of strings of at most ``most`` bytes each, or of one string."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(texts):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")) - at)
+        yield texts.slice(at, n)
+        at += n
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send Python workers at most ``rows`` rows at a time: rows of texts are large.
 

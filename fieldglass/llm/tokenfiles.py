@@ -45,26 +45,20 @@ MANIFEST = "shard int, shard_start bigint, documents bigint, tokens bigint, leas
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     cache, shard, at = word_cache(path), TaskContext.get().partitionId(), 0
-    end = np.array([end_id], "<u4").tobytes()
-
-    def rows(docs: list, ids: list[bytes], start: int) -> pa.RecordBatch:
-        sizes = np.array([len(i) // 4 for i in ids], np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-        return record_batch({"doc_id": docs, "shard": [shard] * len(ids), "start": pa.array(start + ends[:-1]), "n_tokens": pa.array(sizes), "ids": lists}, SCHEMA)
-
     for batch in sliced(batches):
-        docs, ids, held = [], [], 0
-        for doc, found in zip(batch.column(0).to_pylist(), cache.encode(batch.column(1).to_pylist()), strict=True):
-            docs.append(doc)
-            ids.append(found + end)
-            held += len(ids[-1]) // 4
-            if held >= OUT_IDS:
-                yield rows(docs, ids, at)
-                at, docs, ids, held = at + held, [], [], 0
-        if docs:
-            yield rows(docs, ids, at)
-            at += held
+        docs = 0
+        for starts, ids in cache.encode_arrow(batch.column(1)):
+            n = len(starts) - 1
+            starts = starts.astype(np.int64) + np.arange(n + 1)  # an end id after each document
+            ids = np.insert(ids, starts[1:] - np.arange(1, n + 1), end_id)
+            # whole documents, as few as hold OUT_IDS
+            first = 0
+            while first < n:
+                last = min(n, int(np.searchsorted(starts, starts[first] + OUT_IDS)))
+                lists = pa.ListArray.from_arrays(pa.array(starts[first : last + 1] - starts[first], pa.int32()), pa.array(ids[starts[first] : starts[last]]))
+                yield record_batch({"doc_id": batch.column(0).slice(docs + first, last - first), "shard": [shard] * (last - first), "start": pa.array(at + starts[first:last]), "n_tokens": pa.array(np.diff(starts[first : last + 1])), "ids": lists}, SCHEMA)
+                first = last
+            at, docs = at + int(starts[-1]), docs + n
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:

@@ -76,3 +76,18 @@ def test_crc_is_unsigned_and_little_endian(spark, path):
 
     r = packing.pack_documents(docs(spark), path).withColumn("c", F.crc32("ids")).first()
     assert r.c == zlib.crc32(r.ids)
+
+
+def test_a_word_has_one_entry_whatever_its_letters_and_marks(path):
+    cache = packing.WordCache(path)
+    list(cache.encode(["Stone, stone. STONE stone", "the Stone.\nÉté, été"]))
+    assert set(cache) == {"stone", "the", "été", ",", ".", ""} and not cache.letters
+
+
+def test_marks_and_small_letters_change_no_ids(path):
+    rng = np.random.default_rng(3)
+    texts = ["<|ENDOFTEXT|> x", "x., y", "IT'S. OK", "a\xa0. b", "\x1c. a", "ª. ²,", "", "Ǆ. ά"]
+    texts += ["".join(rng.choice(list("aB .,'\n#s<|>3éÉ\xa0\tRµß\x85Σ"), rng.integers(1, 30))) for _ in range(3000)]
+    cache = packing.WordCache(path)
+    for text, ids in zip(texts, cache.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids, text
