@@ -30,11 +30,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import record_batch, sliced, text_or_empty
+from fieldglass.llm.common import by_bytes, record_batch, sliced, text_or_empty
 from fieldglass.store import job, stored
 
 UNKNOWN = "und"
@@ -46,10 +47,18 @@ HEAD_CELLS = 4_000_000
 GRAM_CELLS = 4_000_000
 CACHE_TOKENS = 140_000
 PARTIAL = 200_000
+#: Bytes of texts that are scanned together, and tokens whose scores are summed at once.
+GROUP_BYTES = 2 << 20
+BLOCK = 1 << 16
 COUNTS = "lang string, word string, n bigint"
 _LETTERS = regex.compile(r"\p{L}+")
 
 
+def spaced(text: str) -> str:
+    """The text in lower case; its usual marks, which part words as well, are spaces, so that most tokens are words."""
+    return text.lower().replace("\n", " ").replace(".", " ").replace(",", " ")
+
+
 def words_of(token: str) -> list[str]:
     """The runs of letters in a lower-cased token."""
     return [token] if token.isalpha() else _LETTERS.findall(token)
@@ -77,7 +86,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in sliced(batches):
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tokens.setdefault(lang, Counter()).update(text.lower().split())
+            tokens.setdefault(lang, Counter()).update(spaced(text).split())
         if sum(map(len, tokens.values())) > PARTIAL:
             yield from out()
     yield from out()
@@ -224,38 +233,36 @@ class LanguageModel:
 
         return predict
 
-    def scanner(self):
-        """A function from texts to (numbers of words, summed scores of known words, counts of the other words)."""
-        scores: dict[str, tuple] = {}
-        get, table, none = self.words.at.get, self.words.table, np.zeros(len(self.languages))
-
-        def look_up(token: str) -> tuple:
-            parts = words_of(token)
-            rows = [r for w in parts if (r := get(w)) is not None]
-            return len(parts), table[rows].sum(axis=0) if rows else None, [w for w in parts if get(w) is None]
-
-        def scan(texts: list[str]) -> tuple[list[int], list[np.ndarray], list[dict[str, int]]]:
-            words, heads, rests = [], [], []
-            for text in texts:
-                n, known, times, rest = 0, [], [], {}
-                for token, c in Counter(text.lower().split()).items():
-                    found = scores.get(token)
-                    if found is None:
-                        if len(scores) >= CACHE_TOKENS:
-                            scores.clear()
-                        found = scores[token] = look_up(token)
-                    n += c * found[0]
-                    if found[1] is not None:
-                        known.append(found[1])
-                        times.append(c)
-                    for word in found[2]:
-                        rest[word] = rest.get(word, 0) + c
-                words.append(n)
-                heads.append(np.array(times, float) @ np.array(known) if known else none)
-                rests.append(rest)
-            return words, heads, rests
-
-        return scan
+    def scan(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[dict[str, int]]]:
+        """Numbers of words, summed scores of known words and counts of the other words of a batch of texts.
+
+        A token that comes more than once is looked up once for all texts.
+        """
+        tokens = pc.split_pattern(pa.array(map(spaced, texts.to_numpy(zero_copy_only=False).tolist()), pa.string()), " ")
+        coded, begins = tokens.values.dictionary_encode(), tokens.offsets.to_numpy()
+        names, of, get = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), self.words.at.get
+        rows = np.array([-1 if r is None else r for r in map(get, names)], np.int64)
+        known = rows >= 0
+        scores, counts, others = np.zeros((len(names), len(self.languages))), known.astype(np.int64), {}
+        scores[known] = self.words.table[rows[known]] if known.any() else 0
+        for i in np.flatnonzero(~known).tolist():
+            parts = words_of(names[i])
+            counts[i] = len(parts)
+            for word in parts:
+                row = get(word)
+                if row is None:
+                    others.setdefault(i, []).append(word)
+                else:
+                    scores[i] += self.words.table[row]
+        # a long text is read in blocks, since its tokens' scores by language are many numbers
+        heads = np.array([sum(scores[of[i : min(i + BLOCK, b)]].sum(axis=0) for i in range(a, b, BLOCK)) for a, b in itertools.pairwise(begins.tolist())])
+        rests: list[dict[str, int]] = [{} for _ in range(len(texts))]
+        unknown = np.isin(of, list(others))
+        for text, i in zip(np.repeat(np.arange(len(texts)), np.diff(begins))[unknown].tolist(), of[unknown].tolist(), strict=True):
+            rest = rests[text]
+            for word in others[i]:
+                rest[word] = rest.get(word, 0) + 1
+        return np.add.reduceat(counts[of], begins[:-1]), heads, rests
 
 
 def _by_language(words: DataFrame) -> DataFrame:
@@ -389,11 +396,15 @@ def _identified(docs: DataFrame, model: Learned, keep: tuple[str, ...]) -> DataF
     schema = rows.select(*keep, F.lit(0).cast("bigint").alias("_words"), F.lit(0).cast("bigint").alias("_tail"), F.array(F.lit(0.0)).alias("_head"), F.array(F.lit("")).alias("_rest"), F.array(F.lit(0).cast("bigint")).alias("_times")).schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = shipped.value.scanner()
+        model, width = shipped.value, len(languages)
         for batch in sliced(batches):
-            words, heads, rests = scanner(batch.column(at).to_pylist())
-            columns = [pa.array(words, pa.int64()), pa.array([sum(r.values()) for r in rests], pa.int64()), pa.array(heads, pa.list_(pa.float64())), pa.array([list(r) for r in rests], pa.list_(pa.string())), pa.array([list(r.values()) for r in rests], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], schema.names)
+            first = 0
+            for texts in by_bytes(batch.column(at), GROUP_BYTES):
+                words, heads, rests = model.scan(texts)
+                heads = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * width, pa.int32()), pa.array(heads.ravel(), pa.float64()))
+                columns = [pa.array(words), pa.array([sum(r.values()) for r in rests], pa.int64()), heads, pa.array([list(r) for r in rests], pa.list_(pa.string())), pa.array([list(r.values()) for r in rests], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[:at]), *columns], schema.names)
+                first += len(texts)
 
     scanned = stored(rows.mapInArrow(scan, schema).withColumn("_row", F.monotonically_increasing_id()), "lang-scanned")
     if languages:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,17 @@ def test_language_query_equals_a_plain_version(spark, sf_dir):
         best = max(total)
         odds = [math.exp(t - best) for t in total]
         assert found.lang_pred == langs[total.index(best)] and abs(found.score - max(odds) / sum(odds)) < 1e-6
+
+
+def test_a_batch_is_scanned_token_by_token_once(monkeypatch):
+    words = {"stone": 0, "l": 1, "eau": 2}
+    model = language.LanguageModel(["de", "fr"], language.Frequencies(words, np.array([[1.0, 2.0], [3.0, 5.0], [7.0, 11.0]])))
+    texts = ["Stone, stone. l'eau new", "", "12 ½", "new.new l'eau STONE\nother-new"] * 3
+    asked, split = [], language.words_of
+    monkeypatch.setattr(language, "words_of", lambda token: asked.append(token) or split(token))
+    monkeypatch.setattr(language, "BLOCK", 2)
+    counts, heads, rests = model.scan(pa.array(texts))
+    assert len(asked) == len(set(asked)) and "stone" not in asked
+    assert counts.tolist() == [5, 0, 0, 7] * 3
+    assert heads.tolist() == [[12.0, 20.0], [0.0, 0.0], [0.0, 0.0], [11.0, 18.0]] * 3
+    assert rests == [{"new": 1}, {}, {}, {"new": 3, "other": 1}] * 3
