@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geo
-from fieldglass.operators.fragments import box_cells
 from fieldglass.operators.windows import numbered
 from fieldglass.store import job, stored
 
@@ -39,9 +38,10 @@ def static_text(boxes: DataFrame, history: int = HISTORY) -> DataFrame:
     same spot with the same picture, but of another track, another vehicle (v1, w1,
     v2, w2) and APART_FRAMES or more away. What is on the spot of a sign with its
     picture, up to ``history`` boxes before or after it, is text of the scene too,
-    whatever its vehicle. Boxes are numbered by frame and id and meet by number and
-    spot, so a box meets a bounded number of others. Boxes below the least size are
-    never compared.
+    whatever its vehicle. Boxes are numbered by frame and id and meet by number, so a
+    box meets a bounded number of others, and it is sent with its picture once and to
+    two or three ranges of numbers, however many cells it covers. Boxes below the
+    least size are never compared.
     """
     box = lambda n: [F.col(f"{n}.{c}") for c in ("x1", "y1", "x2", "y2")]
     vehicle = lambda n: [F.col(f"{n}.{c}") for c in ("v1", "w1", "v2", "w2")]
@@ -52,12 +52,12 @@ def static_text(boxes: DataFrame, history: int = HISTORY) -> DataFrame:
         rows = stored(numbered(large, ["camera_id"], F.floor(F.col("frame") / 1000), ["frame", "id"]), "numbered").select("camera_id", F.struct("*").alias("t"))
         bucket = F.floor(F.col("t.number") / history)
 
-        def met(left: DataFrame) -> DataFrame:
-            a = left.select("camera_id", F.col("t").alias("a"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), F.explode(box_cells("t", 0)).alias("cell"))
-            b = rows.select("camera_id", F.col("t").alias("b"), bucket.alias("bucket"), F.explode(box_cells("t", 1)).alias("cell"))
-            return a.join(b, ["camera_id", "bucket", "cell"]).filter(F.abs(F.col("a.number") - F.col("b.number")) <= history)
+        def met(left: DataFrame, ranges: tuple[int, ...]) -> DataFrame:
+            a = left.select("camera_id", F.col("t").alias("a"), F.explode(F.array(*(bucket + i for i in ranges))).alias("bucket"))
+            b = rows.select("camera_id", F.col("t").alias("b"), bucket.alias("bucket"))
+            return a.join(b, ["camera_id", "bucket"]).filter(F.abs(F.col("a.number") - F.col("b.number")) <= history)
 
         other = (F.col("a.track_id") != F.col("b.track_id")) & (geo.iou(vehicle("a"), vehicle("b")) < VEHICLE_IOU) & (F.abs(F.col("a.frame") - F.col("b.frame")) >= APART_FRAMES)
-        signs = met(rows).filter((F.col("b.number") < F.col("a.number")) & other & near)
+        signs = met(rows, (-1, 0)).filter((F.col("b.number") < F.col("a.number")) & other & near)
         signs = stored(signs.groupBy("camera_id", F.col("a.number").alias("number")).agg(F.first("a").alias("t")).select("camera_id", "t"), "signs")
-        return result(met(signs).filter(near).select("camera_id", F.col("b.id").alias("id")).distinct())
+        return result(met(signs, (-1, 0, 1)).filter(near).select("camera_id", F.col("b.id").alias("id")).distinct())

@@ -29,3 +29,16 @@ def test_only_so_many_boxes_before_are_looked_at(spark):
     rows = [box(1, 1, 0, 1, 0.0, 0.0, SIGN), *(box(10 + k, 1, 10 + k, 50 + k, 400.0 + 60 * k, 0.0, OTHER) for k in range(6)), box(30, 1, 99, 2, 0.0, 500.0, SIGN)]
     df = spark.createDataFrame(rows, BOX)
     assert scenetext.static_text(df, 6).count() == 0 and scenetext.static_text(df, 7).count() == 2
+
+
+def test_a_picture_is_not_sent_for_each_cell(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, what, now=scenetext.stored):
+        plans[what] = df._jdf.queryExecution().optimizedPlan().toString()
+        return now(df, what)
+
+    monkeypatch.setattr(scenetext, "stored", noted)
+    rows = [box(k, 1, 40 * k, k, 0.0, 500.0 * (k % 2), SIGN, 400.0) for k in range(30)]  # wide boxes cover many cells
+    assert scenetext.static_text(spark.createDataFrame(rows, BOX), 3).count() == 30
+    assert plans["signs"].count("Generate explode(") == 1, plans["signs"]
